@@ -1,12 +1,13 @@
 """Byte-level BPE over a distinct-word table.
 
-1. Documents are split into words, chunk by chunk (CHUNK_CHARS of text).  A chunk is a list of its distinct words, and
-   for each document the places of its words in that list.
-2. The distinct words of all chunks form one table; each word is encoded once.  Its ids become bytes again through an
-   id-to-piece join.
-3. Each chunk's word list is joined with that table, and ids and bytes go back to the documents by position.
-
-Words move as chunk-wise distinct lists, so a frequent word costs a row per chunk, not per occurrence.
+1. Documents are split into words, chunk by chunk (CHUNK_CHARS of text).  A chunk keeps its distinct words, dealt into
+   BUCKETS lists by a hash of the word, and for each document the places of its words among them.
+2. All lists of a bucket meet, over all chunks: that is the table of distinct words, in which each word is encoded once.
+3. The ids of each list go back to its chunk and, by position, to the documents.  Decoding goes from ids to bytes through
+   a hash join with the id-to-piece table, whose size is the vocabulary's.
+
+Lists and places move packed (zstandard).  A frequent word costs one entry a chunk, not one an occurrence, so no bucket
+is larger than others; a task forgets words beyond KNOWN_WORDS and would encode them anew.
 """
 
 from __future__ import annotations
@@ -15,20 +16,28 @@ import hashlib
 import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import materialise, tune, type_of
+from stratalex.llm.common import tune, type_of
 
 #: Code points after which a chunk is closed (a longer document is a chunk of its own).
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 4_000_000
+#: Lists that the words of a chunk are dealt into.  At most 256.
+BUCKETS = 128
+#: Words that a task of step 2 keeps encoded at a time.
+KNOWN_WORDS = 1_000_000
 #: How byte-level BPE splits text before merging (the published pattern).
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -86,42 +95,112 @@ class Splitter:
         return out
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
-    """Rows of documents (chunk, id, at, places) and of words (chunk, at, word)."""
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers as planes of their low and high bytes, compressed."""
+    x = np.ascontiguousarray(x, np.uint32)
+    planes = x.view(np.uint8).reshape(-1, 4).T
+    used = 4 if len(x) and x.max() >= 1 << 16 else 2
+    return zstandard.ZstdCompressor(level=3).compress(planes[:used].tobytes())
+
+
+def _unpack_numbers(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(-1, n) if n else np.empty((0, 0), np.uint8)
+    out = np.zeros(n, np.uint32)
+    for k, plane in enumerate(planes):
+        out |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[tuple[int, list, list[list[str]]]]:
+    """(chunk, ids, words of each text), chunk by chunk.  The chunk's number comes from its place and its content: both
+    readings of a table must find the same chunks, and if they do not, lists are missing and the job fails."""
+    base, n = TaskContext.get().partitionId() << 32, 0
+    ids, words, chars, content = [], [], 0, xxhash.xxh64()
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            text = text or ""
+            ids.append(key)
+            words.append(split_words(text))
+            content.update(f"{len(text)} ".encode() + text.encode())
+            chars += len(text)
+            if chars >= CHUNK_CHARS:
+                yield (xxhash.xxh64_intdigest(f"{base + n} {content.intdigest()}") >> 1, ids, words)
+                ids, words, chars, n, content = [], [], 0, n + 1, xxhash.xxh64()
+    if ids:
+        yield (xxhash.xxh64_intdigest(f"{base + n} {content.intdigest()}") >> 1, ids, words)
+
+
+def _bucket(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.uint8, len(words))
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    """A row for each chunk: ids; sizes, the words of each text; places, of all words in turn, among the chunk's n
+    distinct ones, the most frequent first; buckets, of each distinct word."""
     id_type, added = docs.schema[id_col].dataType, list(vocabulary.added)
     source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_words = Splitter(source.value, added).words
-        base, n = TaskContext.get().partitionId() << 32, 0
-        ids, places, known, chars = [], [], {}, 0
+        first = next(batches, None)
+        if first is None:
+            return
+        for chunk, ids, words in _each_chunk(chain([first], batches), split_words):
+            known: dict[str, int] = {}
+            at = []
+            for ws in words:
+                new = [w for w in dict.fromkeys(ws) if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                at.append(np.fromiter(map(known.__getitem__, ws), np.uint32, len(ws)))
+            flat = np.concatenate(at)
+            order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
+            rank = np.empty(len(known), np.uint32)
+            rank[order] = np.arange(len(known), dtype=np.uint32)
+            of = _bucket(list(known))[order]
+            sizes = _pack_numbers(np.array([len(a) for a in at], np.uint32))
+            columns = [pa.array([chunk]), pa.array([ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "places", "buckets", "n"])
+
+    return docs.select(id_col, text_col).mapInArrow(make, f"chunk long, ids array<{id_type.simpleString()}>, sizes binary, places binary, buckets binary, n int")
+
+
+def word_lists(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    """A row for each bucket that a chunk has words of: the n words, the most frequent first."""
+    added = list(vocabulary.added)
+    source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
 
-        def rows(id_arrow: pa.DataType) -> pa.RecordBatch:
-            d, w = len(ids), len(known)
-            at = np.r_[np.arange(d), np.arange(w)].astype(np.int32)
-            columns = [pa.array(np.full(d + w, base + n)), pa.array(ids + [None] * w, id_arrow), pa.array(at), pa.array(places + [None] * w, pa.binary()), pa.array([None] * d + list(known), pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "at", "places", "word"])
-
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = split_words(text or "")
-                at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
-                ids.append(key)
-                places.append(zlib.compress((at.astype(np.uint16) if len(known) <= 65536 else at).tobytes() + bytes([len(known) > 65536]), 1))
-                chars += len(text or "")
-                if chars >= CHUNK_CHARS:
-                    yield rows(b.column(0).type)
-                    n += 1
-                    ids, places, known, chars = [], [], {}, 0
-        if ids:
-            yield rows(b.column(0).type)
-
-    return docs.select(id_col, text_col).mapInArrow(split, f"chunk long, id {id_type.simpleString()}, at int, places binary, word string")
-
-
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """words(word), distinct -> (word, ids)."""
-    source = words.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, words in _each_chunk(batches, Splitter(source.value, added).words):
+            counts: Counter = Counter()
+            for ws in words:
+                counts.update(ws)
+            known = sorted(counts, key=counts.__getitem__, reverse=True)  # stable, so as places() ranks them
+            lists: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+            for w, k in zip(known, _bucket(known).tolist()):
+                lists[k].append(w.encode())
+            press = zstandard.ZstdCompressor(level=3)
+            out = []
+            for k, data in enumerate(lists):
+                if data:  # lengths stand in front, since words may hold any character
+                    packed = _pack_numbers(np.array([len(d) for d in data], np.uint32))
+                    out.append((chunk, k, len(packed).to_bytes(4, "little") + packed + press.compress(b"".join(data)), len(data)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["chunk", "bucket", "words", "n"])
+
+    return docs.select(id_col, text_col).mapInArrow(make, "chunk long, bucket int, words binary, n int")
+
+
+def _words_of(packed: bytes, n: int) -> list[str]:
+    at = 4 + int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(_unpack_numbers(packed[4:at], n)).tolist()
+    data = zstandard.ZstdDecompressor().decompress(packed[at:])
+    return [data[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def encode_lists(lists: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """lists(chunk, bucket, words, n) -> (chunk, bucket, n_ids, ids): of each word in its order the number of ids, and
+    the ids one after the other.  The lists of a bucket meet, so each distinct word is encoded once."""
+    source = lists.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,45 +209,65 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         model = Tokenizer.from_str(source.value)
         model.no_truncation()
         model.no_padding()
+        known: dict[str, list[int]] = {}
         for b in batches:
-            ids = [e.ids for e in model.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
-
-
-def decode_words(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """encoded(word, ids) -> (word, ids, raw): raw the bytes that the ids stand for, by an id-to-piece join."""
-    spark = encoded.sparkSession
-    pieces = spark.createDataFrame(vocabulary.pieces(), "id int, piece binary")  # a vocabulary's fixed size
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")
-    raw = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
-    return raw.select("word", F.col("parts.id").alias("ids"), F.expr("unhex(array_join(transform(parts, p -> hex(p.piece)), ''))").alias("raw"))
-
-
-def _join_back(id_name: str, with_texts: bool):
-    def join(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["at"].to_numpy())
-        ids = words["ids"].combine_chunks().take(pa.array(order))
-        raw = words["raw"].combine_chunks().take(pa.array(order)).to_pylist()
-        ids = ids.to_pylist()
-        sizes = np.array([len(x) for x in ids], np.int64)
-        texts = [",".join(map(str, x)) for x in ids]
-        out = {id_name: docs["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_texts else {})
-        for packed in docs["places"].to_pylist():
-            packed = zlib.decompress(packed)
-            at = np.frombuffer(packed[:-1], np.uint32 if packed[-1] else np.uint16)
+            counts, ids = [], []
+            for packed, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                words = _words_of(packed, n)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False))))
+                got = [known[w] for w in words]
+                counts.append(_pack_numbers(np.array([len(x) for x in got], np.uint32)))
+                ids.append(_pack_numbers(np.array([i for x in got for i in x], np.uint32)))
+                if len(known) > KNOWN_WORDS:
+                    known = {}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "bucket", "n_ids", "ids"])
+
+    # Sorted by bucket, so that a task is done with one bucket's words before the next.
+    met = lists.select("chunk", "bucket", "words", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(encode, "chunk long, bucket int, n_ids binary, ids binary")
+
+
+def _join_back(id_name: str, with_texts: bool, pieces):
+    """Ids of the words' lists -> the documents of a chunk, by position."""
+
+    def join(docs: pa.Table, lists: pa.Table) -> pa.Table:
+        if docs.num_rows != 1:
+            raise ValueError("the two readings of the table found different chunks")
+        row = docs.to_pylist()[0]
+        n = row["n"]
+        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint8)
+        words: list = [None] * n
+        for one in lists.to_pylist():
+            mine = np.flatnonzero(of == one["bucket"])
+            ends = np.cumsum(_unpack_numbers(one["n_ids"], len(mine))).tolist()
+            ids = _unpack_numbers(one["ids"], ends[-1]).tolist()
+            for at, a, b in zip(mine.tolist(), [0, *ends], ends):
+                words[at] = ids[a:b]
+        if any(w is None for w in words):
+            raise ValueError("the two readings of the table found different chunks")
+        piece = pieces.value  # the join with the id-to-piece table
+        raw = [b"".join([piece[i] for i in x]) for x in words]
+        counts = np.array([len(x) for x in words], np.int64)
+        texts = [",".join(map(str, x)) for x in words]
+        sizes = _unpack_numbers(row["sizes"], len(row["ids"])).tolist()
+        flat = _unpack_numbers(row["places"], sum(sizes))
+        out = {id_name: row["ids"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_texts else {})
+        start = 0
+        for size in sizes:
+            at = flat[start : start + size]
+            start += size
             places = at.tolist()
             pick = itemgetter(*places) if len(places) > 1 else lambda xs, p=places: [xs[i] for i in p]
             decoded = b"".join(pick(raw)).decode("utf-8", "replace")
-            out["n_tokens"].append(int(sizes[at].sum()))
+            out["n_tokens"].append(int(counts[at].sum()))
             out["ids_sha256"].append(hashlib.sha256(",".join(pick(texts)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_texts:
-                out["ids"].append([i for x in pick(ids) for i in x])
+                out["ids"].append([i for x in pick(words) for i in x])
                 out["decoded"].append(decoded)
-        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        return pa.table({k: v if k == id_name else pa.array(v, types.get(k, pa.string())) for k, v in out.items()})
+        types = {id_name: docs.schema.field("ids").type.value_type, "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        return pa.table({k: pa.array(v, types.get(k, pa.string())) for k, v in out.items()})
 
     return join
 
@@ -179,13 +278,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ids are those of the tokenizers library without special tokens added; the strings of added tokens in a text become
     their ids, as there.  A null or empty text has no ids and decodes to the empty text.  Repeated rows and null ids are
     kept as they are, an empty table gives an empty result, other columns are ignored.
+
+    The table is read twice, once for places and once for words, which costs less than writing either; docs must
+    therefore read the same rows in the same partitions both times, as a stored table does.
     """
     tune(docs.sparkSession)
     vocabulary = Vocabulary(path)
-    chunks = materialise(_chunks(docs, id_col, text_col, vocabulary), "chunks")
-    words = chunks.filter(F.col("word").isNotNull()).select("chunk", "at", "word")
-    table = materialise(decode_words(encode_words(words.select("word").distinct(), vocabulary), vocabulary), "words")
-    places = chunks.filter(F.col("word").isNull()).select("chunk", "id", "places")
-    found = words.join(table, "word").select(F.col("chunk").alias("of"), "at", "ids", "raw")
+    table = dict(vocabulary.pieces())
+    pieces = docs.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])  # a vocabulary's fixed size
+    encoded = encode_lists(word_lists(docs, id_col, text_col, vocabulary), vocabulary).withColumnRenamed("chunk", "of")
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_texts else "")
-    return places.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_join_back(id_col, with_texts), schema)
+    return places(docs, id_col, text_col, vocabulary).groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(_join_back(id_col, with_texts, pieces), schema)
