@@ -2,8 +2,9 @@
 
 Grades 0 < 1 < 2: toxic, poor, good.  One vector of hashed-token weights w is shared by all grades and the thresholds are
 ordered: P(grade >= k) = sigmoid(w.x - threshold k).  Training takes at most SAMPLE labelled documents, those with the
-smallest hashes of their ids, so the sample does not depend on the order of rows or the size of the corpus.  The L1 term
-of the online updates leaves few weights, which go to the executors with the scoring function.
+smallest hashes of their ids, so the sample does not depend on the order of rows or the size of the corpus.  Only buckets
+whose presence depends on the grade beyond chance (a chi-squared screen) get weights; these few go to the executors with
+the scoring function.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from stratalex.llm.common import tune, type_of
 
 #: Most labelled documents that training takes.
-SAMPLE = 10_000
+SAMPLE = 20_000
 #: Hash buckets of tokens.
 BUCKETS = 1 << 22
 #: Probability of the top grade from which a document is selected.
 SELECT = 0.5
 GRADES = 3
+#: Chi-squared statistic (one degree of freedom) that a bucket needs against some split of the grades; chance reaches it
+#: for one bucket in 200,000.
+SCREEN = 21.0
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _LETTERS = re.compile(r"[\W\d_]+")
 _NOT_UPPER = re.compile(r"[^A-ZÀ-ÖØ-Þ]+")
@@ -59,41 +63,60 @@ class Model:
         return [1 / (1 + math.exp(max(-60.0, min(60.0, t - score)))) for t in self.thresholds]
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 8, rate: float = 0.1, l1: float = 2.0, l2: float = 0.5) -> Model:
-    """FTRL-proximal steps on the negative log-likelihood.  features: distinct buckets of each document.  Without rows
-    of at least two grades the model selects everything."""
+def _screened(flat: np.ndarray, doc: np.ndarray, used: int, grades: np.ndarray, screen: float) -> np.ndarray:
+    """Which buckets depend on a split of the grades.  flat, doc: bucket and document of each presence."""
+    total, n = len(grades), np.bincount(flat, minlength=used).astype(float)
+    keep = np.zeros(used, bool)
+    for k in range(1, GRADES):
+        up = grades >= k
+        ups = up.sum()
+        a = np.bincount(flat, weights=up[doc].astype(float), minlength=used)
+        spread = n * (total - n) * ups * (total - ups)
+        keep |= (total * (a * total - n * ups) ** 2 > screen * np.maximum(spread, 1e-9)) & (spread > 0)
+    return keep
+
+
+def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: float = 0.3, l1: float = 0.1, l2: float = 0.1, screen: float = SCREEN) -> Model:
+    """Screening, then FTRL-proximal steps on the negative log-likelihood.  features: distinct buckets of each document.
+    Documents of equal features and grade count once.  Without two grades the model selects everything."""
+    once = {(int(g), f.tobytes()): i for i, (f, g) in enumerate(zip(features, grades))}
+    rows = sorted(once.values())
+    features, grades = [features[i] for i in rows], grades[rows]
     if len(set(grades.tolist())) < 2:
         return Model({}, [-20.0] * (GRADES - 1))
     used, flat = np.unique(np.concatenate(features), return_inverse=True)
-    docs = np.split(flat, np.cumsum([len(f) for f in features])[:-1])
+    doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    kept = _screened(flat, doc, len(used), grades, screen)
+    place = np.cumsum(kept) - 1
+    flat, doc, used = place[flat[kept[flat]]], doc[kept[flat]], used[kept]
+    docs = np.split(flat, np.searchsorted(doc, np.arange(1, len(features))))
     z, n = np.zeros(len(used)), np.zeros(len(used))
     tail = [(grades >= k).mean() for k in range(1, GRADES)]
     theta = np.array([-math.log(max(p, 1e-3) / max(1 - p, 1e-3)) for p in tail])
+    weights = lambda z, n: np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / rate + l2), 0.0)
     order = np.random.default_rng(7)
     for epoch in range(epochs):
         for i in order.permutation(len(docs)):
             d, y = docs[i], int(grades[i])
             zi, ni = z[d], n[d]
-            w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(ni)) / rate + l2), 0.0)
+            w = weights(zi, ni)
             s = float(w.sum())
             up = [1.0, *(1 / (1 + math.exp(max(-60.0, min(60.0, t - s)))) for t in theta), 0.0]
             p = max(up[y] - up[y + 1], 1e-9)
             # Derivatives of -log(up[y] - up[y + 1]) in the score and in the thresholds.
             low, high = up[y] * (1 - up[y]), up[y + 1] * (1 - up[y + 1])
-            g = -(low - high) / p
-            g = max(-1.0, min(1.0, g))
-            step = 0.02 / (1 + epoch)
+            g = max(-1.0, min(1.0, -(low - high) / p))
+            step = 0.05 / (1 + epoch)
             if y > 0:
-                theta[y - 1] -= step * max(-1.0, min(1.0, low / p))
+                theta[y - 1] += step * max(-1.0, min(1.0, -low / p))
             if y < GRADES - 1:
                 theta[y] += step * max(-1.0, min(1.0, high / p))
             theta = np.maximum.accumulate(theta)
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / rate
-            z[d] = zi + g - sigma * w
+            z[d] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / rate * w
             n[d] = ni + g * g
-    w = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / rate + l2), 0.0)
-    keep = np.flatnonzero(w)
-    return Model(dict(zip(used[keep].tolist(), w[keep].tolist())), theta.tolist())
+    w = weights(z, n)
+    some = np.flatnonzero(w)
+    return Model(dict(zip(used[some].tolist(), w[some].tolist())), theta.tolist())
 
 
 def grade(quality: str = "quality", toxic: str = "toxic"):
