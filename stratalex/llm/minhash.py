@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
     group = banded.join(shared, "key")
     follow = W.partitionBy("key", F.pmod("order", F.lit(64))).orderBy("order")
-    pairs = group.select(F.explode(F.array(F.struct("class", F.col("leader").alias("other")), F.struct("class", F.lag("class").over(follow).alias("other")))).alias("p")).select("p.*")
+    group = group.select("class", "leader", F.lag("class").over(follow).alias("before"))
+    pairs = group.select("class", F.explode(F.array("leader", "before")).alias("other"))
     pairs = pairs.filter("other is not null and class <> other").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     sets = materialise(made.groupBy("class").agg(F.first("shingles").alias("s")), "sets")
     met = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
