@@ -64,5 +64,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format)}
 
 
+def _sql_secrets() -> str:
+    """Matches of each kind, placed by the text between them; then ownership, as in the operator."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for rank, (kind, pattern) in enumerate(secrets.KINDS.items()):
+        value = f"regexp_extract(m, {quote(pattern)}, 2)" if kind == "assign" else "m"
+        keep = {"assign": "length(value) >= 6", "opaque": "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9].*[0-9]')"}.get(kind, "true")
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, begin_ AS start_, begin_ + length(m) AS end_, value FROM (
+  SELECT doc_id, m, {value} AS value, CAST(sum(length(b)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_ FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, generate_subscripts(ms, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), {quote(pattern)}) AS ms, string_split_regex(coalesce(text, ''), {quote(pattern)}) AS bs FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
+    first = len(secrets.BASE)
+    opaque = list(secrets.KINDS).index("opaque")
+    return f"""WITH f AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT * FROM f WHERE rank < {first} OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.rank < {first} AND f.start_ < b.end_ AND b.start_ < f.end_)),
+c AS (SELECT value FROM g JOIN documents USING (doc_id) GROUP BY value HAVING count(DISTINCT coalesce(source, '\x00')) >= {secrets.EXAMPLE_OWNERS}),
+h AS (SELECT *, value IN (SELECT value FROM c) AS example FROM g),
+k AS (SELECT * FROM h WHERE rank <> {opaque} OR NOT example),
+s AS (SELECT doc_id, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank, end_) AS spans, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank, end_) FILTER (rank < {first}) AS base,
+  count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN s USING (doc_id)"""
+
+
+_LINES_SQL = f"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, p, l || chr(10) || lead(l, 1) OVER x || chr(10) || lead(l, 2) OVER x AS w FROM l WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY w) AS again FROM w WHERE w IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest(range({line_dedup.WINDOW})) AS o) WHERE again)
+SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY l.p) FILTER (g.p IS NULL), '') AS text, count(*) AS n_lines, count(g.p) AS n_removed FROM l LEFT JOIN g USING (doc_id, p) GROUP BY doc_id"""
+
+_EXACT_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
+
+_MIX_SQL = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS n FROM d GROUP BY source),
+o AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+v AS (SELECT *, CAST(sum(total) OVER () - {mixing.MOST} * coalesce(sum(total) OVER b, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level FROM o WINDOW b AS (ORDER BY total / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(weight * (SELECT arg_min(level, (total / weight, place)) FROM v WHERE level * weight <= {mixing.MOST} * total), CAST({mixing.MOST} * total AS DOUBLE)) AS target FROM v),
+q AS (SELECT t.*, CASE WHEN total > 0 THEN CAST(round(target / total * {mixing.UNIT}) AS BIGINT) ELSE 0 END AS rate FROM t),
+k AS (SELECT q.source, any_value(total) AS total, any_value(target) AS target, any_value(rate) AS rate, list(doc_id ORDER BY size DESC, doc_id DESC) AS ids, list({{'size': CAST(size AS BIGINT), 'owed': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY size DESC, doc_id DESC) AS docs
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source GROUP BY q.source, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % CAST(ceil(n / {mixing.BLOCK_ROWS}.0) AS BIGINT)),
+f AS (SELECT total, target, ids, docs, list_reduce(docs, lambda acc, x: {{'size': x.size, 'owed': x.size * rate + acc.owed - x.size * {mixing.UNIT} * CASE WHEN x.size > 0 THEN greatest(0, least(least({mixing.MOST}, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT) + 1), (x.size * rate + acc.owed + x.size * {mixing.UNIT // 2}) // greatest(x.size * {mixing.UNIT}, 1))) ELSE least(1, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT)) END,
+  'out': list_append(acc.out, CASE WHEN x.size > 0 THEN greatest(0, least(least({mixing.MOST}, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT) + 1), (x.size * rate + acc.owed + x.size * {mixing.UNIT // 2}) // greatest(x.size * {mixing.UNIT}, 1))) ELSE least(1, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT)) END)}}, {{'size': 0::BIGINT, 'owed': 0::BIGINT, 'out': []::BIGINT[]}}).out AS copies FROM k)
+SELECT unnest(ids) AS doc_id, unnest(list_transform(docs, lambda x: x.size)) AS size, total AS source_size, target, unnest(list_transform(docs, lambda x: x.size)) * unnest(copies) AS taken FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL}
