@@ -39,10 +39,14 @@ def route(path: Column, content: Column) -> Column:
 
 
 def list_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, ...) of the supported files below a folder, or of a single file, by path."""
+    """(path, length, content, ...) of the supported files below a folder by path, or of a single file, whatever its
+    type.  A missing path raises FileNotFoundError."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        raise FileNotFoundError(path)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    single = df.filter(F.col("path").endswith(path.rstrip("/").split("/")[-1]))
-    return df.filter(suffix(F.col("path")).isin(SUPPORTED) | F.col("path").isin([r.path for r in single.select("path").limit(1).collect()] if "." in path.split("/")[-1] else [])).orderBy("path")
+    return df if store.getFileStatus(place).isFile() else df.filter(suffix(F.col("path")).isin(SUPPORTED)).orderBy("path")
 
 
 def _decoded(files: DataFrame, decode: Decoder) -> DataFrame:
