@@ -64,18 +64,28 @@ class Block:
     text: str = ""
 
 
+def _inside(node: Node | None, name: str) -> bool:
+    while node is not None and node.name != name:
+        node = node.up
+    return node is not None
+
+
 def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool]:
     """What the element adds for the blocks below it, and whether it is hidden."""
     odds, hidden = TAG_ODDS.get(name, 0.0), False
     if name == "header" and up.odds > 0:  # an article's own header holds its title
         odds = 0.0
+    if name in ("article", "main") and _inside(up, "form"):  # a form around the whole page says nothing of the article
+        odds -= TAG_ODDS["form"]
     if attributes.strip():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), unescape(a or b or c).lower()
             if key in ("class", "id"):
                 words = set(_WORDS.findall(value))
                 if name not in ("html", "body"):
-                    odds += BAD if words & BAD_WORDS else GOOD if words & GOOD_WORDS else 0.0
+                    # The header of an article, post or entry holds its title.
+                    bad = words & BAD_WORDS - ({"header"} if words & GOOD_WORDS else set())
+                    odds += BAD if bad else GOOD if words & GOOD_WORDS else 0.0
             elif key == "role":
                 odds += ROLE_ODDS.get(value, 0.0)
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

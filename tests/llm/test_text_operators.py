@@ -56,6 +56,8 @@ def test_extract():
     for odd in (None, "", "<", "<p", "</p></p>", "<!-- never closed", "<script>x", "<article>", "&#x;&bogus;<b", "<div>" * 3000 + "deep", "<p>" + "word " * 50000):
         assert isinstance(html_extract.extract(odd), str)
     assert html_extract.extract("<main><p>Only this is content here.</p></main><div role='navigation'>Go away from here now.</div>") == "Only this is content here."
+    wrapped = "<form id='aspnet'><div class='menu'>Home page of us.</div><article><div class='article-header'><h1>A title</h1></div><p>The text goes here, some words.</p><div class='comment-body'>I like it a lot, thanks.</div></article></form>"
+    assert html_extract.extract(wrapped) == "A title The text goes here, some words."
 
 
 def test_min_cut():
