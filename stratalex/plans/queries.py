@@ -17,6 +17,7 @@ from stratalex.functions import text as t
 from stratalex.operators import hierarchy, index, lines, rank, verify, windows
 from stratalex.operators.corpus import heading_text
 from stratalex.sources import sinks
+from stratalex.storage import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,7 +170,8 @@ def search_topk(spark, sf_dir):
     asked = _query_tokens(spark, sf_dir)
     each = asked.select("q", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     # Only documents' words that some query has are worth a shuffle; the queries' words are few.
-    posted = _posted(spark, sf_dir).join(each.select("token").distinct(), "token", "left_semi")
+    # Tokenizing is what costs: the postings that count are written once and read twice.
+    posted = materialise(_posted(spark, sf_dir).join(each.select("token").distinct(), "token", "left_semi"), "postings")
     frequency = index.with_idf(index.doc_frequency(posted), total)
     weighted = each.join(frequency, "token").select("q", "n", "token", "idf")
     score = rank.overlap_score(F.sum("idf"), F.count(F.lit(1)), F.col("n"))
@@ -187,9 +189,9 @@ SELECT item_id, doc_id, bm25 FROM s QUALIFY row_number() OVER (PARTITION BY item
 def bm25_topk(spark, sf_dir):
     """The 25 best documents of each query by BM25 over its first twelve words."""
     docs = read(spark, sf_dir, "documents")
-    terms = index.term_table(docs, "doc_id", t.tokenize(F.col("text")))
+    terms = materialise(index.term_table(docs, "doc_id", t.tokenize(F.col("text"))), "terms")
     total = docs.count()
-    mean = docs.select(F.size(t.tokenize(F.col("text"))).alias("n")).filter("n > 0").agg(F.avg("n")).first()[0] or 1.0
+    mean = terms.agg(F.sum("tf") / F.count_distinct("doc_id")).first()[0] or 1.0
     asked = _query_tokens(spark, sf_dir).select(F.col("q").alias("item_id"), F.explode(index.first_terms(F.col("tokens"))).alias("term"))
     return index.bm25(asked, terms, total, mean, "item_id", "doc_id", digits=6)
 
@@ -201,7 +203,7 @@ c AS (SELECT item_id, rk, coalesce(sum(new) OVER (PARTITION BY item_id ORDER BY
 SELECT h.item_id, h.doc_id FROM h JOIN c ON h.item_id = c.item_id AND h.rk = c.rk WHERE found <= 80""")
 def candidate_cap(spark, sf_dir):
     """Candidates of each query under a cap of 80, skipping postings over 250."""
-    posted = _posted(spark, sf_dir)
+    posted = materialise(_posted(spark, sf_dir), "postings")
     asked = _query_tokens(spark, sf_dir).select(F.col("q").alias("item_id"), F.explode("tokens").alias("token"))
     return index.capped_candidates(asked, posted, index.doc_frequency(posted), "item_id", "doc_id", long=250, enough=80)
 
