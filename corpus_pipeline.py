@@ -25,9 +25,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked fingerprints."""
-    found = simhash.near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The document with the least id of each group of linked fingerprints.
+
+    Rows with a null id stay, and so does an id that different texts share if one of them stands for its group.
+    """
+    found = materialise(simhash.near_duplicates(docs), "near")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.filter(~stays).select("doc_id").distinct().join(found.filter(stays).select("doc_id"), "doc_id", "left_anti")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
