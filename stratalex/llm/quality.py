@@ -30,7 +30,7 @@ BUCKETS = 1 << 22
 SELECT = 0.5
 GRADES = 3
 #: Chi-squared statistic (one degree of freedom) that a bucket needs against some split of the grades; chance reaches it
-#: for one bucket in 200,000.
+#: for one bucket in 200,000.  Fewer than 1,100 documents have fewer buckets, and need 3 ln(documents).
 SCREEN = 21.0
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _LETTERS = re.compile(r"[\W\d_]+")
@@ -86,7 +86,7 @@ def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate:
         return Model({}, [-20.0] * (GRADES - 1))
     used, flat = np.unique(np.concatenate(features), return_inverse=True)
     doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    kept = _screened(flat, doc, len(used), grades, screen)
+    kept = _screened(flat, doc, len(used), grades, min(screen, 3 * math.log(len(features))))
     place = np.cumsum(kept) - 1
     flat, doc, used = place[flat[kept[flat]]], doc[kept[flat]], used[kept]
     docs = np.split(flat, np.searchsorted(doc, np.arange(1, len(features))))
