@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import tune, type_of, whole
+from stratalex.llm.common import materialise, tune, type_of, whole
 
 #: Consecutive lines of a window.
 WINDOW = 3
@@ -33,6 +33,7 @@ def covered(found: DataFrame) -> DataFrame:
     """(id, th, starts): the first lines of the windows that occurred before."""
     place: Column = F.struct("id", "th", "pos")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
+    repeated = materialise(repeated, "repeated")  # read anew, so that the join can split a window that is everywhere
     later = found.join(repeated, ["h1", "h2"]).filter(F.struct("id", "th", "pos") > F.col("first"))
     return later.groupBy("id", "th").agg(F.collect_set("pos").alias("starts"))
 
