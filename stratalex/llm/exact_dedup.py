@@ -33,6 +33,7 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -
     """(id, n_bytes, text_sha256, candidate): the whole text's SHA-256 where the row may have equals, or everywhere."""
     n_bytes, head = _sized(docs, text_col)
     lengths = docs.groupBy(n_bytes).count().filter("count > 1").select("n_bytes")  # one row per length that occurs twice
+    lengths = materialise(lengths, "lengths")  # read anew, so that the join can split a length that is everywhere
     heads = docs.select(n_bytes, head).join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "head").count().filter("count > 1")
     word, bit = _slot()
     bitmap = heads.select(word, bit).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
@@ -56,6 +57,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_id = rows.filter("candidate").groupBy(*same, id_col).agg(F.count(F.lit(1)).alias("n"))
     top = F.max_by(F.struct(F.col(id_col).alias("keep_id"), F.col("n").alias("ties")), F.struct(F.col(id_col).isNotNull(), F.col(id_col)))
     groups = by_id.groupBy(*same).agg(F.sum("n").alias("group_size"), top.alias("top")).filter("group_size > 1").select(*same, "group_size", "top.*")
+    groups = materialise(groups, "groups")  # read anew, so that the join can split a large group of copies
     joined = rows.join(groups, same, "left")
     alone = F.col("group_size").isNull()
     mine = F.col(id_col).eqNullSafe(F.col("keep_id"))
