@@ -42,7 +42,7 @@ def _value(kind: str, match: Column) -> Column:
 def _spans(kind: str, found: Column, between: Column) -> Column:
     """Array of (start, rank, end, value): code points, end exclusive.  A match follows the text between it and the last."""
     rank = list(KINDS).index(kind)
-    empty = F.expr(f"cast(array() as array<struct<start:int,rank:int,end:int,value:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,value:string>>)")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
