@@ -1,7 +1,7 @@
 """Byte-level BPE over a distinct-word table.
 
 1. Documents are split into words, chunk by chunk (CHUNK_CHARS of text).  A chunk keeps its distinct words, dealt into
-   BUCKETS lists by a hash of the word, and for each document the places of its words among them.
+   lists by a hash of the word, and for each document the places of its words among them.
 2. All lists of a bucket meet, over all chunks: that is the table of distinct words, in which each word is encoded once.
 3. The ids of each list go back to its chunk and, by position, to the documents.  Decoding goes from ids to bytes through
    a hash join with the id-to-piece table, whose size is the vocabulary's.
@@ -33,8 +33,9 @@ from stratalex.llm.common import tune, type_of
 
 #: Code points after which a chunk is closed (a longer document is a chunk of its own).
 CHUNK_CHARS = 4_000_000
-#: Lists that the words of a chunk are dealt into.  At most 256.
-BUCKETS = 128
+#: Lists that the words of a chunk are dealt into, at least and at most; between, one for each BUCKET_BYTES of input, so
+#: that what meets in a bucket does not grow with the corpus.
+BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 128, 65_536, 256_000_000
 #: Words that a task of step 2 keeps encoded at a time.
 KNOWN_WORDS = 1_000_000
 #: How byte-level BPE splits text before merging: the published pattern, for the characters that UNSETTLED leaves.  Words
@@ -129,11 +130,17 @@ def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[tupl
         yield (xxhash.xxh64_intdigest(f"{base + n} {content.intdigest()}") >> 1, ids, words)
 
 
-def _bucket(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.uint8, len(words))
+def bucket_count(docs: DataFrame) -> int:
+    """By the size that the plan's statistics state; nothing is run for it.  Where they state none, the least."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_BUCKETS, max(BUCKETS, size // BUCKET_BYTES)) if size < 1 << 60 else BUCKETS
 
 
-def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+def _bucket(words: list[str], buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint16, len(words))
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, buckets: int) -> DataFrame:
     """A row for each chunk: ids; sizes, the words of each text; places, of all words in turn, among the chunk's n
     distinct ones, the most frequent first; buckets, of each distinct word."""
     id_type, added = docs.schema[id_col].dataType, list(vocabulary.added)
@@ -155,7 +162,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary)
             order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
             rank = np.empty(len(known), np.uint32)
             rank[order] = np.arange(len(known), dtype=np.uint32)
-            of = _bucket(list(known))[order]
+            of = _bucket(list(known), buckets)[order]
             sizes = _pack_numbers(np.array([len(a) for a in at], np.uint32))
             columns = [pa.array([chunk]), pa.array([ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "places", "buckets", "n"])
@@ -163,7 +170,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary)
     return docs.select(id_col, text_col).mapInArrow(make, f"chunk long, ids array<{id_type.simpleString()}>, sizes binary, places binary, buckets binary, n int")
 
 
-def word_lists(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+def word_lists(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, buckets: int) -> DataFrame:
     """A row for each bucket that a chunk has words of: the n words, the most frequent first."""
     added = list(vocabulary.added)
     source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
@@ -174,15 +181,14 @@ def word_lists(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabula
             for ws in words:
                 counts.update(ws)
             known = sorted(counts, key=counts.__getitem__, reverse=True)  # stable, so as places() ranks them
-            lists: list[list[bytes]] = [[] for _ in range(BUCKETS)]
-            for w, k in zip(known, _bucket(known).tolist()):
-                lists[k].append(w.encode())
+            lists: dict[int, list[bytes]] = {}
+            for w, k in zip(known, _bucket(known, buckets).tolist()):
+                lists.setdefault(k, []).append(w.encode())
             press = zstandard.ZstdCompressor(level=3)
             out = []
-            for k, data in enumerate(lists):
-                if data:  # lengths stand in front, since words may hold any character
-                    packed = _pack_numbers(np.array([len(d) for d in data], np.uint32))
-                    out.append((chunk, k, len(packed).to_bytes(4, "little") + packed + press.compress(b"".join(data)), len(data)))
+            for k, data in lists.items():  # lengths stand in front, since words may hold any character
+                packed = _pack_numbers(np.array([len(d) for d in data], np.uint32))
+                out.append((chunk, k, len(packed).to_bytes(4, "little") + packed + press.compress(b"".join(data)), len(data)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["chunk", "bucket", "words", "n"])
 
@@ -235,10 +241,13 @@ def _join_back(id_name: str, with_texts: bool, pieces):
             raise ValueError("the two readings of the table found different chunks")
         row = docs.to_pylist()[0]
         n = row["n"]
-        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint8)
+        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint16)
         words: list = [None] * n
+        # The words of each bucket, in their order.
+        by_bucket = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[by_bucket], np.arange(int(of.max(initial=0)) + 2))
         for one in lists.to_pylist():
-            mine = np.flatnonzero(of == one["bucket"])
+            mine = by_bucket[starts[one["bucket"]] : starts[one["bucket"] + 1]]
             ends = np.cumsum(_unpack_numbers(one["n_ids"], len(mine))).tolist()
             ids = _unpack_numbers(one["ids"], ends[-1]).tolist()
             for at, a, b in zip(mine.tolist(), [0, *ends], ends):
@@ -285,6 +294,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     vocabulary = Vocabulary(path)
     table = dict(vocabulary.pieces())
     pieces = docs.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])  # a vocabulary's fixed size
-    encoded = encode_lists(word_lists(docs, id_col, text_col, vocabulary), vocabulary).withColumnRenamed("chunk", "of")
+    buckets = bucket_count(docs)
+    encoded = encode_lists(word_lists(docs, id_col, text_col, vocabulary, buckets), vocabulary).withColumnRenamed("chunk", "of")
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_texts else "")
-    return places(docs, id_col, text_col, vocabulary).groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(_join_back(id_col, with_texts, pieces), schema)
+    return places(docs, id_col, text_col, vocabulary, buckets).groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(_join_back(id_col, with_texts, pieces), schema)
