@@ -30,6 +30,9 @@ SHINGLE = 5
 #: probability 1 - (1 - 0.8**4)**32 > 0.9999999.
 BANDS, ROWS = 32, 4
 LEAST = 0.8
+#: Buckets of shingles whose counts order the prefix join, and what rounding may take from a bound.
+BUCKETS = 1 << 20
+EPS = 1e-9
 _draw = np.random.default_rng(20_231)
 _A = _draw.integers(0, 1 << 64, PERMUTATIONS, np.uint64, endpoint=False) | np.uint64(1)
 _B = _draw.integers(0, 1 << 64, PERMUTATIONS, np.uint64, endpoint=False)
@@ -181,39 +184,91 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, shingles): the signature and the sorted distinct shingle hashes of each document."""
+    """(id, sig, shingles): the signature and the sorted distinct shingle hashes (their 32 bits as ints) of each document."""
     tune(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.unique(hashes(split(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(minima(x)) for x in h], pa.binary()), pa.array([x.astype(np.int64) for x in h], pa.list_(pa.int64()))], names=["id", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(minima(x)) for x in h], pa.binary()), pa.array([x.astype(np.uint32).view(np.int32) for x in h], pa.list_(pa.int32()))], names=["id", "sig", "shingles"])
 
-    return docs.select(F.col(id_col), whole(text_col).alias("text")).mapInArrow(make, f"id {type_of(docs, id_col)}, sig binary, shingles array<long>")
+    return docs.select(F.col(id_col), whole(text_col).alias("text")).mapInArrow(make, f"id {type_of(docs, id_col)}, sig binary, shingles array<int>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have a Jaccard similarity of at least `least`."""
+    met = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.filter(both >= least * (F.size("sa") + F.size("sb") - both) - EPS).select("a", "b")
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of BUCKETS."""
+    token = F.explode("shingles").alias("token")
+    counts = sets.select(token).groupBy(F.col("token").bitwiseAND(BUCKETS - 1).alias("bucket")).count().toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    return out
+
+
+def _prefix_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """sets(class, root, shingles) -> (a, b): all pairs of different roots that may be alike.
+
+    Sets are read from their rarest bucket on.  Two that are alike share a shingle within the first n - ceil(least * n) + 1
+    of each, and what follows their first common shingle is long enough for the overlap that they need.  Both hold in any
+    order that all sets have in common, so no pair is lost.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = counts.value
+        for b in batches:
+            rows = []
+            for key, root, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = s.values.to_numpy()
+                often = seen[s & (BUCKETS - 1)]
+                n = len(s)
+                first = np.lexsort((s, often))[: n - int(np.ceil(least * n - EPS)) + 1]
+                at = np.flatnonzero(often[first] > 1)  # others are in no other set
+                rows.append((s[first][at], np.full(len(at), key), np.full(len(at), root), np.full(len(at), n, np.int32), at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["token", "class", "root", "n", "at"])
+
+    filled = sets.filter("size(shingles) > 0").select("class", "root", "shingles")
+    heads = materialise(filled.mapInArrow(make, "token int, class long, root long, n int, at int"), "heads")
+    x, y = (heads.select("token", *(F.col(c).alias(c + side) for c in ("class", "root", "n", "at"))) for side in "ab")
+    rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = rest >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - EPS
+    pairs = x.join(y, (x.token == y.token) & (F.col("classa") < F.col("classb")) & (F.col("roota") != F.col("rootb")) & fits)
+    return pairs.select(F.col("classa").alias("a"), F.col("classb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: id and component_id, the least id that links of verified similarity reach.
 
-    Documents of equal shingles are one class.  Classes that share a band form a group; in it each class is compared with
-    the least one and with its neighbours by signature, so candidates grow with the classes and never with their
-    pairs; a pair shares many bands, and each orders its group anew.  Similarities are then exact, over shingle sets.
+    Documents of equal shingles are one class, and classes that share a band form a group.  First each class of a group is
+    compared with the group's least one.  Where this leaves a group in several components, all pairs of its classes that
+    lie in different ones are settled by an exact prefix join, so no pair of a shared band is left out.  Similarities are
+    exact, over shingle sets.
     """
     made = materialise(signatures(docs, id_col, text_col).withColumn("class", F.xxhash64("shingles")), "signatures")
     classes = materialise(made.groupBy("class").agg(F.min("id").alias("least"), F.first("sig").alias("sig")), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("sig", i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("key"))))
-    banded = classes.select("class", "sig", band.alias("b")).select("class", F.xxhash64("b.band", "b.key").alias("key"), F.xxhash64("sig", "b.band").alias("order"))
-    shared = banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
-    group = banded.join(shared, "key")
-    follow = W.partitionBy("key", F.pmod("order", F.lit(64))).orderBy("order")
-    group = group.select("class", "leader", F.lag("class").over(follow).alias("before"))
-    pairs = group.select("class", F.explode(F.array("leader", "before")).alias("other"))
-    pairs = pairs.filter("other is not null and class <> other").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    sets = materialise(made.groupBy("class").agg(F.first("shingles").alias("s")), "sets")
-    met = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = met.filter(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    tree = components(alike)
+    banded = classes.select("class", band.alias("b")).select("class", F.xxhash64("b.band", "b.key").alias("key"))
+    banded = materialise(banded, "banded")
+    leaders = materialise(banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader"), "leaders")
+    grouped = materialise(banded.join(leaders, "key"), "grouped")
+    stars = materialise(grouped.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    sets = made.select("class", "shingles").join(grouped.select("class").distinct(), "class", "left_semi")
+    sets = materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    tree = materialise(components(_alike(stars, sets, least)), "tree")
+    labels = materialise(sets.select("class").join(tree, F.col("class") == tree.node, "left").select("class", F.coalesce("root", "class").alias("root")), "labels")
+    member = grouped.select("key", "class").join(labels, "class")
+    mixed = materialise(member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "mixed")
+    unsettled = grouped.select("key", "class").join(mixed, "key", "left_semi").select("class").distinct()
+    unsettled = materialise(sets.join(labels.join(unsettled, "class", "left_semi"), "class"), "unsettled")
+    found = _alike(materialise(_prefix_candidates(unsettled, least), "candidates"), sets, least)
+    tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     named = classes.join(tree, classes["class"] == tree.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.select("id", "class").join(named.join(roots, "root").select("class", "component_id"), "class").select(F.col("id").alias(id_col), "component_id")
+    by_class = materialise(named.join(roots, "root").select("class", "component_id"), "class-component")
+    return made.select("id", "class").join(by_class, "class").select(F.col("id").alias(id_col), "component_id")
