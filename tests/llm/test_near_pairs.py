@@ -1,8 +1,10 @@
-"""Near duplicates against all pairs: a passage that many texts hold."""
+"""Near duplicates against all pairs: a passage that many texts hold, and copies with single words changed."""
 
 import random
 from itertools import combinations
 
+import corpus_pipeline as cp
+
 from stratalex.llm import minhash
 
 from .helpers import frame
@@ -43,3 +45,16 @@ def test_frequent_passage(spark):
         if [got[i] for i in range(len(texts))] != brute(texts):
             missed.append((seed, others))
     assert missed == []
+
+
+def test_near_stage_finds_scattered_edits(spark):
+    rng, texts, kept = random.Random(5), [], []
+    for n in (100, 300, 1000):
+        for edits in (1, n // 60):
+            base = words(rng, n)
+            kept.append(len(texts))
+            texts.append(" ".join(base))
+            for at in rng.sample(range(n), edits):
+                base[at] = "edited"
+            texts.append(" ".join(base))
+    assert sorted(r.doc_id for r in cp.near_stage(spark, frame(spark, texts), "").collect()) == kept == sorted(set(brute(texts)))
