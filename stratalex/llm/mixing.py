@@ -8,7 +8,9 @@ sum is taken once over all documents (with partial sums); the steps then run ove
 
 Rates become whole copies by error diffusion within blocks of a source (about BLOCK_ROWS documents by a hash of the id):
 largest documents first, each takes the copies that bring the block's running total nearest to its target.  A source of
-any size is dealt over as many blocks, so none meets in one task.
+any size is dealt over as many blocks, so none meets in one task.  Where documents too long for their block leave it off
+target, and its source has other blocks, these documents are rounded by an even sequence, and what they owe is shared by the other
+documents of all the source's blocks.
 """
 
 from __future__ import annotations
@@ -62,19 +64,62 @@ def rates(sources: DataFrame, steps: int = STEPS) -> DataFrame:
     return sources.withColumn("rate_units", F.round(rate * UNIT).cast("long"))
 
 
-def _diffuse(docs: Column, rate: Column, most: int) -> Column:
-    """Copies of each of the documents (size, ...), in their order, for the rate in units."""
+def _top(rate: Column, most: int) -> Column:
+    """Most copies of a document at the rate in units."""
+    return F.least(F.lit(most).cast("long"), F.ceil(rate / UNIT) + 1)
+
+
+def _diffuse(docs: Column, rate: Column, most: int, owed: Column) -> Column:
+    """(owed, out): copies of each of the documents (size, ...), in their order, for the rate in units, and what is owed
+    in the end; owed in the beginning is as given."""
 
     def step(acc: Column, doc: Column) -> Column:
         size = doc["size"]
         want = size * rate + acc["owed"]
         nearest = F.floor((want + size * (UNIT // 2)) / F.greatest(size * UNIT, F.lit(1)))
-        top = F.least(F.lit(most).cast("long"), F.ceil(rate / UNIT) + 1)
-        copies = F.when(size > 0, F.greatest(F.lit(0).cast("long"), F.least(top, nearest))).otherwise(F.least(F.lit(1).cast("long"), F.ceil(rate / UNIT)))
+        copies = F.when(size > 0, F.greatest(F.lit(0).cast("long"), F.least(_top(rate, most), nearest))).otherwise(F.least(F.lit(1).cast("long"), F.ceil(rate / UNIT)))
         return F.struct((want - copies * size * UNIT).alias("owed"), F.concat(acc["out"], F.array(copies)).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("owed"), F.expr("cast(array() as array<bigint>)").alias("out"))
-    return F.aggregate(docs, start, step, lambda acc: acc["out"])
+    start = F.struct(owed.cast("long").alias("owed"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    return F.aggregate(docs, start, step)
+
+
+def _too_long(docs: Column, total: Column, rate: Column, most: int) -> Column:
+    """How many of the first documents are so long that the smaller ones of their block cannot settle their rounding."""
+    room = F.least(rate, _top(rate, most) * UNIT - rate)
+
+    def step(acc: Column, doc: Column) -> Column:
+        rest = acc["rest"] - doc["size"]
+        long_ = acc["open"] & (doc["size"] * (UNIT // 2) > room * rest)
+        return F.struct(rest.alias("rest"), long_.alias("open"), (acc["n"] + long_.cast("int")).alias("n"))
+
+    start = F.struct(total.alias("rest"), F.lit(True).alias("open"), F.lit(0).alias("n"))
+    return F.aggregate(docs, start, step, lambda acc: acc["n"])
+
+
+def _settle(blocks: DataFrame, most: int) -> DataFrame:
+    """Adds copies to blocks(source, docs, rate_units, ...)."""
+    docs, rate, zero = F.col("docs"), F.col("rate_units"), F.lit(0).cast("long")
+    total = lambda c: F.aggregate(c, zero, lambda acc, doc: acc + doc["size"])
+    least = F.array_min(F.filter(F.transform(docs, lambda doc: doc["size"]), lambda x: x > 0))
+    done = blocks.withColumn("done", _diffuse(docs, rate, most, zero)).withColumn("block_size", total(docs))
+    done = done.withColumn("stuck", F.coalesce(F.abs("done.owed") > least * (UNIT // 2), F.lit(False)))
+    done = materialise(done, "blocks")
+    several = done.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.max("stuck").alias("any")).filter("blocks > 1 and any").select(F.col("source").alias("_source"), F.lit(True).alias("redo"))
+    marked = done.join(several, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    fine = marked.filter("redo is null").withColumn("copies", F.col("done.out"))
+    again = marked.filter("redo").withColumn("n_long", _too_long(docs, F.col("block_size"), rate, most))
+    again = again.withColumn("long", F.slice("docs", F.lit(1), F.col("n_long"))).withColumn("tame", F.slice("docs", F.col("n_long") + 1, F.size("docs")))
+    # A sequence that is even over blocks and places, so that the long documents of a source nearly meet its rate.
+    drawn = F.transform("long", lambda doc, i: F.least(_top(rate, most), F.floor((rate + F.pmod(F.col("block") * 618_034 + i * 754_878, F.lit(UNIT))) / UNIT)))
+    again = again.withColumn("drawn", drawn).withColumn("tame_size", total(F.col("tame")))
+    owed = F.aggregate(F.arrays_zip("long", "drawn"), zero, lambda acc, x: acc + x["long"]["size"] * (rate - x["drawn"] * UNIT))
+    again = materialise(again.withColumn("debt", owed), "blocks")
+    debts = again.groupBy("source").agg(F.sum("debt").alias("all_debt"), F.sum("tame_size").alias("all_tame")).withColumnRenamed("source", "_source")
+    again = again.join(debts, F.col("source").eqNullSafe(F.col("_source")))
+    share = F.floor(F.col("all_debt") * (F.col("tame_size") / F.greatest("all_tame", F.lit(1))))
+    again = again.withColumn("copies", F.concat("drawn", _diffuse(F.col("tame"), rate, most, share)["out"]))
+    return fine.select(*blocks.columns, "copies").unionByName(again.select(*blocks.columns, "copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -95,8 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     doc = F.struct(F.col("size"), F.col(id_col).alias("id"), F.col("text_hash"))
     # The order of structs, from the largest size.
     blocks = known.groupBy("source", block.alias("block")).agg(F.sort_array(F.collect_list(doc), asc=False).alias("docs"), *(F.first(c).alias(c) for c in ("source_size", "target", "rate_units")))
-    dealt = blocks.select("docs", "source_size", "target", _diffuse(F.col("docs"), F.col("rate_units"), most).alias("copies"))
-    rows = dealt.select("source_size", "target", F.explode(F.arrays_zip("docs", "copies")).alias("x"))
+    rows = _settle(blocks, most).select("source_size", "target", F.explode(F.arrays_zip("docs", "copies")).alias("x"))
     size, copies = F.col("x.docs.size"), F.col("x.copies")
     return rows.select(F.col("x.docs.id").alias(id_col), size.alias("size"), "source_size", "target", (size * copies).alias("taken"), copies.alias("copies"), F.col("x.docs.text_hash").alias("text_hash"))
 
