@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,11 +45,39 @@ def canonical(value) -> str:
     return json.dumps(tidy(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def problems(value, schema, at: str = "$") -> list[str]:
-    """What in the value breaks the schema: type, enum, const, required, properties, additionalProperties, items, minimum,
-    maximum, minLength, maxLength, minItems, maxItems, pattern.  Other keywords are not judged."""
+class NotJudged(ValueError):
+    """The schema has something that is not supported."""
+
+
+_JUDGED = set("""type enum const $ref allOf anyOf oneOf not if then else minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength
+maxLength pattern minItems maxItems uniqueItems items prefixItems additionalItems contains required properties patternProperties additionalProperties
+propertyNames minProperties maxProperties dependencies dependentRequired dependentSchemas""".split())
+#: Keywords that allow and forbid nothing.
+_NOTES = set("$schema $id $comment $defs definitions title description default examples format deprecated readOnly writeOnly contentEncoding contentMediaType".split())
+
+
+def _target(root, ref):
+    """The part of the schema that a reference names."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        raise NotJudged(ref)
+    for part in ref.split("/")[1:]:
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        try:
+            root = root[int(part)] if isinstance(root, list) else root[part]
+        except (KeyError, IndexError, TypeError, ValueError):
+            raise NotJudged(ref) from None
+    return root
+
+
+def problems(value, schema, at: str = "$", root=None) -> list[str]:
+    """What in the value breaks the schema: the keywords of _JUDGED, with references into the schema (root, if the schema
+    is part of another).  Raises NotJudged where it meets a schema with any other keyword but those of _NOTES."""
     if schema is True or not isinstance(schema, dict):
         return [] if schema is not False else [f"{at}: nothing is allowed"]
+    root = schema if root is None else root
+    if not schema.keys() <= _JUDGED | _NOTES:
+        raise NotJudged(", ".join(sorted(schema.keys() - _JUDGED - _NOTES)))
+    wrong = lambda v, s, place=at: problems(v, s, place, root)
     out = []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     kinds = schema.get("type", [])
@@ -59,24 +89,66 @@ def problems(value, schema, at: str = "$") -> list[str]:
         out.append(f"{at}: not one of the values")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{at}: not the value")
+    if "$ref" in schema:
+        out += wrong(value, _target(root, schema["$ref"]))
+    for s in schema.get("allOf", []):
+        out += wrong(value, s)
+    if "anyOf" in schema and all([wrong(value, s) for s in schema["anyOf"]]):
+        out.append(f"{at}: none of anyOf")
+    if "oneOf" in schema and (n := sum(not wrong(value, s) for s in schema["oneOf"])) != 1:
+        out.append(f"{at}: {n} of oneOf")
+    if "not" in schema and not wrong(value, schema["not"]):
+        out.append(f"{at}: not allowed")
+    if "if" in schema:
+        out += wrong(value, schema.get("else" if wrong(value, schema["if"]) else "then", True))
     if number:
         out += [f"{at}: under the minimum"] * ("minimum" in schema and value < schema["minimum"]) + [f"{at}: over the maximum"] * ("maximum" in schema and value > schema["maximum"])
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        if isinstance(low, bool) or isinstance(high, bool):  # of draft 4
+            raise NotJudged("exclusiveMinimum, exclusiveMaximum")
+        out += [f"{at}: not over the minimum"] * (low is not None and value <= low) + [f"{at}: not under the maximum"] * (high is not None and value >= high)
+        if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            out.append(f"{at}: not a multiple")
     if isinstance(value, str):
         out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", len(value)))
         if "pattern" in schema and not re.search(schema["pattern"], value):
             out.append(f"{at}: pattern")
     if isinstance(value, list):
         out += [f"{at}: too few"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many"] * (len(value) > schema.get("maxItems", len(value)))
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: not unique")
+        if "contains" in schema and all([wrong(x, schema["contains"]) for x in value]):
+            out.append(f"{at}: contains none")
+        listed = isinstance(schema.get("items"), list)
+        first = schema["items"] if listed else schema.get("prefixItems", [])
+        rest = schema.get("additionalItems", True) if listed else schema.get("items", True)
         for i, x in enumerate(value):
-            out += problems(x, schema.get("items", True), f"{at}[{i}]")
+            out += wrong(x, first[i] if i < len(first) else rest, f"{at}[{i}]")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        out += [f"{at}: too few properties"] * (len(value) < schema.get("minProperties", 0)) + [f"{at}: too many properties"] * (len(value) > schema.get("maxProperties", len(value)))
         for k, x in value.items():
-            out += problems(x, known[k] if k in known else schema.get("additionalProperties", True), f"{at}.{k}")
+            own = [known[k]] if k in known else []
+            own += [s for p, s in schema.get("patternProperties", {}).items() if re.search(p, k)]
+            for s in own or [schema.get("additionalProperties", True)]:
+                out += wrong(x, s, f"{at}.{k}")
+            out += wrong(k, schema.get("propertyNames", True), f"{at}.{k}")
+        for name in ("dependencies", "dependentRequired", "dependentSchemas"):
+            for k, needs in schema.get(name, {}).items():
+                if k in value:
+                    out += [f"{at}.{x}: missing" for x in needs if x not in value] if isinstance(needs, list) else wrong(value, needs)
     return out
 
 
+def judge(value, schema) -> list[str] | None:
+    """problems(), or None where they cannot be told."""
+    try:
+        return problems(value, schema)
+    except (NotJudged, RecursionError, re.error):
+        return None
+
+
 def parse(text: str | None) -> dict:
     """The calls, the result identifier, the tools and the content of a message."""
     out = {"calls": [], "result_of": None, "tools": [], "content": text or ""}
@@ -157,7 +229,8 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     message_json is canonical JSON with content, role and turn, and where they occur tool_calls (in topological order:
     depth, then place; each with arguments, depth, id, name, problems and the turn of its first result, null without one)
     and tool_call_id.  A call links to the first result of its identifier at a later turn; of calls that share an
-    identifier, each links on its own.  Calls of unknown tools are not judged (problems null); calls on a cycle have depth null
+    identifier, each links on its own.  Calls of unknown tools, or whose schema has keywords that are not
+    supported, are not judged (problems null); calls on a cycle have depth null
     and come last.  A null text is empty content, a null role is null.  Messages that repeat conversation and turn are
     told apart by order alone and each get a row.  Texts that are not such JSON are content as they are.  An empty table
     gives an empty result; other columns are ignored.
@@ -183,7 +256,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 if of is not None:
                     message["tool_call_id"] = of
                 for c in linked or ():
-                    wrong = None if c["parameters"] is None else problems(json.loads(c["arguments"]), json.loads(c["parameters"]))
+                    wrong = None if c["parameters"] is None else judge(json.loads(c["arguments"]), json.loads(c["parameters"]))
                     bad += bool(wrong)
                     message.setdefault("tool_calls", []).append({"arguments": json.loads(c["arguments"]), "depth": c["depth"], "id": c["call_id"], "name": c["name"], "problems": wrong, "result_turn": c["result_turn"]})
                 n.append((len(linked or ()), sum(c["result_turn"] is not None for c in linked or ()), bad))
