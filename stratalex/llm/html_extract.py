@@ -21,10 +21,14 @@ from stratalex.llm.common import tune, type_of
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option datalist button".split())
+SKIPPED = frozenset("script style noscript template iframe object canvas audio video head title textarea select option datalist button defs symbol clippath mask pattern filter marker lineargradient radialgradient metadata desc annotation annotation-xml".split())
 #: Of these the content is not markup either.
 RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and drawings: their text is part of the block around them.
+INLINE |= frozenset("math semantics mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mmultiscripts mprescripts none mspace svg g path circle rect line polyline polygon ellipse use text tspan textpath image switch stop animate defs symbol clippath mask pattern filter marker lineargradient radialgradient metadata desc annotation annotation-xml".split())
+#: Of these, the ones that stand apart from what is before them.
+APART = frozenset("text mtr mtd".split())
 #: An opening tag of the key ends open elements of the value, within the innermost of STOPS.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol menu dl table article section main aside nav header footer form div body".split())
@@ -54,6 +58,8 @@ class Node:
     skipped: bool
     link: bool
     depth: int
+    #: What bad class words of wrappers that have a good one too have taken.
+    doubt: float = 0.0
 
 
 @dataclass
@@ -70,9 +76,11 @@ def _inside(node: Node | None, name: str) -> bool:
     return node is not None
 
 
-def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool]:
-    """What the element adds for the blocks below it, and whether it is hidden."""
-    odds, hidden = TAG_ODDS.get(name, 0.0), False
+def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool, float]:
+    """What the element adds for the blocks below it, whether it is hidden, and the doubt below it."""
+    odds, hidden, doubt = TAG_ODDS.get(name, 0.0), False, up.doubt
+    if name in ("article", "main"):  # a class word of a wrapper of content says nothing of the article in it
+        odds, doubt = odds - doubt, 0.0
     if name == "header" and up.odds > 0:  # an article's own header holds its title
         odds = 0.0
     if name in ("article", "main") and _inside(up, "form"):  # a form around the whole page says nothing of the article
@@ -86,11 +94,13 @@ def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool]:
                     # The header of an article, post or entry holds its title.
                     bad = words & BAD_WORDS - ({"header"} if words & GOOD_WORDS else set())
                     odds += BAD if bad else GOOD if words & GOOD_WORDS else 0.0
+                    if bad and words & GOOD_WORDS and name not in ("article", "main"):
+                        doubt += BAD - GOOD
             elif key == "role":
                 odds += ROLE_ODDS.get(value, 0.0)
-            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-    return odds, hidden
+    return odds, hidden, doubt
 
 
 def blocks(html: str) -> list[Block]:
@@ -142,6 +152,8 @@ def blocks(html: str) -> list[Block]:
         name, closing = m[3].lower(), m[2] == "/"
         if name not in INLINE:
             close_block()
+        elif name in APART:
+            add(" ")
         if closing:
             node = here
             while node.up is not None and node.name != name:
@@ -156,8 +168,8 @@ def blocks(html: str) -> list[Block]:
                 leave({"p"}, STOPS)
             if name in ENDS:
                 leave(ENDS[name], STOPS)
-            odds, hidden = _odds(name, m[4], here)
-            here = Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1)
+            odds, hidden, doubt = _odds(name, m[4], here)
+            here = Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1, doubt)
             if name in RAW:
                 end = _CLOSE[name].search(html, at)
                 at = end.end() if end else len(html)
