@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir.  Where it is unset, a temporary folder on a local master, which goes with the
+    process; on a cluster an error, since executors would each write to their own disk and rows would be missing."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="stratalex-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: it must name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="stratalex-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = "file://" + made
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -27,10 +35,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote and no later step reads."""
-    path = getattr(df, "_stratalex_path", None)
-    if path:
-        spark = df.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and no later step reads."""
+    for df in tables:
+        path = getattr(df, "_stratalex_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
