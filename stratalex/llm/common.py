@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from stratalex.storage import discard, materialise, shared_dir  # noqa: F401
 
-#: Rows an Arrow batch may hold.  Whole texts travel in batches, so this bounds a Python worker's memory.
-BATCH_ROWS = 500
+#: Bytes that an Arrow batch may hold, unless one row has more.  Whole texts travel in batches, so this bounds a Python
+#: worker's memory whatever the length of the texts.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches for operators that hand whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of bounded bytes, for operators that hand whole texts to Python.  Plans read the setting when they
+    run, after the operator has returned, so it stays set; a limit that the caller has chosen is left as it is."""
+    if spark.conf.get(_BATCH, "") in ("", "-1", str(2**63 - 1), f"{2**63 - 1}b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df in one, so that no column that is added can clash with them; unpack with select(f"{name}.*")."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -75,15 +75,14 @@ def _sql_secrets() -> str:
   SELECT doc_id, m, {value} AS value, CAST(sum(length(b)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_ FROM (
     SELECT doc_id, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, generate_subscripts(ms, 1) AS i FROM (
       SELECT doc_id, regexp_extract_all(coalesce(text, ''), {quote(pattern)}) AS ms, string_split_regex(coalesce(text, ''), {quote(pattern)}) AS bs FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
-    first = len(secrets.BASE)
-    opaque = list(secrets.KINDS).index("opaque")
+    first, weak = len(secrets.BASE), secrets.WEAK
     return f"""WITH f AS ({' UNION ALL '.join(parts)}),
-g AS (SELECT * FROM f WHERE rank < {first} OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.rank < {first} AND f.start_ < b.end_ AND b.start_ < f.end_)),
-c AS (SELECT value FROM g JOIN documents USING (doc_id) GROUP BY value HAVING count(DISTINCT coalesce(source, '\x00')) >= {secrets.EXAMPLE_OWNERS}),
+g AS (SELECT * FROM f WHERE rank < {weak} OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.rank < {weak} AND f.start_ < b.end_ AND b.start_ < f.end_)),
+c AS (SELECT value FROM g JOIN documents USING (doc_id) GROUP BY value HAVING count(DISTINCT coalesce(source, '\x00')) >= {secrets.EXAMPLE_OWNERS} OR (count(DISTINCT coalesce(source, '\x00')) > 1 AND count(DISTINCT (coalesce(source, '\x00'), concat_ws('/', source, lang))) >= {secrets.EXAMPLE_REPOS})),
 h AS (SELECT *, value IN (SELECT value FROM c) AS example FROM g),
-k AS (SELECT * FROM h WHERE rank <> {opaque} OR NOT example),
+k AS (SELECT * FROM h WHERE rank <> {weak} OR NOT example),
 s AS (SELECT doc_id, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank, end_) AS spans, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank, end_) FILTER (rank < {first}) AS base,
-  count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM k GROUP BY doc_id)
+  count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(DISTINCT value) FILTER (NOT example) AS n_live, count(DISTINCT value) FILTER (example) AS n_example FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents LEFT JOIN s USING (doc_id)"""
 

@@ -51,3 +51,34 @@ def test_repeats_and_empty(spark):
     assert [(r.doc_id, r.n_assign) for r in secrets.scan(twice).collect()] == [(5, 1), (5, 1)]
     assert secrets.scan(frame(spark, ["x"]).limit(0)).count() == 0
     assert secrets.scan(frame(spark, ["token=abcdefgh", "a"], ids=[None, None])).count() == 2
+
+
+def test_one_text_with_very_many_matches(spark):
+    """100,000 matches take seconds: the work does not grow with their square."""
+    import time
+
+    many = [f"token=a{i:06d}" for i in range(50_000)] + [f"{i:024x}" for i in range(50_000)]
+    began = time.time()
+    (r,) = secrets.scan(frame(spark, [" ".join(many)])).collect()
+    assert (r.n_assign, r.n_hex, r.n_live) == (50_000, 50_000, 100_000) and time.time() - began < 60
+    want = base(" ".join(many))
+    assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and r.spans == ",".join(want)
+
+
+def test_repositories_take_part(spark):
+    """Two owners are enough where many repositories hold a value; one owner's copies never are.  A value counts once."""
+    rows = [(i, f"x {OPAQUE} y", f"o{i % 2}", f"l{i // 2}") for i in range(4)] + [(9, f"{OPAQUE[::-1]} {OPAQUE[::-1]}", "o1", "l1")]
+    rows += [(20 + i, f"see {'Zz9' * 9}", "o1", f"l{i}") for i in range(6)] + [(30, "ghp_" + "a1B2" * 9 + " and ghp_" + "a1B2" * 9, "o5", "l")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert all(got[i].spans == "" for i in range(4))
+    assert all(got[20 + i].n_live == 1 for i in range(6)) and got[9].n_live == 1 and got[9].spans.count("opaque") == 2
+    assert got[30].n_live == 1 and got[30].spans == "issued:0:40,issued:45:85"
+
+
+def test_extra_columns_with_names_in_use(spark):
+    names = ["id", "row", "owner", "repo", "spans", "hash", "example", "_text", "_m_hex", "start"]
+    from pyspark.sql import functions as F
+
+    df = frame(spark, TEXTS).select("*", *(F.lit("q").alias(n) for n in names))
+    plain = sorted(map(tuple, secrets.scan(frame(spark, TEXTS)).collect()))
+    assert sorted(map(tuple, secrets.scan(df).collect())) == plain
