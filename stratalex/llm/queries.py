@@ -96,16 +96,39 @@ SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY l.p) FILTER (g.p IS NULL)
 _EXACT_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
 
-_MIX_SQL = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS n FROM d GROUP BY source),
+_COPIES = f"""CASE WHEN x.size > 0 THEN greatest(0, least(least({mixing.MOST}, CAST(ceil(x.rate / {mixing.UNIT}.0) AS BIGINT) + 1), (x.size * x.rate + acc.owed + x.size * {mixing.UNIT // 2}) // greatest(x.size * {mixing.UNIT}, 1))) ELSE least(1, CAST(ceil(x.rate / {mixing.UNIT}.0) AS BIGINT)) END"""
+_MILLIONTHS = lambda x: f"coalesce(CAST(sum(CAST(round(({x}) * {mixing.UNIT}) AS HUGEINT)) AS DOUBLE) / {mixing.UNIT}, 0)"
+#: The dual's Newton steps as a recursion over beta and its bracket; one block per source, as where none has over
+#: BLOCK_ROWS documents.
+_LEVELS = f"""SELECT *, least(coalesce(level * tilt, {mixing.MOST}), {mixing.MOST}) * size * n AS mass, CASE WHEN level * tilt < {mixing.MOST} THEN level * tilt * size * n ELSE 0 END AS bends FROM (
+  SELECT *, arg_max(try_, (beta * f, -size)) FILTER (try_ * tilt <= {mixing.MOST}) OVER (PARTITION BY place) AS level FROM (
+    SELECT *, (target - above) / below AS try_ FROM (
+      SELECT *, coalesce(sum({mixing.MOST} * size * n) OVER (PARTITION BY place ORDER BY beta * f DESC, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(size * n * tilt) OVER (PARTITION BY place ORDER BY beta * f, size DESC ROWS UNBOUNDED PRECEDING) AS below FROM (
+        SELECT *, exp(beta * f) AS tilt FROM {{state}}, c))))"""
+_MIX_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY source),
 o AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
 v AS (SELECT *, CAST(sum(total) OVER () - {mixing.MOST} * coalesce(sum(total) OVER b, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level FROM o WINDOW b AS (ORDER BY total / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, least(weight * (SELECT arg_min(level, (total / weight, place)) FROM v WHERE level * weight <= {mixing.MOST} * total), CAST({mixing.MOST} * total AS DOUBLE)) AS target FROM v),
-q AS (SELECT t.*, CASE WHEN total > 0 THEN CAST(round(target / total * {mixing.UNIT}) AS BIGINT) ELSE 0 END AS rate FROM t),
-k AS (SELECT q.source, any_value(total) AS total, any_value(target) AS target, any_value(rate) AS rate, list(doc_id ORDER BY size DESC, doc_id DESC) AS ids, list({{'size': CAST(size AS BIGINT), 'owed': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY size DESC, doc_id DESC) AS docs
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source GROUP BY q.source, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % CAST(ceil(n / {mixing.BLOCK_ROWS}.0) AS BIGINT)),
-f AS (SELECT total, target, ids, docs, list_reduce(docs, lambda acc, x: {{'size': x.size, 'owed': x.size * rate + acc.owed - x.size * {mixing.UNIT} * CASE WHEN x.size > 0 THEN greatest(0, least(least({mixing.MOST}, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT) + 1), (x.size * rate + acc.owed + x.size * {mixing.UNIT // 2}) // greatest(x.size * {mixing.UNIT}, 1))) ELSE least(1, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT)) END,
-  'out': list_append(acc.out, CASE WHEN x.size > 0 THEN greatest(0, least(least({mixing.MOST}, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT) + 1), (x.size * rate + acc.owed + x.size * {mixing.UNIT // 2}) // greatest(x.size * {mixing.UNIT}, 1))) ELSE least(1, CAST(ceil(rate / {mixing.UNIT}.0) AS BIGINT)) END)}}, {{'size': 0::BIGINT, 'owed': 0::BIGINT, 'out': []::BIGINT[]}}).out AS copies FROM k)
+t AS MATERIALIZED (SELECT *, least(weight * (SELECT arg_min(level, (total / weight, place)) FROM v WHERE level * weight <= {mixing.MOST} * total), CAST({mixing.MOST} * total AS DOUBLE)) AS target FROM v),
+z AS (SELECT CAST(sum(target) AS DOUBLE) AS tokens FROM t),
+c0 AS (SELECT place, target, size, count(*) AS n FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY place, target, size),
+mid AS (SELECT round({_MILLIONTHS("size * n * ln(size)")} / CAST(sum(size * n) AS DOUBLE), 9) AS centre FROM c0),
+c AS MATERIALIZED (SELECT place, target, size, n, round(ln(size) - centre, 9) AS f FROM c0, mid),
+it AS (
+SELECT 0 AS k, CAST(0 AS DOUBLE) AS beta, CAST(-{mixing.BETA_MOST} AS DOUBLE) AS low, CAST({mixing.BETA_MOST} AS DOUBLE) AS high
+UNION ALL
+SELECT k + 1, CASE WHEN low < moved AND moved < high THEN moved ELSE (low + high) / 2 END, low, high FROM (
+  SELECT k, CASE WHEN slope > 0 THEN beta ELSE low END AS low, CASE WHEN slope > 0 THEN high ELSE beta END AS high, beta + slope / greatest(bend + {mixing.RIDGE} * tokens, {mixing.RIDGE} * tokens) AS moved FROM (
+    SELECT k, beta, low, high, tokens, -{_MILLIONTHS("g")} - {mixing.RIDGE} * tokens * beta AS slope, {_MILLIONTHS("dd - CASE WHEN a > 0 THEN b * b / a ELSE 0 END")} AS bend FROM (
+      SELECT k, beta, low, high, place, {_MILLIONTHS("bends")} AS a, {_MILLIONTHS("bends * f")} AS b, {_MILLIONTHS("bends * f * f")} AS dd, {_MILLIONTHS("mass * f")} AS g FROM ({_LEVELS.format(state="it")}) GROUP BY k, beta, low, high, place), z
+    GROUP BY k, beta, low, high, tokens)
+  WHERE k < {mixing.STEPS} AND abs(slope) > {mixing.NEAR} * tokens)),
+last_ AS (SELECT * FROM it ORDER BY k DESC LIMIT 1),
+y AS (SELECT place, max(level) AS reached FROM ({_LEVELS.format(state="last_")}) GROUP BY place),
+e AS (SELECT d.doc_id, d.source, CAST(d.size AS BIGINT) AS size, t.total, t.target, CASE WHEN t.total > 0 THEN CAST(round(least(coalesce(reached * exp(beta * CASE WHEN size > 0 THEN round(ln(greatest(size, 1)) - centre, 9) ELSE 0 END), {mixing.MOST}), {mixing.MOST}) * {mixing.UNIT}) AS BIGINT) ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON y.place = t.place, last_, mid),
+k AS (SELECT source, any_value(total) AS total, any_value(target) AS target, list(doc_id ORDER BY size DESC, doc_id DESC) AS ids, list({{'size': size, 'rate': rate, 'owed': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY size DESC, doc_id DESC) AS docs FROM e GROUP BY source),
+f AS (SELECT total, target, ids, docs, list_reduce(docs, lambda acc, x: {{'size': x.size, 'rate': x.rate, 'owed': x.size * x.rate + acc.owed - x.size * {mixing.UNIT} * {_COPIES}, 'out': list_append(acc.out, {_COPIES})}}, {{'size': 0::BIGINT, 'rate': 0::BIGINT, 'owed': 0::BIGINT, 'out': []::BIGINT[]}}).out AS copies FROM k)
 SELECT unnest(ids) AS doc_id, unnest(list_transform(docs, lambda x: x.size)) AS size, total AS source_size, target, unnest(list_transform(docs, lambda x: x.size)) * unnest(copies) AS taken FROM f"""
 
 
