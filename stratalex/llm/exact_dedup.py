@@ -1,22 +1,22 @@
 """Exact duplicates by progressive refinement: length, then a hash of the beginning, then a hash of the whole text.
 
-Each pass reads the table anew; texts never move between executors.  Of the (length, head) groups that survive, a bitmap
-of fixed size goes to the executors, so whole texts are hashed only where a row may belong to one.  The bitmap has a
-proven bound (BITMAP_WORDS rows) whatever the corpus' size: when it fills up, more rows are hashed, none is missed.
+Each pass reads the table anew; only narrow rows move between executors.  Of the (length, head) groups that survive, a
+bitmap goes to the executors, so whole texts are hashed only where a row may belong to one.  The bitmap has a proven bound
+(BITMAP_WORDS rows, 8 MB) whatever the corpus' size.  It is a filter ahead of the hash alone: which rows are equal is
+decided by the whole hash, so in a corpus with more surviving groups than bits more rows are hashed and none is missed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from stratalex.llm.common import ascii_lower, materialise, whole
+from stratalex.llm.common import ascii_lower, materialise, packed, whole
 
 #: Code points of the beginning that the second pass hashes.
 HEAD = 256
 #: 64-bit words of the bitmap of surviving groups.
-BITMAP_WORDS = 1 << 16
+BITMAP_WORDS = 1 << 20
 
 
 def _sized(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
@@ -29,19 +29,44 @@ def _slot() -> tuple[Column, Column]:
     return F.pmod(h, F.lit(BITMAP_WORDS)).cast("int").alias("word"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int").alias("bit")
 
 
-def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
-    """(id, n_bytes, text_sha256, candidate): the whole text's SHA-256 where the row may have equals, or everywhere."""
+def surviving_heads(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, bits): the bitmap of the (length, head) groups that hold several rows."""
     n_bytes, head = _sized(docs, text_col)
     lengths = docs.groupBy(n_bytes).count().filter("count > 1").select("n_bytes")  # one row per length that occurs twice
     lengths = materialise(lengths, "lengths")  # read anew, so that the join can split a length that is everywhere
     heads = docs.select(n_bytes, head).join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "head").count().filter("count > 1")
     word, bit = _slot()
-    bitmap = heads.select(word, bit).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    rows = docs.select(id_col, whole(text_col).alias("_text"), n_bytes, head).withColumns({"word": word, "bit": bit})
+    bits = heads.select(word, bit).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return materialise(bits, "heads")
+
+
+def _marked(docs: DataFrame, bitmap: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    """columns of docs with n_bytes, candidate (whether the row may have equals) and text, A-Z in lower case."""
+    n_bytes, head = _sized(docs, text_col)
+    word, bit = _slot()
+    rows = docs.select(*columns, whole(text_col).alias("whole_text"), n_bytes, head).select("*", word, bit)
     rows = rows.join(F.broadcast(bitmap), "word", "left")  # at most BITMAP_WORDS rows
-    candidate = F.coalesce(F.expr("getbit(bits, bit) = 1"), F.lit(False))
-    sha = F.sha2(ascii_lower(F.col("_text")), 256)
-    return rows.select(id_col, "n_bytes", candidate.alias("candidate"), (sha if digest_all else F.when(candidate, sha)).alias("text_sha256"))
+    return rows.withColumn("candidate", F.coalesce(F.expr("getbit(bits, bit) = 1"), F.lit(False)))
+
+
+def _hash() -> Column:
+    return F.sha2(ascii_lower(F.col("whole_text")), 256)
+
+
+def digest_rows(docs: DataFrame, bitmap: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+    """(id, n_bytes, candidate, text_sha256): the whole text's SHA-256 where the row may have equals, or everywhere."""
+    rows = _marked(docs, bitmap, text_col, F.col(id_col).alias("id"))
+    return rows.select("id", "n_bytes", "candidate", (_hash() if digest_all else F.when(F.col("candidate"), _hash())).alias("text_sha256"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(n_bytes, text_sha256, group_size, keep_id, ties) of the texts that several rows share; ties: rows with keep_id."""
+    same = ["n_bytes", "text_sha256"]
+    # One row per text and id first: a large group of copies arrives as partial counts, never as rows.
+    by_id = rows.filter("candidate").groupBy(*same, "id").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max_by(F.struct(F.col("id").alias("keep_id"), F.col("n").alias("ties")), F.struct(F.col("id").isNotNull(), F.col("id")))
+    groups = by_id.groupBy(*same).agg(F.sum("n").alias("group_size"), top.alias("top")).filter("group_size > 1").select(*same, "group_size", "top.*")
+    return materialise(groups, "groups")  # read anew, so that the join can split a large group of copies
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -51,35 +76,36 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (null ids are least).  Of rows that repeat both id and text one stays, no matter which.  text_sha256 is null for rows
     that the first two passes told apart, unless digest_all.  Other columns are ignored.
     """
-    rows = materialise(digest_rows(docs, id_col, text_col, digest_all), "digests")
-    same = ["n_bytes", "text_sha256"]
-    # One row per text and id first: a large group of copies arrives as partial counts, never as rows.
-    by_id = rows.filter("candidate").groupBy(*same, id_col).agg(F.count(F.lit(1)).alias("n"))
-    top = F.max_by(F.struct(F.col(id_col).alias("keep_id"), F.col("n").alias("ties")), F.struct(F.col(id_col).isNotNull(), F.col(id_col)))
-    groups = by_id.groupBy(*same).agg(F.sum("n").alias("group_size"), top.alias("top")).filter("group_size > 1").select(*same, "group_size", "top.*")
-    groups = materialise(groups, "groups")  # read anew, so that the join can split a large group of copies
-    joined = rows.join(groups, same, "left")
-    alone = F.col("group_size").isNull()
-    mine = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    out = [F.col(id_col), F.when(alone, F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")]
-    tied = ~alone & mine & (F.col("ties") > 1)
-    plain = joined.filter(~tied).select(*out, (alone | mine).alias("kept"), "text_sha256")
-    # Rows that repeat an id and a text: one of them stays.
-    first = F.row_number().over(W.partitionBy("n_bytes", "text_sha256").orderBy(F.lit(1))) == 1
-    repeats = joined.filter(tied).select(*out, first.alias("kept"), "text_sha256")
-    return plain.unionByName(repeats)
+    rows = materialise(digest_rows(docs, surviving_heads(docs, text_col), id_col, text_col, digest_all).withColumn("row", F.monotonically_increasing_id()), "digests")
+    groups = _groups(rows)
+    joined = rows.join(groups, ["n_bytes", "text_sha256"], "left")
+    alone, mine = F.col("group_size").isNull(), F.col("id").eqNullSafe(F.col("keep_id"))
+    # Of rows that repeat an id and a text the first stays.
+    tied = groups.filter("ties > 1").select("n_bytes", "text_sha256", "keep_id")
+    first = rows.join(tied, ["n_bytes", "text_sha256"]).filter(mine).groupBy("n_bytes", "text_sha256").agg(F.min("row").alias("first"))
+    first = materialise(first, "first")
+    joined = joined.join(first, ["n_bytes", "text_sha256"], "left")
+    kept = alone | (mine & (F.col("first").isNull() | (F.col("row") == F.col("first"))))
+    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
+    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.  Each text has one row in the result, so rows that repeat an
-    id and a text are thinned too."""
-    n_bytes, _ = _sized(docs, text_col)
-    rows = exact_duplicates(docs, id_col, text_col)
-    gone = rows.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(whole(text_col)), 256)
-    marked = docs.withColumn("_here", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_sha")), "left")
-    stays = marked.filter(F.col("_sha").isNull()).select(*docs.columns)
-    # The kept one of rows that repeat an id and a text was marked along with its repeats.
-    tied = marked.filter(F.col("_sha").isNotNull() & F.col("_id").eqNullSafe(F.col("_keep")))
-    one = tied.withColumn("_n", F.row_number().over(W.partitionBy("_sha").orderBy(F.lit(1)))).filter("_n = 1").select(*docs.columns)
-    return stays.unionByName(one)
+    """The rows of docs that stay, with all their columns, whatever their names: of each text one row, that of the largest
+    id (null ids are least, a null text counts as empty); of rows that repeat an id and a text one stays, no matter which.
+
+    Rows that the first two passes told apart stay where they are; those that may have equals move once, with their
+    texts, unless the groups are few enough for a broadcast.  An empty table gives an empty result.
+    """
+    bitmap = surviving_heads(docs, text_col)
+    groups = _groups(digest_rows(docs, bitmap, id_col, text_col, False))
+    groups = groups.select("text_sha256", F.lit(True).alias("grouped"), "keep_id", "ties")
+    rows = _marked(docs, bitmap, text_col, packed(docs), F.col(id_col).alias("id"))
+    alone = rows.filter(~F.col("candidate")).select("row.*")
+    met = rows.filter("candidate").select("row", "id", _hash().alias("text_sha256")).join(groups, "text_sha256", "left")
+    met = met.filter(F.col("grouped").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    tied = groups.filter("ties > 1")
+    if tied.isEmpty():
+        return alone.unionByName(met.select("row.*"))
+    repeats = met.filter("ties > 1").groupBy("text_sha256").agg(F.first("row").alias("row"))  # combined before they move
+    return alone.unionByName(met.filter("ties is null or ties = 1").select("row.*")).unionByName(repeats.select("row.*"))

@@ -42,6 +42,29 @@ def test_exact_rows_that_repeat(spark):
     assert exact_dedup.exact_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_exact_with_names_in_use(spark):
+    from pyspark.sql import functions as F
+
+    names = ["id", "row", "_id", "_keep", "_sha", "_here", "keep_id", "group_size", "kept", "text_sha256", "whole_text", "n_bytes", "word", "bit", "bits", "candidate", "grouped", "ties", "first"]
+    docs = frame(spark, EXACT + ["a b", "A b"], ids=[*range(len(EXACT)), None, None])
+    wide = docs.select("*", *(F.lit("q").alias(n) for n in names if n not in docs.columns))
+    assert sorted(map(repr, exact_dedup.exact_duplicates(wide).collect())) == sorted(map(repr, exact_dedup.exact_duplicates(docs).collect()))
+    kept = exact_dedup.drop_exact_duplicates(wide)
+    assert kept.columns == wide.columns
+    want = sorted(repr(r.doc_id) for r in exact_dedup.exact_duplicates(docs).filter("kept").collect())
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == want
+
+
+def test_exact_with_a_full_bitmap(spark, monkeypatch):
+    """More surviving groups than bits: more texts are hashed, the result is the same."""
+    texts = prose(12, 60) * 2 + prose(13, 60)
+    plain = sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, texts), digest_all=True).collect()))
+    kept = sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, texts)).collect())
+    monkeypatch.setattr(exact_dedup, "BITMAP_WORDS", 1)
+    assert sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, texts), digest_all=True).collect())) == plain
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, texts)).collect()) == kept
+
+
 def brute_lines(docs, size=3):
     first, out = {}, []
     order = sorted(docs.items())
