@@ -8,24 +8,35 @@ and is plain content otherwise.  Calls and results are hash-joined on (conversat
 topologically (a call comes after those whose results its arguments name as "$result:<identifier>"); arguments are
 validated against the schema of their tool; every message is serialised as canonical JSON.
 
-All joins are by conversation and identifier, and the result has a row per message: no conversation is gathered in one
-task, however long it is.
+All joins are by conversation and identifier, and the result has a row per message: texts of a conversation are never
+gathered.  The identifiers of a conversation with at most GATHERED needs are ordered in one pass in Python; longer ones by
+DataFrame rounds (see _long_depths), so no task holds an unbounded group.
+
+No message fails a job: what is not JSON, or nested deeper than DEEPEST, is plain content; lone surrogates are replaced; a
+schema with malformed keywords is a problem of the calls that it judges.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
 from urllib.parse import unquote
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratalex.llm.common import discard, materialise, tune, type_of
 
+#: Levels of nesting from which JSON is plain content, and seconds that a schema's pattern may take on a string.
+DEEPEST, PATTERN_SECONDS = 100, 1.0
+#: Needs of a conversation that one task orders in memory.
+GATHERED = 100_000
 _REFERENCE = re.compile(r"\$result:([\w.-]+)")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -45,10 +56,27 @@ def canonical(value) -> str:
     return json.dumps(tidy(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def clean(value, deepest: int = DEEPEST):
+    """A JSON value with lone surrogates replaced; ValueError where it is nested deeper than `deepest`."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, (dict, list)):
+        if deepest <= 0:
+            raise ValueError("nested too deep")
+        if isinstance(value, list):
+            return [clean(v, deepest - 1) for v in value]
+        return {clean(k): clean(v, deepest - 1) for k, v in value.items()}
+    return value
+
+
 class NotJudged(ValueError):
     """The schema has something that is not supported."""
 
 
+class Malformed(ValueError):
+    """A keyword of the schema has a value that it cannot have."""
+
+
 _JUDGED = set("""type enum const $ref allOf anyOf oneOf not if then else minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength
 maxLength pattern minItems maxItems uniqueItems items prefixItems additionalItems contains required properties patternProperties additionalProperties
 propertyNames minProperties maxProperties dependencies dependentRequired dependentSchemas""".split())
@@ -56,6 +84,62 @@ propertyNames minProperties maxProperties dependencies dependentRequired depende
 _NOTES = set("$schema $id $comment $defs definitions title description default examples format deprecated readOnly writeOnly contentEncoding contentMediaType".split())
 
 
+def _is_number(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def _is_names(x) -> bool:
+    return isinstance(x, list) and all(isinstance(k, str) for k in x)
+
+
+def _is_schema(x) -> bool:
+    return isinstance(x, (bool, dict))
+
+
+def _is_pattern(x) -> bool:
+    try:
+        return isinstance(x, str) and bool(regex.compile(x))
+    except regex.error:
+        return False
+
+
+def _is_type(x) -> bool:
+    return all(isinstance(k, str) and (k in _TYPES or k in ("number", "integer")) for k in (x if isinstance(x, list) else [x]))
+
+
+_SCHEMAS = lambda x: isinstance(x, list) and len(x) > 0 and all(map(_is_schema, x))
+_BY_NAME = lambda x: isinstance(x, dict) and all(map(_is_schema, x.values()))
+_COUNT = lambda x: _is_number(x) and x >= 0 and x == int(x)
+#: What a keyword's value must be.
+_SHAPES = {
+    **dict.fromkeys(("minimum", "maximum"), _is_number),
+    **dict.fromkeys(("exclusiveMinimum", "exclusiveMaximum"), lambda x: isinstance(x, bool) or _is_number(x)),
+    "multipleOf": lambda x: _is_number(x) and x > 0,
+    **dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"), _COUNT),
+    "pattern": _is_pattern,
+    "type": _is_type,
+    "enum": lambda x: isinstance(x, list),
+    "$ref": lambda x: isinstance(x, str),
+    **dict.fromkeys(("allOf", "anyOf", "oneOf"), _SCHEMAS),
+    "prefixItems": lambda x: isinstance(x, list) and all(map(_is_schema, x)),
+    **dict.fromkeys(("not", "if", "then", "else", "additionalItems", "contains", "additionalProperties", "propertyNames"), _is_schema),
+    "items": lambda x: _is_schema(x) or isinstance(x, list) and all(map(_is_schema, x)),
+    "uniqueItems": lambda x: isinstance(x, bool),
+    "required": _is_names,
+    **dict.fromkeys(("properties", "dependentSchemas"), _BY_NAME),
+    "patternProperties": lambda x: _BY_NAME(x) and all(map(_is_pattern, x)),
+    "dependentRequired": lambda x: isinstance(x, dict) and all(map(_is_names, x.values())),
+    "dependencies": lambda x: isinstance(x, dict) and all(_is_names(v) or _is_schema(v) for v in x.values()),
+}
+
+
+def _found(pattern: str, text: str) -> bool:
+    try:
+        return regex.search(pattern, text, timeout=PATTERN_SECONDS) is not None
+    except TimeoutError:
+        raise NotJudged(pattern) from None
+
+
 def _target(root, ref):
     """The part of the schema that a reference names."""
     if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
@@ -71,18 +155,24 @@ def _target(root, ref):
 
 def problems(value, schema, at: str = "$", root=None) -> list[str]:
     """What in the value breaks the schema: the keywords of _JUDGED, with references into the schema (root, if the schema
-    is part of another).  Raises NotJudged where it meets a schema with any other keyword but those of _NOTES."""
-    if schema is True or not isinstance(schema, dict):
-        return [] if schema is not False else [f"{at}: nothing is allowed"]
+    is part of another).  Raises NotJudged where it meets a schema with any other keyword but those of _NOTES, and
+    Malformed where it meets a keyword whose value makes no sense."""
+    if not _is_schema(schema):
+        raise Malformed("not a schema")
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: nothing is allowed"]
     root = schema if root is None else root
     if not schema.keys() <= _JUDGED | _NOTES:
         raise NotJudged(", ".join(sorted(schema.keys() - _JUDGED - _NOTES)))
+    for keyword, fits in _SHAPES.items():
+        if keyword in schema and not fits(schema[keyword]):
+            raise Malformed(f"{keyword} is malformed")
     wrong = lambda v, s, place=at: problems(v, s, place, root)
     out = []
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    number = _is_number(value)
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    fits = lambda k: number if k == "number" else number and float(value).is_integer() if k == "integer" else isinstance(value, _TYPES.get(k, object))
+    fits = lambda k: number if k == "number" else number and (isinstance(value, int) or value.is_integer()) if k == "integer" else isinstance(value, _TYPES[k])
     if kinds and not any(map(fits, kinds)):
         return [f"{at}: not of type {'/'.join(kinds)}"]
     if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
@@ -111,7 +201,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
             out.append(f"{at}: not a multiple")
     if isinstance(value, str):
         out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", len(value)))
-        if "pattern" in schema and not re.search(schema["pattern"], value):
+        if "pattern" in schema and not _found(schema["pattern"], value):
             out.append(f"{at}: pattern")
     if isinstance(value, list):
         out += [f"{at}: too few"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many"] * (len(value) > schema.get("maxItems", len(value)))
@@ -130,7 +220,7 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
         out += [f"{at}: too few properties"] * (len(value) < schema.get("minProperties", 0)) + [f"{at}: too many properties"] * (len(value) > schema.get("maxProperties", len(value)))
         for k, x in value.items():
             own = [known[k]] if k in known else []
-            own += [s for p, s in schema.get("patternProperties", {}).items() if re.search(p, k)]
+            own += [s for p, s in schema.get("patternProperties", {}).items() if _found(p, k)]
             for s in own or [schema.get("additionalProperties", True)]:
                 out += wrong(x, s, f"{at}.{k}")
             out += wrong(k, schema.get("propertyNames", True), f"{at}.{k}")
@@ -142,10 +232,12 @@ def problems(value, schema, at: str = "$", root=None) -> list[str]:
 
 
 def judge(value, schema) -> list[str] | None:
-    """problems(), or None where they cannot be told."""
+    """problems(); of a malformed schema that it is; None where they cannot be told."""
     try:
         return problems(value, schema)
-    except (NotJudged, RecursionError, re.error):
+    except Malformed as e:
+        return [f"schema: {e}"]
+    except (NotJudged, RecursionError):
         return None
 
 
@@ -155,7 +247,7 @@ def parse(text: str | None) -> dict:
     if not text or not text.lstrip().startswith("{"):
         return out
     try:
-        data = json.loads(text)
+        data = clean(json.loads(text))
     except (ValueError, RecursionError):
         return out
     if not isinstance(data, dict):
@@ -167,7 +259,7 @@ def parse(text: str | None) -> dict:
             args = f.get("arguments", {})
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
+                    args = clean(json.loads(args))
                 except (ValueError, RecursionError):
                     pass
             out["calls"].append({"id": c["id"], "name": f["name"], "arguments": args})
@@ -201,26 +293,106 @@ def _parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) ->
     return messages.select(conv, turn, role, text).mapInArrow(make, f"conv {key}, turn {at}, role string, content string, result_of string, calls array<struct<call_id:string,name:string,arguments:string,needs:array<string>>>, tools array<struct<name:string,parameters:string>>")
 
 
-def _ranked(calls: DataFrame) -> DataFrame:
-    """calls with depth: 0 without needs among the conversation's calls, else one more than the deepest of them; null on a
-    cycle or below one.  Each round settles a depth and is one join; their number is the longest chain."""
-    needs = calls.select("conv", F.col("call_id").alias("of"), F.explode("needs").alias("call_id"))
-    open_ = materialise(needs.join(calls.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_semi").distinct(), "needs")
-    known = calls.select("conv", "call_id").distinct()
-    waits = open_.select("conv", F.col("of").alias("call_id")).distinct()
-    done = materialise(known.join(waits, ["conv", "call_id"], "left_anti").withColumn("depth", F.lit(0)), "depth")
-    level = 0
+_KEY = ["conv", "call_id"]
+
+
+def _depths(conv: list, of: list[str], need: list[str]) -> tuple[list, list[str], list[int]]:
+    """Depths of the calls of whole conversations that have needs or are needed; those on or below a cycle are left out."""
+    waits: dict = {}
+    users: dict = {}
+    for c, a, b in zip(conv, of, need):
+        waits[c, a] = waits.get((c, a), 0) + 1
+        waits.setdefault((c, b), 0)
+        users.setdefault((c, b), []).append((c, a))
+    ready = [k for k, n in waits.items() if n == 0]
+    depth = dict.fromkeys(ready, 0)
+    for k in ready:  # grows while it is read: needs come before their users
+        for u in users.get(k, ()):
+            depth[u] = max(depth.get(u, 0), depth[k] + 1)
+            waits[u] -= 1
+            if waits[u] == 0:
+                ready.append(u)
+    done = [(k, depth[k]) for k in ready]
+    return [k[0] for k, _ in done], [k[1] for k, _ in done], [d for _, d in done]
+
+
+def _short_depths(edges: DataFrame) -> DataFrame:
+    """edges(conv, of, need) of conversations with at most GATHERED -> (conv, call_id, depth)."""
+
+    def order(table: pa.Table) -> pa.Table:
+        conv, of, depth = _depths(*(table[c].to_pylist() for c in ("conv", "of", "need")))
+        return pa.table([pa.array(conv, table.schema.field("conv").type), pa.array(of, pa.string()), pa.array(depth, pa.int32())], names=["conv", "call_id", "depth"])
+
+    return edges.select("conv", "of", "need").groupBy("conv").applyInArrow(order, f"conv {type_of(edges, 'conv')}, call_id string, depth int")
+
+
+def _long_depths(edges: DataFrame) -> DataFrame:
+    """As _short_depths, for conversations of any length.
+
+    A call with one need points to it; pointers double, so all of a chain know its end and their distance from it after
+    log2(length) rounds.  The other calls are then settled level by level over these shortcuts; the number of rounds is the
+    longest chain of calls with several needs.
+    """
+    n_needs = edges.groupBy("conv", F.col("of").alias("call_id")).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("up"))
+    n_needs = materialise(n_needs, "needs")
+    ptr = materialise(n_needs.filter("n = 1").select(*_KEY, "up", F.lit(1).alias("far")), "pointers")
+    rounds = math.ceil(math.log2(max(2, ptr.count()))) + 1
+    for _ in range(rounds):
+        over = ptr.select("conv", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        nxt = materialise(ptr.join(over, ["conv", "up"], "left").select(*_KEY, F.coalesce("up2", "up").alias("up"), F.least(F.col("far") + F.coalesce("far2", F.lit(0)), F.lit(1 << 29)).alias("far")), "pointers")
+        discard(ptr)
+        ptr = nxt
+    # Whose end still points is on or below a cycle of single needs.
+    ends = materialise(ptr.join(ptr.select("conv", F.col("call_id").alias("up")), ["conv", "up"], "left_anti"), "ends")
+    several = n_needs.filter("n > 1").select(*_KEY)
+    hops = edges.withColumnRenamed("of", "call_id").join(several, _KEY, "left_semi").select(*_KEY, "need")
+    end = ends.select("conv", F.col("call_id").alias("need"), F.col("up").alias("end"), "far")
+    lost = ptr.join(ends.select(*_KEY), _KEY, "left_anti").select("conv", F.col("call_id").alias("need"))
+    stuck = hops.join(lost, ["conv", "need"], "left_semi").select(*_KEY).distinct()
+    hops = hops.join(end, ["conv", "need"], "left").select(*_KEY, F.coalesce("end", "need").alias("end"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    hops = materialise(hops.groupBy(*_KEY, "end").agg(F.max("far").alias("far")).join(stuck, _KEY, "left_anti"), "hops")
+    roots = edges.select("conv", F.col("need").alias("call_id")).distinct().join(n_needs, _KEY, "left_anti")
+    done = materialise(roots.select(*_KEY, F.lit(0).alias("depth")), "depths")
     while True:
-        left = open_.join(done.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").select("conv", F.col("of").alias("call_id")).distinct()
-        ready = waits.join(left, ["conv", "call_id"], "left_anti").join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
-        level += 1
-        ready = materialise(ready.withColumn("depth", F.lit(level)), "depth")
+        known = done.select("conv", F.col("call_id").alias("end"), "depth")
+        met = hops.join(done.select(*_KEY), _KEY, "left_anti").join(known, ["conv", "end"], "left")
+        ready = met.groupBy(*_KEY).agg(F.max(F.col("depth") + F.col("far")).alias("depth"), F.count(F.when(F.col("depth").isNull(), 1)).alias("open")).filter("open = 0").drop("open")
+        ready = materialise(ready, "ready")
         if ready.isEmpty():
+            discard(ready)
             break
-        grown = materialise(done.unionByName(ready), "depth")
-        discard(done)
+        grown = materialise(done.unionByName(ready), "depths")
+        discard(done, ready)
         done = grown
-    return calls.join(done, ["conv", "call_id"], "left")
+    single = ends.join(done.select("conv", F.col("call_id").alias("up"), "depth"), ["conv", "up"]).select(*_KEY, (F.col("depth") + F.col("far")).alias("depth"))
+    return done.unionByName(single)
+
+
+def _ranked(calls: DataFrame) -> DataFrame:
+    """calls with depth: 0 without needs among the conversation's calls, else one more than the deepest of them; null on a
+    cycle or below one, and in a conversation without an identifier."""
+    known = materialise(calls.select(*_KEY).distinct(), "known")
+    edges = calls.select("conv", F.col("call_id").alias("of"), F.explode("needs").alias("need")).distinct()
+    edges = materialise(edges.join(known.withColumnRenamed("call_id", "need"), ["conv", "need"], "left_semi").select("conv", "of", "need"), "needs")
+    long_ = materialise(edges.groupBy("conv").count().filter(F.col("count") > GATHERED).select("conv"), "long")
+    depths = _short_depths(edges.join(long_, "conv", "left_anti"))
+    if not long_.isEmpty():
+        depths = depths.unionByName(_long_depths(materialise(edges.join(long_, "conv", "left_semi"), "needs")))
+    waiting = edges.select("conv", F.col("of").alias("call_id")).distinct().withColumn("waits", F.lit(True))
+    out = calls.join(depths, _KEY, "left").join(waiting, _KEY, "left")
+    depth = F.when(F.col("conv").isNull(), None).otherwise(F.coalesce("depth", F.when(F.col("waits").isNull(), 0)))
+    return out.withColumn("depth", depth).drop("waits")
+
+
+def _links(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(row, place, result_turn): the first turn after a call at which a result bears its identifier.  Calls and results of
+    an identifier are read once from the last turn on, so that many of either do not multiply."""
+    nothing = F.lit(None)
+    asked = calls.select(*_KEY, "turn", F.lit(0).alias("kind"), "row", "place", nothing.cast(type_of(results, "result_turn")).alias("result_turn"))
+    given = results.select(*_KEY, F.col("result_turn").alias("turn"), F.lit(1).alias("kind"), nothing.cast("long").alias("row"), nothing.cast("int").alias("place"), "result_turn")
+    from_last = W.partitionBy(*_KEY).orderBy(F.desc("turn"), "kind").rowsBetween(W.unboundedPreceding, 0)
+    both = asked.unionByName(given).filter("conv is not null and turn is not null")
+    return both.withColumn("result_turn", F.min("result_turn").over(from_last)).filter("kind = 0 and result_turn is not null").select("row", "place", "result_turn")
 
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -238,9 +410,10 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     tune(messages.sparkSession)
     rows = materialise(_parsed(messages, conv, turn, role, text).withColumn("row", F.monotonically_increasing_id()), "messages")
     calls = rows.select("conv", "turn", "row", F.posexplode("calls").alias("place", "c")).select("conv", "turn", "row", "place", "c.*")
+    calls = materialise(calls, "calls")  # read several times
     ranked = _ranked(calls)
     results = rows.filter(F.col("result_of").isNotNull()).select("conv", F.col("result_of").alias("call_id"), F.col("turn").alias("result_turn"))
-    linked = calls.select("conv", "call_id", "row", "place", "turn").join(results, ["conv", "call_id"]).filter("result_turn > turn").groupBy("row", "place").agg(F.min("result_turn").alias("result_turn"))
+    linked = _links(calls, results)
     tools = rows.select("conv", F.explode("tools").alias("t")).groupBy("conv", F.col("t.name").alias("name")).agg(F.max("t.parameters").alias("parameters"))
     full = ranked.join(linked, ["row", "place"], "left").join(tools, ["conv", "name"], "left")
     call = F.struct(F.coalesce("depth", F.lit(2**31 - 1)).alias("order"), "place", "depth", "call_id", "name", "arguments", "result_turn", "parameters")

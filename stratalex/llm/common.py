@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded bytes, for operators that hand whole texts to Python.  Plans read the setting when they
     run, after the operator has returned, so it stays set; a limit that the caller has chosen is left as it is."""
-    if spark.conf.get(_BATCH, "") in ("", "-1", str(2**63 - 1), f"{2**63 - 1}b"):
+    if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
