@@ -1,13 +1,15 @@
 """Byte-level BPE over a distinct-word table.
 
 1. Documents are split into words, chunk by chunk (CHUNK_CHARS of text).  A chunk keeps its distinct words, dealt into
-   lists by a hash of the word, and for each document the places of its words among them.
-2. All lists of a bucket meet, over all chunks: that is the table of distinct words, in which each word is encoded once.
+   BUCKETS lists by a hash of the word, and for each document the places of its words among them.  Chunks are written to the
+   shared folder once.
+2. The lists of a bucket meet, over the chunks of a part (those of PART_TASKS input tasks): that is the table of distinct words, in
+   which each word is encoded once.  Lists grow with the chunks alone, and a part bounds what one task meets.
 3. The ids of each list go back to its chunk and, by position, to the documents.  Decoding goes from ids to bytes through
    a hash join with the id-to-piece table, whose size is the vocabulary's.
 
 Lists and places move packed (zstandard).  A frequent word costs one entry a chunk, not one an occurrence, so no bucket
-is larger than others; a task forgets words beyond KNOWN_WORDS and would encode them anew.
+is larger than others.  word_table() gives the table of distinct words as rows.
 """
 
 from __future__ import annotations
@@ -17,27 +19,25 @@ import json
 import os
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from stratalex.llm.common import tune, type_of
+from stratalex.llm.common import materialise, tune, type_of
 
 #: Code points after which a chunk is closed (a longer document is a chunk of its own).
 CHUNK_CHARS = 4_000_000
-#: Lists that the words of a chunk are dealt into, at least and at most; between, one for each BUCKET_BYTES of input, so
-#: that what meets in a bucket does not grow with the corpus.
-BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 128, 65_536, 256_000_000
+#: Lists that the words of a chunk are dealt into, and input tasks whose chunks' lists meet: a task of step 2 meets the
+#: same number of words however large the corpus, at the price of encoding a word once in each part.
+BUCKETS, PART_TASKS = 128, 256
 #: Words that a task of step 2 keeps encoded at a time.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 2_000_000
 #: How byte-level BPE splits text before merging: the published pattern, for the characters that UNSETTLED leaves.  Words
 #: and digits come first, which changes nothing since no other part begins as they do.
 _NUMERALS = "\u00b2\u00b3\u00b9\u00bc-\u00be\u2776-\u2793"
@@ -111,47 +111,45 @@ def _unpack_numbers(packed: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[tuple[int, list, list[list[str]]]]:
-    """(chunk, ids, words of each text), chunk by chunk.  The chunk's number comes from its place and its content: both
-    readings of a table must find the same chunks, and if they do not, lists are missing and the job fails."""
-    base, n = TaskContext.get().partitionId() << 32, 0
-    ids, words, chars, content = [], [], 0, xxhash.xxh64()
+def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[tuple[list, list[list[str]]]]:
+    """(ids, words of each text), chunk by chunk."""
+    ids, words, chars = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            text = text or ""
+        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py() or ""
             ids.append(key)
             words.append(split_words(text))
-            content.update(f"{len(text)} ".encode() + text.encode())
             chars += len(text)
             if chars >= CHUNK_CHARS:
-                yield (xxhash.xxh64_intdigest(f"{base + n} {content.intdigest()}") >> 1, ids, words)
-                ids, words, chars, n, content = [], [], 0, n + 1, xxhash.xxh64()
+                yield ids, words
+                ids, words, chars = [], [], 0
     if ids:
-        yield (xxhash.xxh64_intdigest(f"{base + n} {content.intdigest()}") >> 1, ids, words)
+        yield ids, words
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """By the size that the plan's statistics state; nothing is run for it.  Where they state none, the least."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_BUCKETS, max(BUCKETS, size // BUCKET_BYTES)) if size < 1 << 60 else BUCKETS
+def _bucket(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.uint8, len(words))
 
 
-def _bucket(words: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint16, len(words))
+def _pack_words(data: list[bytes]) -> bytes:
+    """Lengths stand in front, since words may hold any character."""
+    packed = _pack_numbers(np.array([len(d) for d in data], np.uint32))
+    return len(packed).to_bytes(4, "little") + packed + zstandard.ZstdCompressor(level=3).compress(b"".join(data))
 
 
-def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, buckets: int) -> DataFrame:
+def chunks(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
     """A row for each chunk: ids; sizes, the words of each text; places, of all words in turn, among the chunk's n
-    distinct ones, the most frequent first; buckets, of each distinct word."""
+    distinct ones, the most frequent first; buckets, of each distinct word; lists, the distinct words of each bucket."""
     id_type, added = docs.schema[id_col].dataType, list(vocabulary.added)
     source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
+    of_list = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.int32())]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_words = Splitter(source.value, added).words
         first = next(batches, None)
         if first is None:
             return
-        for chunk, ids, words in _each_chunk(chain([first], batches), split_words):
+        for ids, words in _each_chunk(chain([first], batches), split_words):
             known: dict[str, int] = {}
             at = []
             for ws in words:
@@ -162,37 +160,18 @@ def places(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary,
             order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
             rank = np.empty(len(known), np.uint32)
             rank[order] = np.arange(len(known), dtype=np.uint32)
-            of = _bucket(list(known), buckets)[order]
+            data = [w.encode() for w in known]
+            data = [data[i] for i in order.tolist()]
+            of = _bucket(data)
+            by_bucket = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=BUCKETS)).tolist()
+            lists = [{"bucket": k, "words": _pack_words([data[i] for i in by_bucket[a:b].tolist()]), "n": b - a} for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
             sizes = _pack_numbers(np.array([len(a) for a in at], np.uint32))
-            columns = [pa.array([chunk]), pa.array([ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "places", "buckets", "n"])
+            columns = [pa.array([ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32()), pa.array([lists], of_list)]
+            yield pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "places", "buckets", "n", "lists"])
 
-    return docs.select(id_col, text_col).mapInArrow(make, f"chunk long, ids array<{id_type.simpleString()}>, sizes binary, places binary, buckets binary, n int")
-
-
-def word_lists(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, buckets: int) -> DataFrame:
-    """A row for each bucket that a chunk has words of: the n words, the most frequent first."""
-    added = list(vocabulary.added)
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, words in _each_chunk(batches, Splitter(source.value, added).words):
-            counts: Counter = Counter()
-            for ws in words:
-                counts.update(ws)
-            known = sorted(counts, key=counts.__getitem__, reverse=True)  # stable, so as places() ranks them
-            lists: dict[int, list[bytes]] = {}
-            for w, k in zip(known, _bucket(known, buckets).tolist()):
-                lists.setdefault(k, []).append(w.encode())
-            press = zstandard.ZstdCompressor(level=3)
-            out = []
-            for k, data in lists.items():  # lengths stand in front, since words may hold any character
-                packed = _pack_numbers(np.array([len(d) for d in data], np.uint32))
-                out.append((chunk, k, len(packed).to_bytes(4, "little") + packed + press.compress(b"".join(data)), len(data)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["chunk", "bucket", "words", "n"])
-
-    return docs.select(id_col, text_col).mapInArrow(make, "chunk long, bucket int, words binary, n int")
+    made = docs.select(id_col, text_col).mapInArrow(make, f"ids array<{id_type.simpleString()}>, sizes binary, places binary, buckets binary, n int, lists array<struct<bucket:int,words:binary,n:int>>")
+    return made.withColumn("chunk", F.monotonically_increasing_id())
 
 
 def _words_of(packed: bytes, n: int) -> list[str]:
@@ -203,8 +182,8 @@ def _words_of(packed: bytes, n: int) -> list[str]:
 
 
 def encode_lists(lists: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """lists(chunk, bucket, words, n) -> (chunk, bucket, n_ids, ids): of each word in its order the number of ids, and
-    the ids one after the other.  The lists of a bucket meet, so each distinct word is encoded once."""
+    """lists(chunk, part, bucket, words, n) -> (chunk, bucket, n_ids, ids): of each word in its order the number of ids,
+    and the ids one after the other.  The lists of a part's bucket meet, so each distinct word is encoded once in it."""
     source = lists.sparkSession.sparkContext.broadcast(vocabulary.source)  # one file's text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +207,8 @@ def encode_lists(lists: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     known = {}
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "bucket", "n_ids", "ids"])
 
-    # Sorted by bucket, so that a task is done with one bucket's words before the next.
-    met = lists.select("chunk", "bucket", "words", "n").repartition("bucket").sortWithinPartitions("bucket")
+    # Sorted, so that a task is done with one bucket's words before the next.
+    met = lists.select("chunk", "bucket", "words", "n", "part").repartition("part", "bucket").sortWithinPartitions("part", "bucket").drop("part")
     return met.mapInArrow(encode, "chunk long, bucket int, n_ids binary, ids binary")
 
 
@@ -237,11 +216,9 @@ def _join_back(id_name: str, with_texts: bool, pieces):
     """Ids of the words' lists -> the documents of a chunk, by position."""
 
     def join(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        if docs.num_rows != 1:
-            raise ValueError("the two readings of the table found different chunks")
         row = docs.to_pylist()[0]
         n = row["n"]
-        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint16)
+        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint8)
         words: list = [None] * n
         # The words of each bucket, in their order.
         by_bucket = np.argsort(of, kind="stable")
@@ -252,8 +229,6 @@ def _join_back(id_name: str, with_texts: bool, pieces):
             ids = _unpack_numbers(one["ids"], ends[-1]).tolist()
             for at, a, b in zip(mine.tolist(), [0, *ends], ends):
                 words[at] = ids[a:b]
-        if any(w is None for w in words):
-            raise ValueError("the two readings of the table found different chunks")
         piece = pieces.value  # the join with the id-to-piece table
         raw = [b"".join([piece[i] for i in x]) for x in words]
         counts = np.array([len(x) for x in words], np.int64)
@@ -287,14 +262,39 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     their ids, as there.  A null or empty text has no ids and decodes to the empty text.  Repeated rows and null ids are
     kept as they are, an empty table gives an empty result, other columns are ignored.
 
-    The table is read twice, once for places and once for words, which costs less than writing either; docs must
-    therefore read the same rows in the same partitions both times, as a stored table does.
+    A very long text is a chunk of its own.  docs is read once.
     """
-    tune(docs.sparkSession)
     vocabulary = Vocabulary(path)
+    stored = _stored(docs, id_col, text_col, vocabulary)
     table = dict(vocabulary.pieces())
     pieces = docs.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])  # a vocabulary's fixed size
-    buckets = bucket_count(docs)
-    encoded = encode_lists(word_lists(docs, id_col, text_col, vocabulary, buckets), vocabulary).withColumnRenamed("chunk", "of")
+    encoded = encode_lists(_lists(stored), vocabulary).withColumnRenamed("chunk", "of")
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_texts else "")
-    return places(docs, id_col, text_col, vocabulary, buckets).groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(_join_back(id_col, with_texts, pieces), schema)
+    return stored.drop("lists").groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(_join_back(id_col, with_texts, pieces), schema)
+
+
+def _stored(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    tune(docs.sparkSession)
+    return materialise(chunks(docs, id_col, text_col, vocabulary), "chunks")
+
+
+def _lists(stored: DataFrame) -> DataFrame:
+    part = F.floor(F.shiftrightunsigned("chunk", 33) / PART_TASKS)  # the high bits of a chunk's number are its task
+    return stored.select("chunk", part.alias("part"), F.explode("lists").alias("x")).select("chunk", "part", "x.*")
+
+
+def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(word, ids): a row for each distinct word of the texts, as the vocabulary's splitter finds them."""
+    vocabulary = Vocabulary(path)
+    lists = _lists(_stored(docs.select(F.lit(0).alias("id"), text_col), "id", text_col, vocabulary))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, n_ids, ids in zip(*(b.column(k).to_pylist() for k in range(3))):
+                each = _words_of(words["words"], words["n"])
+                ends = np.cumsum(_unpack_numbers(n_ids, len(each))).tolist()
+                flat = _unpack_numbers(ids, ends[-1]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array([flat[x:y] for x, y in zip([0, *ends], ends)], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    encoded = encode_lists(lists, vocabulary).join(lists.select("chunk", "bucket", F.struct("words", "n").alias("words")), ["chunk", "bucket"])
+    return encoded.select("words", "n_ids", "ids").mapInArrow(rows, "word string, ids array<int>").dropDuplicates(["word"])

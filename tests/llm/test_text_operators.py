@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,30 @@ def test_bpe(spark, monkeypatch):
     assert bpe.encode_decode(frame(spark, ["x"]).limit(0), path).count() == 0
 
 
+def test_word_table(spark, monkeypatch):
+    """Each distinct word is one row, with the library's ids; parts and buckets of any number agree."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(bpe, "PART_TASKS", 1)
+    path = vocabulary_path()
+    model = Tokenizer.from_file(path)
+    got = bpe.word_table(frame(spark, BPE), path).collect()
+    splitter = bpe.Splitter(bpe.Vocabulary(path).source, ["<|endoftext|>"])
+    assert sorted(r.word for r in got) == sorted({w for t in BPE for w in splitter.words(t or "")})
+    assert all(r.ids == model.encode(r.word, add_special_tokens=False).ids for r in got)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from stratalex.llm.common import BATCH_BYTES, tune
+
+    tune(spark)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["n", "rows"]) for b in batches)
+    long = spark.createDataFrame([("x" * 1_000_000,)] * 12, "text string").coalesce(1)
+    got = long.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r.rows for r in got) == 12 and max(r.n for r in got) <= BATCH_BYTES + 1_100_000
+
+
 def test_splitter_on_every_character():
     from tokenizers import Tokenizer
 
