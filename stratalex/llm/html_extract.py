@@ -1,8 +1,10 @@
 """Main-text extraction by minimum cuts.
 
-A page becomes a row of text blocks.  A log-linear classifier over a block's place in the document (tags, roles, class
-and id words of its ancestors) and its shape gives terminal capacities; neighbours in page order and in the DOM are tied
-by smoothness edges.  The maximum flow of that graph separates content (the source's side) from boilerplate.
+A page becomes a row of text blocks.  A classifier gives each block log-odds of being content: a linear discriminant of the
+block's shape (length, links, punctuation, tag), trained here on pages whose markup tells content from boilerplate, plus
+what the elements around it say (sections, roles, names of classes and ids).  These costs are the terminal capacities;
+neighbours in page order and in the DOM are tied by smoothness edges of the same scale, so that blocks whose own shape says
+little go with those around them.  The maximum flow of that graph separates content (the source's side) from boilerplate.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratalex.llm.common import tune, type_of
 
@@ -33,20 +37,31 @@ APART = frozenset("text mtr mtd".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol menu dl table article section main aside nav header footer form div body".split())
 ENDS_P = frozenset("p div article section main aside nav header footer form ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote figure hr address fieldset details body".split())
-#: Log-odds for content that an ancestor's tag, role, or class and id words add.
-TAG_ODDS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -4.0, "header": -5.0}
-ROLE_ODDS = {"navigation": -9.0, "banner": -6.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alert": -9.0, "menu": -9.0, "main": 3.0, "article": 4.0}
+#: Log-odds that sections and roles around a block add.  AROUND: inside an article or main; beside it, on a page that has one.
+SECTIONS = dict.fromkeys("nav footer aside form menu dialog".split(), -5.0) | {"fieldset": -2.0, "header": -4.0}
+ROLES = dict.fromkeys("navigation contentinfo complementary search dialog alert menu banner".split(), -5.0)
+INSIDE, BESIDE = 2.0, -2.0
+#: A class or id says what an element is by its last word; one that begins with a word of APART_FROM says what it has or lacks.
 GOOD_WORDS = frozenset("article content post entry story body main text prose".split())
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer header masthead toolbar search comment comments reply replies respond discussion disqus reactions copyright legal disclaimer skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer header masthead toolbar search comment comments reply replies respond discussion disqus reactions copyright legal disclaimer skip hidden".split()
 )
-GOOD, BAD = 2.0, -9.0
-#: Ties of neighbouring blocks, of blocks under one parent, and between blocks of nested parents.
-NEXT, SIBLING, NESTED = 0.3, 0.5, 0.2
+APART_FROM = frozenset("has with no without not is show hide enable disable".split())
+GOOD, BAD = 1.0, -5.0
+#: Names of content: neither classes nor sections around them say that they are none.
+OWN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Ties of neighbouring blocks (by their distance in the DOM), of blocks under one parent, and between nested parents.
+NEXT, SIBLING, NESTED = 1.0, 0.5, 0.25
+#: Costs are held within this bound, so that no single one outweighs all neighbours.
+MOST_ODDS = 8.0
+#: Pages that train the classifier, about, and labelled blocks that weigh as much as the weights it starts with.
+SAMPLE, PRIOR = 5_000, 2_000.0
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+_MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b""", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
@@ -58,7 +73,8 @@ class Node:
     skipped: bool
     link: bool
     depth: int
-    #: What bad class words of wrappers that have a good one too have taken.
+    #: Whether the node is in an article or main, and what bad class words of wrappers around none have taken.
+    inside: bool = False
     doubt: float = 0.0
 
 
@@ -76,28 +92,37 @@ def _inside(node: Node | None, name: str) -> bool:
     return node is not None
 
 
+def _named(value: str) -> float:
+    """What the names in a class or id say of the element that bears them."""
+    good = bad = False
+    for name in value.split():
+        words = _WORDS.findall(name)
+        if words and words[0] not in APART_FROM:
+            bad |= words[-1] in BAD_WORDS or words[0] in BAD_WORDS and words[-1] not in GOOD_WORDS
+            good |= words[-1] in GOOD_WORDS
+            if words[-1] in ("header", "footer") and set(words) & GOOD_WORDS:  # an article's own header holds its title
+                bad = False
+            if words[0] in ("comment", "comments", "reply", "ad", "ads"):
+                bad, good = True, False
+    return BAD if bad else GOOD if good else 0.0
+
+
 def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool, float]:
     """What the element adds for the blocks below it, whether it is hidden, and the doubt below it."""
-    odds, hidden, doubt = TAG_ODDS.get(name, 0.0), False, up.doubt
-    if name in ("article", "main"):  # a class word of a wrapper of content says nothing of the article in it
-        odds, doubt = odds - doubt, 0.0
-    if name == "header" and up.odds > 0:  # an article's own header holds its title
+    odds, hidden, doubt = SECTIONS.get(name, 0.0), False, up.doubt
+    if name in OWN:  # wrappers of content say nothing of it, nor does a form around the whole page
+        odds, doubt = odds - doubt - (SECTIONS["form"] if _inside(up, "form") else 0.0), 0.0
+    if name == "header" and up.inside:  # an article's own header holds its title
         odds = 0.0
-    if name in ("article", "main") and _inside(up, "form"):  # a form around the whole page says nothing of the article
-        odds -= TAG_ODDS["form"]
     if attributes.strip():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), unescape(a or b or c).lower()
             if key in ("class", "id"):
-                words = set(_WORDS.findall(value))
-                if name not in ("html", "body"):
-                    # The header of an article, post or entry holds its title.
-                    bad = words & BAD_WORDS - ({"header"} if words & GOOD_WORDS else set())
-                    odds += BAD if bad else GOOD if words & GOOD_WORDS else 0.0
-                    if bad and words & GOOD_WORDS and name not in ("article", "main"):
-                        doubt += BAD - GOOD
+                said = 0.0 if name in OWN or name in HEADINGS or name in ("html", "body") else _named(value)
+                odds += said
+                doubt += min(0.0, said)
             elif key == "role":
-                odds += ROLE_ODDS.get(value, 0.0)
+                odds += ROLES.get(value, 0.0)
             elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     return odds, hidden, doubt
@@ -169,7 +194,7 @@ def blocks(html: str) -> list[Block]:
             if name in ENDS:
                 leave(ENDS[name], STOPS)
             odds, hidden, doubt = _odds(name, m[4], here)
-            here = Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1, doubt)
+            here = Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1, here.inside or name in OWN or _MAIN_ROLE.search(m[4]) is not None, doubt)
             if name in RAW:
                 end = _CLOSE[name].search(html, at)
                 at = end.end() if end else len(html)
@@ -180,13 +205,77 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def content_odds(block: Block) -> float:
-    """Log-odds of the classifier that a block is content."""
+def shape(block: Block) -> list[float]:
+    """What the classifier sees of a block itself: parts of 64, so that sums are exact."""
     words = block.text.count(" ") + 1
     links = min(1.0, block.in_links / max(1, len(block.text)))
-    prose = 1.0 if block.text[-1] in ".!?\"'”»" else 0.0
-    tag = 1.0 if block.node.name in ("p", "pre", "blockquote", "h1", "h2", "h3", "figcaption") else 0.0
-    return -1.5 + block.node.odds + min(words, 40) / 20 + prose + tag - 4.0 * links
+    name = block.node.name
+    part = lambda x: round(64 * x) / 64
+    return [part(min(words, 40) / 40), part(links), float(block.text[-1] in ".!?\"'”»"), float(name in ("p", "pre", "blockquote", "figcaption")), float(name in HEADINGS), float(name in ("li", "td", "th", "dt", "dd"))]
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A linear classifier of shapes.  The weights it starts with count as PRIOR labelled blocks."""
+
+    weights: tuple[float, ...] = (2.0, -4.0, 1.0, 1.0, 1.0, 0.0)
+    bias: float = -1.5
+
+    def odds(self, block: Block) -> float:
+        return self.bias + sum(w * x for w, x in zip(self.weights, shape(block)))
+
+
+def told(found: list[Block]) -> list[int | None]:
+    """What the markup says of the blocks of a page with an article or main: 1 content, 0 boilerplate, else None."""
+    if not any(b.node.inside for b in found):
+        return [None] * len(found)
+    return [(1 if b.node.odds >= 0 else None) if b.node.inside else 0 for b in found]
+
+
+def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> Shape:
+    """The linear discriminant of two classes, given of each the number, the sum and the sum of outer products of shapes;
+    log-odds for equally many of either."""
+    start, n = Shape(), counts.sum()
+    if counts.min() < 10:
+        return start
+    means = sums / counts[:, None]
+    spread = sum(squares[k] - counts[k] * np.outer(means[k], means[k]) for k in (0, 1)) / n
+    w = np.linalg.solve(spread + 0.05 * np.eye(len(spread)), means[1] - means[0])
+    bias = -float(w @ (means[0] + means[1])) / 2
+    scale = min(1.0, 5.0 / float(np.abs(w).max()))  # costs of the scale of the others
+    own = n / (n + PRIOR)
+    mixed = own * scale * w + (1 - own) * np.array(start.weights)
+    return Shape(tuple(np.round(mixed, 4).tolist()), round(float(own * scale * bias + (1 - own) * start.bias), 4))
+
+
+def train(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> Shape:
+    """The classifier of about `sample` pages, chosen by a hash of the id and the html.  Only sums reach the driver."""
+    rows = pages.count()
+    kept = pages.select(html_col).filter(F.col(html_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.col(html_col)), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(1, rows))))
+    size = len(Shape().weights)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, 1 + size + size * size))
+        for b in batches:
+            for html in b.column(0):
+                found = blocks(html.as_py())
+                for x, y in zip(found, told(found)):
+                    if y is not None:
+                        v = np.array(shape(x))
+                        out[y] += np.concatenate([[1.0], v, np.outer(v, v).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], names=["label", "sums"])
+
+    total = np.zeros((2, 1 + size + size * size))
+    each = kept.mapInArrow(sums, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "x")).groupBy("label", "at").agg(F.sum("x").alias("x"))
+    for r in each.collect():  # a fixed number of sums
+        total[r.label, r.at] = r.x
+    return fit(total[:, 0], total[:, 1 : 1 + size], total[:, 1 + size :].reshape(2, size, size))
+
+
+def content_odds(block: Block, model: Shape, beside: bool) -> float:
+    """Log-odds that a block is content.  beside: whether the page has an article or main that the block is not in."""
+    around = INSIDE if block.node.inside else BESIDE if beside else 0.0
+    return max(-MOST_ODDS, min(MOST_ODDS, model.odds(block) + block.node.odds + around))
 
 
 def _common(a: Node, b: Node) -> int:
@@ -264,11 +353,8 @@ def min_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
                 break
 
 
-def labelled(html: str) -> tuple[list[Block], list[bool]]:
-    """The blocks of a page, and which of them are content."""
-    found = blocks(html)
-    if not found:
-        return [], []
+def ties_of(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges (i, j, capacity)."""
     ties = []
     last: dict[int, int] = {}  # of each parent, its latest block
     for i, b in enumerate(found):
@@ -279,28 +365,40 @@ def labelled(html: str) -> tuple[list[Block], list[bool]]:
                 if (j := last.get(id(node))) is not None:
                     ties.append((j, i, w))
                 last[id(node)] = i
-    return found, min_cut([content_odds(b) for b in found], ties)
+    return ties
+
+
+def labelled(html: str, model: Shape = Shape()) -> tuple[list[Block], list[bool], list[bool]]:
+    """The blocks of a page, which of them are content, and which the classifier alone would take."""
+    found = blocks(html)
+    if not found:
+        return [], [], []
+    has = any(b.node.inside for b in found)
+    odds = [content_odds(b, model, has) for b in found]
+    return found, min_cut(odds, ties_of(found)), [z > 0 for z in odds]
 
 
-def extract(html: str | None) -> str:
+def extract(html: str | None, model: Shape = Shape()) -> str:
     """The main text of a page: its content blocks, joined by spaces."""
-    found, content = labelled(html or "")
+    found, content, _ = labelled(html or "", model)
     return " ".join(b.text for b, c in zip(found, content) if c)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",), sample: int = SAMPLE) -> DataFrame:
     """One row per row of pages: id, the carried columns, text (empty if there is none) and n_chars, its code points.
 
     Null html counts as empty.  Repeated rows and null ids are kept as they are; pages are independent, so order and ties
-    do not matter.  An empty table gives an empty result; other columns are ignored, whatever their names.
+    do not matter.  Html of any length is read whole.  The classifier is trained first, on about `sample` of the pages.  An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     tune(pages.sparkSession)
+    model = train(pages, id_col, html_col, sample)
     names = [id_col, *carry]
     schema = ", ".join(f"`{c}` {type_of(pages, c)}" for c in names) + ", text string, n_chars long"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(x) for x in b.column(len(names)).to_pylist()]
+            texts = [extract(x.as_py(), model) for x in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     return pages.select(*names, html_col).mapInArrow(make, schema)
