@@ -2,7 +2,7 @@
 
 1. Documents are split into words, chunk by chunk (CHUNK_CHARS of text).  A chunk keeps its distinct words, dealt into
    BUCKETS lists by a hash of the word, and for each document the places of its words among them.  Chunks are written to the
-   shared folder once.
+   shared folder once, bucketed by their number, so that places do not move again.
 2. The lists of a bucket meet, over the chunks of a part (those of PART_TASKS input tasks): that is the table of distinct words, in
    which each word is encoded once.  Lists grow with the chunks alone, and a part bounds what one task meets.
 3. The ids of each list go back to its chunk and, by position, to the documents.  Decoding goes from ids to bytes through
@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import materialise, tune, type_of
+from stratalex.llm.common import bucketed, tune, type_of
 
 #: Code points after which a chunk is closed (a longer document is a chunk of its own).
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 32_000_000
 #: Lists that the words of a chunk are dealt into, and input tasks whose chunks' lists meet: a task of step 2 meets the
 #: same number of words however large the corpus, at the price of encoding a word once in each part.
 BUCKETS, PART_TASKS = 128, 256
@@ -111,20 +111,36 @@ def _unpack_numbers(packed: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[tuple[list, list[list[str]]]]:
-    """(ids, words of each text), chunk by chunk."""
-    ids, words, chars = [], [], 0
+class Chunk:
+    """Texts as places among their distinct words; words are not kept beyond their text."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.at: list[np.ndarray] = []
+        self.known: dict[str, int] = {}
+        self.chars = 0
+
+    def add(self, key, words: list[str], chars: int) -> None:
+        known = self.known
+        for w in dict.fromkeys(words):
+            if w not in known:
+                known[w] = len(known)
+        self.ids.append(key)
+        self.at.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+        self.chars += chars
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch], split_words) -> Iterator[Chunk]:
+    now = Chunk()
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1)):
             text = text.as_py() or ""
-            ids.append(key)
-            words.append(split_words(text))
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                yield ids, words
-                ids, words, chars = [], [], 0
-    if ids:
-        yield ids, words
+            now.add(key, split_words(text), len(text))
+            if now.chars >= CHUNK_CHARS:
+                yield now
+                now = Chunk()
+    if now.ids:
+        yield now
 
 
 def _bucket(words: list[bytes]) -> np.ndarray:
@@ -149,13 +165,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary)
         first = next(batches, None)
         if first is None:
             return
-        for ids, words in _each_chunk(chain([first], batches), split_words):
-            known: dict[str, int] = {}
-            at = []
-            for ws in words:
-                new = [w for w in dict.fromkeys(ws) if w not in known]
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                at.append(np.fromiter(map(known.__getitem__, ws), np.uint32, len(ws)))
+        for chunk in _each_chunk(chain([first], batches), split_words):
+            known, at = chunk.known, chunk.at
             flat = np.concatenate(at)
             order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
             rank = np.empty(len(known), np.uint32)
@@ -167,7 +178,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary)
             ends = np.cumsum(np.bincount(of, minlength=BUCKETS)).tolist()
             lists = [{"bucket": k, "words": _pack_words([data[i] for i in by_bucket[a:b].tolist()]), "n": b - a} for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
             sizes = _pack_numbers(np.array([len(a) for a in at], np.uint32))
-            columns = [pa.array([ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32()), pa.array([lists], of_list)]
+            columns = [pa.array([chunk.ids], pa.list_(first.column(0).type)), pa.array([sizes], pa.binary()), pa.array([_pack_numbers(rank[flat])], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(of.tobytes())], pa.binary()), pa.array([len(known)], pa.int32()), pa.array([lists], of_list)]
             yield pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "places", "buckets", "n", "lists"])
 
     made = docs.select(id_col, text_col).mapInArrow(make, f"ids array<{id_type.simpleString()}>, sizes binary, places binary, buckets binary, n int, lists array<struct<bucket:int,words:binary,n:int>>")
@@ -275,7 +286,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def _stored(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
     tune(docs.sparkSession)
-    return materialise(chunks(docs, id_col, text_col, vocabulary), "chunks")
+    return bucketed(chunks(docs, id_col, text_col, vocabulary), "chunks", "chunk")
 
 
 def _lists(stored: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def packed(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise(), dealt by a hash of the key as an exchange would deal it: what is joined by the key later need not
+    move.  The table's entry in the catalogue goes as soon as it is read; its files stay."""
+    spark = df.sparkSession
+    table = f"stratalex_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stratalex/{name}-{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    out = spark.table(table)
+    out._stratalex_path = path
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
