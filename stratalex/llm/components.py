@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from stratalex.llm.common import discard, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """large: link every larger neighbour of a node to the least of the node and its neighbours.
-    small: link the smaller neighbours of a node, and the node, to the least of them."""
+    small: link the smaller neighbours of a node, and the node, to the least of them.
+    Also returns the table of minima, for discard()."""
     if large:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -25,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,9 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        nxt = materialise(_star(_star(edges, True), False), "edges")
+        large, least = _star(edges, True)
+        large = materialise(large, "edges")
+        discard(edges, least)
+        small, least = _star(large, False)
+        nxt = materialise(small, "edges")
+        discard(large, least)
         after = _state(nxt)
-        discard(edges)
         edges = nxt
         if after == before:
             break

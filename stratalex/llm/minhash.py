@@ -9,7 +9,7 @@ compressed, once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalex.llm.common import materialise, tune, type_of, whole
+from stratalex.llm.common import discard, materialise, tune, type_of, whole
 from stratalex.llm.components import components
 
 PERMUTATIONS = 128
@@ -30,6 +30,8 @@ SHINGLE = 5
 #: probability 1 - (1 - 0.8**4)**32 > 0.9999999.
 BANDS, ROWS = 32, 4
 LEAST = 0.8
+#: Rounds of drawn pairs in groups of several components.
+DRAWS = 2
 #: Buckets of shingles whose counts order the prefix join, and what rounding may take from a bound.
 BUCKETS = 1 << 20
 EPS = 1e-9
@@ -45,14 +47,18 @@ def split(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """32-bit hashes of the shingles, in order; of fewer words the whole sequence is the one shingle; of none, none."""
+def full_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles, in order; of fewer words the whole sequence is the one shingle; of none, none."""
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
-        return np.array([_HASH(b" ".join(words)) >> 32], np.uint64)
-    got = np.fromiter(map(_HASH, map(b" ".join, zip(*(words[i:] for i in range(size))))), np.uint64, len(words) - size + 1)
-    return got >> np.uint64(32)
+        return np.array([_HASH(b" ".join(words))], np.uint64)
+    return np.fromiter(map(_HASH, map(b" ".join, zip(*(words[i:] for i in range(size))))), np.uint64, len(words) - size + 1)
+
+
+def hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """32 bits of the shingles' hashes."""
+    return full_hashes(words, size) >> np.uint64(32)
 
 
 def minima(h: np.ndarray) -> np.ndarray:
@@ -183,16 +189,19 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return both.select(F.col("id").alias(id_col), "n_chars", text("edited_sha256").alias("edited_sha256"), text("sig").alias("fingerprint"), text("edited_sig").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, shingles): the signature and the sorted distinct shingle hashes (their 32 bits as ints) of each document."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(id, sig, shingles, fp): the signature and the sorted distinct shingle hashes (their 32 bits as ints) of each
+    document, and what `fingerprint` makes of its 64-bit ones (as a signed long; else 0)."""
     tune(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [np.unique(hashes(split(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(minima(x)) for x in h], pa.binary()), pa.array([x.astype(np.uint32).view(np.int32) for x in h], pa.list_(pa.int32()))], names=["id", "sig", "shingles"])
+            full = [full_hashes(split(t.as_py())) for t in b.column(1)]
+            h = [np.unique(x >> np.uint64(32)) for x in full]
+            fp = np.array([fingerprint(x) if fingerprint else 0 for x in full], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(minima(x)) for x in h], pa.binary()), pa.array([x.astype(np.uint32).view(np.int32) for x in h], pa.list_(pa.int32())), pa.array(fp)], names=["id", "sig", "shingles", "fp"])
 
-    return docs.select(F.col(id_col), whole(text_col).alias("text")).mapInArrow(make, f"id {type_of(docs, id_col)}, sig binary, shingles array<int>")
+    return docs.select(F.col(id_col), whole(text_col).alias("text")).mapInArrow(make, f"id {type_of(docs, id_col)}, sig binary, shingles array<int>, fp long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -242,33 +251,66 @@ def _prefix_candidates(sets: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("classa").alias("a"), F.col("classb").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def _named(classes: DataFrame, tree: DataFrame) -> DataFrame:
+    """(class, root)."""
+    return classes.select("class").join(tree, F.col("class") == tree.node, "left").select("class", F.coalesce("root", "class").alias("root"))
+
+
+def _drawn(members: DataFrame, turn: int) -> DataFrame:
+    """members(key, class, n, root) of groups in several components -> (a, b): pairs of different roots, drawn within each
+    group by dealing it into n / 2 slots: as many pairs as members at most."""
+    slot = F.pmod(F.xxhash64("class", "key", F.lit(turn)), F.ceil(F.col("n") / 2))
+    ends = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("class", "root")).alias("x"), F.max(F.struct("class", "root")).alias("y"))
+    return ends.filter("x.root <> y.root").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, fingerprint: Callable[[np.ndarray], int] | None = None, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per document: id and component_id, the least id that links of verified similarity reach.
 
     Documents of equal shingles are one class, and classes that share a band form a group.  First each class of a group is
-    compared with the group's least one.  Where this leaves a group in several components, all pairs of its classes that
-    lie in different ones are settled by an exact prefix join, so no pair of a shared band is left out.  Similarities are
-    exact, over shingle sets.
+    compared with the group's least one (and with those that `also` names: classes(class, fp) -> (a, b)).  Groups that are
+    then of several components get DRAWS rounds of drawn pairs, which join what is much alike at a cost that grows with the
+    group alone.  All pairs of classes that still lie in different components are settled by an exact prefix join, so no
+    pair of a shared band is left out.  Similarities are of the sets of 32-bit shingle hashes.
+
+    A null text counts as empty; texts without words are alike.  Rows with a null id take part and get the least id of
+    their component (null if it has none); repeated rows each return; texts of any length are read whole; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
-    made = materialise(signatures(docs, id_col, text_col).withColumn("class", F.xxhash64("shingles")), "signatures")
-    classes = materialise(made.groupBy("class").agg(F.min("id").alias("least"), F.first("sig").alias("sig")), "classes")
+    made = materialise(signatures(docs, id_col, text_col, fingerprint).withColumn("class", F.xxhash64("shingles")), "signatures")
+    classes = materialise(made.groupBy("class").agg(F.min("id").alias("least"), F.first("sig").alias("sig"), F.min("fp").alias("fp")), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("sig", i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("key"))))
     banded = classes.select("class", band.alias("b")).select("class", F.xxhash64("b.band", "b.key").alias("key"))
     banded = materialise(banded, "banded")
-    leaders = materialise(banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader"), "leaders")
+    leaders = materialise(banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaders")
     grouped = materialise(banded.join(leaders, "key"), "grouped")
-    stars = materialise(grouped.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    sets = made.select("class", "shingles").join(grouped.select("class").distinct(), "class", "left_semi")
+    discard(banded, leaders)
+    stars = grouped.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
+    pairs = stars if also is None else stars.unionAll(also(classes.select("class", "fp")))
+    pairs = materialise(pairs.distinct(), "pairs")
+    compared = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = made.select("class", "shingles").join(compared, "class", "left_semi")
     sets = materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-    tree = materialise(components(_alike(stars, sets, least)), "tree")
-    labels = materialise(sets.select("class").join(tree, F.col("class") == tree.node, "left").select("class", F.coalesce("root", "class").alias("root")), "labels")
-    member = grouped.select("key", "class").join(labels, "class")
-    mixed = materialise(member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "mixed")
-    unsettled = grouped.select("key", "class").join(mixed, "key", "left_semi").select("class").distinct()
-    unsettled = materialise(sets.join(labels.join(unsettled, "class", "left_semi"), "class"), "unsettled")
-    found = _alike(materialise(_prefix_candidates(unsettled, least), "candidates"), sets, least)
-    tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
-    named = classes.join(tree, classes["class"] == tree.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    tree = materialise(components(_alike(pairs, sets, least)), "tree")
+    discard(pairs)
+    members, held = grouped.select("key", "class", "n"), grouped
+    for turn in range(DRAWS + 1):
+        labels = materialise(_named(sets, tree), "labels")
+        named = materialise(members.join(labels, "class"), "members")
+        mixed = materialise(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "mixed")
+        open_ = materialise(named.join(mixed, "key", "left_semi"), "open")
+        discard(named, mixed, held)
+        if turn == DRAWS:
+            unsettled = materialise(sets.join(open_.groupBy("class").agg(F.min("root").alias("root")), "class"), "unsettled")
+            found = materialise(_prefix_candidates(unsettled, least), "candidates")
+        else:
+            found = materialise(_drawn(open_.filter("n > 2"), turn), "drawn")
+            members = open_.select("key", "class", "n")  # settled groups stay so
+        grown = materialise(components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(_alike(found, sets, least))), "tree")
+        discard(tree, found, labels)
+        tree, held = grown, open_
+    named = classes.select("class", "least").join(tree, classes["class"] == tree.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = materialise(named.join(roots, "root").select("class", "component_id"), "class-component")
+    discard(held, sets)
     return made.select("id", "class").join(by_class, "class").select(F.col("id").alias(id_col), "component_id")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalex.llm import minhash
 from stratalex.llm.common import materialise, tune, type_of
 from stratalex.llm.components import components
 
@@ -41,7 +42,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(_HASH, shingles), np.uint64, max(1, len(w) - words + 1))
+    return of_hashes(np.fromiter(map(_HASH, shingles), np.uint64, max(1, len(w) - words + 1)))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles by their 64-bit hashes; of none 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
@@ -212,3 +217,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = materialise(rooted.join(named, "root").select("fp", "component_id"), "fp-component")
     return made.join(by_fp, "fp", "left").select(id_col, "fp", "component_id")
+
+
+def class_links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """classes(class, fp) -> (a, b): classes to compare, since their fingerprints are equal or chains of at most `bits`
+    differing bits connect them.  Each fingerprint is represented by its least class."""
+    least = materialise(classes.groupBy("fp").agg(F.min("class").alias("least")), "fp-class")
+    equal = classes.join(least, "fp").filter(F.col("class") != F.col("least")).select(F.col("least").alias("a"), F.col("class").alias("b"))
+    near = links(least.select("fp"), bits)
+    ends = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("ca")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("cb")), "b")
+    return equal.unionAll(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct()
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = minhash.LEAST) -> DataFrame:
+    """One row per document: id and component_id, the least id that links of a five-word Jaccard similarity of at least
+    `least` reach.
+
+    Candidates are the links of five-word SimHash fingerprints through the Gray-order index.  Within the two bits that the
+    index finds for certain lie few pairs of that similarity (a pair at 0.8 differs in some ten of 64 bits), so the bands of
+    minhash.near_duplicates() add the others; each link of either is verified, and pairs that it does not bear out are
+    dropped.  Nulls, empty texts, repeats, empty tables and other columns are as there.
+    """
+    return minhash.near_duplicates(docs, id_col, text_col, least, fingerprint=of_hashes, also=class_links)

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline as cp
 
-from stratalex.llm import minhash
+from stratalex.llm import minhash, simhash
 
 from .helpers import frame
 
@@ -16,7 +16,7 @@ def words(rng, n):
 
 def shingles(text):
     w = text.lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def brute(texts):
@@ -47,6 +47,39 @@ def test_frequent_passage(spark):
     assert missed == []
 
 
+def test_candidates_of_either_kind(spark, monkeypatch):
+    """Links within two bits are candidates too, and only verified ones count."""
+    rng = random.Random(11)
+    base = words(rng, 400)
+    texts = [" ".join(base), " ".join(base + words(rng, 1)), " ".join(words(rng, 400)), "", None, "a b", "a b", "a b c"]
+    want = brute([t or "" for t in texts])
+    # Texts without words are alike, and so are equal short ones.
+    assert want[3:7] == [3, 3, 5, 5]
+    plain = {r.doc_id: r.component_id for r in simhash.verified_duplicates(frame(spark, texts)).collect()}
+    assert [plain[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    monkeypatch.setattr(minhash, "ROWS", 128)  # no band is shared by different texts
+    few = {r.doc_id: r.component_id for r in simhash.verified_duplicates(frame(spark, texts)).collect()}
+    assert [few[i] for i in range(len(texts))] == want
+    assert simhash.verified_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_recall_of_the_bands(spark):
+    """Pairs at 0.8 and above, found without the prefix join's help: one text and one edited copy each."""
+    rng, texts = random.Random(23), []
+    for k in range(150):
+        base = words(rng, 300)
+        texts.append(" ".join(base))
+        at = rng.randrange(0, 300 - 33)
+        base[at : at + 20 + k % 8] = words(rng, 20 + k % 8)
+        texts.append(" ".join(base))
+    want = brute(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+    linked = [i for i in range(len(texts)) if want[i] != i]
+    assert len(linked) > 100 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == want[i] for i in range(len(texts)) if i not in linked)
+
+
 def test_near_stage_finds_scattered_edits(spark):
     rng, texts, kept = random.Random(5), [], []
     for n in (100, 300, 1000):

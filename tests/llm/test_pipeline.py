@@ -7,7 +7,8 @@ from stratalex.llm import mixing
 from stratalex.llm.common import read
 from stratalex.llm.queries import queries
 
-from .test_dedup import brute_components, lower, plain_fingerprint
+from .test_dedup import lower
+from .test_near_pairs import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +41,7 @@ def test_stages(spark, stages):
         groups[lower(r["text"])] = max(groups.get(lower(r["text"]), -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in exact[1]) == sorted(groups.values())
     rows = sorted(near[0], key=lambda r: r["doc_id"])
-    root = brute_components([plain_fingerprint(r["text"]) for r in rows])
+    root = brute([r["text"] or "" for r in rows])
     assert sorted(r["doc_id"] for r in near[1]) == sorted({rows[k]["doc_id"] for k in root})
     plan = {r.doc_id: r.copies for r in mixing.mix(stages[3][0]).collect()}
     times = {}
