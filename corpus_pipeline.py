@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import bpe, exact_dedup, minhash, mixing, quality
+from stratalex.llm import bpe, exact_dedup, mixing, quality, simhash
 from stratalex.llm.common import materialise, read
 from stratalex.llm.queries import vocabulary_path
 
@@ -29,7 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null id stay, and so does an id that different texts share if one of them stands for its group.
     """
-    found = materialise(minhash.near_duplicates(docs), "near")
+    found = materialise(simhash.verified_duplicates(docs), "near")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.filter(~stays).select("doc_id").distinct().join(found.filter(stays).select("doc_id"), "doc_id", "left_anti")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
