@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from stratalex.functions import text as t
 from stratalex.functions.text import let, norm, squash, strip_chars
 from stratalex.operators.windows import by_precedence, fill_dittos, first_wins, greedy_containment
+from stratalex.storage import materialise
 
 # What headers and lines to skip look like.
 HEADER_KEYS = ("description", "qty", "quantity", "part no", "part number", "part nr", "sku", "serial")
@@ -169,7 +170,8 @@ def _flat(df: DataFrame, doc: str) -> DataFrame:
 
 def under_header(docs: DataFrame, doc: str = "source_file") -> DataFrame:
     """Rows below the first description header of each document, up to two blank lines or a line to skip after an item."""
-    lines = _lines(docs, doc, split_lines)
+    # A header names a description: other documents' lines need not be split, nor meet.
+    lines = _lines(docs.filter(F.lower("text").contains("description")), doc, split_lines)
     whole = W.partitionBy(doc)
     header_at = F.min(F.when(is_description_header(F.col("line")), F.col("pos"))).over(whole)
     df = lines.withColumn("at", header_at).filter("pos >= at")
@@ -189,13 +191,16 @@ def under_header(docs: DataFrame, doc: str = "source_file") -> DataFrame:
 
 def serial_block(docs: DataFrame, doc: str = "source_file") -> DataFrame:
     """Rows with NA as serial number, if a document has at least three."""
-    df = _lines(docs, doc, split_lines).withColumn("item", serial_item(F.col("line"))).filter("item is not null")
+    rows = _lines(docs.filter(F.col("text").rlike(r"(?i)\sN/?A\b")), doc, split_lines).filter(F.col("line").rlike(r"(?iU)\sN/?A\b"))
+    df = rows.withColumn("item", serial_item(F.col("line"))).filter("item is not null")
     df = df.filter(~skip_line(F.col("item.description")))
     return _flat(df.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(doc))).filter(F.col("n") >= SERIAL_ROWS), doc)
 
 
 def free_lines(docs: DataFrame, doc: str = "source_file") -> DataFrame:
-    return _flat(_lines(docs, doc, split_any_lines).withColumn("item", free_text_item(F.col("line"))), doc)
+    # A product line has a word and a digit or a part number, which has a digit or a mark.
+    rows = _lines(docs, doc, split_any_lines).filter(F.col("line").rlike(r"[\d\-/_]") & F.col("line").rlike("[A-Za-z]{3}"))
+    return _flat(rows.withColumn("item", free_text_item(F.col("line"))), doc)
 
 
 def _map_columns(header: Column) -> Column:
@@ -243,16 +248,19 @@ def extract_lines(docs: DataFrame, doc: str = "source_file", page: int | None =
 
     Of each document the first strategy that finds rows counts: tables, rows under a header, a serial block, free lines.
     """
-    found = [under_header(docs, doc), serial_block(docs, doc), free_lines(docs, doc)]
+    found = [under_header(docs, doc), serial_block(docs, doc)]
     if "tables" in docs.columns:
         found.insert(0, table_rows(docs, doc))
     every = found[0].withColumn("way", F.lit(0))
     for k, df in enumerate(found[1:], 1):
         every = every.unionByName(df.withColumn("way", F.lit(k)))
     from_table = F.lit("tables" in docs.columns) & (F.col("way") == 0)
+    # Few documents have a header, a table or serial numbers: free lines are all that the others shuffle.
+    every = materialise(by_precedence(every, [doc], "way"), "lines")
+    rest = free_lines(docs, doc).join(every.select(doc).distinct(), doc, "left_anti").withColumn("way", F.lit(len(found)))
+    chosen = every.unionByName(rest)
     # A ditto looks at the rows before repeats go, except under free text and tables, where repeats go first.
-    chosen = by_precedence(every, [doc], "way")
-    free = from_table | (F.col("way") == len(found) - 1)
+    free = from_table | (F.col("way") == len(found))
     keys = [F.upper(F.coalesce("part_number", F.lit(""))).alias("k1"), norm(F.col("description")).alias("k2"), F.when(from_table, "").otherwise(norm(F.col("raw_text"))).alias("k3")]
     late = first_wins(chosen.filter(free), [doc], keys, ["pos"])
     late = fill_dittos(late, [doc], ["pos"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratalex.functions.text import norm, squash, strip_chars, valid_description
+from stratalex.storage import materialise
 
 DITTO_MARK = '"'
 
@@ -25,12 +26,18 @@ def number_lines(df: DataFrame, doc: list[str], order: list[str], name: str = "l
 
 
 def number_all(df: DataFrame, doc: str, order: str, name: str = "line_number") -> DataFrame:
-    """1, 2, ... over all documents in the order of doc.  Only one count per document meets in one place; rows are
-    numbered within their document and moved by the rows of the documents before it."""
-    counts = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col(doc).alias("_doc"), (F.sum("_n").over(W.orderBy(doc)) - F.col("_n")).alias("_before"))
-    own = df.withColumn("_own", F.row_number().over(W.partitionBy(doc).orderBy(order)))
-    return own.join(before, F.col(doc).eqNullSafe(F.col("_doc"))).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_doc", "_before")
+    """1, 2, ... over all documents in the order of doc, then of order.
+
+    Rows are dealt by ranges and sorted within them; each is numbered within its range and moved by the rows of the ranges
+    before it.  Only one count per range meets in one place, however many documents or rows there are.
+    """
+    ranged = df.repartitionByRange(doc, order).sortWithinPartitions(doc, order)
+    at = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")  # range << 33, plus the place in it
+    counts = at.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    moved = at.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_range"))  # a row per range of a shuffle
+    return moved.withColumn(name, F.col("_before") + place + 1).drop("_at", "_range", "_before")
 
 
 def first_wins(df: DataFrame, doc: list[str], keys: list[Column], order: list[str]) -> DataFrame:

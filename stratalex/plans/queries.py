@@ -189,27 +189,31 @@ SELECT item_id, doc_id, bm25 FROM s QUALIFY row_number() OVER (PARTITION BY item
 def bm25_topk(spark, sf_dir):
     """The 25 best documents of each query by BM25 over its first twelve words."""
     docs = read(spark, sf_dir, "documents")
-    terms = materialise(index.term_table(docs, "doc_id", t.tokenize(F.col("text"))), "terms")
-    total = docs.count()
-    mean = terms.agg(F.sum("tf") / F.count_distinct("doc_id")).first()[0] or 1.0
     asked = _query_tokens(spark, sf_dir).select(F.col("q").alias("item_id"), F.explode(index.first_terms(F.col("tokens"))).alias("term"))
-    return index.bm25(asked, terms, total, mean, "item_id", "doc_id", digits=6)
+    # Only words that some query has are worth a shuffle; a document's length comes along as a row without a word.
+    each = docs.select("doc_id", t.tokenize(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    each = each.select("doc_id", F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
+    each = each.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left").filter("asked or term is null")
+    terms = materialise(each.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    total = docs.count()
+    mean = terms.filter("term is null").agg(F.avg("length")).first()[0] or 1.0
+    return index.bm25(asked, terms.filter("term is not null"), total, mean, "item_id", "doc_id", digits=6)
 
 
 @query(f"""{_INDEX_SQL}, r AS (SELECT item_id, token, df, row_number() OVER (PARTITION BY item_id ORDER BY df, token) AS rk FROM q JOIN df USING (token)),
-e AS (SELECT * FROM r WHERE rk = 1 OR df <= 250), h AS (SELECT item_id, doc_id, min(rk) AS rk FROM e JOIN post USING (token) GROUP BY item_id, doc_id),
+e AS (SELECT * FROM r WHERE rk = 1 OR df <= {index.LONG}), h AS (SELECT item_id, doc_id, min(rk) AS rk FROM e JOIN post USING (token) GROUP BY item_id, doc_id),
 p AS (SELECT item_id, rk, count(*) AS new FROM h GROUP BY item_id, rk),
 c AS (SELECT item_id, rk, coalesce(sum(new) OVER (PARTITION BY item_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found FROM p)
-SELECT h.item_id, h.doc_id FROM h JOIN c ON h.item_id = c.item_id AND h.rk = c.rk WHERE found <= 80""")
+SELECT h.item_id, h.doc_id FROM h JOIN c ON h.item_id = c.item_id AND h.rk = c.rk WHERE found <= {index.ENOUGH}""")
 def candidate_cap(spark, sf_dir):
-    """Candidates of each query under a cap of 80, skipping postings over 250."""
-    posted = materialise(_posted(spark, sf_dir), "postings")
+    """Candidates of each query: no further word once ENOUGH were found, postings over LONG skipped."""
     asked = _query_tokens(spark, sf_dir).select(F.col("q").alias("item_id"), F.explode("tokens").alias("token"))
-    return index.capped_candidates(asked, posted, index.doc_frequency(posted), "item_id", "doc_id", long=250, enough=80)
+    posted = materialise(_posted(spark, sf_dir).join(asked.select("token").distinct(), "token", "left_semi"), "postings")
+    return index.capped_candidates(asked, posted, index.doc_frequency(posted), "item_id", "doc_id")
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Ten parts as queries over all distinct descriptions as lines."""
+    """All part names as queries over all distinct descriptions as lines."""
     part = read(spark, sf_dir, "part")
     kinds = part.select("p_name", "p_type").distinct().withColumn("id", F.concat_ws("|", "p_name", "p_type"))
     search = F.concat_ws(" ", "p_name", "p_type")
