@@ -1,6 +1,6 @@
 """Command line: classify one description, or the files below a path.
 
-    python -m stratalex --tariff DIR --describe "Engine oil 5L"
+    python -m stratalex --tariff DIR --describe "Garden hose reel"
     python -m stratalex --tariff DIR --file_path invoices --decoder mypackage.decoders:read --output out.json --format both
     python -m stratalex --tariff DIR --rebuild schedule.txt --source_date 2026-08-28
 

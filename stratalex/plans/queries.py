@@ -275,8 +275,8 @@ def rule_dispatch(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", rules.rule_id(F.concat_ws(" ", "p_name", "p_type"), PART_RULES).alias("rule"))
 
 
-_GOODS = ["Sealing compound - TIN", "Anti Seize Compound - 500g", "PVA wood adhesive - 750g", "PVA adhesive 25kg drum", "Portland cement 50 kg bag", "Bituminous mastic", "Mechanical seal", "TECTYL 891D spray", "Nyco Hydraulic Fluid - LT", "Engine oil 5L", "Anti-rust primer", "Laptop computer"]
-_GOODS_RULES = ["mastic_3214 3214.10.00", "lubricant_3403 3403.99.90", "adhesive_3506 3506.10.00", "adhesive_3506 3506.91.00", "hydraulic_cement_2523 2523.29.00", "bituminous_mastic_2715 2715.00.20", "mechanical_seal_8484 8484.20.00", "surface_coating_3403_19 3403.19.10", "synthetic_hydraulic_3403 3403.99.90", "petroleum_oil_2710 -", "- -", "- -"]
+_GOODS = ["Clear silicone sealant", "Copper slip in a pot", "Wood glue, 500 g", "Epoxy adhesive, 20 kg", "White portland cement", "Asphalt sealants for gutters", "Bearing seals", "Tectyl wax as an aerosol", "Hydraulic oils", "Crankcase oils", "Rust preventing primer", "Garden chairs"]
+_GOODS_RULES = ["mastic_3214 3214.10.00", "lubricant_3403 3403.99.90", "adhesive_3506 3506.10.00", "adhesive_3506 3506.91.00", "hydraulic_cement_2523 2523.21.00", "bituminous_mastic_2715 2715.00.20", "mechanical_seal_8484 8484.20.00", "surface_coating_3403_19 3403.19.10", "synthetic_hydraulic_3403 3403.99.90", "petroleum_oil_2710 -", "- -", "- -"]
 
 
 @query(f"SELECT p_partkey, list_element([{', '.join(f'{chr(39)}{x}{chr(39)}' for x in _GOODS_RULES)}], CAST(p_partkey % {len(_GOODS)} AS INT) + 1) AS outcome FROM part")

@@ -10,7 +10,7 @@ CHAPTER 27
 MINERAL FUELS
 27.10          Petroleum oils:
 2710.12.00   7 - Light spirit  kg  5%
-2710.19.30   1 - Engine oil  li  10%  free
+2710.19.30   1 - Oil for crankcases  li  10%  free
 CHAPTER 32
 PUTTY
 32.14          Mastics
@@ -25,7 +25,7 @@ def read(path, content):
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "s.txt").write_text(SCHEDULE)
     tariff = str(tmp_path / "tariff")
-    assert main(["--tariff", tariff, "--rebuild", str(tmp_path / "s.txt"), "--source_date", "2026-08-28", "--describe", "Engine oil 5L", "--quantity", "4"], spark) == 0
+    assert main(["--tariff", tariff, "--rebuild", str(tmp_path / "s.txt"), "--source_date", "2026-08-28", "--describe", "Crankcase oils", "--quantity", "4"], spark) == 0
     got = json.loads(capsys.readouterr().out)
     assert got[0]["hs_code"] == "2710.19.30" and got[0]["quantity"] == 4 and got[0]["duty_rate_general"] == "10%"
     corpus = build.load(spark, tariff)

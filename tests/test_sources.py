@@ -7,7 +7,7 @@ from stratalex.schemas import DOCUMENTS, TARIFF_LINES
 from stratalex.sources.documents import decode_documents, list_inputs, pasted_text, read_schedule
 from stratalex.streaming.documents import classify_stream
 
-TEXT = "CS1900 Sealing compound - TIN 10\n4 x Engine oil 5L\nand some more letters to be enough"
+TEXT = "SL-20 Clear silicone sealant 10\n4 x Garden hose reel\nand some more letters to be enough"
 
 
 def test_files(spark, tmp_path):
@@ -40,4 +40,4 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(DOCUMENTS).parquet(str(tmp_path / "in"))
     classify_stream(stream, corpus, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).filter(F.col("line_number") == 1).first()
-    assert (got.source_file, got.hs_code, got.part_number) == ("one", "3214.10.00", "CS1900")
+    assert (got.source_file, got.hs_code, got.part_number) == ("one", "3214.10.00", "SL-20")
