@@ -16,6 +16,8 @@ from stratalex.functions import rules
 from stratalex.functions import text as t
 from stratalex.operators import hierarchy, index, lines, rank, verify, windows
 from stratalex.operators.corpus import heading_text
+from stratalex.plans import generated
+from stratalex.plans.generated import fuzzy_sql
 from stratalex.sources import sinks
 from stratalex.storage import materialise
 
@@ -246,12 +248,12 @@ def full_score(spark, sf_dir):
     return _part_scores(spark, sf_dir)[0]
 
 
-@query()
+@query(fuzzy_sql(ORACLE["full_score"]))
 def fuzzy_rerank(spark, sf_dir):
-    """The first eight of each query, ranked anew with the token-set ratio."""
+    """All candidates of each query, the first eight ranked anew with the token-set ratio."""
     scored, asked, these = _part_scores(spark, sf_dir)
-    head = rank.top_k(scored, "q", "id", rank.HEAD).drop("place").join(asked.select("q", "expanded"), "q").join(these.select("id", "legal_path"), "id")
-    return rank.fuzzy_rerank(head, "expanded", "legal_path", "q", "id").select("q", "id", "score", "place")
+    both = materialise(scored, "scored").join(asked.select("q", "expanded"), "q").join(these.select("id", "legal_path"), "id")
+    return rank.fuzzy_rerank(both, "expanded", "legal_path", "q", "id").select("q", "id", "score", "place")
 
 
 # Rules ---------------------------------------------------------------------------------------------------------------
@@ -314,13 +316,6 @@ def exact_dedup(spark, sf_dir):
     return windows.first_wins(df, ["source"], [F.col("h1"), F.col("h2")], ["doc_id"]).select("doc_id", "source")
 
 
-@query()
-def containment_dedup(spark, sf_dir):
-    """Part names of a brand, without those that lie in one kept before."""
-    df = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    return df.select("p_brand", F.explode(windows.greedy_containment(F.col("names"))).alias("p_name"))
-
-
 @query(r"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(l, '[A-Za-z]{3,}')) AS n_valid, count(*) FILTER (h >= 2) AS n_header, CAST(sum(length(l)) AS BIGINT) AS n_chars FROM (
   SELECT doc_id, l, (contains(lower(l), 'description')::INT + contains(lower(l), 'qty')::INT + contains(lower(l), 'quantity')::INT + contains(lower(l), 'part no')::INT + contains(lower(l), 'part number')::INT + contains(lower(l), 'part nr')::INT + contains(lower(l), 'sku')::INT + contains(lower(l), 'serial')::INT) AS h
   FROM (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS l FROM documents)) GROUP BY doc_id""")
@@ -460,8 +455,8 @@ def public_projection(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | generated.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | generated.ORACLE
