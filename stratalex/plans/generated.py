@@ -6,6 +6,7 @@ and never parses.  Strings are built by the same expression in both dialects; {s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -201,3 +202,253 @@ u AS (SELECT DISTINCT both_, with_x, with_y FROM z WHERE NOT whole),
 f AS (SELECT both_, with_x, with_y, {_indel('with_x', 'with_y')} AS xy, {_indel('both_', 'with_x')} AS bx, {_indel('both_', 'with_y')} AS by_ FROM u),
 n AS (SELECT q, id, round(score + CASE WHEN several THEN CASE WHEN whole THEN 100.0 WHEN any_ THEN greatest(xy, bx, by_) ELSE xy END / 100 * {rank.FUZZY} ELSE 0 END, 6) AS score FROM z LEFT JOIN f USING (both_, with_x, with_y))
 SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS place FROM n UNION ALL SELECT q, id, score, CAST(place AS INT) AS place FROM p WHERE place > {rank.HEAD}"""
+
+
+# Schedules: one for each brand, five headings to a chapter, a heading for each part -------------------------------------
+_NTH = "(SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)"
+_PLACED = f"SELECT *, lpad(CAST(CAST(floor(i / 5) AS INT) + 1 AS {{s}}), 2, '0') AS kk, lpad(CAST(i % 5 + 1 AS {{s}}), 2, '0') AS nn FROM {_NTH}"
+_OPENING = "CASE WHEN i % 5 = 0 THEN '  CHAPTER ' || CAST(CAST(floor(i / 5) AS INT) + 1 AS {s}) || '{n}WARES OF' || '{n}' || 'KIND ' || kk || '{n}' || CASE WHEN i % 10 = 0 THEN 'NOTES:' || '{n}' || '1. Kind ' || kk || ' is for the yard.' || '{n}' ELSE '' END ELSE '' END"
+_BLOCK = (
+    "kk || '.' || nn || '          ' || p_name || ':' || '{n}' || kk || nn || '.10   4 - ' || lower(p_type) || ' goods   kg  5%   free' || '{n}' || 'Date: 2026-01-01' || '{n}'"
+    " || CASE WHEN i % 2 = 1 THEN kk || nn || '.10.20   6 -- of size ' || CAST(p_size AS {s}) || '   u  20%' || '{n}' ELSE '' END"
+    " || kk || nn || '.90.00   7 - Other  li  ' || CASE WHEN i % 3 = 0 THEN '450c/kg with a' || '{n}' || '              maximum of 15%' ELSE '1,5%' END || CASE WHEN i % 4 = 1 THEN '{n}' || '     than those above' ELSE '' END"
+)
+
+
+def _schedules(spark, sf_dir) -> DataFrame:
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    placed = spark.sql(_PLACED.format(s="STRING"))
+    line = (_OPENING + " || " + _BLOCK).format(s="STRING", n="\\n")
+    return materialise(_text(placed.withColumn("line", F.expr(line)), "p_brand", "i", "line"), "schedules")
+
+
+_TARIFF_SQL = f"""WITH g AS ({_PLACED.format(s='VARCHAR')}), r AS (
+SELECT p_brand, i, 0 AS nth, kk || '.' || nn AS raw_code, kk || nn AS digits, NULL AS check_digit, p_name || ':' AS description, p_name AS legal_path, NULL AS statistical_unit, NULL AS duty_general, NULL AS duty_eu_uk, false AS is_leaf, NULL AS hs_code, 0 AS level, kk, nn FROM g
+UNION ALL SELECT p_brand, i, 1, kk || nn || '.10', kk || nn || '10', '4', lower(p_type) || ' goods', p_name || ' | ' || lower(p_type) || ' goods', 'kg', CASE WHEN i % 2 = 0 THEN '5%' END, CASE WHEN i % 2 = 0 THEN 'Free' END, i % 2 = 0, CASE WHEN i % 2 = 0 THEN kk || nn || '.10.00' END, 1, kk, nn FROM g
+UNION ALL SELECT p_brand, i, 2, kk || nn || '.10.20', kk || nn || '1020', '6', 'of size ' || p_size, p_name || ' | ' || lower(p_type) || ' goods | of size ' || p_size, 'u', '20%', NULL, true, kk || nn || '.10.20', 2, kk, nn FROM g WHERE i % 2 = 1
+UNION ALL SELECT p_brand, i, 3, kk || nn || '.90.00', kk || nn || '9000', '7', CASE WHEN i % 4 = 1 THEN 'Other than those above' ELSE 'Other' END, p_name || CASE WHEN i % 4 = 1 THEN ' | Other than those above' ELSE '' END, 'li', CASE WHEN i % 3 = 0 THEN '450c/kg with a maximum of 15%' ELSE '1.5%' END, NULL, true, kk || nn || '.90.00', 1, kk, nn FROM g)"""
+
+
+@query(f"{_TARIFF_SQL} SELECT p_brand AS source_file, row_number() OVER (PARTITION BY p_brand ORDER BY i, nth) AS id, hs_code, raw_code, digits, check_digit, kk AS chapter, kk || nn AS heading, description, legal_path, legal_path AS search_text, statistical_unit, duty_general, duty_eu_uk, is_leaf, level FROM r")
+def schedule_tariff(spark, sf_dir):
+    """Schedules with headings, wrapped descriptions and duties, page furniture, codes that others extend -> their tariff."""
+    rows = hierarchy.parse_rows(_schedules(spark, sf_dir))
+    return hierarchy.build_tariff(rows).select("source_file", "id", "hs_code", "raw_code", "digits", "check_digit", "chapter", "heading", "description", "legal_path", "search_text", "statistical_unit", "duty_general", "duty_eu_uk", "is_leaf", "level")
+
+
+@query(f"SELECT p_brand AS source_file, kk AS chapter, 'WARES OF KIND ' || kk AS title, CASE WHEN i % 10 = 0 THEN 'NOTES: 1. Kind ' || kk || ' is for the yard.' ELSE '' END AS notes FROM ({_PLACED.format(s='VARCHAR')}) WHERE i % 5 = 0")
+def schedule_chapters(spark, sf_dir):
+    """Titles over two lines and notes of the chapters."""
+    return hierarchy.chapters(_schedules(spark, sf_dir))
+
+
+@query(f"{_TARIFF_SQL} SELECT count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, CAST(0 AS BIGINT) AS unknown_duty, (SELECT count(*) FROM g WHERE i % 5 = 0) AS chapters FROM r")
+def schedule_counts(spark, sf_dir):
+    docs = _schedules(spark, sf_dir)
+    return hierarchy.build_counts(hierarchy.build_tariff(hierarchy.parse_rows(docs)), hierarchy.chapters(docs))
+
+
+# A corpus: a leaf for each part, ten to a heading, with words of its own ------------------------------------------------
+_WORD = "translate(CAST({x} AS {{s}}), '0123456789', 'bcdfghjklm')"
+_HEADING = "lpad(CAST(CAST(floor(p_partkey / 10) AS INT) % 9900 + 100 AS {s}), 4, '0')"
+_SUB = "CAST(p_partkey % 10 AS {s}) || '5'"
+_TAIL = "lpad(CAST(CAST(floor(p_partkey / 99000) AS INT) AS {s}), 2, '0')"
+_WARES = f"""SELECT p_partkey, p_name, {_HEADING} AS heading, {_HEADING} || '.' || {_SUB} || '.' || {_TAIL} AS code, 'Ware of zh' || {_WORD.format(x='floor(p_partkey / 10) * 10')} AS heading_text,
+  'zq' || {_WORD.format(x='p_partkey')} || ' zr' || {_WORD.format(x='p_partkey')} AS own, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'Free' WHEN 1 THEN '5%' ELSE '40% or 2c/kg' END AS duty FROM part"""
+_WARES = _WARES.replace("CAST(floor(p_partkey / 10) * 10 AS", "CAST(CAST(floor(p_partkey / 10) AS INT) * 10 AS")
+_DATE = "28 August 2026"
+
+
+def _wares(spark, sf_dir) -> DataFrame:
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return materialise(spark.sql(_WARES.format(s="STRING")), "wares")
+
+
+def _corpus(wares: DataFrame) -> Corpus:
+    none = F.lit(None).cast("string")
+    spare = [none.alias(c) for c in ("duty_eu_uk", "duty_efta", "duty_sadc", "duty_mercosur", "duty_afcfta")]
+    said = F.concat_ws(" ", "p_name", "own")
+    path = F.concat_ws(" | ", "heading_text", said)
+    code = F.regexp_replace("code", r"\.", "")
+    leaf = wares.select(F.col("p_partkey").alias("id"), F.col("code").alias("hs_code"), F.col("code").alias("raw_code"), code.alias("digits"), F.lit("1").alias("check_digit"), F.left("heading", F.lit(2)).alias("chapter"), "heading", said.alias("description"), path.alias("legal_path"), path.alias("search_text"), F.lit("kg").alias("statistical_unit"), F.col("duty").alias("duty_general"), *spare, F.lit(True).alias("is_leaf"), F.lit(1).alias("level"))
+    node = wares.select("heading", F.concat("heading_text", F.lit(":")).alias("t")).distinct()
+    node = node.select(F.lit(-1).cast("long").alias("id"), none.alias("hs_code"), F.col("heading").alias("raw_code"), F.col("heading").alias("digits"), none.alias("check_digit"), F.left("heading", F.lit(2)).alias("chapter"), "heading", F.col("t").alias("description"), F.col("t").alias("legal_path"), F.col("t").alias("search_text"), none.alias("statistical_unit"), none.alias("duty_general"), *spare, F.lit(False).alias("is_leaf"), F.lit(0).alias("level"))
+    return Corpus(materialise(leaf.unionByName(node), "tariff"), "2026-08-28")
+
+
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
+_ASK = "CASE WHEN p_partkey % 7 = 0 THEN p_name || ' ' || own WHEN p_partkey % 11 = 0 THEN split_part(own, ' ', 1) ELSE own END"
+_SHORT = "(p_partkey % 11 = 0 AND p_partkey % 7 <> 0)"
+_WRITTEN = "CASE CAST(p_partkey % 4 AS INT) WHEN 1 THEN code WHEN 2 THEN '3304.99.90' WHEN 3 THEN lag(code) OVER (ORDER BY p_partkey) END"
+_ITEMS_SQL = f"""WITH w AS ({_WARES.format(s='VARCHAR')}), x AS (SELECT *, {_ASK} AS ask, {_WRITTEN} AS written, lag(heading) OVER (ORDER BY p_partkey) AS before_heading, p_name || ' ' || own AS said, substr(heading, 1, 2) || '.' || substr(heading, 3, 2) AS hh FROM w),
+y AS (SELECT *, p_partkey % 4 = 3 AND before_heading = heading AS same_heading, CASE WHEN written IS NULL THEN '' WHEN written = code THEN 'ok' WHEN left(written, 2) = '33' AND left(code, 2) <> '33' THEN 'critical' ELSE 'incorrect' END AS flag,
+  code || ' falls in heading ' || hh || ': ' || heading_text || '. The schedule split reads: ' || said || '.' AS wording FROM x),
+z AS (SELECT *, lag(wording) OVER (ORDER BY p_partkey) AS before_wording FROM y)"""
+_REASON_SQL = f"""CASE WHEN {_SHORT} THEN '{_quoted(verify.INDICATIVE)}' ELSE '' END || 'Classified under ' || code || '. {_quoted(verify.GRI_1)} Heading ' || hh || ' covers: ' || heading_text || ':. {_quoted(verify.GRI_3A)} {_quoted(verify.GRI_6)} Subheading wording "' || said || '" is preferred to a residual Other provision. General duty: ' || duty || ' (SARS Schedule 1 Part 1, {_DATE}).'"""
+_EXPLAINED_SQL = f"""'Classified under the WCO Harmonized System as applied in SARS Schedule 1 Part 1 ({_DATE}). Recommended line. ' || wording || CASE WHEN written IS NULL THEN '' WHEN written = code THEN ' The handwritten code is that same 8-digit line. No change.'
+  WHEN flag = 'critical' THEN ' Written line. 3304.99.90 is not a declarable 8-digit line in this SARS Schedule 1 Part 1. {_quoted(verify.COSMETICS)}' WHEN p_partkey % 4 = 2 THEN ' Written line. 3304.99.90 is not a declarable 8-digit line in this SARS Schedule 1 Part 1.'
+  WHEN same_heading THEN ' Written ' || written || ' is another subheading of heading ' || hh || '. {_quoted(verify.GRI_1)} {_quoted(verify.GRI_3A)} {_quoted(verify.GRI_6)} ' || code || ' is the subheading whose terms describe these goods.'
+  ELSE ' Written line. ' || before_wording || ' {_quoted(verify.GRI_1)} {_quoted(verify.GRI_3A)} The written heading does not describe these goods. ' || code || ' is the line whose terms do.' END"""
+_NOTE_SQL = "CASE WHEN flag = '' THEN '' WHEN flag = 'ok' THEN 'Handwritten code matches.' WHEN flag = 'critical' THEN 'Handwritten 3304.99.90 is Chapter 33, cosmetics and skincare. These goods are ' || code || '.' WHEN p_partkey % 4 = 2 THEN 'Handwritten 3304.99.90 is not a declarable code on this schedule.' ELSE 'Handwritten ' || written || ' does not match ' || code || '.' END"
+
+
+def _items(wares: DataFrame) -> DataFrame:
+    """schemas.LINE_ITEMS: an order for every 50 parts."""
+    wares.createOrReplaceTempView("wares")
+    # The code before: of the part with the key before.
+    before = wares.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("code").alias("code_before"))
+    df = wares.join(before, "p_partkey", "left")
+    k = F.col("p_partkey")
+    written = F.when(k % 4 == 1, F.col("code")).when(k % 4 == 2, "3304.99.90").when(k % 4 == 3, F.col("code_before"))
+    none = F.lit(None)
+    return df.select(F.floor(k / 50).cast("string").alias("source_file"), (k % 50).cast("int").alias("pos"), none.cast("string").alias("part_number"), F.expr(_ASK).alias("description"), k.cast("double").alias("quantity"), F.lit("").alias("raw_text"), none.cast("int").alias("page"), written.alias("noted_code"), F.lit(False).alias("same_as_above")).to(spark_schema(wares))
+
+
+def spark_schema(df: DataFrame):
+    return df.sparkSession.createDataFrame([], LINE_ITEMS).schema
+
+
+@query(f"""{_ITEMS_SQL} SELECT CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR) AS source_file, CAST(p_partkey % 50 + 1 AS INT) AS line_number, ask AS description, CAST(p_partkey AS DOUBLE) AS quantity, code AS hs_code, duty AS duty_rate_general, flag, {_NOTE_SQL} AS flag_note, coalesce(written, '') AS handwritten_shown,
+  code || CASE WHEN flag = 'ok' THEN ' · No change' ELSE '' END AS recommended_label, hh || ' ' || heading_text || ':' AS header, {_EXPLAINED_SQL} AS explanation, CASE WHEN flag IN ('incorrect', 'critical') THEN {_NOTE_SQL} || ' ' || {_EXPLAINED_SQL} ELSE {_REASON_SQL} END AS wco_reasoning FROM z""")
+def classified_lines(spark, sf_dir):
+    """The whole classification: search, score, reasons, checks of written codes, explanations, numbers, headings."""
+    wares = _wares(spark, sf_dir)
+    done = classify.classify_lines(_items(wares), _corpus(wares), headers=True)
+    return done.select("source_file", "line_number", "description", "quantity", "hs_code", "duty_rate_general", "flag", "flag_note", "handwritten_shown", "recommended_label", "header", "explanation", "wco_reasoning")
+
+
+@query(f"{_ITEMS_SQL} SELECT code, heading AS code_heading, wording FROM z UNION ALL SELECT '0099.99.99', NULL, '0099.99.99 is not a declarable 8-digit line in this SARS Schedule 1 Part 1.'")
+def schedule_wordings(spark, sf_dir):
+    """The schedule's words for every code, and for one that it does not have."""
+    wares = _wares(spark, sf_dir)
+    codes = wares.select("code").unionAll(spark.createDataFrame([("0099.99.99",)], "code string"))
+    return verify.schedule_wording(codes, _corpus(wares))
+
+
+@query(f"""WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT p_partkey, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN '0099.88.00' WHEN 2 THEN (SELECT arg_min(code, p_partkey) FROM w) ELSE code END AS hs_code, CASE WHEN p_partkey % 4 = 2 THEN (SELECT arg_min(duty, p_partkey) FROM w) ELSE duty END AS duty_rate_general,
+  CASE WHEN p_partkey % 4 = 0 THEN true WHEN p_partkey % 4 = 2 THEN code <> (SELECT arg_min(code, p_partkey) FROM w) ELSE false END AS amended, CASE WHEN p_partkey % 4 = 1 THEN 'Enter an 8-digit HS code for ' || p_name || '.' END AS error FROM w""")
+def amended_lines(spark, sf_dir):
+    """Codes given by hand: one that the corpus lacks, one that is none, one that it has, none."""
+    wares = _wares(spark, sf_dir)
+    first = wares.agg(F.min_by("code", "p_partkey")).first()[0]
+    k = F.col("p_partkey")
+    edits = wares.select("p_partkey", F.when(k % 4 == 0, "009988").when(k % 4 == 1, "12").when(k % 4 == 2, first).otherwise("").alias("code"))
+    rows = wares.select("p_partkey", F.col("p_name").alias("description"), F.col("code").alias("hs_code"), F.col("code").alias("recommended_label"), F.col("duty").alias("duty_rate_general"))
+    return verify.amend(rows, edits, _corpus(wares), ("p_partkey",)).select("p_partkey", "hs_code", "duty_rate_general", "amended", "error")
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT code AS hs_code, substr(heading, 1, 2) || '.' || substr(heading, 3, 2) || ' ' || heading_text || ':' AS header FROM w")
+def heading_labels(spark, sf_dir):
+    """The heading and its wording for each leaf."""
+    return _corpus(_wares(spark, sf_dir)).labels()
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT heading, count(*) AS n, string_agg(code, ',' ORDER BY code) AS codes FROM w GROUP BY heading")
+def leaves_by_heading(spark, sf_dir):
+    """The declarable lines of each heading."""
+    leaves = _corpus(_wares(spark, sf_dir)).leaves
+    return leaves.groupBy("heading").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("hs_code")), ",").alias("codes"))
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT own AS q, code AS hs_code FROM w")
+def search_pools(spark, sf_dir):
+    """The pool of capped postings and BM25, without repeats: of words that one line has, that line."""
+    wares = _wares(spark, sf_dir)
+    asked = wares.select(F.col("own").alias("q"), t.token_set(F.col("own"), True).alias("tokens"))
+    return classify.search_pool(materialise(asked, "asked"), _corpus(wares))
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT left(heading, 2) AS chapter, count(*) AS leaves, CAST(count(DISTINCT heading) + count(*) AS BIGINT) AS nodes, (SELECT count(*) FROM w) AS all_leaves FROM w GROUP BY 1")
+def stored_tariff(spark, sf_dir):
+    """A tariff written as tables, partitioned by chapter, and loaded again."""
+    tariff = _corpus(_wares(spark, sf_dir)).tariff
+    chapters = tariff.select("chapter").distinct().select("chapter", F.lit("").alias("title"), F.lit("").alias("notes"))
+    path = f"{shared_dir(spark)}/stratalex/tariff-{uuid.uuid4().hex}"
+    sinks.write_tariff(tariff, chapters, build.metadata(tariff, chapters, "Wares", "2026-08-28", "part"), path)
+    loaded = build.load(spark, path)
+    counts = loaded.tariff.groupBy("chapter").agg(F.count_if("is_leaf").alias("leaves"), F.count(F.lit(1)).alias("nodes"))
+    return counts.withColumn("all_leaves", F.lit(loaded.leaf_count).cast("long"))
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT 1 AS line_number, 'manual' AS source_file, own AS description, 1000.0::DOUBLE AS quantity, code AS hs_code, duty AS duty_rate_general FROM w WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
+def described_goods(spark, sf_dir):
+    """One description given by hand."""
+    wares = _wares(spark, sf_dir)
+    own = wares.agg(F.min_by("own", "p_partkey")).first()[0]
+    return classify.describe(spark, f"  {own} ", _corpus(wares), quantity="1,000").select("line_number", "source_file", "description", "quantity", "hs_code", "duty_rate_general")
+
+
+@query(f"WITH w AS ({_WARES.format(s='VARCHAR')}) SELECT CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR) AS source_file, 'PN-' || p_partkey AS part_number, own AS description, 3.0::DOUBLE AS quantity, code AS hs_code, duty AS duty_rate_general FROM w")
+def streamed_lines(spark, sf_dir):
+    """A stream of order texts: extraction and classification batch by batch."""
+    wares = _wares(spark, sf_dir)
+    line = F.concat(F.lit("PN-"), F.col("p_partkey").cast("string"), F.lit(" "), "own", F.lit(" qty 3"))
+    rows = wares.select(F.floor(F.col("p_partkey") / 50).cast("string").alias("d"), "p_partkey", line.alias("line"))
+    none = F.array().cast("array<string>")
+    docs = _text(rows, "d", "p_partkey", "line").select("source_file", F.lit("text").alias("route"), "text", F.expr("cast(array() as array<array<array<string>>>)").alias("tables"), none.alias("warnings"))
+    docs = materialise(docs, "order-texts")
+    out = materialise(spark.range(0), "streamed")._stratalex_path
+    stream = spark.readStream.schema(docs.schema).parquet(docs._stratalex_path)
+    classify_stream(stream, _corpus(wares), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("source_file", "part_number", "description", "quantity", "hs_code", "duty_rate_general")
+
+
+# Files and sinks -----------------------------------------------------------------------------------------------------
+_PATH = "'in/' || CAST(o_custkey % 7 AS {s}) || '/f' || CAST(o_orderkey AS {s}) || CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.png' WHEN 3 THEN '' WHEN 4 THEN '.docx' ELSE '.Tiff' END"
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1) OR o_orderkey % 7 = 0 THEN 'pdf' WHEN o_orderkey % 6 = 4 THEN 'unsupported' ELSE 'image' END AS route, CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 'pdf' WHEN 1 THEN 'pdf' WHEN 2 THEN 'png' WHEN 3 THEN '' WHEN 4 THEN 'docx' ELSE 'tiff' END AS suffix FROM orders")
+def file_routes(spark, sf_dir):
+    """Files by suffix, or by their first bytes."""
+    content = F.when(F.col("o_orderkey") % 7 == 0, "%PDF-1.7 and more").otherwise("more").cast("binary")
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_spark(_PATH)).alias("path"), content.alias("content"))
+    return df.select("o_orderkey", documents.route(F.col("path"), F.col("content")).alias("route"), documents.suffix(F.col("path")).alias("suffix"))
+
+
+_GOODS_LINE = "'PN-' || CAST(p_partkey AS {s}) || ' ' || p_name || ' for the yard, made of solid material, qty ' || CAST(p_size AS {s})"
+
+
+@query(f"""SELECT 'f' || p_partkey || CASE WHEN p_partkey % 5 = 4 THEN '.docx' WHEN p_partkey % 5 = 3 THEN '.png' ELSE '.pdf' END AS source_file, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'digital_pdf' WHEN 3 THEN 'image' WHEN 4 THEN 'unsupported' ELSE 'scanned_pdf' END AS route,
+  CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN {_duck(_GOODS_LINE)} WHEN 1 THEN 'seen: ' || p_name WHEN 2 THEN {_duck(_GOODS_LINE)} WHEN 3 THEN 'seen: ' || p_name ELSE '' END AS text,
+  CASE CAST(p_partkey % 5 AS INT) WHEN 1 THEN '{documents.NO_PDF_LINES}' WHEN 3 THEN '{documents.NO_IMAGE_LINES}' WHEN 4 THEN 'Unsupported file type ''docx''.' ELSE '' END AS warning FROM part""")
+def decoded_documents(spark, sf_dir):
+    """PDFs with a text layer that has product lines, others by recognition, images, files of no known type."""
+    k = F.col("p_partkey")
+    goods = F.expr(_spark(_GOODS_LINE))
+    # 0: a text layer with lines; 1: letters but no line; 2: too few letters, lines on the page.
+    body = F.when(k % 5 == 0, goods).when(k % 5 == 1, F.concat(F.lit("seen: "), "p_name", F.lit("\f this is a letter to all who may like to read it"))).when(k % 5 == 2, F.concat(F.lit("\f"), goods)).otherwise(F.concat(F.lit("seen: "), "p_name", F.lit("\f")))
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 5 == 4, ".docx").when(k % 5 == 3, ".png").otherwise(".pdf"))
+    files = read(spark, sf_dir, "part").select(F.concat(F.lit("in/"), name).alias("path"), body.cast("binary").alias("content"))
+
+    def decode(path, content):
+        text = content.decode()
+        return ("" if text.startswith("\f") else text.replace("\f", "")), [], None
+
+    got = documents.decode_documents(files, decode, lambda path, content: [content.decode().strip("\f").split("\f")[0]])
+    return got.select("source_file", "route", "text", F.array_join("warnings", "; ").alias("warning"))
+
+
+@query("SELECT form, o_orderkey AS line_number, o_orderpriority AS description, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS DOUBLE) + CASE WHEN o_orderkey % 3 = 2 THEN 0.5 ELSE 0 END END AS quantity FROM orders, (SELECT unnest(['json', 'csv']) AS form)")
+def emitted_rows(spark, sf_dir):
+    """Results written as JSON and CSV, and read again."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    q = F.when(k % 3 == 1, F.col("o_custkey").cast("double")).when(k % 3 == 2, F.col("o_custkey") + 0.5)
+    rows = read(spark, sf_dir, "orders").select(k.alias("line_number"), F.col("o_custkey").cast("string").alias("source_file"), none.alias("part_number"), F.col("o_orderpriority").alias("description"), q.alias("quantity"), none.alias("hs_code"), none.alias("duty_rate_general"), none.alias("wco_reasoning"))
+    path = f"{shared_dir(spark)}/stratalex/emitted-{uuid.uuid4().hex}.json"
+    sinks.emit(rows, path, "both")
+    shape = "line_number long, description string, quantity double"
+    json = spark.read.schema(shape).json(path).withColumn("form", F.lit("json"))
+    csv = spark.read.option("header", "true").csv(path.replace(".json", ".csv")).select(F.col("line_number").cast("long"), "description", F.col("quantity").cast("double"), F.lit("csv").alias("form"))
+    return json.select("form", "line_number", "description", "quantity").unionByName(csv)
+
+
+@query("SELECT 'Ann' AS author, 'nations' AS source, row_number() OVER (ORDER BY n_nationkey) AS place, n_name AS description, n_nationkey % 2 = 0 AS amended FROM nation")
+def sealed_report(spark, sf_dir):
+    """A report sealed by a listed author, found again by its token; an unknown token finds nothing."""
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("line_number"), F.col("n_name").alias("description"), F.lit("3214.10.00").alias("hs_code"), F.lit("ok").alias("flag"), (F.col("n_nationkey") % 2 == 0).alias("amended"))
+    token, record = sinks.seal(rows, "Ann", "nations", ["Ann"])
+    found = sinks.verify_seal(record, token).unionByName(sinks.verify_seal(record, token + "?"))
+    return found.select("author", "source", F.posexplode("lines").alias("p", "x")).select("author", "source", (F.col("p") + 1).cast("long").alias("place"), "x.description", "x.amended")

@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions.text import enough_text
+from stratalex.operators.lines import extract_lines
 from stratalex.schemas import DOCUMENTS
+from stratalex.storage import bound_batches, materialise
 
 # File types.
-IMAGES = "jpg jpeg png webp tif tiff bmp heic".split()
+IMAGES = "jpg jpeg png webp tif tiff bmp heic heif".split()
 SUPPORTED = ["pdf", *IMAGES]
+#: Letters below which a page is read again.
+RETRY_LETTERS = 20
 NO_RENDERING = "The PDF had no text layer and no pages could be rendered."
 NO_PDF_LINES = "No product lines were found after OCR of the PDF pages."
 NO_IMAGE_LINES = "No product lines were found in the image."
@@ -39,14 +43,19 @@ def route(path: Column, content: Column) -> Column:
 
 
 def list_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, ...) of the supported files below a folder by path, or of a single file, whatever its
-    type.  A missing path raises FileNotFoundError."""
+    """(path, length, content, ...) of the supported files below a folder, or of a single file, whatever its type.  A missing
+    path raises FileNotFoundError."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(place):
         raise FileNotFoundError(path)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df if store.getFileStatus(place).isFile() else df.filter(suffix(F.col("path")).isin(SUPPORTED)).orderBy("path")
+    return df if store.getFileStatus(place).isFile() else df.filter(suffix(F.col("path")).isin(SUPPORTED))
+
+
+def sorted_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the same files in the order of their paths; contents are not read."""
+    return list_inputs(spark, path).select("path", "length").orderBy("path")
 
 
 def _decoded(files: DataFrame, decode: Decoder) -> DataFrame:
@@ -60,32 +69,101 @@ def _decoded(files: DataFrame, decode: Decoder) -> DataFrame:
                     got.append(("", [], f"Decoding failed: {e}"))
             yield pd.DataFrame({"path": b["path"], "route": b["route"], "text": [g[0] for g in got], "tables": [g[1] for g in got], "warning": [g[2] for g in got]})
 
+    bound_batches(files.sparkSession)
     return files.select("path", "route", "content").mapInPandas(run, "path string, route string, text string, tables array<array<array<string>>>, warning string")
 
 
+def expand_frames(files: DataFrame, frames: Callable[[str, bytes], list[bytes]]) -> DataFrame:
+    """files(path, content) -> (path, page, frame): a row for each frame of an image or rendered page of a PDF, as the
+    given renderer yields them; pages count from 1.  A file that it cannot render has no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    got = list(frames(path, bytes(content)))
+                except Exception:
+                    got = []
+                if got:
+                    yield pd.DataFrame({"path": path, "page": range(1, len(got) + 1), "frame": got})
+
+    bound_batches(files.sparkSession)
+    return files.select("path", "content").mapInPandas(run, "path string, page int, frame binary")
+
+
+def recognise_pages(pages: DataFrame, read: Callable[[bytes, str], str], least: int = RETRY_LETTERS) -> DataFrame:
+    """pages(path, page, frame) -> (path, page, text, tries).
+
+    A page is read as it is; if that gives fewer than `least` letters, it is read once more after preparation, and the
+    reading with more letters counts (the first, if they are equal).  read(frame, way): way is "plain" or "prepared"; a
+    reader that fails has read nothing.
+    """
+
+    def letters(text: str) -> int:
+        return sum(c.isascii() and c.isalpha() for c in text)
+
+    def attempt(frame: bytes, way: str) -> str:
+        try:
+            return read(frame, way) or ""
+        except Exception:
+            return ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, tries = [], []
+            for frame in b["frame"]:
+                text, n = attempt(bytes(frame), "plain"), 1
+                if letters(text) < least:
+                    again, n = attempt(bytes(frame), "prepared"), 2
+                    text = again if letters(again) > letters(text) else text
+                texts.append(text)
+                tries.append(n)
+            yield pd.DataFrame({"path": b["path"], "page": b["page"], "text": texts, "tries": tries})
+
+    bound_batches(pages.sparkSession)
+    return pages.select("path", "page", "frame").mapInPandas(run, "path string, page int, text string, tries int")
+
+
 def decode_documents(files: DataFrame, decode: Decoder, recognize: Recognizer | None = None) -> DataFrame:
     """schemas.DOCUMENTS of files (path, content).
 
-    A PDF with a text layer counts as digital; others, and images, go to the recognizer, which sees only these files.
+    A PDF is digital if its text layer has letters enough and at least one product line; others, and images, go to the
+    recognizer, which sees only these files.  What yields no product line even then is told by a warning.
     """
     routed = files.select("path", "content", route(F.col("path"), F.col("content")).alias("route"))
     name = F.element_at(F.split("path", "/"), -1).alias("source_file")
-    digital = _decoded(routed.filter("route = 'pdf'"), decode)
-    enough = enough_text(F.col("text"))
+    digital = materialise(_decoded(routed.filter("route = 'pdf'"), decode).withColumn("enough", enough_text(F.col("text"))), "digital")
+    lined = _with_lines(digital.filter("enough"))
     warned = lambda *w: F.array_compact(F.array(*w))
-    good = digital.filter(enough).select(name, F.lit("digital_pdf").alias("route"), "text", "tables", warned(F.col("warning")).alias("warnings"))
-    poor = digital.filter(~enough).select("path", F.lit("scanned_pdf").alias("route"), "warning")
+    good = digital.join(lined, "path", "left_semi").select(name, F.lit("digital_pdf").alias("route"), "text", "tables", warned(F.col("warning")).alias("warnings"))
+    poor = digital.join(lined, "path", "left_anti").select("path", F.lit("scanned_pdf").alias("route"), "warning")
     scans = poor.unionByName(routed.filter("route = 'image'").select("path", "route", F.lit(None).cast("string").alias("warning")))
     none = F.array().cast("array<array<array<string>>>")
+    no_lines = F.when(F.col("route") == "scanned_pdf", NO_PDF_LINES).otherwise(NO_IMAGE_LINES)
     if recognize is None:
         rest = scans.select(name, "route", F.lit("").alias("text"), none.alias("tables"), warned(F.col("warning"), F.when(F.col("route") == "scanned_pdf", NO_RENDERING).otherwise(NO_IMAGE_LINES)).alias("warnings"))
     else:
-        seen = _decoded(scans.join(routed.select("path", "content"), "path"), lambda path, content: ("\n".join(x for x in recognize(path, content) if x), [], None)).withColumnRenamed("warning", "late")
-        rest = seen.join(scans.select("path", "warning"), "path").select(name, "route", "text", "tables", warned(F.col("warning"), F.col("late")).alias("warnings"))
+        def recognised(path: str, content: bytes) -> tuple[str, list, str | None]:
+            pages = recognize(path, content)
+            return "\n".join(x for x in pages if x), [], None if pages else NO_RENDERING
+
+        seen = _decoded(scans.join(routed.select("path", "content"), "path"), recognised).withColumnRenamed("warning", "late")
+        seen = materialise(seen, "recognised")
+        found = _with_lines(seen).withColumn("has_lines", F.lit(True))
+        rest = seen.join(scans.select("path", "warning"), "path").join(found, "path", "left")
+        unseen = (F.col("route") == "scanned_pdf") & F.coalesce(F.col("late") == NO_RENDERING, F.lit(False))
+        told = F.when(unseen, F.array(F.lit(NO_RENDERING))).otherwise(warned(F.col("warning"), F.when(F.col("late") != NO_RENDERING, F.col("late")), F.when(F.col("has_lines").isNull(), no_lines)))
+        rest = rest.select(name, "route", "text", "tables", told.alias("warnings"))
     bad = routed.filter("route = 'unsupported'").select(name, "route", F.lit("").alias("text"), none.alias("tables"), F.array(F.concat(F.lit("Unsupported file type '"), F.coalesce(F.nullif(suffix(F.col("path")), F.lit("")), F.lit("?")), F.lit("'."))).alias("warnings"))
     return good.unionByName(rest).unionByName(bad)
 
 
+def _with_lines(decoded: DataFrame) -> DataFrame:
+    """(path) of the documents that have a product line."""
+    rows = extract_lines(decoded.select(F.col("path").alias("source_file"), "text", "tables"))
+    return materialise(rows.select(F.col("source_file").alias("path")).distinct(), "with-lines")
+
+
 def pasted_text(spark: SparkSession, text: str, source: str = "pasted descriptions") -> DataFrame:
     return spark.createDataFrame([(source, "text", text, [], [])], DOCUMENTS)
 

@@ -10,6 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that an Arrow batch may hold, unless one row has more: bounds a Python worker's memory whatever the length of
+#: texts and files.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, for operators that hand whole texts to Python.  Plans read the setting when they
+    run, after the operator has returned, so it stays set; a limit that the caller has chosen is left as it is."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.  Where it is unset, a temporary folder on a local master, which goes with the
     process; on a cluster an error, since executors would each write to their own disk and rows would be missing."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stratalex.operators.corpus import Corpus
 from stratalex.schemas import DOCUMENTS, TARIFF_LINES
-from stratalex.sources.documents import decode_documents, list_inputs, pasted_text, read_schedule
+from stratalex.sources.documents import decode_documents, expand_frames, list_inputs, pasted_text, read_schedule, recognise_pages, sorted_inputs
 from stratalex.streaming.documents import classify_stream
 
 TEXT = "SL-20 Clear silicone sealant 10\n4 x Garden hose reel\nand some more letters to be enough"
@@ -19,13 +19,15 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, data in {"b.pdf": b"%PDF-" + TEXT.encode(), "sub/a.PDF": b"%PDF-x", "c.png": b"img", "d.docx": b"?", "e.pdf": b"broken"}.items():
         (tmp_path / name).write_bytes(data)
-    files = list_inputs(spark, str(tmp_path))
-    assert [r.path.split("/")[-1] for r in files.select("path").collect()] == ["b.pdf", "c.png", "e.pdf", "a.PDF"]
+    assert [r.path.split("/")[-1] for r in sorted_inputs(spark, str(tmp_path)).collect()] == ["b.pdf", "c.png", "e.pdf", "a.PDF"]
+    assert sorted(bytes(r.content) for r in list_inputs(spark, str(tmp_path)).collect())[-1] == b"img"
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
     got = {r.source_file: r for r in decode_documents(every, decode, lambda p, c: ["", "seen " + c.decode()]).collect()}
     assert {k: r.route for k, r in got.items()} == {"b.pdf": "digital_pdf", "a.PDF": "scanned_pdf", "c.png": "image", "d.docx": "unsupported", "e.pdf": "scanned_pdf"}
     assert got["b.pdf"].text == TEXT and got["b.pdf"].tables == [[["a", None]]] and got["c.png"].text == "seen img"
-    assert got["e.pdf"].warnings == ["Decoding failed: no"] and got["d.docx"].warnings == ["Unsupported file type 'docx'."]
+    assert got["e.pdf"].warnings == ["Decoding failed: no", "No product lines were found after OCR of the PDF pages."] and got["d.docx"].warnings == ["Unsupported file type 'docx'."]
+    blank = {r.source_file: r for r in decode_documents(every, decode, lambda p, c: []).collect()}
+    assert blank["a.PDF"].warnings == ["The PDF had no text layer and no pages could be rendered."] and blank["c.png"].warnings == ["No product lines were found in the image."]
     plain = {r.source_file: r for r in decode_documents(every, decode).collect()}
     assert plain["a.PDF"].warnings == ["The PDF had no text layer and no pages could be rendered."]
     (tmp_path / "s.txt").write_text("CHAPTER 1\nx")
@@ -41,3 +43,22 @@ def test_stream(spark, tmp_path):
     classify_stream(stream, corpus, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).filter(F.col("line_number") == 1).first()
     assert (got.source_file, got.hs_code, got.part_number) == ("one", "3214.10.00", "SL-20")
+
+
+def test_pages_are_read_again(spark):
+    """A row for each page; a poor reading is tried once more, and the better one counts."""
+
+    def frames(path, content):
+        if content == b"broken":
+            raise ValueError
+        return content.split(b"|")
+
+    def read(frame, way):
+        text = frame.decode()
+        if text == "fails":
+            raise ValueError
+        return text if way == "plain" else {"few": "more letters than before, many of them", "abc": "a"}.get(text, "")
+
+    files = spark.createDataFrame([("a", b"few|abc|letters enough for a reading"), ("b", b"broken"), ("c", b"fails")], "path string, content binary")
+    got = recognise_pages(expand_frames(files, frames), read).collect()
+    assert {(r.path, r.page): (r.text, r.tries) for r in got} == {("a", 1): ("more letters than before, many of them", 2), ("a", 2): ("abc", 2), ("a", 3): ("letters enough for a reading", 1), ("c", 1): ("", 2)}
