@@ -9,6 +9,7 @@ the scoring function.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -70,7 +71,7 @@ def _screened(flat: np.ndarray, doc: np.ndarray, used: int, grades: np.ndarray,
     for k in range(1, GRADES):
         up = grades >= k
         ups = up.sum()
-        a = np.bincount(flat, weights=up[doc].astype(float), minlength=used)
+        a = np.bincount(flat[up[doc]], minlength=used).astype(float)
         spread = n * (total - n) * ups * (total - ups)
         keep |= (total * (a * total - n * ups) ** 2 > screen * np.maximum(spread, 1e-9)) & (spread > 0)
     return keep
@@ -79,16 +80,19 @@ def _screened(flat: np.ndarray, doc: np.ndarray, used: int, grades: np.ndarray,
 def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: float = 0.3, l1: float = 0.1, l2: float = 0.1, screen: float = SCREEN) -> Model:
     """Screening, then FTRL-proximal steps on the negative log-likelihood.  features: distinct buckets of each document.
     Documents of equal features and grade count once.  Without two grades the model selects everything."""
-    once = {(int(g), f.tobytes()): i for i, (f, g) in enumerate(zip(features, grades))}
+    once = {(int(g), hashlib.md5(f.tobytes()).digest()): i for i, (f, g) in enumerate(zip(features, grades))}
     rows = sorted(once.values())
     features, grades = [features[i] for i in rows], grades[rows]
     if len(set(grades.tolist())) < 2:
         return Model({}, [-20.0] * (GRADES - 1))
-    used, flat = np.unique(np.concatenate(features), return_inverse=True)
-    doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    flat = np.concatenate(features).astype(np.int32, copy=False)
+    doc = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    used = np.unique(flat)
+    flat = np.searchsorted(used, flat).astype(np.int32)
     kept = _screened(flat, doc, len(used), grades, min(screen, 3 * math.log(len(features))))
-    place = np.cumsum(kept) - 1
-    flat, doc, used = place[flat[kept[flat]]], doc[kept[flat]], used[kept]
+    place = (np.cumsum(kept) - 1).astype(np.int32)
+    stays = kept[flat]
+    flat, doc, used = place[flat[stays]], doc[stays], used[kept]
     docs = np.split(flat, np.searchsorted(doc, np.arange(1, len(features))))
     z, n = np.zeros(len(used)), np.zeros(len(used))
     tail = [(grades >= k).mean() for k in range(1, GRADES)]
@@ -137,8 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=[id_col, "grade", "buckets"])
 
     made = rows.mapInArrow(make, f"`{id_col}` {type_of(docs, id_col)}, grade int, buckets array<int>").groupBy(id_col).agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets"))
-    got = made.toArrow().sort_by(id_col)
-    return fit([np.array(x, np.int64) for x in got["buckets"].to_pylist()], np.array(got["grade"].to_pylist(), np.int64))
+    got = made.toArrow().sort_by(id_col).combine_chunks()
+    found = got["buckets"].combine_chunks()
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    ends, values = found.offsets.to_numpy(), found.values.to_numpy()
+    return fit([values[a:b] for a, b in zip(ends, ends[1:])], got["grade"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
