@@ -17,11 +17,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalex.llm.common import discard, materialise, tune, type_of, whole
+from stratalex.llm.common import bitmap, discard, in_bitmap, materialise, tune, type_of, whole
 from stratalex.llm.components import components
 
 PERMUTATIONS = 128
@@ -30,6 +30,8 @@ SHINGLE = 5
 #: probability 1 - (1 - 0.8**4)**32 > 0.9999999.
 BANDS, ROWS = 32, 4
 LEAST = 0.8
+#: The rows of fingerprint_chain() that are asked against all: those whose id is divisible by this.
+EVERY = 100
 #: Rounds of drawn pairs in groups of several components.
 DRAWS = 2
 #: Buckets of shingles whose counts order the prefix join, and what rounding may take from a bound.
@@ -114,9 +116,14 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             bodies = [t.encode() for t in b.column(1).to_pylist()]
             tie = [xxhash.xxh64_intdigest(t) >> 1 for t in bodies]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tie, pa.int64()), pa.array([press.compress(t) for t in bodies], pa.binary())], names=["id", "tie", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tie, pa.int64()), pa.array([press.compress(t) for t in bodies], pa.binary()), b.column(2)], names=["id", "tie", "body", "h"])
 
-    return docs.select(F.col(id_col), whole(text_col).alias("text")).mapInArrow(make, f"id {type_of(docs, id_col)}, tie long, body binary")
+    rows = docs.select(F.col(id_col), whole(text_col).alias("text")).select(id_col, "text", _text_hash(F.col("text")).alias("h"))
+    return rows.mapInArrow(make, f"id {type_of(docs, id_col)}, tie long, body binary, h long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 _DONE = "n_chars long, sig binary, edited_sig binary, edited_sha256 binary, near_edited double, near_next double"
@@ -132,16 +139,16 @@ def _pairs(schema: pa.Schema):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, part = zstandard.ZstdDecompressor(), TaskContext.get().partitionId()
-        last, last_id, last_body, rows = None, None, None, []
+        last, last_key, last_body, rows = None, None, None, []
         for b in batches:
-            for key, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            for *key, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist()):
                 doc = Document(open_.decompress(body).decode())
-                rows.append([key, part, 0, body] + [None] * 6 if last is None else [last_id, None, None, None, *_facts(last, doc)])
-                last, last_id, last_body = doc, key, body
+                rows.append([*key, part, 0, body] + [None] * 6 if last is None else [*last_key, None, None, None, *_facts(last, doc)])
+                last, last_key, last_body = doc, key, body
             yield _batch(rows, schema)
             rows = []
         if last is not None:
-            yield _batch([[last_id, part, 1, last_body] + [None] * 6], schema)
+            yield _batch([[*last_key, part, 1, last_body] + [None] * 6], schema)
 
     return walk
 
@@ -151,42 +158,94 @@ def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, least: float = LEAST) -> DataFrame:
+    """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_alike,
+    alike_id.
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many first ones of the next document, by
     ascending id (null ids first, equal ids by a hash of the text; after the last comes the first).  A null text counts
     as empty; without words a fingerprint is all ones, and two of these are alike (1.0).  A table of one row follows
-    itself; an empty table gives an empty result; other columns are ignored.
+    itself; an empty table gives an empty result; texts of any length are read whole; other columns are ignored.
+
+    n_alike and alike_id answer the queries, the rows whose id is divisible by `every`, against all rows (see alike()):
+    how many others are verified to be alike, and the least id among them; null for rows that are no queries.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     tune(docs.sparkSession)
     spark = docs.sparkSession
     id_type = type_of(docs, id_col)
-    ddl = f"id {id_type}, part int, edge int, body binary, {_DONE}"
+    ddl = f"id {id_type}, h long, part int, edge int, body binary, {_DONE}"
     arrow = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     ordered = _pack(docs, id_col, text_col).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
     made = materialise(ordered.mapInArrow(_pairs(arrow), ddl), "chain")
     # Two rows of each part meet across its borders: the last of one with the first of the next.
-    edges = made.filter(F.col("edge").isNotNull()).select("id", "part", "edge", "body")
+    edges = made.filter(F.col("edge").isNotNull()).select("id", "h", "part", "edge", "body")
     parts = edges.filter("edge = 0").select("part")
     nth = parts.select("part", F.row_number().over(W.orderBy("part")).alias("nth"))  # one row per part
     nth = nth.select("part", "nth", F.count(F.lit(1)).over(W.partitionBy()).alias("of"))
     first = edges.filter("edge = 0").join(nth, "part").select(F.col("nth").alias("to"), F.col("body").alias("following"))
-    last = edges.filter("edge = 1").join(nth, "part").select("id", "body", (F.pmod("nth", "of") + 1).alias("to"))
-    out = to_arrow_schema(spark.createDataFrame([], f"id {id_type}, {_DONE}").schema)
+    last = edges.filter("edge = 1").join(nth, "part").select("id", "h", "body", (F.pmod("nth", "of") + 1).alias("to"))
+    out = to_arrow_schema(spark.createDataFrame([], f"id {id_type}, h long, {_DONE}").schema)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            texts = [[open_.decompress(x).decode() for x in b.column(k).to_pylist()] for k in (1, 2)]
-            yield _batch([[key, *_facts(Document(x), Document(y))] for key, x, y in zip(b.column(0).to_pylist(), *texts)], out)
+            texts = [[open_.decompress(x).decode() for x in b.column(k).to_pylist()] for k in (2, 3)]
+            yield _batch([[*key, *_facts(Document(x), Document(y))] for *key, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *texts)], out)
 
-    closed = last.join(first, "to").select("id", "body", "following").mapInArrow(close, f"id {id_type}, {_DONE}")
+    closed = materialise(last.join(first, "to").select("id", "h", "body", "following").mapInArrow(close, f"id {id_type}, h long, {_DONE}"), "closed")
     both = made.filter(F.col("edge").isNull()).select(*closed.columns).unionByName(closed)
+    asked = F.coalesce(F.col("id") % every == 0, F.lit(False)) if id_type in ("bigint", "int", "smallint", "tinyint") else F.lit(False)
+    found = materialise(alike(docs, both.select("id", "h", "sig"), asked, text_col, least), "alike")
+    answered = both.filter(asked).join(found.select(F.col("h").alias("of"), "n_alike", F.col("ids").alias("ids")), F.col("h") == F.col("of"), "left").drop("of")
+    other = F.get(F.filter("ids", lambda x: ~x.eqNullSafe(F.col("id"))), F.lit(0))
+    answered = answered.select(*closed.columns, F.coalesce("n_alike", F.lit(0)).cast("long").alias("n_alike"), other.alias("alike_id"))
+    none = F.lit(None)
+    every_row = answered.unionByName(both.filter(~asked).select("*", none.cast("long").alias("n_alike"), none.cast(id_type).alias("alike_id")))
     text = lambda c: F.lower(F.hex(c))
-    return both.select(F.col("id").alias(id_col), "n_chars", text("edited_sha256").alias("edited_sha256"), text("sig").alias("fingerprint"), text("edited_sig").alias("edited_fingerprint"), "near_edited", "near_next")
+    return every_row.select(F.col("id").alias(id_col), "n_chars", text("edited_sha256").alias("edited_sha256"), text("sig").alias("fingerprint"), text("edited_sig").alias("edited_fingerprint"), "near_edited", "near_next", "n_alike", "alike_id")
+
+
+def _bands(sig: Column | str = "sig") -> Column:
+    """The keys of a signature's bands."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(sig, i * 2 * ROWS + 1, F.lit(2 * ROWS))))
+
+
+def alike(docs: DataFrame, rows: DataFrame, asked: Column, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """rows(id, h, sig) of docs, `asked` a condition on them -> (h, n_alike, ids): for each text asked for, by its hash, the
+    number of other rows whose five-word shingles have a Jaccard similarity of at least `least`, and the two least ids
+    (its own may be among them).
+
+    Texts are compared once, however many rows hold them.  The bands of the texts asked for are joined with those of all
+    texts; a bitmap keeps back the bands that none of them has.  Every pair that shares a band is verified, on the shingles
+    of both texts, which are made for these texts alone.
+    """
+    texts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max(F.when(asked, 1)).alias("asked"), F.first("sig").alias("sig"))
+    texts = materialise(texts.select(F.col("h").alias("class"), "n", "first", "asked", "sig"), "texts")
+    twice = texts.filter("asked = 1 and n > 1").select(F.col("class").alias("h"), "first")
+    second = rows.join(materialise(twice, "twice"), "h").filter("id <> first").groupBy("h").agg(F.min("id").alias("second"))
+    mine = texts.filter("asked = 1").select(F.col("class").alias("a"), F.explode(_bands()).alias("key"))
+    mine = materialise(mine, "asked-bands")
+    theirs = in_bitmap(texts.select(F.col("class").alias("b"), F.explode(_bands()).alias("key")), bitmap(mine, F.col("key")), F.col("key"), "met").filter("met").drop("met")
+    pairs = materialise(mine.join(materialise(theirs, "met-bands"), "key").filter("a <> b").select("a", "b").distinct(), "pairs")
+    wanted = materialise(pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct(), "wanted")
+    some = docs.select(whole(text_col).alias("text")).select("text", _text_hash(F.col("text")).alias("class"))
+    some = in_bitmap(some, bitmap(wanted, F.col("class")), F.col("class"), "met").filter("met").select("class", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.unique(hashes(split(t.as_py()))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.uint32).view(np.int32) for x in h], pa.list_(pa.int32()))], names=["class", "shingles"])
+
+    sets = some.mapInArrow(make, "class long, shingles array<int>").join(wanted, "class", "left_semi")
+    sets = materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    near = materialise(_alike(pairs, sets, least), "near")
+    own = texts.filter("asked = 1").select(F.col("class").alias("a"), (F.col("n") - 1).alias("n"), "first")
+    own = own.join(second, own.a == second.h, "left").select("a", "n", F.array_compact(F.array("first", "second")).alias("ids"))
+    others = near.join(texts.select(F.col("class").alias("b"), "n", "first"), "b").groupBy("a").agg(F.sum("n").alias("more"), F.min("first").alias("least"))
+    all_ids = F.slice(F.sort_array(F.array_compact(F.concat("ids", F.array("least")))), 1, 2)
+    return own.join(others, "a", "left").select(F.col("a").alias("h"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_alike"), all_ids.alias("ids"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
@@ -283,13 +342,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select("class", band.alias("b")).select("class", F.xxhash64("b.band", "b.key").alias("key"))
     banded = materialise(banded, "banded")
     leaders = materialise(banded.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaders")
-    grouped = materialise(banded.join(leaders, "key"), "grouped")
+    shared = in_bitmap(banded, bitmap(leaders, F.col("key")), F.col("key"), "shared").filter("shared").drop("shared")
+    grouped = materialise(shared.join(leaders, "key"), "grouped")
     discard(banded, leaders)
     stars = grouped.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
     pairs = stars if also is None else stars.unionAll(also(classes.select("class", "fp")))
     pairs = materialise(pairs.distinct(), "pairs")
     compared = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = made.select("class", "shingles").join(compared, "class", "left_semi")
+    compared = materialise(compared, "compared")
+    sets = in_bitmap(made.select("class", "shingles"), bitmap(compared, F.col("class")), F.col("class"), "compared").filter("compared").drop("compared")
+    sets = sets.join(compared, "class", "left_semi")
     sets = materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
     tree = materialise(components(_alike(pairs, sets, least)), "tree")
     discard(pairs)

@@ -91,3 +91,29 @@ def test_near_stage_finds_scattered_edits(spark):
                 base[at] = "edited"
             texts.append(" ".join(base))
     assert sorted(r.doc_id for r in cp.near_stage(spark, frame(spark, texts), "").collect()) == kept == sorted(set(brute(texts)))
+
+
+def test_queries_against_all_rows(spark):
+    """The rows asked for, with the count and the least id of all that are alike, against brute force."""
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(31), []
+    for k in range(60):
+        base = words(rng, rng.choice([3, 40, 200]))
+        texts += [" ".join(base), " ".join(base).upper(), " ".join(base[:-1] + ["end"])] + [" ".join(base)] * (k % 3)
+    texts += [None, "", "  "]
+    ids = [i * 5 for i in range(len(texts))]
+    docs = frame(spark, texts, ids=ids)
+    got = {r.doc_id: r for r in minhash.fingerprint_chain(docs, every=10).collect()}
+    sets = [shingles(t or "") for t in texts]
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    for i, k in enumerate(ids):
+        r = got[k]
+        if k % 10:
+            assert r.n_alike is None and r.alike_id is None
+            continue
+        mine = [ids[j] for j in range(len(texts)) if j != i and like(sets[i], sets[j])]
+        assert (r.n_alike, r.alike_id) == (len(mine), min(mine, default=None)), k
+    assert minhash.fingerprint_chain(docs.limit(0)).count() == 0
+    by_name = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.n_alike for r in minhash.fingerprint_chain(by_name).collect()} == {None}
