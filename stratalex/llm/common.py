@@ -7,26 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.storage import discard, materialise, shared_dir  # noqa: F401
-
-#: Bytes that an Arrow batch may hold, unless one row has more.  Whole texts travel in batches, so this bounds a Python
-#: worker's memory whatever the length of the texts.
-BATCH_BYTES = 4_000_000
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
+from stratalex.storage import BATCH_BYTES, discard, materialise, shared_dir  # noqa: F401
+from stratalex.storage import bound_batches as tune  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader only (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, for operators that hand whole texts to Python.  Plans read the setting when they
-    run, after the operator has returned, so it stays set; a limit that the caller has chosen is left as it is."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def packed(df: DataFrame, name: str = "row") -> Column:
     """All columns of df in one, so that no column that is added can clash with them; unpack with select(f"{name}.*")."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
@@ -45,6 +33,29 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+#: 64-bit words of a bitmap: 8 MB at most, whatever the size of the corpus.
+BITMAP_WORDS = 1 << 20
+
+
+def _slot(h: Column) -> tuple[Column, Column]:
+    return F.pmod(h, F.lit(BITMAP_WORDS)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def bitmap(keys: DataFrame, h: Column) -> DataFrame:
+    """(bitmap_word, bitmap_bits): the hashes h of keys, as a table of at most BITMAP_WORDS rows."""
+    word, bit = _slot(h)
+    one = keys.select(word.alias("bitmap_word"), bit.alias("bit"))
+    return one.groupBy("bitmap_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bitmap_bits"))
+
+
+def in_bitmap(df: DataFrame, bits: DataFrame, h: Column, name: str) -> DataFrame:
+    """df with a boolean: whether the hash h may be among the bitmap's.  It is never false for one that is, so what it lets
+    through is a filter ahead of an exact join, and rows that it keeps back need not move."""
+    word, bit = _slot(h)
+    marked = df.withColumn("bitmap_word", word).join(F.broadcast(bits), "bitmap_word", "left")  # bounded: see bitmap()
+    return marked.withColumn(name, F.coalesce(F.getbit("bitmap_bits", bit) == 1, F.lit(False))).drop("bitmap_word", "bitmap_bits")
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -2,7 +2,7 @@
 
 Each pass reads the table anew; only narrow rows move between executors.  Of the (length, head) groups that survive, a
 bitmap goes to the executors, so whole texts are hashed only where a row may belong to one.  The bitmap has a proven bound
-(BITMAP_WORDS rows, 8 MB) whatever the corpus' size.  It is a filter ahead of the hash alone: which rows are equal is
+(common.BITMAP_WORDS rows, 8 MB) whatever the corpus' size.  It is a filter ahead of the hash alone: which rows are equal is
 decided by the whole hash, so in a corpus with more surviving groups than bits more rows are hashed and none is missed.
 """
 
@@ -11,51 +11,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import ascii_lower, materialise, packed, whole
+from stratalex.llm.common import ascii_lower, bitmap, in_bitmap, materialise, packed, whole
 
 #: Code points of the beginning that the second pass hashes.
 HEAD = 256
-#: 64-bit words of the bitmap of surviving groups.
-BITMAP_WORDS = 1 << 20
-
 
 def _sized(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
     text = whole(text_col)
     return F.octet_length(text).alias("n_bytes"), F.xxhash64(ascii_lower(F.substring(text, 1, HEAD))).alias("head")
 
 
-def _slot() -> tuple[Column, Column]:
-    h = F.xxhash64("n_bytes", "head")
-    return F.pmod(h, F.lit(BITMAP_WORDS)).cast("int").alias("word"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int").alias("bit")
-
-
 def surviving_heads(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, bits): the bitmap of the (length, head) groups that hold several rows."""
+    """The bitmap of the (length, head) groups that hold several rows."""
     n_bytes, head = _sized(docs, text_col)
     lengths = docs.groupBy(n_bytes).count().filter("count > 1").select("n_bytes")  # one row per length that occurs twice
     lengths = materialise(lengths, "lengths")  # read anew, so that the join can split a length that is everywhere
     heads = docs.select(n_bytes, head).join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "head").count().filter("count > 1")
-    word, bit = _slot()
-    bits = heads.select(word, bit).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    return materialise(bits, "heads")
+    return materialise(bitmap(heads, F.xxhash64("n_bytes", "head")), "heads")  # read twice
 
 
-def _marked(docs: DataFrame, bitmap: DataFrame, text_col: str, *columns: Column) -> DataFrame:
-    """columns of docs with n_bytes, candidate (whether the row may have equals) and text, A-Z in lower case."""
+def _marked(docs: DataFrame, bits: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    """columns of docs with whole_text, n_bytes and candidate: whether the row may have equals."""
     n_bytes, head = _sized(docs, text_col)
-    word, bit = _slot()
-    rows = docs.select(*columns, whole(text_col).alias("whole_text"), n_bytes, head).select("*", word, bit)
-    rows = rows.join(F.broadcast(bitmap), "word", "left")  # at most BITMAP_WORDS rows
-    return rows.withColumn("candidate", F.coalesce(F.expr("getbit(bits, bit) = 1"), F.lit(False)))
+    rows = docs.select(*columns, whole(text_col).alias("whole_text"), n_bytes, head)
+    return in_bitmap(rows, bits, F.xxhash64("n_bytes", "head"), "candidate")
 
 
 def _hash() -> Column:
     return F.sha2(ascii_lower(F.col("whole_text")), 256)
 
 
-def digest_rows(docs: DataFrame, bitmap: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+def digest_rows(docs: DataFrame, bits: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
     """(id, n_bytes, candidate, text_sha256): the whole text's SHA-256 where the row may have equals, or everywhere."""
-    rows = _marked(docs, bitmap, text_col, F.col(id_col).alias("id"))
+    rows = _marked(docs, bits, text_col, F.col(id_col).alias("id"))
     return rows.select("id", "n_bytes", "candidate", (_hash() if digest_all else F.when(F.col("candidate"), _hash())).alias("text_sha256"))
 
 
@@ -97,10 +85,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that the first two passes told apart stay where they are; those that may have equals move once, with their
     texts, unless the groups are few enough for a broadcast.  An empty table gives an empty result.
     """
-    bitmap = surviving_heads(docs, text_col)
-    groups = _groups(digest_rows(docs, bitmap, id_col, text_col, False))
-    groups = groups.select("text_sha256", F.lit(True).alias("grouped"), "keep_id", "ties")
-    rows = _marked(docs, bitmap, text_col, packed(docs), F.col(id_col).alias("id"))
+    bits = surviving_heads(docs, text_col)
+    groups = _groups(digest_rows(docs, bits, id_col, text_col, False))
+    groups = groups.select("text_sha256", F.lit(True).alias("grouped"), "keep_id", "ties").hint("merge")  # grows with the corpus
+    rows = _marked(docs, bits, text_col, packed(docs), F.col(id_col).alias("id"))
     alone = rows.filter(~F.col("candidate")).select("row.*")
     met = rows.filter("candidate").select("row", "id", _hash().alias("text_sha256")).join(groups, "text_sha256", "left")
     met = met.filter(F.col("grouped").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))

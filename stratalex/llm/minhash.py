@@ -33,7 +33,7 @@ LEAST = 0.8
 #: The rows of fingerprint_chain() that are asked against all: those whose id is divisible by this.
 EVERY = 100
 #: Rounds of drawn pairs in groups of several components.
-DRAWS = 2
+DRAWS = 1
 #: Buckets of shingles whose counts order the prefix join, and what rounding may take from a bound.
 BUCKETS = 1 << 20
 EPS = 1e-9
@@ -353,26 +353,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = in_bitmap(made.select("class", "shingles"), bitmap(compared, F.col("class")), F.col("class"), "compared").filter("compared").drop("compared")
     sets = sets.join(compared, "class", "left_semi")
     sets = materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-    tree = materialise(components(_alike(pairs, sets, least)), "tree")
-    discard(pairs)
+    labels = materialise(_named(sets, components(_alike(pairs, sets, least))), "labels")
+    discard(pairs, compared)
     members, held = grouped.select("key", "class", "n"), grouped
     for turn in range(DRAWS + 1):
-        labels = materialise(_named(sets, tree), "labels")
-        named = materialise(members.join(labels, "class"), "members")
+        named = members.join(labels, "class")
         mixed = materialise(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "mixed")
         open_ = materialise(named.join(mixed, "key", "left_semi"), "open")
-        discard(named, mixed, held)
+        discard(mixed, held)
         if turn == DRAWS:
-            unsettled = materialise(sets.join(open_.groupBy("class").agg(F.min("root").alias("root")), "class"), "unsettled")
-            found = materialise(_prefix_candidates(unsettled, least), "candidates")
+            unsettled = sets.join(open_.groupBy("class").agg(F.min("root").alias("root")), "class")
+            found = _prefix_candidates(materialise(unsettled, "unsettled"), least)
         else:
-            found = materialise(_drawn(open_.filter("n > 2"), turn), "drawn")
+            found = _drawn(open_.filter("n > 2"), turn)
             members = open_.select("key", "class", "n")  # settled groups stay so
-        grown = materialise(components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(_alike(found, sets, least))), "tree")
-        discard(tree, found, labels)
-        tree, held = grown, open_
-    named = classes.select("class", "least").join(tree, classes["class"] == tree.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+        found = materialise(found, "found")
+        # Links between components, as few as there are, decide how these meet.
+        links = _alike(found, sets, least)
+        for side in "ab":
+            links = links.join(labels.select(F.col("class").alias(side), F.col("root").alias(f"root_{side}")), side)
+        met = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        grown = labels.join(met, labels["root"] == met["node"], "left").select("class", F.coalesce(met["root"], labels["root"]).alias("root"))
+        grown = materialise(grown, "labels")
+        discard(labels, found)
+        labels, held = grown, open_
+    named = classes.select("class", "least").join(labels, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = materialise(named.join(roots, "root").select("class", "component_id"), "class-component")
-    discard(held, sets)
+    discard(held, sets, labels)
     return made.select("id", "class").join(by_class, "class").select(F.col("id").alias(id_col), "component_id")

@@ -235,6 +235,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     plan = _plan(docs, id_col, text_col, source_col, weights, most)
     plan = plan.groupBy("id", "source", "text_hash").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).filter("copies > 0")
     plan = materialise(plan.toDF("p_id", "p_source", "p_hash", "n", "copies"), "plan")  # read anew, so that the join can split a group of equal rows
+    plan = plan.hint("merge")  # a row for each document is nothing to broadcast
     keyed = docs.select(packed(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(whole(text_col)).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("hash") == F.col("p_hash"))
     out = keyed.join(plan.filter("n = 1"), same).select("row", "copies")

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from stratalex.llm import exact_dedup, line_dedup, simhash
+from stratalex.llm import common, exact_dedup, line_dedup, simhash
 
 from .helpers import frame, prose
 
@@ -60,7 +60,7 @@ def test_exact_with_a_full_bitmap(spark, monkeypatch):
     texts = prose(12, 60) * 2 + prose(13, 60)
     plain = sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, texts), digest_all=True).collect()))
     kept = sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, texts)).collect())
-    monkeypatch.setattr(exact_dedup, "BITMAP_WORDS", 1)
+    monkeypatch.setattr(common, "BITMAP_WORDS", 1)
     assert sorted(map(repr, exact_dedup.exact_duplicates(frame(spark, texts), digest_all=True).collect())) == plain
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, texts)).collect()) == kept
 
