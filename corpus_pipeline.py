@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.llm import bpe, exact_dedup, mixing, quality, simhash
-from stratalex.llm.common import materialise, read
+from stratalex.llm.common import bitmap, in_bitmap, materialise, packed, read
 from stratalex.llm.queries import vocabulary_path
 
 
@@ -32,7 +32,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialise(simhash.verified_duplicates(docs), "near")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.filter(~stays).select("doc_id").distinct().join(found.filter(stays).select("doc_id"), "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Few documents go; the others need not move for it.
+    gone = materialise(gone, "gone")
+    rows = docs.select(packed(docs), "doc_id")
+    rows = in_bitmap(rows, bitmap(gone, F.xxhash64("doc_id")), F.xxhash64("doc_id"), "suspect")
+    stay = rows.filter(~F.col("suspect")).unionByName(rows.filter("suspect").join(gone, "doc_id", "left_anti"))
+    return stay.select("row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
