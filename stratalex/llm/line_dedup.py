@@ -42,8 +42,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: id, text, n_lines, n_removed; text without the lines that repeat earlier ones.
 
     Lines end at newline characters and are compared exactly.  Null counts as empty; texts under `size` lines keep all.
-    Rows that repeat id and text count as one document and return equal texts.  Null ids are least.  An empty table gives
-    an empty result; other columns are ignored.
+    Rows that repeat id and text count as one document and return equal texts.  Null ids are least.  Texts of any length
+    are read whole.  An empty table gives an empty result; other columns are ignored.
     """
     tune(docs.sparkSession)
     cut = covered(windows(docs, id_col, text_col, size)).withColumnsRenamed({"id": "_id", "th": "_th"})

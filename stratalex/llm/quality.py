@@ -179,8 +179,9 @@ def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """The rows of docs whose probability of the top grade reaches `least`, with expected_grade and tail_probability.
 
     labels: id, quality (0 or 1), toxic (0 or 1); rows without either, and an empty table, teach nothing (then all
-    documents stay).  Null texts count as empty, repeated rows each return, null ids take part, other columns stay as
-    they are unless they bear the name of one of the two that are added, which then replace them.
+    documents stay).  Null texts count as empty, texts of any length are read whole, repeated rows each return, null ids
+    take part, an empty table gives an empty result, and other columns stay as they are unless they bear the name of one of
+    the two that are added, which then replace them.
     """
     clash = [c for c in ("expected_grade", "tail_probability") if c in docs.columns]
     model = train(docs, labels.select(id_col, grade().alias("grade")), id_col, text_col, sample)

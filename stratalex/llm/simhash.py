@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fp (signed long) and component_id, the least id that links reach.
 
     Null texts and texts without words have fingerprint 0 and link like any other.  Rows with a null id take part; they
-    get the least id of their component (null if it has none).  Repeated rows each return.  An empty table gives an
-    empty result, other columns are ignored.
+    get the least id of their component (null if it has none).  Repeated rows each return.  Texts of any length are read
+    whole.  An empty table gives an empty result, other columns are ignored.
     """
     made = materialise(fingerprints(docs, id_col, text_col, words), "fp")
     distinct = materialise(made.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fp")
