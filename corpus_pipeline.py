@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again as the next
 stage's docs.  All stages but the last return the columns of documents.
+
+In every stage a null text counts as empty, texts of any length are read whole, null and repeated ids are rows like others,
+an empty table gives an empty result, and further columns, whatever their names, come along as they are.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ from stratalex.llm.queries import vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier, trained on labels, finds good."""
+    """Documents that the ordinal classifier, trained on labels, finds good; all, where labels teach nothing."""
     return quality.select_documents(docs, read(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, A-Z in lower case: that of the largest id; of rows that repeat it, any one."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
@@ -41,12 +44,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mixture takes it."""
+    """Each document as many times as the mixture takes it; rows that repeat id, source and text are one document."""
     return mixing.take(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the digest of their decoding, of each document."""
+    """The number of token ids, and the digests of the ids and of their decoding, of each document."""
     return bpe.encode_decode(docs, vocabulary_path(), with_texts=False)
 
 
