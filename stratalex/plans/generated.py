@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from stratalex.functions import rules
 from stratalex.functions import text as t
@@ -216,8 +215,7 @@ _BLOCK = (
 
 
 def _schedules(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "part").createOrReplaceTempView("part")
-    placed = spark.sql(_PLACED.format(s="STRING"))
+    placed = spark.sql(_PLACED.format(s="STRING").replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
     line = (_OPENING + " || " + _BLOCK).format(s="STRING", n="\\n")
     return materialise(_text(placed.withColumn("line", F.expr(line)), "p_brand", "i", "line"), "schedules")
 
@@ -260,8 +258,8 @@ _DATE = "28 August 2026"
 
 
 def _wares(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return materialise(spark.sql(_WARES.format(s="STRING")), "wares")
+    wares = spark.sql(_WARES.format(s="STRING").replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
+    return materialise(wares, "wares")
 
 
 def _corpus(wares: DataFrame) -> Corpus:
@@ -297,18 +295,13 @@ _NOTE_SQL = "CASE WHEN flag = '' THEN '' WHEN flag = 'ok' THEN 'Handwritten code
 
 def _items(wares: DataFrame) -> DataFrame:
     """schemas.LINE_ITEMS: an order for every 50 parts."""
-    wares.createOrReplaceTempView("wares")
     # The code before: of the part with the key before.
     before = wares.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("code").alias("code_before"))
     df = wares.join(before, "p_partkey", "left")
     k = F.col("p_partkey")
     written = F.when(k % 4 == 1, F.col("code")).when(k % 4 == 2, "3304.99.90").when(k % 4 == 3, F.col("code_before"))
     none = F.lit(None)
-    return df.select(F.floor(k / 50).cast("string").alias("source_file"), (k % 50).cast("int").alias("pos"), none.cast("string").alias("part_number"), F.expr(_ASK).alias("description"), k.cast("double").alias("quantity"), F.lit("").alias("raw_text"), none.cast("int").alias("page"), written.alias("noted_code"), F.lit(False).alias("same_as_above")).to(spark_schema(wares))
-
-
-def spark_schema(df: DataFrame):
-    return df.sparkSession.createDataFrame([], LINE_ITEMS).schema
+    return df.select(F.floor(k / 50).cast("string").alias("source_file"), (k % 50).cast("int").alias("pos"), none.cast("string").alias("part_number"), F.expr(_ASK).alias("description"), k.cast("double").alias("quantity"), F.lit("").alias("raw_text"), none.cast("int").alias("page"), written.alias("noted_code"), F.lit(False).alias("same_as_above")).to(wares.sparkSession.createDataFrame([], LINE_ITEMS).schema)
 
 
 @query(f"""{_ITEMS_SQL} SELECT CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR) AS source_file, CAST(p_partkey % 50 + 1 AS INT) AS line_number, ask AS description, CAST(p_partkey AS DOUBLE) AS quantity, code AS hs_code, duty AS duty_rate_general, flag, {_NOTE_SQL} AS flag_note, coalesce(written, '') AS handwritten_shown,
@@ -452,3 +445,26 @@ def sealed_report(spark, sf_dir):
     token, record = sinks.seal(rows, "Ann", "nations", ["Ann"])
     found = sinks.verify_seal(record, token).unionByName(sinks.verify_seal(record, token + "?"))
     return found.select("author", "source", F.posexplode("lines").alias("p", "x")).select("author", "source", (F.col("p") + 1).cast("long").alias("place"), "x.description", "x.amended")
+
+
+@query("""SELECT 'f' || p_partkey AS path, CAST(n AS INT) AS page, CASE n WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'a page on ' || p_name || ' with letters enough' ELSE 'prepared: ' || p_name || ' at last' END WHEN 2 THEN 'abc' ELSE '' END AS text, CAST(CASE WHEN n = 1 AND p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tries
+  FROM part, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= p_partkey % 4""")
+def recognised_pages(spark, sf_dir):
+    """Files as pages; a page with few letters is read again after preparation, and the better reading counts."""
+    k = F.col("p_partkey")
+    first = F.when(k % 2 == 0, F.concat(F.lit("a page on "), "p_name", F.lit(" with letters enough"))).otherwise(F.concat(F.lit("?"), "p_name"))
+    pages = F.array_join(F.slice(F.array(first, F.lit("abc"), F.lit("!")), F.lit(1), (k % 4).cast("int")), "|")
+    files = read(spark, sf_dir, "part").select(F.concat(F.lit("f"), k.cast("string")).alias("path"), pages.cast("binary").alias("content"))
+
+    def frames(path, content):
+        return [p for p in content.split(b"|") if p]
+
+    def look(frame, way):
+        text = frame.decode()
+        if text == "!":
+            raise ValueError("unreadable")
+        if text.startswith("?"):
+            return "dim" if way == "plain" else f"prepared: {text[1:]} at last"
+        return text if way == "plain" else "ab"
+
+    return documents.recognise_pages(documents.expand_frames(files, frames), look)
