@@ -38,16 +38,18 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 STOPS = frozenset("ul ol menu dl table article section main aside nav header footer form div body".split())
 ENDS_P = frozenset("p div article section main aside nav header footer form ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote figure hr address fieldset details body".split())
 #: Log-odds that sections and roles around a block add.  AROUND: inside an article or main; beside it, on a page that has one.
-SECTIONS = dict.fromkeys("nav footer aside form menu dialog".split(), -5.0) | {"fieldset": -2.0, "header": -4.0}
-ROLES = dict.fromkeys("navigation contentinfo complementary search dialog alert menu banner".split(), -5.0)
-INSIDE, BESIDE = 2.0, -2.0
-#: A class or id says what an element is by its last word; one that begins with a word of APART_FROM says what it has or lacks.
+SECTIONS = dict.fromkeys("nav footer aside form menu dialog".split(), -7.0) | {"fieldset": -2.0, "header": -5.0}
+ROLES = dict.fromkeys("navigation contentinfo complementary search dialog alert menu banner".split(), -7.0)
+INSIDE, BESIDE = 2.5, -2.5
+#: A class or id says what an element is by its last word, or by a first one of BAD_FIRST; one that begins with a word of
+#: APART_FROM says what the element has or lacks.
 GOOD_WORDS = frozenset("article content post entry story body main text prose".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer header masthead toolbar search comment comments reply replies respond discussion disqus reactions copyright legal disclaimer skip hidden".split()
 )
+BAD_FIRST = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer menu modal nav navbar navigation newsletter pagination popup promo recommended related replies reply share sharing sidebar sponsored subscribe toolbar".split())
 APART_FROM = frozenset("has with no without not is show hide enable disable".split())
-GOOD, BAD = 1.0, -5.0
+GOOD, BAD = 2.5, -7.0
 #: Names of content: neither classes nor sections around them say that they are none.
 OWN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -98,12 +100,9 @@ def _named(value: str) -> float:
     for name in value.split():
         words = _WORDS.findall(name)
         if words and words[0] not in APART_FROM:
-            bad |= words[-1] in BAD_WORDS or words[0] in BAD_WORDS and words[-1] not in GOOD_WORDS
+            own_header = words[-1] == "header" and set(words) & GOOD_WORDS  # an article's own header holds its title
+            bad |= words[0] in BAD_FIRST or words[-1] in BAD_WORDS and not own_header
             good |= words[-1] in GOOD_WORDS
-            if words[-1] in ("header", "footer") and set(words) & GOOD_WORDS:  # an article's own header holds its title
-                bad = False
-            if words[0] in ("comment", "comments", "reply", "ad", "ads"):
-                bad, good = True, False
     return BAD if bad else GOOD if good else 0.0
 
 

@@ -82,3 +82,24 @@ def test_training_learns_from_marked_pages(spark):
     model = x.train(pages, "page_id", "html")
     assert model == x.train(pages.repartition(7), "page_id", "html") != x.Shape()
     assert model.weights[1] < 0 < model.weights[0] and x.train(pages.limit(0), "page_id", "html") == x.Shape()
+
+
+SAID = "We store a few small files on your device so that the site works as it should, and you may say no."
+AROUND = [
+    '<div class="menu"><a href=1>Home</a><a href=2>News and more</a></div>', '<ul id="nav-main"><li><a>Home</a></li><li><a>About us and others</a></li></ul>', f'<div class="sidebar"><h3>More</h3><p>{SAID}</p></div>', f'<div class="sidebar-content"><p>{SAID}</p></div>',
+    f'<div class="cookie-consent"><p>{SAID}</p></div>', f'<div class="notice"><p>{SAID}</p></div>', f'<div class="ad"><p>{SAID}</p></div>', f'<div class="advert top"><span>{SAID}</span></div>', f"<form><p>{SAID}</p><input></form>", f'<div class="page-footer">{SAID}</div>',
+    f'<section id="comments"><h2>3 comments</h2><div class="comment"><p>{SAID}</p></div><div class="comment"><p>It was a good read.</p></div></section>', f'<ol class="comment-list"><li><p>{SAID}</p></li></ol>', f"<footer><p>{SAID}</p></footer>", f"<aside><p>{SAID}</p></aside>",
+    f'<div class="related"><h3>Read on</h3><a>{SAID}</a></div>', '<div class="entry-footer">Posted in <a>News</a> by Ann, on a day in May.</div>', f'<div role="dialog"><p>{SAID}</p></div>', f'<div class="newsletter-signup"><p>{SAID}</p></div>', '<ol class="breadcrumbs"><li><a>Home</a></li><li>Here we are</li></ol>', '<div class="share">Share this page with your friends.</div>',
+]
+#: As trained on the pages of sf0.01.
+TRAINED = x.Shape((1.2112, -2.201, 0.1066, 3.7732, 2.3676, -0.9742), -1.4785)
+
+
+@pytest.mark.parametrize("model", [x.Shape(), TRAINED], ids=["first", "trained"])
+@pytest.mark.parametrize("wrapper", ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', "<main><article>%s</article></main>", '<div id="main-content">%s</div>'])
+def test_boilerplate_around_and_inside(wrapper, model):
+    body = f"<h1>A title</h1><p>{PROSE}</p><p>Short one.</p><ul><li>Point one here.</li><li>Two</li></ul><blockquote>{PROSE}</blockquote><p>{PROSE}</p>"
+    want = f"A title {PROSE} Short one. Point one here. Two {PROSE} {PROSE}"
+    for other in [*AROUND, f"<header><p>{SAID}</p></header>"]:
+        pages = [other + wrapper % body, wrapper % body + other] + ([wrapper % body.replace("<blockquote>", other + "<blockquote>")] if other in AROUND else [])
+        assert all(x.extract(f"<html><body>{p}</body></html>", model) == want for p in pages), other
