@@ -25,6 +25,9 @@ UNIT_WORDS = "kg kgs g gr mg ml l mm cm m ea each pcs pc set tin bag box unit un
 MEASURE_UNITS = "kg kgs g gr mg ml l mm cm m".split()
 # Patterns.
 WORD = r"[a-z0-9]+"
+_NEGATOR = rf"(?:{'|'.join(NEGATORS)})(?![a-z0-9])[^a-z0-9]+"
+COUNTING = rf"(?:{_NEGATOR})++[a-z0-9]++|[0-9]++(?![a-z])|[a-z0-9]{{1,2}}(?![a-z0-9])|([a-z0-9]++)"
+WHETHER = r"(?<![a-z0-9])(whether[^a-z0-9]+or[^a-z0-9]+)not(?![a-z0-9])"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 MASS = r"(?i)(\d+(?:[.,]\d+)?)\s*(kg|kgs|kilograms?|g|gr|grams?|mg|milligrams?)\b"
 CODE = r"(?<![A-Za-z\d])\d{4}[.\-]\d{2}(?:[.\-]\d{2})?(?!\d)"
@@ -61,29 +64,24 @@ def stem(token: Column) -> Column:
     cut = lambda k: F.left(token, n - k)
     return (
         F.when((n > 4) & token.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 4) & token.rlike("(?:[sxz]es|ches|shes|oes)$"), cut(2))
+        .when((n > 4) & token.endswith("es") & token.rlike("(?:[sxz]es|ches|shes|oes)$"), cut(2))
         .when((n > 3) & token.endswith("s") & ~token.endswith("ss"), cut(1))
         .otherwise(token)
     )
 
 
 def tokenize(text: Column, drop_pack_words: bool = False) -> Column:
-    """Stemmed words of a text, without stopwords, numbers, short words and words right after a negator."""
-
-    def kept(words: Column) -> Column:
-        before = lambda i, k: F.get(words, i - k)
-
-        def stays(word: Column, i: Column) -> Column:
-            whether = (before(i, 1) == "not") & F.coalesce((before(i, 2) == "or") & (before(i, 3) == "whether"), F.lit(False))
-            negated = F.coalesce(one_of(before(i, 1), NEGATORS), F.lit(False)) & ~F.coalesce(whether, F.lit(False))
-            return ~one_of(word, NEGATORS) & ~negated & ~word.rlike("^[0-9]+$") & (F.char_length(word) >= 3)
-
-        return F.filter(words, stays)
-
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    stems = F.transform(let(words, kept), stem)
+    """Stemmed words of a text, without stopwords, numbers, short words and words right after a negator ("whether or not"
+    does not negate).
+
+    One expression takes the text apart: negators with the word that they negate, numbers and short words are matched but
+    not captured, so that only words that may count are touched one by one.
+    """
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.when(lowered.contains("whether"), F.regexp_replace(lowered, WHETHER, "$1")).otherwise(lowered)
+    words = F.filter(F.regexp_extract_all(plain, F.lit(COUNTING), F.lit(1)), lambda w: (w != "") & ~one_of(w, NEGATORS))
     gone = STOPWORDS + (PACK_WORDS if drop_pack_words else [])
-    return F.filter(stems, lambda t: ~one_of(t, gone) & (F.char_length(t) >= 3))
+    return F.filter(F.transform(words, stem), lambda t: ~one_of(t, gone) & (F.char_length(t) >= 3))
 
 
 def token_set(text: Column, drop_pack_words: bool = False) -> Column:
