@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 4
 LEAST = 0.8
 #: The rows of fingerprint_chain() that are asked against all: those whose id is divisible by this.
 EVERY = 100
+#: Texts asked for that may stand in one row.
+SLOT = 1000
 #: Rounds of drawn pairs in groups of several components.
 DRAWS = 1
 #: Buckets of shingles whose counts order the prefix join, and what rounding may take from a bound.
@@ -225,10 +227,15 @@ def alike(docs: DataFrame, rows: DataFrame, asked: Column, text_col: str = "text
     texts = materialise(texts.select(F.col("h").alias("class"), "n", "first", "asked", "sig"), "texts")
     twice = texts.filter("asked = 1 and n > 1").select(F.col("class").alias("h"), "first")
     second = rows.join(materialise(twice, "twice"), "h").filter("id <> first").groupBy("h").agg(F.min("id").alias("second"))
-    mine = texts.filter("asked = 1").select(F.col("class").alias("a"), F.explode(_bands()).alias("key"))
+    asking = texts.filter("asked = 1")
+    # The texts asked for that share a band stand in one row, dealt into slots of some SLOT of all, so that a pair of many
+    # common bands is written out once.
+    slot = F.pmod(F.xxhash64("class"), F.lit(max(1, asking.count() // SLOT)))
+    mine = asking.select("class", slot.alias("slot"), F.explode(_bands()).alias("key")).groupBy("key", "slot").agg(F.collect_list("class").alias("asked"))
     mine = materialise(mine, "asked-bands")
     theirs = in_bitmap(texts.select(F.col("class").alias("b"), F.explode(_bands()).alias("key")), bitmap(mine, F.col("key")), F.col("key"), "met").filter("met").drop("met")
-    pairs = materialise(mine.join(materialise(theirs, "met-bands"), "key").filter("a <> b").select("a", "b").distinct(), "pairs")
+    met = materialise(theirs, "met-bands").join(mine, "key").groupBy("b", "slot").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked"))
+    pairs = materialise(met.select(F.explode("asked").alias("a"), "b").filter("a <> b"), "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct(), "wanted")
     some = docs.select(whole(text_col).alias("text")).select("text", _text_hash(F.col("text")).alias("class"))
     some = in_bitmap(some, bitmap(wanted, F.col("class")), F.col("class"), "met").filter("met").select("class", "text")

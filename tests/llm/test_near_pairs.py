@@ -117,3 +117,13 @@ def test_queries_against_all_rows(spark):
     assert minhash.fingerprint_chain(docs.limit(0)).count() == 0
     by_name = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert {r.n_alike for r in minhash.fingerprint_chain(by_name).collect()} == {None}
+
+
+def test_queries_in_slots(spark, monkeypatch):
+    rng = random.Random(41)
+    base = words(rng, 120)
+    texts = [" ".join(base[:-1] + [f"end{i}"]) for i in range(60)]
+    whole = sorted(map(tuple, minhash.fingerprint_chain(frame(spark, texts), every=2).collect()))
+    monkeypatch.setattr(minhash, "SLOT", 3)
+    assert sorted(map(tuple, minhash.fingerprint_chain(frame(spark, texts), every=2).collect())) == whole
+    assert {r[-2] for r in whole} == {None, 59}
