@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stratalex.llm.common import bucketed, tune, type_of
 
 #: Code points after which a chunk is closed (a longer document is a chunk of its own).
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 #: Lists that the words of a chunk are dealt into, and input tasks whose chunks' lists meet: a task of step 2 meets the
 #: same number of words however large the corpus, at the price of encoding a word once in each part.
 BUCKETS, PART_TASKS = 128, 256
@@ -230,7 +230,9 @@ def _join_back(id_name: str, with_texts: bool, pieces):
         row = docs.to_pylist()[0]
         n = row["n"]
         of = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"]), np.uint8)
-        words: list = [None] * n
+        piece = pieces.value  # the join with the id-to-piece table
+        words: list = [None] * (n if with_texts else 0)
+        raw, texts, counts = [b""] * n, [""] * n, np.zeros(n, np.int64)
         # The words of each bucket, in their order.
         by_bucket = np.argsort(of, kind="stable")
         starts = np.searchsorted(of[by_bucket], np.arange(int(of.max(initial=0)) + 2))
@@ -238,12 +240,12 @@ def _join_back(id_name: str, with_texts: bool, pieces):
             mine = by_bucket[starts[one["bucket"]] : starts[one["bucket"] + 1]]
             ends = np.cumsum(_unpack_numbers(one["n_ids"], len(mine))).tolist()
             ids = _unpack_numbers(one["ids"], ends[-1]).tolist()
+            counts[mine] = np.diff([0, *ends])
             for at, a, b in zip(mine.tolist(), [0, *ends], ends):
-                words[at] = ids[a:b]
-        piece = pieces.value  # the join with the id-to-piece table
-        raw = [b"".join([piece[i] for i in x]) for x in words]
-        counts = np.array([len(x) for x in words], np.int64)
-        texts = [",".join(map(str, x)) for x in words]
+                x = ids[a:b]
+                raw[at], texts[at] = b"".join([piece[i] for i in x]), ",".join(map(str, x))
+                if with_texts:
+                    words[at] = x
         sizes = _unpack_numbers(row["sizes"], len(row["ids"])).tolist()
         flat = _unpack_numbers(row["places"], sum(sizes))
         out = {id_name: row["ids"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_texts else {})
