@@ -149,6 +149,30 @@ def test_links_of_a_hot_group(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_components_of_either_size(spark, monkeypatch):
+    """One task for few edges, rounds for more: the same components as a plain union, chains and hubs included."""
+    from stratalex.llm import components as c
+
+    rng = random.Random(9)
+    pairs = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5000 + i) for i in range(1, 60)] + [(7, 7)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for x in root if find(x) != x}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    for few in (c.FEW, 10):
+        monkeypatch.setattr(c, "FEW", few)
+        assert {tuple(r) for r in c.components(edges).collect()} == want
+    assert c.components(edges.limit(0)).count() == 0
+
+
 def test_index():
     rng = np.random.default_rng(4)
     codes = np.unique(np.r_[rng.integers(0, 2**63, 300, np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 63, 200, np.uint64))])
