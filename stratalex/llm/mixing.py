@@ -35,8 +35,8 @@ MOST = 3
 BLOCK_ROWS = 800
 #: Most Newton steps, and the share of all tokens at which the gradient counts as zero.
 STEPS, NEAR = 60, 1e-9
-#: The ridge as a share of all tokens, and the bracket of beta.
-RIDGE, BETA_MOST = 0.01, 4.0
+#: The ridge as a share of all tokens, the bracket of beta, and its width at which the steps end as well.
+RIDGE, BETA_MOST, NARROW = 0.01, 4.0, 1e-6
 #: Rates are rounded to this fraction, so that all later arithmetic is in whole numbers; sums of the dual as well.
 UNIT = 1_000_000
 #: Copies that one row is expanded to at a time.
@@ -103,7 +103,7 @@ def solve(sized: DataFrame, sources: DataFrame, most: int = MOST, steps: int = S
         by = _levels(cells, beta, most).groupBy("place").agg(real(F.col("bends")).alias("a"), real(F.col("bends") * f).alias("b"), real(F.col("bends") * f * f).alias("d"), real(F.col("mass") * f).alias("g"))
         one = by.agg(real(F.col("g")).alias("g"), real(F.col("d") - F.when(F.col("a") > 0, F.col("b") * F.col("b") / F.col("a")).otherwise(0.0)).alias("bend")).first()
         slope = -one.g - ridge * beta
-        if abs(slope) <= NEAR * total:
+        if abs(slope) <= NEAR * total or high - low < NARROW:
             break
         low, high = (beta, high) if slope > 0 else (low, beta)
         moved = beta + slope / max(one.bend + ridge, ridge)

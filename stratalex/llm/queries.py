@@ -122,7 +122,7 @@ SELECT k + 1, CASE WHEN low < moved AND moved < high THEN moved ELSE (low + high
     SELECT k, beta, low, high, tokens, -{_MILLIONTHS("g")} - {mixing.RIDGE} * tokens * beta AS slope, {_MILLIONTHS("dd - CASE WHEN a > 0 THEN b * b / a ELSE 0 END")} AS bend FROM (
       SELECT k, beta, low, high, place, {_MILLIONTHS("bends")} AS a, {_MILLIONTHS("bends * f")} AS b, {_MILLIONTHS("bends * f * f")} AS dd, {_MILLIONTHS("mass * f")} AS g FROM ({_LEVELS.format(state="it")}) GROUP BY k, beta, low, high, place), z
     GROUP BY k, beta, low, high, tokens)
-  WHERE k < {mixing.STEPS} AND abs(slope) > {mixing.NEAR} * tokens)),
+  WHERE k < {mixing.STEPS} AND abs(slope) > {mixing.NEAR} * tokens AND high - low >= {mixing.NARROW})),
 last_ AS (SELECT * FROM it ORDER BY k DESC LIMIT 1),
 y AS (SELECT place, max(level) AS reached FROM ({_LEVELS.format(state="last_")}) GROUP BY place),
 e AS (SELECT d.doc_id, d.source, CAST(d.size AS BIGINT) AS size, t.total, t.target, CASE WHEN t.total > 0 THEN CAST(round(least(coalesce(reached * exp(beta * CASE WHEN size > 0 THEN round(ln(greatest(size, 1)) - centre, 9) ELSE 0 END), {mixing.MOST}), {mixing.MOST}) * {mixing.UNIT}) AS BIGINT) ELSE 0 END AS rate
