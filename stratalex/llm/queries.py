@@ -1,4 +1,4 @@
-"""The ten operators as queries over the input tables, and SQL for those that SQL can express."""
+"""The operators as queries over the input tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import bpe, chat, exact_dedup, html_extract, line_dedup, minhash, mixing, quality, secrets, simhash
+from stratalex.llm import bpe, chat, exact_dedup, html_extract, line_dedup, merkle, minhash, mixing, quality, secrets, simhash
 from stratalex.llm.common import read
 
 
@@ -60,8 +60,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format, op13_merkle)}
 
 
 def _sql_secrets() -> str:
@@ -132,5 +136,23 @@ f AS (SELECT total, target, ids, docs, list_reduce(docs, lambda acc, x: {{'size'
 SELECT unnest(ids) AS doc_id, unnest(list_transform(docs, lambda x: x.size)) AS size, total AS source_size, target, unnest(list_transform(docs, lambda x: x.size)) * unnest(copies) AS taken FROM f"""
 
 
+#: The CRC-32 of a text, bit by bit over its bytes.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_UP = "SELECT tree, lvl + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM {t} WHERE n > 1 GROUP BY tree, lvl, p // 2, n"
+#: A row climbs its tree: the digest that it gives, and the siblings so far.
+_FOLD = "SELECT x.row, x.tree, x.lvl + 1, x.p // 2, sha256(CASE WHEN s.h IS NULL THEN x.h WHEN x.p % 2 = 1 THEN s.h || x.h ELSE x.h || s.h END), x.said || coalesce(s.h, '') FROM {f} x JOIN {t} o ON o.tree = x.tree AND o.lvl = x.lvl AND o.p = x.p AND o.n > 1 LEFT JOIN {t} s ON s.tree = x.tree AND s.lvl = x.lvl AND s.p = xor(x.p, 1)"
+_MERKLE_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree, {_LEAF.format(n='n_chars')} AS leaf, CASE WHEN {_CRC.format(x='CAST(doc_id AS VARCHAR)')} % {merkle.TAMPER} = 0 THEN {_LEAF.format(n='(n_chars + 1)')} ELSE {_LEAF.format(n='n_chars')} END AS start FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf)),
+t AS (SELECT tree, 0 AS lvl, p, n, leaf AS h FROM o UNION ALL {_UP.format(t='t')}),
+f AS (SELECT row, tree, 0 AS lvl, p, start AS h, '' AS said FROM o UNION ALL {_FOLD.format(f='f', t='t')}),
+r AS MATERIALIZED (SELECT tree AS of_, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT '' AS tree, 0 AS lvl, p, n, h FROM r UNION ALL {_UP.format(t='u')}),
+e AS MATERIALIZED (SELECT row, arg_max(h, lvl) AS h, arg_max(said, lvl) AS said FROM f GROUP BY row),
+g AS (SELECT e.row, '' AS tree, 0 AS lvl, r.p, e.h, e.said FROM e JOIN o USING (row) JOIN r ON r.of_ = o.tree UNION ALL {_FOLD.format(f='g', t='u')}),
+z AS (SELECT row, arg_max(h, lvl) AS h, arg_max(said, lvl) AS said FROM g GROUP BY row), top AS (SELECT h FROM u WHERE n = 1)
+SELECT doc_id, leaf, r.h AS subroot, top.h AS root, sha256(z.said) AS proof_sha256, z.h AS folded_root, z.h = top.h AS verified FROM d JOIN z USING (row) JOIN r ON r.of_ = d.tree, top"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL}
+    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL, "op13_merkle": _MERKLE_SQL}
