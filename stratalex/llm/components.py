@@ -1,10 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table: trees within each task, then alternating large-star and small-star steps.
 
-No step collects edges to the driver or a hub's neighbours to one task: each is a minimum per node (combined on the map
-side) and an equi-join on the node, whose skewed partitions adaptive execution splits.  Every round is written to the
-shared folder, so lineage stays short.  The number of rounds grows with the logarithm of the number of nodes.
-
-A graph of at most FEW edges needs no rounds: one task takes it whole, in memory of a known bound.
+First each task replaces the edges that it reads by stars, in blocks of a bounded number of edges: as many links as nodes, at
+most.  Then stars of different tasks meet.  No step collects edges to the driver or a hub's neighbours to one task: each is
+a minimum per node (combined on the map side) and an equi-join on the node, whose skewed partitions adaptive execution
+splits.  Every round is written to the shared folder, so lineage stays short.  The number of rounds grows with the
+logarithm of the number of nodes; edges that one task read need none.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import discard, materialise, type_of
+from stratalex.llm.common import discard, materialise
 
-#: Edges (of 16 bytes) that one task takes whole.
-FEW = 200_000
+#: Edges (of 16 bytes) that a task joins at a time.
+BLOCK = 1_000_000
 
 
 def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
@@ -38,19 +38,10 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     return out.filter("a <> b").distinct(), least
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 24))).first())
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges, all in one, -> (node, root) of the nodes that are not the least of their component."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    n = sum(len(a) for a, _ in got)
-    nodes, at = np.unique(np.concatenate([a for a, _ in got] + [b for _, b in got]), return_inverse=True)
-    a, b = at[:n], at[n:]
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges -> (node, least node of its component among them) of the nodes that are not the least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
     root = np.arange(len(nodes))
     while len(a):
         np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
@@ -59,26 +50,39 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
     child = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["node", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
+
+
+def _within_tasks(edges: DataFrame) -> DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, n = [], 0
+        for x in batches:
+            got.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            n += x.num_rows
+            if n >= BLOCK:
+                yield _stars(*map(np.concatenate, zip(*got)))
+                got, n = [], 0
+        if n:
+            yield _stars(*map(np.concatenate, zip(*got)))
+
+    return edges.mapInArrow(join, "a long, b long")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one root, which itself has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or up = 1 and root = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b), undirected, loops allowed -> (node, root), root the least node of each component.  Nodes of no edge
-    to another node do not occur.  An empty table gives an empty table."""
-    edges = materialise(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    before = _state(edges)
-    if before[0] <= FEW and type_of(edges, "a") == type_of(edges, "b") == "bigint":
-        return edges.coalesce(1).mapInArrow(_whole, "node long, root long")
-    while before[0]:
+    """edges(a, b) of longs, undirected, loops and repeats allowed -> (node, root), root the least node of each component.
+    Nodes of no edge to another node do not occur.  An empty table gives an empty table."""
+    edges = materialise(_within_tasks(edges.filter("a <> b").select("a", "b")), "edges")
+    while not _settled(edges):
         large, least = _star(edges, True)
         large = materialise(large, "edges")
         discard(edges, least)
         small, least = _star(large, False)
-        nxt = materialise(small, "edges")
+        edges = materialise(_within_tasks(small), "edges")
         discard(large, least)
-        after = _state(nxt)
-        edges = nxt
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

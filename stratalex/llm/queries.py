@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import bpe, chat, exact_dedup, html_extract, line_dedup, merkle, minhash, mixing, quality, secrets, simhash
+from stratalex.llm import bpe, chat, exact_dedup, html_extract, jaccard_join, line_dedup, merkle, minhash, mixing, quality, secrets, simhash
 from stratalex.llm.common import read
 
 
@@ -60,12 +60,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format, op13_merkle)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format, op12_jaccard_join, op13_merkle)}
 
 
 def _sql_secrets() -> str:
@@ -136,6 +140,15 @@ f AS (SELECT total, target, ids, docs, list_reduce(docs, lambda acc, x: {{'size'
 SELECT unnest(ids) AS doc_id, unnest(list_transform(docs, lambda x: x.size)) AS size, total AS source_size, target, unnest(list_transform(docs, lambda x: x.size)) * unnest(copies) AS taken FROM f"""
 
 
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT row, md5_number_lower(array_to_string(ws[i:i + {jaccard_join.SHINGLE - 1}], ' ')) AS s FROM (SELECT row, ws, unnest(range(1, greatest(len(ws) - {jaccard_join.SHINGLE - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT row, count(*) AS n FROM s GROUP BY row),
+b AS (SELECT x.row AS a, y.row AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.row < y.row GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * k >= {jaccard_join.LEAST} * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT row, row FROM w),
+r AS (SELECT row AS a, row AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT x.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y.doc_id) FROM r JOIN w y ON y.row = r.b WHERE r.a = x.row) AS component_id FROM w x LEFT JOIN n USING (row)"""
+
 #: The CRC-32 of a text, bit by bit over its bytes.
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
@@ -155,4 +168,4 @@ SELECT doc_id, leaf, r.h AS subroot, top.h AS root, sha256(z.said) AS proof_sha2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL, "op13_merkle": _MERKLE_SQL}
+    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL, "op12_jaccard_join": _JACCARD_SQL, "op13_merkle": _MERKLE_SQL}
