@@ -230,25 +230,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     listed = in_bitmap(entries, bitmap(shared, F.col("token")), F.col("token"), "met").filter("met").drop("met")
     listed = materialise(listed.join(shared, "token", "left_semi").dropDuplicates(["token", "class"]), "listed")
     discard(entries, shared)
-    stars = materialise(_stars(listed, least), "stars")
     met = materialise(listed.select("class").distinct(), "met")
-    ids = F.xxhash64("id")
-    wanted = bitmap(classes.join(met, "class").select(F.col("least").alias("id")), ids)
-    texts = in_bitmap(_representatives(docs, rows, classes, ["id", "text"]), wanted, ids, "met").filter("met or id is null").select("text")
-    sets = _sets(texts, seed).join(met, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
-    labels = materialise(minhash._named(met, components(verified(stars, sets, least))), "labels")
-    discard(stars)
+    texts = _representatives(docs, rows, classes, ["id", "text"])
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """The verified ones of pairs: the texts of their classes alone are read again."""
+        pairs = materialise(pairs, name)
+        asked = materialise(pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct(), "asked")
+        ids = F.xxhash64("id")
+        wanted = bitmap(classes.join(asked, "class").select(F.col("least").alias("id")), ids)
+        some = in_bitmap(texts, wanted, ids, "met").filter("met or id is null").select("text")
+        sets = _sets(some, seed).join(asked, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
+        sets = materialise(sets, "sets")
+        out = materialise(verified(pairs, sets, least), "links")
+        discard(pairs, asked, sets)
+        return out
+
+    labels = materialise(minhash._named(met, components(links(_stars(listed, least), "stars"))), "labels")
     open_ = _open(listed, labels)
     # Drawn pairs: what is much alike meets at a cost that grows with the lists.
     near = open_.filter("level = 1")
     held = materialise(near.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 2"), "held")
     drawn = minhash._drawn(near.join(held, "token").select(F.col("token").alias("key"), "class", F.col("held").alias("n"), "root"), 0)
-    labels = _merged(labels, verified(materialise(drawn, "drawn"), sets, least))
+    labels = _merged(labels, links(drawn, "drawn"))
     discard(open_)
     open_ = _open(listed, labels)
-    labels = _merged(labels, verified(materialise(candidates(open_, least), "candidates"), sets, least))
-    discard(open_, listed, sets)
+    labels = _merged(labels, links(candidates(open_, least), "candidates"))
+    discard(open_, listed)
     named = classes.select("class", "least").join(labels, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     by_class = materialise(named.join(roots, "root").select("class", "component"), "class-component")
