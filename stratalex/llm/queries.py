@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import bpe, chat, exact_dedup, html_extract, jaccard_join, line_dedup, merkle, minhash, mixing, quality, secrets, simhash
+from stratalex.llm import bpe, chat, exact_dedup, html_extract, importance, jaccard_join, line_dedup, merkle, minhash, mixing, quality, secrets, simhash
 from stratalex.llm.common import read
 
 
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format, op12_jaccard_join, op13_merkle)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_html_extraction, op6_mixing, op7_fingerprints, op8_quality, op9_simhash, op10_chat_format, op11_importance, op12_jaccard_join, op13_merkle)}
 
 
 def _sql_secrets() -> str:
@@ -155,6 +159,18 @@ _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' |
 _UP = "SELECT tree, lvl + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM {t} WHERE n > 1 GROUP BY tree, lvl, p // 2, n"
 #: A row climbs its tree: the digest that it gives, and the siblings so far.
 _FOLD = "SELECT x.row, x.tree, x.lvl + 1, x.p // 2, sha256(CASE WHEN s.h IS NULL THEN x.h WHEN x.p % 2 = 1 THEN s.h || x.h ELSE x.h || s.h END), x.said || coalesce(s.h, '') FROM {f} x JOIN {t} o ON o.tree = x.tree AND o.lvl = x.lvl AND o.p = x.p AND o.n > 1 LEFT JOIN {t} s ON s.tree = x.tree AND s.lvl = x.lvl AND s.p = xor(x.p, 1)"
+_GRAMS = "SELECT doc, unnest(ws) AS f FROM {t} UNION ALL SELECT doc, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc, ws, unnest(range(1, len(ws))) AS i FROM {t})"
+_TOLD = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws"
+_IMPORTANCE_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, {_TOLD} FROM documents), b AS (SELECT item_id AS doc, {_TOLD} FROM benchmark),
+df AS MATERIALIZED (SELECT doc, f, count(*) AS n FROM ({_GRAMS.format(t='d')}) GROUP BY ALL), bf AS MATERIALIZED (SELECT f, count(*) AS n FROM ({_GRAMS.format(t='b')}) GROUP BY f),
+h AS MATERIALIZED (SELECT f, {_CRC.format(x='f')} % {importance.BUCKETS} AS k FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT k, sum(n) AS n FROM df JOIN h USING (f) GROUP BY k), t AS (SELECT k, sum(n) AS n FROM bf JOIN h USING (f) GROUP BY k),
+tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+g AS MATERIALIZED (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (tot.s + {importance.BUCKETS})::DOUBLE / ((s.n + 1)::DOUBLE * (tot.t + {importance.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k), tot),
+w AS (SELECT doc, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM df JOIN h USING (f) JOIN g USING (k) GROUP BY doc),
+e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight, CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS gumbel FROM d LEFT JOIN w USING (doc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {importance.LEAST_WORDS} ORDER BY weight + gumbel DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= {importance.LEAST_WORDS}) AS n FROM e)
+SELECT doc_id, n_features, weight, weight + gumbel AS score, CASE WHEN n_words >= {importance.LEAST_WORDS} AND place <= {importance.PERCENT} * n // 100 THEN place END AS rank FROM r"""
 _MERKLE_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree, {_LEAF.format(n='n_chars')} AS leaf, CASE WHEN {_CRC.format(x='CAST(doc_id AS VARCHAR)')} % {merkle.TAMPER} = 0 THEN {_LEAF.format(n='(n_chars + 1)')} ELSE {_LEAF.format(n='n_chars')} END AS start FROM documents),
 o AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf)),
 t AS (SELECT tree, 0 AS lvl, p, n, leaf AS h FROM o UNION ALL {_UP.format(t='t')}),
@@ -168,4 +184,4 @@ SELECT doc_id, leaf, r.h AS subroot, top.h AS root, sha256(z.said) AS proof_sha2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL, "op12_jaccard_join": _JACCARD_SQL, "op13_merkle": _MERKLE_SQL}
+    return {"op1_secret_scan": _sql_secrets(), "op2_line_dedup": _LINES_SQL, "op3_exact_dedup": _EXACT_SQL, "op6_mixing": _MIX_SQL, "op11_importance": _IMPORTANCE_SQL, "op12_jaccard_join": _JACCARD_SQL, "op13_merkle": _MERKLE_SQL}
