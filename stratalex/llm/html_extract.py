@@ -10,7 +10,7 @@ little go with those around them.  The maximum flow of that graph separates cont
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -36,6 +36,7 @@ APART = frozenset("text mtr mtd".split())
 #: An opening tag of the key ends open elements of the value, within the innermost of STOPS.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol menu dl table article section main aside nav header footer form div body".split())
+CLOSED_WITHIN = INLINE | {"p", "li", "dt", "dd"}
 ENDS_P = frozenset("p div article section main aside nav header footer form ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote figure hr address fieldset details body".split())
 #: Log-odds that sections and roles around a block add.  AROUND: inside an article or main; beside it, on a page that has one.
 SECTIONS = dict.fromkeys("nav footer aside form menu dialog".split(), -7.0) | {"fieldset": -2.0, "header": -5.0}
@@ -60,7 +61,8 @@ MOST_ODDS = 8.0
 #: Pages that train the classifier, about, and labelled blocks that weigh as much as the weights it starts with.
 SAMPLE, PRIOR = 5_000, 2_000.0
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b""", re.I)
@@ -78,6 +80,9 @@ class Node:
     #: Whether the node is in an article or main, and what bad class words of wrappers around none have taken.
     inside: bool = False
     doubt: float = 0.0
+    #: The block that holds it, and how many elements of each name are open since the innermost of STOPS.
+    holder: "Node | None" = None
+    scope: "dict[str, int]" = field(default_factory=dict)
 
 
 @dataclass
@@ -127,10 +132,67 @@ def _odds(name: str, attributes: str, up: Node) -> tuple[float, bool, float]:
     return odds, hidden, doubt
 
 
+def _tags(html: str) -> Iterator[tuple[str, str | None, bool]]:
+    """The page's parts in order: (text, None, False), or of a tag what stands behind its name, the name in lower case, and
+    whether it closes.  Text between CDATA marks has its references escaped; what RAW elements hold is left out.
+
+    Every character is looked at a bounded number of times: what has been found to have no end is not sought again.  A tag that
+    its quotes would keep open to the end of the page ends at the next >, and quotes do not count from there on.
+    """
+    last, cdata_ends, quoted = html.rfind(">"), True, True
+    start = at = 0  # of the text so far, and where to look
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt) or lt < last and html.startswith(("<!", "<?"), lt):
+            if start < lt:
+                yield html[start:lt], None, False
+            end = html.find("-->", lt + 4) if html.startswith("<!--", lt) else -3
+            if end == -3 and cdata_ends and html.startswith("<![CDATA[", lt):
+                close = html.find("]]>", lt + 9)
+                cdata_ends = close >= 0
+                if cdata_ends:
+                    yield html[lt + 9 : close].replace("&", "&amp;"), None, False
+                    start = at = close + 3
+                    continue
+            start = at = html.find(">", lt) + 1 if end == -3 else end + 3 if end >= 0 else len(html)
+            continue
+        m = _NAME.match(html, lt + 1) if lt < last else None
+        if m is None or m.end() > last:
+            if html.startswith(("<!", "<?"), lt):  # it has no end, so nothing follows it
+                break
+            at = lt + 1
+            continue
+        end = _tag_end(html, m.end()) if quoted else html.find(">", m.end())
+        if end < 0:
+            quoted, end = False, html.find(">", m.end())
+        if start < lt:
+            yield html[start:lt], None, False
+        name = m[2].lower()
+        start = at = end + 1
+        yield html[m.end() : end], name, m[1] == "/"
+        if not m[1] and name in RAW:
+            close = _CLOSE[name].search(html, at) if at < last else None
+            start = at = close.end() if close else len(html)
+    text = html[start:] if lt < 0 else html[start:lt]
+    if text:
+        yield text, None, False
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the > stands that ends a tag, not counting quoted ones; -1 if there is none."""
+    while (m := _QUOTE_OR_END.search(html, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def blocks(html: str) -> list[Block]:
     """The non-empty text blocks of a page, in order; references decoded, white space collapsed."""
     top = Node("", None, 0.0, False, False, 0)
-    here, out, now, at = top, [], Block(top), 0
+    top.holder = top
+    here, out, now, names = top, [], Block(top), Counter()
 
     def close_block():
         nonlocal now
@@ -142,64 +204,66 @@ def blocks(html: str) -> list[Block]:
     def add(text: str):
         if text and not here.skipped:
             if not now.parts or not "".join(now.parts[-1:]).strip():
-                now.node = holder(here)
+                now.node = here.holder
             text = unescape(text)
             now.parts.append(text)
             if here.link:
                 now.in_links += len(text)
 
-    def holder(node: Node) -> Node:
-        while node.name in INLINE and node.up is not None:
-            node = node.up
-        return node
-
-    def leave(names: frozenset | set, stops: frozenset) -> None:
+    def enter(node: Node) -> None:
+        nonlocal here
+        node.holder = here.holder if node.name in INLINE else node
+        node.scope = {} if node.name in STOPS else here.scope
+        node.scope[node.name] = node.scope.get(node.name, 0) + 1
+        names[node.name] += 1
+        here = node
+
+    def up_to(node: Node) -> None:
+        """Close all that is open up to the node, and the node."""
         nonlocal here
-        node = here
-        while node.up is not None and node.name not in stops:
-            if node.name in names:
-                here = node.up
-                return
-            node = node.up
-
-    while at < len(html):
-        m = _PART.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(m[1].replace("&", "&amp;"))
-        if not m[3]:
+        while here is not node.up:
+            here.scope[here.name] -= 1
+            names[here.name] -= 1
+            here = here.up
+
+    def leave(some: frozenset | set) -> None:
+        """Close the innermost of these within the innermost of STOPS."""
+        if any(here.scope.get(n) for n in some):
+            node = here
+            while node.up is not None and node.name not in STOPS:
+                if node.name in some:
+                    return up_to(node)
+                node = node.up
+
+    for text, name, closing in _tags(html):
+        if name is None:
+            add(text)
             continue
-        name, closing = m[3].lower(), m[2] == "/"
+        attributes = text
         if name not in INLINE:
             close_block()
         elif name in APART:
             add(" ")
         if closing:
-            node = here
-            while node.up is not None and node.name != name:
-                if node.name in STOPS and name in INLINE | {"p", "li", "dt", "dd"}:
-                    node = top  # an end tag without a start tag does not end what is around it
-                else:
+            # An end tag without a start tag ends nothing, nor does one of these end what is around a block.
+            within = name in CLOSED_WITHIN
+            if here.scope.get(name) if within else names[name]:
+                node = here
+                while node.name != name and not (within and node.name in STOPS):
                     node = node.up
-            if node.up is not None:
-                here = node.up
-        elif name not in VOID and not (name in INLINE and m[4].rstrip().endswith("/")):
+                if node.name == name:
+                    up_to(node)
+        elif name not in VOID and not (name in INLINE and attributes.rstrip().endswith("/")):
             if name in ENDS_P:
-                leave({"p"}, STOPS)
+                leave({"p"})
             if name in ENDS:
-                leave(ENDS[name], STOPS)
-            odds, hidden, doubt = _odds(name, m[4], here)
-            here = Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1, here.inside or name in OWN or _MAIN_ROLE.search(m[4]) is not None, doubt)
+                leave(ENDS[name])
+            odds, hidden, doubt = _odds(name, attributes, here)
+            enter(Node(name, here, here.odds + odds, here.skipped or hidden or name in SKIPPED, here.link or name == "a", here.depth + 1, here.inside or name in OWN or _MAIN_ROLE.search(attributes) is not None, doubt))
             if name in RAW:
-                end = _CLOSE[name].search(html, at)
-                at = end.end() if end else len(html)
-                here = here.up
+                up_to(here)
         if name not in INLINE:
-            now.node = holder(here)
+            now.node = here.holder
     close_block()
     return out
 
