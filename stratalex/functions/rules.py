@@ -161,6 +161,8 @@ class Rule:
     code: Callable[[Column], Column] | None
     detail: Callable[[Column], Column] | None = None
     reason: Callable[[Column], Column] | None = None
+    #: Parts of words of which a text that fires has one at least; none: not known.
+    stems: tuple[str, ...] = ()
 
 
 def _const(code: str) -> Callable[[Column], Column]:
@@ -168,26 +170,27 @@ def _const(code: str) -> Callable[[Column], Column]:
 
 
 RULES = (
-    Rule("bituminous_mastic_2715", "2715", lambda t: _has(t, BITUMINOUS), _code_2715),
-    Rule("mechanical_seal_8484", "8484", lambda t: _has(t, SEAL) & ~_has(t, NOT_SEAL), _const("8484.20.00")),
-    Rule("oil_additive_3811", "3811", lambda t: _has(t, ADDITIVE), _const("3811.90.00")),
-    Rule("surface_coating_3403_19", "3403", lambda t: _has(t, COATING_PETROLEUM), lambda d: F.when(_has(norm(d), AEROSOL), "3403.19.10").otherwise("3403.19.90")),
-    Rule("surface_coating_3403_99", "3403", lambda t: _has(t, COATING), _const("3403.99.90")),
-    Rule("abrasive_6805", "6805", lambda t: _has(t, ABRASIVE), _const("6805.30.00")),
+    Rule("bituminous_mastic_2715", "2715", lambda t: _has(t, BITUMINOUS), _code_2715, stems=("bitum", "asphalt")),
+    Rule("mechanical_seal_8484", "8484", lambda t: _has(t, SEAL) & ~_has(t, NOT_SEAL), _const("8484.20.00"), stems=("seal",)),
+    Rule("oil_additive_3811", "3811", lambda t: _has(t, ADDITIVE), _const("3811.90.00"), stems=("additive",)),
+    Rule("surface_coating_3403_19", "3403", lambda t: _has(t, COATING_PETROLEUM), lambda d: F.when(_has(norm(d), AEROSOL), "3403.19.10").otherwise("3403.19.90"), stems=("tectyl", "ardrox")),
+    Rule("surface_coating_3403_99", "3403", lambda t: _has(t, COATING), _const("3403.99.90"), stems=("corban", "corrosion")),
+    Rule("abrasive_6805", "6805", lambda t: _has(t, ABRASIVE), _const("6805.30.00"), stems=("brite", "pad")),
     Rule(
         "lubricant_3403",
         "3403",
         lambda t: ~t.contains("greaseproof") & _has(t, LUBRICANT) & ~_has(t, NOT_LUBRICANT) & ~(_has(t, ANTI_RUST) & _has(t, PAINT)),
         _code_3403,
         lambda d: F.when(_has(norm(d), PETROLEUM), LUBRICANT_SPLITS[0]).otherwise(LUBRICANT_SPLITS[1]),
+        stems=("seize", "slip", "moly", "lubric", "friction", "cutting", "greas", "rust"),
     ),
-    Rule("synthetic_gearbox_3403", "3403", lambda t: _has(t, GEARBOX) & ~_has(t, MINERAL), _const("3403.99.90")),
-    Rule("mineral_hydraulic_2710", "2710", lambda t: _has(t, HYDRAULIC) & _has(t, MINERAL) & ~_has(t, SYNTHETIC), _const("2710.19.80")),
-    Rule("synthetic_hydraulic_3403", "3403", lambda t: _has(t, HYDRAULIC), _const("3403.99.90")),
-    Rule("petroleum_oil_2710", "2710", lambda t: _has(t, ENGINE_OIL) & ~_has(t, NOT_ENGINE_OIL), None),
-    Rule("hydraulic_cement_2523", "2523", lambda t: _has(t, CEMENT), _code_2523),
-    Rule("mastic_3214", "3214", lambda t: _has(t, MASTIC), _code_3214, reason=lambda d: F.when(_code_3214(d) == "3214.90.00", SURFACING_REASON).otherwise(REASONS["mastic_3214"])),
-    Rule("adhesive_3506", "3506", lambda t: _has(t, ADHESIVE), _code_3506, _split_3506),
+    Rule("synthetic_gearbox_3403", "3403", lambda t: _has(t, GEARBOX) & ~_has(t, MINERAL), _const("3403.99.90"), stems=("gear", "aeroshell")),
+    Rule("mineral_hydraulic_2710", "2710", lambda t: _has(t, HYDRAULIC) & _has(t, MINERAL) & ~_has(t, SYNTHETIC), _const("2710.19.80"), stems=("hydraulic",)),
+    Rule("synthetic_hydraulic_3403", "3403", lambda t: _has(t, HYDRAULIC), _const("3403.99.90"), stems=("hydraulic",)),
+    Rule("petroleum_oil_2710", "2710", lambda t: _has(t, ENGINE_OIL) & ~_has(t, NOT_ENGINE_OIL), None, stems=("oil",)),
+    Rule("hydraulic_cement_2523", "2523", lambda t: _has(t, CEMENT), _code_2523, stems=("cement",)),
+    Rule("mastic_3214", "3214", lambda t: _has(t, MASTIC), _code_3214, reason=lambda d: F.when(_code_3214(d) == "3214.90.00", SURFACING_REASON).otherwise(REASONS["mastic_3214"]), stems=("seal", "caulk", "mastic", "putt", "cement", "filling", "rtv")),
+    Rule("adhesive_3506", "3506", lambda t: _has(t, ADHESIVE), _code_3506, _split_3506, stems=("glue", "adhesive", "cyano", "loctite", "pva")),
 )
 
 
@@ -199,11 +202,16 @@ def _first(rules: tuple[Rule, ...], name: Column, value: Callable[[Rule], Column
 
 
 def rule_id(description: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Name of the first rule that fires; null if none does."""
+    """Name of the first rule that fires; null if none does.
+
+    One pass over the stems of all rules tells most texts apart that none will fire on; only the others meet the rules.
+    """
     text = norm(F.coalesce(description, F.lit("")))
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
         out = F.when(rule.fires(text), rule.name).otherwise(out)
+    if all(rule.stems for rule in rules):
+        out = F.when(text.rlike("|".join(sorted({x for rule in rules for x in rule.stems}))), out)
     return out
 
 

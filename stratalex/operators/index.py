@@ -41,16 +41,34 @@ def capped_candidates(query_tokens: DataFrame, posted: DataFrame, frequency: Dat
 
     Tokens are looked up by falling IDF, then by name.  A token with more than `long` postings counts only while nothing
     was found; a token counts only while at most `enough` distinct rows were found before it.
+
+    The lookup goes in rounds.  A round takes of each query the tokens that are due whatever they find: as long as their
+    postings before them, added to the rows found, are no more than `enough`.  Queries that have enough, or no token
+    left, leave; so no posting is read that the pool does not hold, but for rows that several tokens share.
     """
     known = query_tokens.join(frequency.select("token", "df"), "token")
     # Rare tokens first: IDF falls as the frequency rises.
     by_rank = W.partitionBy(query_col).orderBy("df", "token")
     ranked = known.withColumn("rank", F.row_number().over(by_rank)).filter((F.col("rank") == 1) | (F.col("df") <= long))
-    hits = materialise(ranked.join(posted, "token").groupBy(query_col, id_col).agg(F.min("rank").alias("rank")), "hits")  # read twice
-    per_rank = hits.groupBy(query_col, "rank").agg(F.count(F.lit(1)).alias("new"))
-    before = W.partitionBy(query_col).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    kept = per_rank.withColumn("found", F.coalesce(F.sum("new").over(before), F.lit(0))).filter(F.col("found") <= enough).select(query_col, "rank")
-    return hits.join(kept, [query_col, "rank"]).select(query_col, id_col)
+    ahead = F.sum("df").over(by_rank.rowsBetween(W.unboundedPreceding, -1))
+    ranked = materialise(ranked.withColumn("ahead", F.coalesce(ahead, F.lit(0))), "ranked")
+    open_ = ranked.groupBy(query_col).agg(F.lit(0).cast("long").alias("found"), F.min("ahead").alias("base"))
+    pool = None
+    while True:
+        due = materialise(ranked.join(open_, query_col).filter((F.col("ahead") >= F.col("base")) & (F.col("ahead") - F.col("base") + F.col("found") <= enough)), "due")
+        if due.isEmpty():
+            break
+        hits = due.select(query_col, "token").join(posted, "token").select(query_col, id_col).distinct()
+        if pool is not None:
+            hits = hits.join(pool, [query_col, id_col], "left_anti")
+        hits = materialise(hits, "hits")
+        pool = hits if pool is None else pool.unionByName(hits)
+        # Where the next token stands, and how much was found.
+        at = due.groupBy(query_col).agg(F.max("found").alias("had"), F.max(F.col("ahead") + F.col("df")).alias("base"))
+        new = hits.groupBy(query_col).agg(F.count(F.lit(1)).alias("new"))
+        open_ = at.join(new, query_col, "left").select(query_col, (F.col("had") + F.coalesce("new", F.lit(0))).alias("found"), "base").filter(F.col("found") <= enough)
+        open_ = materialise(open_, "open")
+    return posted.select(id_col).limit(0).crossJoin(ranked.select(query_col).limit(0)).select(query_col, id_col) if pool is None else pool
 
 
 def bm25(query_terms: DataFrame, terms: DataFrame, total: int, mean_length: float, query_col: str, id_col: str, hits: int = BM25_HITS, digits: int = 9) -> DataFrame:
@@ -58,12 +76,16 @@ def bm25(query_terms: DataFrame, terms: DataFrame, total: int, mean_length: floa
 
     Lucene-style saturation with k1 = 1.2 and b = 0.75; the inverse frequency is floored at 1e-6.  Ties go to the lower id.
     """
+    from stratalex.operators.pruned import in_blocks, pruned_top_k
+
     n = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    n = n.join(query_terms.select("term").distinct(), "term")
     weight = F.greatest(F.log((F.lit(total) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
-    scored = query_terms.join(n, "term").join(terms, "term").groupBy(query_col, id_col).agg(F.round(F.sum(gain), digits).alias("bm25"))
-    best = W.partitionBy(query_col).orderBy(F.desc("bm25"), id_col)
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= hits).drop("place")
+    gains = materialise(terms.join(n, "term").select("term", id_col, gain.alias("gain")), "gains")
+    blocks = materialise(in_blocks(gains, id_col), "blocks")
+    best = pruned_top_k(query_terms.withColumn("n", F.lit(1)), blocks, hits, query_col, id_col, digits=digits)
+    return best.select(query_col, id_col, F.col("score").alias("bm25"))
 
 
 def term_table(corpus: DataFrame, id_col: str, tokens: Column) -> DataFrame:

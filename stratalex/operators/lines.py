@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from stratalex.functions import text as t
 from stratalex.functions.text import let, norm, squash, strip_chars
-from stratalex.operators.windows import by_precedence, fill_dittos, first_wins, greedy_containment
+from stratalex.operators.containment import without_contained
+from stratalex.operators.windows import by_precedence, fill_dittos, first_wins
 from stratalex.storage import materialise
 
 # What headers and lines to skip look like.
@@ -279,5 +280,7 @@ def collect_descriptions(docs: DataFrame, doc: str = "source_file") -> DataFrame
     d = F.col("description")
     plain = plain.filter((F.char_length(d) >= 3) & ~is_header_line(d) & ~skip_line(d) & t.valid_description(d)).select(doc, "pos", "description")
     plain = plain.join(header.filter("not has_header").select(doc), doc, "left_semi")
-    each = under.unionByName(plain).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("pos", "description"))).alias("x"))
-    return each.select(doc, greedy_containment(F.col("x.description")).alias("descriptions"))
+    each = materialise(under.unionByName(plain), "descriptions")
+    stay = without_contained(each, doc, "pos", "description").groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("pos", "description"))).alias("x"))
+    none = F.array().cast("array<string>")
+    return each.select(doc).distinct().join(stay, doc, "left").select(doc, F.coalesce("x.description", none).alias("descriptions"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratalex.functions import rules
 from stratalex.functions import text as t
 from stratalex.operators import corpus as corpora
-from stratalex.operators import hierarchy, lines, rank, verify, windows
+from stratalex.operators import containment, hierarchy, lines, rank, verify, windows
 from stratalex.operators.corpus import Corpus
 from stratalex.plans import build, classify
 from stratalex.schemas import LINE_ITEMS
@@ -107,8 +107,9 @@ _CONTAINED = "list_reduce(list_transform({x}, lambda n: [n]), lambda acc, n: CAS
 @query(f"SELECT p_brand, unnest({_CONTAINED.format(x='names')}) AS p_name FROM (SELECT p_brand, list(DISTINCT p_name ORDER BY p_name) AS names FROM part GROUP BY p_brand)")
 def containment_dedup(spark, sf_dir):
     """Part names of a brand, without those that lie in one kept before."""
-    df = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    return df.select("p_brand", F.explode(windows.greedy_containment(F.col("names"))).alias("p_name"))
+    df = read(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
+    df = windows.number_lines(df, ["p_brand"], ["p_name"], "pos")
+    return containment.without_contained(df, "p_brand", "pos", "p_name").select("p_brand", "p_name")
 
 
 _SAID = "CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '* ' || p_name WHEN 1 THEN CAST(p_partkey % 100 AS {s}) || ') ' || p_name || ' in ' || lower(p_type) ELSE p_name || ' ;' END"
@@ -246,6 +247,42 @@ def schedule_counts(spark, sf_dir):
     return hierarchy.build_counts(hierarchy.build_tariff(hierarchy.parse_rows(docs)), hierarchy.chapters(docs))
 
 
+# One schedule of all order lines: a heading for each order, a row or two for each line ----------------------------------
+_ITEMS_OF = "(SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS sk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM {t})"
+_ONE = f"SELECT o, p, sk, k, lpad(CAST(o % 9000 + 1000 AS {{s}}), 4, '0') AS hh, lpad(CAST(k AS {{s}}), 2, '0') AS kk FROM {_ITEMS_OF}"
+_ITEM_LINE = "hh || '.' || kk || '   4 - part ' || CAST(p AS {s}) || ' goods   kg  5%   free'"
+_CHILD_LINE = "hh || '.' || kk || '.10   6 -- of supplier ' || CAST(sk AS {s}) || '   u  20%'"
+_ONE_SQL = f"""WITH g AS ({_ONE.format(s='VARCHAR', t='lineitem')}), r AS (
+SELECT o, 0 AS k, 0 AS j, hh AS digits, 'Goods of order ' || o || ':' AS description, 'Goods of order ' || o AS legal_path, NULL AS duty_general, false AS is_leaf, NULL AS hs_code, 0 AS level FROM g WHERE k = 1
+UNION ALL SELECT o, k, 1, hh || kk, 'part ' || p || ' goods' || CASE WHEN k % 3 = 0 THEN ' and more' ELSE '' END, 'Goods of order ' || o || ' | part ' || p || ' goods' || CASE WHEN k % 3 = 0 THEN ' and more' ELSE '' END, CASE WHEN sk % 2 = 0 THEN '5%' END, sk % 2 = 0, CASE WHEN sk % 2 = 0 THEN hh || '.' || kk || '.00' END, 1 FROM g
+UNION ALL SELECT o, k, 2, hh || kk || '10', 'of supplier ' || sk, 'Goods of order ' || o || ' | part ' || p || ' goods' || CASE WHEN k % 3 = 0 THEN ' and more' ELSE '' END || ' | of supplier ' || sk, '20%', true, hh || '.' || kk || '.10', 2 FROM g WHERE sk % 2 = 1)"""
+
+
+def _one_schedule(spark, sf_dir) -> DataFrame:
+    """(source_file, pos, line) of one schedule: chapters with titles and notes, furniture, headings, rows, wrapped rows."""
+    g = materialise(spark.sql(_ONE.format(s="STRING", t="{lineitem}"), lineitem=read(spark, sf_dir, "lineitem")), "order-rows")
+    opening = F.when(F.col("o") % 50 == 0, F.array(F.concat(F.lit("  CHAPTER "), (F.col("o") % 90 + 1).cast("string")), F.lit("GOODS OF MANY"), F.lit("KINDS"), F.lit("NOTES:"), F.concat(F.lit("1. Order "), F.col("o").cast("string"), F.lit(" opens it."))))
+    heading = F.concat(F.left("hh", F.lit(2)), F.lit("."), F.right("hh", F.lit(2)), F.lit("     Goods of order "), F.col("o").cast("string"), F.lit(":"))
+    opened = g.filter("k = 1").select("o", F.lit(0).alias("k"), F.concat(F.coalesce(opening, F.array().cast("array<string>")), F.array(heading, F.lit("Date: 2026-01-01"))).alias("ls"))
+    item, child = F.expr(_spark(_ITEM_LINE)), F.expr(_spark(_CHILD_LINE))
+    rows = g.select("o", "k", F.array_compact(F.array(item, F.when(F.col("k") % 3 == 0, "       and more"), F.when(F.col("sk") % 2 == 1, child))).alias("ls"))
+    ls = opened.withColumn("k", F.col("k").cast("int")).unionByName(rows.withColumn("k", F.col("k").cast("int"))).select("o", "k", F.posexplode("ls").alias("j", "line"))
+    return ls.select(F.lit("all orders").alias("source_file"), (F.col("o") * 10_000 + F.col("k") * 10 + F.col("j")).alias("pos"), "line")
+
+
+@query(f"{_ONE_SQL} SELECT row_number() OVER (ORDER BY o, k, j) AS id, hs_code, digits, left(digits, 4) AS heading, description, legal_path, duty_general, is_leaf, level FROM r")
+def one_schedule(spark, sf_dir):
+    """All order lines as one schedule -> its tariff, in as many tasks as it has blocks."""
+    rows = materialise(hierarchy.parse_rows(_one_schedule(spark, sf_dir)), "rows")
+    return hierarchy.build_tariff(rows).select("id", "hs_code", "digits", "heading", "description", "legal_path", "duty_general", "is_leaf", "level")
+
+
+@query("SELECT lpad(CAST(o % 90 + 1 AS VARCHAR), 2, '0') AS chapter, 'GOODS OF MANY KINDS' AS title, 'NOTES: ' || string_agg('1. Order ' || o || ' opens it.', ' NOTES: ' ORDER BY o) AS notes FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) WHERE o % 50 = 0 GROUP BY o % 90")
+def one_schedule_chapters(spark, sf_dir):
+    """Chapters of that schedule: the title of the first of each, all notes."""
+    return hierarchy.chapters(_one_schedule(spark, sf_dir)).select("chapter", "title", "notes")
+
+
 # A corpus: a leaf for each part, ten to a heading, with words of its own ------------------------------------------------
 _WORD = "translate(CAST({x} AS {{s}}), '0123456789', 'bcdfghjklm')"
 _HEADING = "lpad(CAST(CAST(floor(p_partkey / 10) AS INT) % 9900 + 100 AS {s}), 4, '0')"

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions.text import enough_text
-from stratalex.operators.lines import extract_lines
+from stratalex.operators.lines import extract_lines, split_any_lines
+from stratalex.operators.windows import number_all
 from stratalex.schemas import DOCUMENTS
 from stratalex.storage import bound_batches, materialise
 
@@ -172,3 +173,13 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text) of schedule texts, one row per file."""
     df = spark.read.text(path, wholetext=True)
     return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.col("value").alias("text"))
+
+
+def read_schedule_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, pos, line) of schedule texts, for schedules too long for one row: files are split as Spark reads them,
+    and lines numbered over the splits in their order."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    df = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), at.alias("at"), F.col("value").alias("line"))
+    df = number_all(df, "source_file", "at", "n")
+    parts = df.select("source_file", "n", F.posexplode(split_any_lines(F.col("line"))).alias("k", "line"))
+    return parts.select("source_file", (F.col("n") * (1 << 20) + F.col("k")).alias("pos"), "line")

@@ -60,8 +60,12 @@ def emit(rows: DataFrame, path: str, form: str = "json") -> None:
         rows.unpersist()
 
 
-def write_tariff(tariff: DataFrame, chapters: DataFrame, metadata: DataFrame, path: str) -> None:
-    tariff.write.mode("overwrite").partitionBy("chapter").parquet(f"{path}/tariff_lines")
+def write_tariff(tariff: DataFrame, chapters: DataFrame, metadata: DataFrame, path: str, only: list[str] | None = None) -> None:
+    """only: of the lines these chapters alone are replaced."""
+    if only is None:
+        tariff.write.mode("overwrite").partitionBy("chapter").parquet(f"{path}/tariff_lines")
+    else:
+        tariff.filter(F.col("chapter").isin(only)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chapter").parquet(f"{path}/tariff_lines")
     chapters.write.mode("overwrite").parquet(f"{path}/chapters")
     metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
