@@ -26,17 +26,20 @@ def score_pool(pool: DataFrame, queries: DataFrame, lines: DataFrame, weights: D
     queries(query, tokens), lines(id, tokens, specific, nearest): token sets; weights(token, idf).  Unknown tokens weigh
     1.  -> (query, id, score, n_overlap); pairs that share no token are dropped.
     """
-    pairs = pool.join(queries.select(query_col, F.col("tokens").alias("asked")), query_col).join(lines.select(id_col, "tokens", "specific", "nearest"), id_col)
-    pairs = pairs.filter(F.arrays_overlap("asked", "tokens"))
-    # One row per token that plays a part, so that weights come by an equi-join.
-    part = lambda kind, tokens: F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
-    parts = F.concat(part("overlap", F.array_intersect("asked", "tokens")), part("near", F.array_intersect("asked", "nearest")), part("extra", F.array_except("specific", "asked")))
-    each = pairs.select(query_col, id_col, F.size("asked").alias("n_query"), F.size(F.array_except("nearest", "asked")).alias("n_near_extra"), (F.size("specific") == 0).alias("residual"), F.explode(parts).alias("p"))
-    each = each.select("*", "p.kind", "p.token").drop("p").join(weights.select("token", "idf"), "token", "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
-    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("w")).otherwise(0.0))
-    n_overlap = F.sum(F.when(F.col("kind") == "overlap", 1).otherwise(0))
-    score = overlap_score(total("overlap"), n_overlap, F.col("n_query")) + NEAREST * total("near") - NEAR_EXTRA * F.col("n_near_extra") - EXTRA * total("extra") + F.when(F.col("residual"), RESIDUAL).otherwise(0.0)
-    return each.groupBy(query_col, id_col, "n_query", "n_near_extra", "residual").agg(F.round(score, DIGITS).alias("score"), n_overlap.alias("n_overlap")).select(query_col, id_col, "score", "n_overlap")
+    # Weights go to the tokens of queries and lines once, not to each pair; a pair is then a row that no shuffle splits up.
+    told = queries.select(query_col, F.explode("tokens").alias("token")).join(weights.select("token", "idf"), "token", "left")
+    asked = told.groupBy(query_col).agg(F.collect_list(F.struct("token", F.coalesce("idf", F.lit(1.0)).alias("w"))).alias("asked"))
+    own = lines.select(id_col, F.explode(F.array_distinct("specific")).alias("token")).join(weights.select("token", "idf"), "token", "left")
+    own = own.groupBy(id_col).agg(F.sum(F.coalesce("idf", F.lit(1.0))).alias("own"))
+    pairs = pool.join(asked, query_col).join(lines.select(id_col, "tokens", "specific", "nearest").join(own, id_col, "left"), id_col)
+    among = lambda c: F.filter("asked", lambda x: F.array_contains(c, x["token"]))
+    pairs = pairs.select(query_col, id_col, "own", "nearest", "specific", F.size("asked").alias("n_query"), among("tokens").alias("overlap"), among("nearest").alias("near"), among("specific").alias("mine")).filter(F.size("overlap") > 0)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x["w"])
+    n_overlap = F.size("overlap").cast("long")
+    near_extra = F.size(F.array_distinct("nearest")) - F.size("near")
+    extra = F.coalesce("own", F.lit(0.0)) - total("mine")
+    score = overlap_score(total("overlap"), n_overlap, F.col("n_query")) + NEAREST * total("near") - NEAR_EXTRA * near_extra - EXTRA * extra + F.when(F.size("specific") == 0, RESIDUAL).otherwise(0.0)
+    return pairs.select(query_col, id_col, F.round(score, DIGITS).alias("score"), n_overlap.alias("n_overlap"))
 
 
 def top_k(scored: DataFrame, query_col: str, id_col: str, k: int, score: str = "score") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions.text import enough_text
+from stratalex.operators.bitmaps import bitmap, may_hold
 from stratalex.operators.lines import extract_lines, split_any_lines
 from stratalex.operators.windows import number_all
 from stratalex.schemas import DOCUMENTS
@@ -148,7 +149,11 @@ def decode_documents(files: DataFrame, decode: Decoder, recognize: Recognizer |
             pages = recognize(path, content)
             return "\n".join(x for x in pages if x), [], None if pages else NO_RENDERING
 
-        seen = _decoded(scans.join(routed.select("path", "content"), "path"), recognised).withColumnRenamed("warning", "late")
+        # The files are read again where they lie: a bitmap of paths tells which, and contents do not move.
+        scans = materialise(scans, "scans")
+        h = F.xxhash64("path")
+        again = may_hold(routed.filter("route <> 'unsupported'"), bitmap(scans, h), h)
+        seen = _decoded(again, recognised).drop("route").join(scans.select("path", "route"), "path").withColumnRenamed("warning", "late")
         seen = materialise(seen, "recognised")
         found = _with_lines(seen).withColumn("has_lines", F.lit(True))
         rest = seen.join(scans.select("path", "warning"), "path").join(found, "path", "left")

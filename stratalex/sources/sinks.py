@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratalex.functions.text import clip_mid_word
 from stratalex.schemas import PUBLIC_FIELDS
+from stratalex.storage import discard, materialise
 
 #: Description limits of a report by its number of rows, and the words for flags.
 LIMITS = ((8, 88), (14, 70), (None, 56))
@@ -51,13 +52,13 @@ def emit(rows: DataFrame, path: str, form: str = "json") -> None:
         raise ValueError(form)
     stem = path.rsplit(".", 1)[0] if path.endswith((".json", ".csv")) else path
     if form == "both":
-        rows = rows.cache()
+        rows = materialise(rows, "emitted")
     if form != "csv":
         write_json(rows, path if form == "json" else f"{stem}.json")
     if form != "json":
         write_csv(rows, path if form == "csv" else f"{stem}.csv")
     if form == "both":
-        rows.unpersist()
+        discard(rows)
 
 
 def write_tariff(tariff: DataFrame, chapters: DataFrame, metadata: DataFrame, path: str, only: list[str] | None = None) -> None:

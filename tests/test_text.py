@@ -91,3 +91,19 @@ def test_similarity():
     assert round(sim.indel_ratio("kitten", "sitting"), 4) == round(200 * 4 / 13, 4)
     words = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "agreed": "agre", "happy": "happi", "generalization": "gener", "adjustable": "adjust", "controlling": "control"}
     assert {w: sim.porter(w) for w in words} == words
+
+
+def test_ratios_of_a_batch():
+    """Pairs in blocks give what each gives alone: no letters, letters beyond a word of bits, repeats, nothing shared."""
+    import random
+
+    from stratalex.functions import similarity
+
+    rng = random.Random(1)
+    words = ["bolt", "steel", "hex", "ünï", "漢字", "nut", "of", "m8", "x" * 70, "a long word", ""]
+    said = [None, "", " ", *(" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(700))]
+    left, right = (rng.sample(said, len(said)) for _ in "ab")
+    assert similarity.token_set_ratios(left, right).tolist() == [similarity.token_set_ratio(a, b) for a, b in zip(left, right)]
+    left, right = (["".join(rng.choice("ab c") for _ in range(rng.randrange(200))) for _ in range(700)] for _ in "ab")
+    assert similarity.indel_ratios(left, right).tolist() == [similarity.indel_ratio(a, b) for a, b in zip(left, right)]
+    assert similarity.token_set_ratios([], []).tolist() == []
