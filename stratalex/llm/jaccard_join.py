@@ -4,7 +4,8 @@ Documents of equal shingle sets are one class.  Every set is read in one order,
 so that they share t shingles or more, their first n - t + l shingles have l in common, for any l up to t.  So a longer prefix
 lets a pair be dismissed that shares less, at the price of more matches: each class asks with the l that is cheapest for it.
 
-1. Counts of shingles by bucket fix the order (one pass over the texts; BUCKETS numbers, whatever the corpus' size).
+1. Counts of shingles by bucket fix the order (one pass over the texts; BUCKETS bytes, whatever the corpus' size): what many
+   documents share comes last, and stays out of most prefixes.
 2. Each class writes the shingles of its longest prefix; those that no other class wrote are dropped.
 3. Lists (the classes that wrote one shingle) are joined by stars: each class with the least one of its list and of about
    its length, then by drawn pairs.  Most copies of one text meet here, at a cost that grows with the lists alone.
@@ -37,13 +38,44 @@ MATCHES = 4
 #: What it costs to verify a pair, in matches: a share of its shingles.
 VERIFY = 1 / 8
 #: Buckets of shingles whose counts order the sets, and how many of them travel in one row.
-BUCKETS, BLOCK = 1 << 20, 1 << 12
-_A, _B = 1, 1 << 32
+BUCKETS, BLOCK = 1 << 24, 1 << 16
+#: Pairs of classes of different components that lists may give for each of their rows before more pairs are drawn, and
+#: the most rounds of that.
+CROSSING, ROUNDS = 8, 3
+#: Hashes of words that a worker keeps.
+WORDS = 500_000
+_ODD = np.random.default_rng(5_080).integers(0, 1 << 64, (SHINGLE, SHINGLE), np.uint64, endpoint=False) | np.uint64(1)
+
+
+class _Words(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 11)
+        return h
+
+
+_known = _Words()
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words are one shingle, none are none."""
-    return np.unique(minhash.full_hashes(minhash.split(text or ""), SHINGLE))
+    """Sorted distinct 64-bit hashes of the shingles, each a sum of its words' hashes times odd numbers that go with their
+    place, mixed; fewer words are one shingle, with numbers of their own, none are none."""
+    words = minhash.split(text or "")
+    if len(_known) > WORDS:
+        _known.clear()
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    size = min(SHINGLE, len(h))
+    if not size:
+        return h
+    odd = _ODD[size - 1]
+    x = h[: len(h) - size + 1] * odd[0]
+    for k in range(1, size):
+        x += h[k : len(h) - size + 1 + k] * odd[k]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return np.unique(x)
 
 
 def required(n, least: int = LEAST):
@@ -57,7 +89,7 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     names = ["id", "class", "other", "n", "block", "counts"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS, np.uint16)  # an overflow would change the order, for all sets alike
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             for s in sets:
@@ -81,14 +113,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bucket_counts(facts: DataFrame) -> np.ndarray:
-    """The counts of all tasks, added block by block."""
+def _often(facts: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket occur, on a scale of 16 steps to a doubling: the counts of all tasks, added block by
+    block."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(BLOCK, np.int64)
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+            scale = np.minimum(255, np.rint(16 * np.log2(total + 1))).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([scale.tobytes()], pa.binary())], names=["block", "often"])
 
         for b in batches:
             for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -96,21 +130,21 @@ def _bucket_counts(facts: DataFrame) -> np.ndarray:
                     if at is not None:
                         yield done()
                     at, total = block, np.zeros(BLOCK, np.int64)
-                total += np.frombuffer(zstandard.decompress(packed), np.uint32)
+                total += np.frombuffer(zstandard.decompress(packed), np.uint16)
         if at is not None:
             yield done()
 
     dealt = facts.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    out = np.zeros(BUCKETS, np.int64)
-    for block, counts in dealt.mapInArrow(add, "block int, counts binary").collect():  # BUCKETS numbers in all
-        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, np.int64)
+    out = np.zeros(BUCKETS, np.uint8)
+    for block, often in dealt.mapInArrow(add, "block int, often binary").collect():  # BUCKETS bytes in all
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(often, np.uint8)
     return out
 
 
-def _prefixes(texts: DataFrame, counts: np.ndarray, seed: int, least: int) -> DataFrame:
+def _prefixes(texts: DataFrame, often: np.ndarray, seed: int, least: int) -> DataFrame:
     """texts(text) -> (token, class, n, p, level): the shingles of each longest prefix, p their place, level the least number
     of matches whose prefix reaches them."""
-    seen = texts.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))
+    seen = texts.sparkSession.sparkContext.broadcast(often)  # BUCKETS bytes
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = seen.value
@@ -171,16 +205,26 @@ def _matches(open_: DataFrame, least: int) -> DataFrame:
     return cost.select("class", F.array_min(F.array_compact(F.array(*costs)))["k"].alias("matches"))
 
 
-def candidates(open_: DataFrame, least: int = LEAST) -> DataFrame:
-    """open_(token, class, root, n, p, level): whole prefixes over lists -> (a, b): all pairs of classes of different roots
-    that may be alike.  The longer set of a pair asks."""
+def _matched(open_: DataFrame, least: int) -> DataFrame:
+    """Pairs of rows (token, class, root, n, p, level) of one list that may be among the first matches of two classes that are
+    alike: the longer set (x) asks, of the shorter one (y) a shorter prefix is enough, and what lies behind a match, with the
+    matches before it, must reach the overlap."""
+    part = F.lit(100 + least)
     asking = open_.join(materialise(_matches(open_, least), "matches"), "class").filter("level <= matches")
-    x, y = (df.select("token", *(F.col(c).alias(c + side) for c in ("class", "root", "n", "p")), *more) for df, side, more in ((asking, "x", ["matches"]), (open_, "y", ["level"])))
+    short = open_.filter((F.col("n") - F.col("p") + (MATCHES - 1)) * part >= F.col("n") * 2 * least)
+    x, y = (df.select("token", *(F.col(c).alias(c + side) for c in ("class", "root", "n", "p")), *more) for df, side, more in ((asking, "x", ["matches"]), (short, "y", ["level"])))
     longer = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("classx") > F.col("classy")))
-    met = x.join(y, (x.token == y.token) & (F.col("rootx") != F.col("rooty")) & (F.col("level") <= F.col("matches")) & longer & (F.col("ny") * 100 >= F.col("nx") * least))
-    pairs = met.groupBy("classx", "classy", "nx", "ny", "matches").agg(F.count(F.lit(1)).alias("found"), F.min("px").alias("px"), F.min("py").alias("py"))
+    behind = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.col("matches") - 1
+    reach = behind * part >= (F.col("nx") + F.col("ny")) * least
+    return x.join(y, (x.token == y.token) & (F.col("rootx") != F.col("rooty")) & (F.col("level") <= F.col("matches")) & longer & (F.col("ny") * 100 >= F.col("nx") * least) & reach)
+
+
+def candidates(open_: DataFrame, least: int = LEAST) -> DataFrame:
+    """open_(token, class, root, n, p, level): whole prefixes over lists -> (a, b): all pairs of classes of different roots
+    that may be alike."""
+    pairs = _matched(open_, least).groupBy("classx", "classy", "nx", "ny", "matches").agg(F.count(F.lit(1)).alias("found"), F.min("px").alias("px"), F.min("py").alias("py"))
     # All that they share lies behind the first match.
-    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")).cast("long")
+    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     return pairs.filter((F.col("found") >= F.col("matches")) & (most * (100 + least) >= (F.col("nx") + F.col("ny")) * least)).select(F.col("classx").alias("a"), F.col("classy").alias("b"))
 
 
@@ -222,9 +266,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         if classes.filter("low <> high").isEmpty():
             break
         seed += 1
-    counts = _bucket_counts(made)
+    often = _often(made)
     once = _representatives(docs, rows, classes)
-    entries = materialise(_prefixes(once, counts, seed, least), "entries")
+    entries = materialise(_prefixes(once, often, seed, least), "entries")
     shared = entries.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
     shared = materialise(shared, "shared")
     listed = in_bitmap(entries, bitmap(shared, F.col("token")), F.col("token"), "met").filter("met").drop("met")
@@ -247,14 +291,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         return out
 
     labels = materialise(minhash._named(met, components(links(_stars(listed, least), "stars"))), "labels")
-    open_ = _open(listed, labels)
-    # Drawn pairs: what is much alike meets at a cost that grows with the lists.
-    near = open_.filter("level = 1")
-    held = materialise(near.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 2"), "held")
-    drawn = minhash._drawn(near.join(held, "token").select(F.col("token").alias("key"), "class", F.col("held").alias("n"), "root"), 0)
-    labels = _merged(labels, links(drawn, "drawn"))
-    discard(open_)
-    open_ = _open(listed, labels)
+    for turn in range(ROUNDS + 1):
+        open_ = _open(listed, labels)
+        listed_once = open_.filter("level = 1")
+        # Of a pair that is alike the shorter set's first match lies in its shorter prefix.
+        short = listed_once.filter((F.col("n") - F.col("p")) * (100 + least) >= F.col("n") * 2 * least)
+        held = short.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        rows_of, pairs_of = held.agg(F.sum("held"), F.sum((F.col("held").cast("double") * F.col("held") - F.col("own")) / 2)).first()
+        if turn == ROUNDS or (pairs_of or 0) <= CROSSING * (rows_of or 0):
+            break
+        # Drawn pairs: what is much alike meets at a cost that grows with the lists.
+        counts = materialise(listed_once.groupBy("token").agg(F.count(F.lit(1)).alias("held")), "held")
+        drawn = minhash._drawn(listed_once.join(counts, "token").select(F.col("token").alias("key"), "class", F.col("held").alias("n"), "root"), turn)
+        labels = _merged(labels, links(drawn, "drawn"))
+        discard(open_, counts)
     labels = _merged(labels, links(candidates(open_, least), "candidates"))
     discard(open_, listed)
     named = classes.select("class", "least").join(labels, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))

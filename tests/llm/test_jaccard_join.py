@@ -59,8 +59,9 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, crossing", [(0, 4), (1, 0), (2, 4)])
+def test_all_pairs(spark, monkeypatch, seed, crossing):
+    monkeypatch.setattr(jaccard_join, "CROSSING", crossing)  # 0: all rounds of drawn pairs
     texts = corpus(seed)
     ids = [i % 90 if i % 17 else None for i in range(len(texts))]  # repeated and null ids
     got = jaccard_join.join(frame(spark, texts, ids=ids))
