@@ -19,7 +19,7 @@ from stratalex.llm.queries import vocabulary_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, trained on labels, finds good; all, where labels teach nothing."""
-    return quality.select_documents(docs, read(spark, sf_dir, "labels")).select(*docs.columns)
+    return quality.scored_rows(docs, read(spark, sf_dir, "labels")).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

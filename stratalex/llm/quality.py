@@ -9,7 +9,6 @@ the scoring function.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
@@ -20,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratalex.llm.common import tune, type_of
+from stratalex.llm.common import materialise, packed, tune, type_of
 
 #: Most labelled documents that training takes.
 SAMPLE = 20_000
@@ -64,36 +64,13 @@ class Model:
         return [1 / (1 + math.exp(max(-60.0, min(60.0, t - score)))) for t in self.thresholds]
 
 
-def _screened(flat: np.ndarray, doc: np.ndarray, used: int, grades: np.ndarray, screen: float) -> np.ndarray:
-    """Which buckets depend on a split of the grades.  flat, doc: bucket and document of each presence."""
-    total, n = len(grades), np.bincount(flat, minlength=used).astype(float)
-    keep = np.zeros(used, bool)
-    for k in range(1, GRADES):
-        up = grades >= k
-        ups = up.sum()
-        a = np.bincount(flat[up[doc]], minlength=used).astype(float)
-        spread = n * (total - n) * ups * (total - ups)
-        keep |= (total * (a * total - n * ups) ** 2 > screen * np.maximum(spread, 1e-9)) & (spread > 0)
-    return keep
-
-
-def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: float = 0.3, l1: float = 0.1, l2: float = 0.1, screen: float = SCREEN) -> Model:
-    """Screening, then FTRL-proximal steps on the negative log-likelihood.  features: distinct buckets of each document.
-    Documents of equal features and grade count once.  Without two grades the model selects everything."""
-    once = {(int(g), hashlib.md5(f.tobytes()).digest()): i for i, (f, g) in enumerate(zip(features, grades))}
-    rows = sorted(once.values())
-    features, grades = [features[i] for i in rows], grades[rows]
+def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: float = 0.3, l1: float = 0.1, l2: float = 0.1) -> Model:
+    """FTRL-proximal steps on the negative log-likelihood.  features: the screened buckets of each document.  Without two
+    grades the model selects everything."""
     if len(set(grades.tolist())) < 2:
         return Model({}, [-20.0] * (GRADES - 1))
-    flat = np.concatenate(features).astype(np.int32, copy=False)
-    doc = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    used = np.unique(flat)
-    flat = np.searchsorted(used, flat).astype(np.int32)
-    kept = _screened(flat, doc, len(used), grades, min(screen, 3 * math.log(len(features))))
-    place = (np.cumsum(kept) - 1).astype(np.int32)
-    stays = kept[flat]
-    flat, doc, used = place[flat[stays]], doc[stays], used[kept]
-    docs = np.split(flat, np.searchsorted(doc, np.arange(1, len(features))))
+    used, flat = np.unique(np.concatenate(features).astype(np.int32), return_inverse=True)
+    docs = np.split(flat, np.cumsum([len(f) for f in features])[:-1])
     z, n = np.zeros(len(used)), np.zeros(len(used))
     tail = [(grades >= k).mean() for k in range(1, GRADES)]
     theta = np.array([-math.log(max(p, 1e-3) / max(1 - p, 1e-3)) for p in tail])
@@ -128,7 +105,7 @@ def grade(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, screen: float = SCREEN) -> Model:
     """labels: id and grade.  Of rows that share an id one is used."""
     tune(docs.sparkSession)
     picked = labels.filter(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
@@ -141,48 +118,77 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=[id_col, "grade", "buckets"])
 
     made = rows.mapInArrow(make, f"`{id_col}` {type_of(docs, id_col)}, grade int, buckets array<int>").groupBy(id_col).agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets"))
-    got = made.toArrow().sort_by(id_col).combine_chunks()
-    found = got["buckets"].combine_chunks()
-    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-    ends, values = found.offsets.to_numpy(), found.values.to_numpy()
-    return fit([values[a:b] for a, b in zip(ends, ends[1:])], got["grade"].to_numpy().astype(np.int64))
+    # Documents of equal features and grade count once.
+    same = F.md5(F.array_join(F.col("buckets").cast("array<string>"), ",")).alias("same")
+    made = made.groupBy("grade", same).agg(F.max(id_col).alias("id"), F.first("buckets").alias("buckets"))
+    made = materialise(made.select("id", "grade", "buckets"), "training")
+    screened = materialise(_screened(made, screen), "screened")
+    # Only what the screen lets through comes to the driver.
+    some = made.select("id", F.explode("buckets").alias("bucket")).join(screened, "bucket").groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    got = made.select("id", "grade").join(some, "id", "left").toArrow().sort_by("id")
+    return fit([np.array(x or [], np.int32) for x in got["buckets"].to_pylist()], got["grade"].to_numpy().astype(np.int64))
+
+
+def _screened(made: DataFrame, screen: float) -> DataFrame:
+    """(bucket): those whose presence depends on some split of the grades."""
+    splits = range(1, GRADES)
+    total, *ups = made.agg(F.count(F.lit(1)), *(F.count_if(F.col("grade") >= k) for k in splits)).first()
+    least = min(screen, 3 * math.log(max(total, 1)))
+    held = made.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.count_if(F.col("grade") >= k).cast("double").alias(f"up{k}") for k in splits))
+    keep = F.lit(False)
+    for k, up in zip(splits, ups):
+        spread = F.col("n") * (total - F.col("n")) * float(up) * float(total - up)
+        keep = keep | ((spread > 0) & (float(total) * F.pow(F.col(f"up{k}") * total - F.col("n") * up, F.lit(2.0)) > least * F.greatest(spread, F.lit(1e-9))))
+    return held.filter(keep).select("bucket")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with expected_grade and tail_probability (of the top grade).  A null text counts as empty."""
+    """docs(row, ...), row a struct with the text -> (row, expected_grade, tail_probability), the last of the top grade.  A null
+    text counts as empty."""
     tune(docs.sparkSession)
-    names = docs.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", expected_grade double, tail_probability double"
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # of the screened buckets
+    schema = T.StructType([docs.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
+    at = docs.schema["row"].dataType.names.index(text_col)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
-        weights = model.weights
+        known = weights.value
         for b in batches:
             tails = []
-            for text in b.column(names.index(text_col)).to_pylist():
+            for text in b.column(0).field(at):
                 s = 0.0
-                for t in tokens(text or ""):
+                for t in tokens(text.as_py() or ""):
                     w = seen.get(t)
                     if w is None:
-                        w = seen[t] = weights.get(bucket(t), 0.0)
+                        w = seen[t] = known.get(bucket(t), 0.0)
                     s += w
                 tails.append(model.tails(round(s, 9)))
             if len(seen) > 500_000:
                 seen.clear()
             expected, top = pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, expected, top], names=[*names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([b.column(0), expected, top], names=["row", "expected_grade", "tail_probability"])
 
-    return docs.mapInArrow(make, schema)
+    thresholds = model.thresholds
+    model = Model({}, thresholds)  # the weights travel once
+    return docs.select("row").mapInArrow(make, schema)
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SELECT, sample: int = SAMPLE) -> DataFrame:
+    """(row, expected_grade, tail_probability) of the rows of docs that select_documents() selects; row has all their columns,
+    whatever their names."""
+    model = train(docs, labels.select(id_col, grade().alias("grade")), id_col, text_col, sample)
+    return score(docs.select(packed(docs)), model, text_col).filter(F.col("tail_probability") >= least)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SELECT, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose probability of the top grade reaches `least`, with expected_grade and tail_probability.
+    """The rows of docs whose probability of the top grade reaches `least`, with expected_grade and tail_probability.  A
+    probability of just `least` is selected.
 
     labels: id, quality (0 or 1), toxic (0 or 1); rows without either, and an empty table, teach nothing (then all
     documents stay).  Null texts count as empty, texts of any length are read whole, repeated rows each return, null ids
     take part, an empty table gives an empty result, and other columns stay as they are unless they bear the name of one of
-    the two that are added, which then replace them.
+    the two that are added, in any case, which then replace them; scored_rows() keeps these, too.
     """
-    clash = [c for c in ("expected_grade", "tail_probability") if c in docs.columns]
-    model = train(docs, labels.select(id_col, grade().alias("grade")), id_col, text_col, sample)
-    return score(docs.drop(*clash), model, text_col).filter(F.col("tail_probability") >= least)
+    added = ("expected_grade", "tail_probability")
+    found = scored_rows(docs, labels, id_col, text_col, least, sample)
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added), *added)
