@@ -57,7 +57,7 @@ def test_run_is_the_chain(spark, stages):
 
 def test_queries():
     names = list(queries())
-    assert len(names) == 10 and all(n.startswith(f"op{i}_") for i, n in enumerate(names, 1))
+    assert len(names) == 13 and all(n.startswith(f"op{i}_") for i, n in enumerate(names, 1))
 
 
 def test_awkward_documents(spark, tmp_path):

@@ -43,3 +43,12 @@ def test_calls(spark):
     rows = [(1, 0, "system", json.dumps({"tools": tools})), (1, 1, "assistant", json.dumps({"tool_calls": calls}))]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("turn = 1").first()
     assert got.n_invalid == 1 and [c["problems"] for c in json.loads(got.message_json)["tool_calls"]] == [["$.x: not over the minimum"], None]
+
+
+def test_patterns_take_linear_time():
+    """A pattern that backtracks for ages elsewhere is judged; what a linear engine lacks is not, whatever the text."""
+    assert chat.problems("a" * 50_000 + "b", {"pattern": "^(a+)+$"}) and not chat.problems("a" * 50_000, {"pattern": "^(a+)+$"})
+    assert chat.problems("xay", {"pattern": "^a$"})
+    for pattern in (r"(a)\1", "(?=a)a", "(?<!b)a"):
+        with pytest.raises(chat.NotJudged):
+            chat.problems("aa", {"pattern": pattern})
