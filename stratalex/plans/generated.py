@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -505,3 +506,46 @@ def recognised_pages(spark, sf_dir):
         return text if way == "plain" else "ab"
 
     return documents.recognise_pages(documents.expand_frames(files, frames), look)
+
+
+def _drawn_page(digits: str, turns: int) -> bytes:
+    """A grey page whose lines are as long as the digits say, on paper that darkens, turned clockwise: size, then pixels."""
+    page = np.tile(np.linspace(250, 200, 300), (400, 1))
+    for i, d in enumerate(digits):
+        page[40 + 40 * i : 56 + 40 * i, 40 : 100 + 18 * int(d)] = 30
+    page = np.ascontiguousarray(np.rot90(page.astype(np.uint8), -turns))
+    return np.array(page.shape, "<u4").tobytes() + page.tobytes()
+
+
+def _pixels(frame: bytes) -> np.ndarray:
+    h, w = np.frombuffer(frame[:8], "<u4")
+    return np.frombuffer(frame[8:], np.uint8).reshape(h, w)
+
+
+def _line_lengths(page: np.ndarray) -> str:
+    """What a page of lines says: a word for each line, by its length."""
+    words = "nought ace deuce trey four five six seven eight nine".split()
+    dark = page < 110
+    wide = np.r_[0, (dark.sum(axis=1) > 0.1 * page.shape[1]).astype(int), 0]
+    out = []
+    for a, b in zip(np.flatnonzero(np.diff(wide) == 1), np.flatnonzero(np.diff(wide) == -1)):
+        there = np.flatnonzero(dark[a:b].mean(axis=0) > 0.5)
+        digit = round(((there[-1] - there[0] + 1) * 300 / page.shape[1] - 60) / 18) if len(there) and b - a > 20 else -1
+        out.append(words[digit] if 0 <= digit <= 9 else "blot")
+    return " ".join(out)
+
+
+_PAGE_NO = "lpad(CAST((s_suppkey * 7919 + 12345678) % 100000000 AS {s}), 8, '0')"
+
+
+@query(f"""SELECT 's' || s_suppkey AS path, CAST(page AS INT) AS page, array_to_string(list_transform(string_split(CASE page WHEN 1 THEN n ELSE reverse(n) END, ''), lambda d: list_element(['nought', 'ace', 'deuce', 'trey', 'four', 'five', 'six', 'seven', 'eight', 'nine'], CAST(d AS INT) + 1)), ' ') AS text
+  FROM (SELECT s_suppkey, {_duck(_PAGE_NO)} AS n FROM supplier), (SELECT unnest([1, 2]) AS page)""")
+def scanned_pages(spark, sf_dir):
+    """Pages drawn in all four directions, set upright and prepared for a reader that measures their lines."""
+    files = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.encode(F.concat(F.expr(_spark(_PAGE_NO)), F.lit(" "), (F.col("s_suppkey") % 4).cast("string")), "UTF-8").alias("content"))
+
+    def frames(path, content):
+        digits, turns = content.decode().split()
+        return [_drawn_page(digits, int(turns)), _drawn_page(digits[::-1], int(turns) + 1)]
+
+    return documents.read_scans(files.repartition(32, "path"), frames, _pixels, _line_lengths).select("path", "page", "text")

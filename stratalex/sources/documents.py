@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalex.functions import images
 from stratalex.functions.text import enough_text
 from stratalex.operators.bitmaps import bitmap, may_hold
 from stratalex.operators.lines import extract_lines, split_any_lines
@@ -126,6 +128,20 @@ def recognise_pages(pages: DataFrame, read: Callable[[bytes, str], str], least:
     return pages.select("path", "page", "frame").mapInPandas(run, "path string, page int, text string, tries int")
 
 
+def read_scans(files: DataFrame, frames: Callable[[str, bytes], list[bytes]], pixels: Callable[[bytes], np.ndarray], recognise: Callable[[np.ndarray], str], least: int = RETRY_LETTERS) -> DataFrame:
+    """files(path, content) -> (path, page, text, tries): frames rendered, pages set upright, scaled, straightened and evened out
+    for the recogniser; where it finds little, it sees the page once more in black and white.
+
+    pixels decodes a frame to an array (height x width, or x 3); recognise reads one.
+    """
+
+    def read(frame: bytes, way: str) -> str:
+        ready = images.prepare(pixels(frame))
+        return recognise(images.hard_threshold(ready) if way == "prepared" else ready)
+
+    return recognise_pages(expand_frames(files, frames), read, least)
+
+
 def decode_documents(files: DataFrame, decode: Decoder, recognize: Recognizer | None = None) -> DataFrame:
     """schemas.DOCUMENTS of files (path, content).
 

@@ -53,3 +53,29 @@ def test_prepare():
     ready = im.prepare(np.rot90(np.stack([faint] * 3, axis=-1), -1), turns=1)
     assert ready.shape == (980, 1400) and ready.dtype == np.uint8
     assert ready.std() > faint.std() and abs(im.skew(ready)) <= 0.6
+
+
+def lines_page(rng, h=400, w=300):
+    """Lines that begin at the left and end where they will."""
+    out = np.full((h, w), 235, np.uint8)
+    for y in range(40, h - 40, 30):
+        out[y : y + 10, 40 : rng.integers(120, w - 30)] = 25
+    return out
+
+
+@pytest.mark.parametrize("turned", range(4))
+def test_orientation(turned):
+    rng = np.random.default_rng(turned)
+    upright = lines_page(rng)
+    turns, sure = im.orientation(np.rot90(upright, -turned))
+    assert turns % 4 == turned and sure > im.SURE
+    assert (np.rot90(np.rot90(upright, -turned), turns) == upright).all()
+    ready = im.prepare(np.rot90(upright, -turned))
+    assert ready.shape == (1400, 1050) and im.orientation(ready)[0] == 0
+
+
+def test_orientation_of_pages_that_tell_nothing():
+    assert im.orientation(np.full((50, 50), 200, np.uint8)) == (0, 0.0)
+    block = np.full((200, 200), 230, np.uint8)
+    block[50:150, 50:150] = 20
+    assert im.orientation(block)[1] < im.SURE and im.prepare(block).shape == (1400, 1400)
