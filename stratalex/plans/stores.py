@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as t
-from stratalex.operators import rank, stored
+from stratalex.operators import rank, stored, windows
 from stratalex.operators.corpus import leaves
 from stratalex.plans.generated import _WARES, _corpus, _duck, _wares
 from stratalex.plans.queries import sql_tokens
-from stratalex.sources import seals
+from stratalex.sources import documents, seals
 from stratalex.storage import materialise, shared_dir
 from stratalex.streaming import state
 
@@ -106,3 +106,23 @@ def stream_state(spark, sf_dir):
         firsts = spark.readStream.schema(goods.schema).parquet(f"{base}/first")
         state.append(state.number_on(firsts, ["folder"], ["o_orderkey"]), f"{base}/numbered", f"{base}/numbered-state")
     return spark.read.schema("folder string, goods string, o_orderkey long, line_number long").parquet(f"{base}/numbered")
+
+
+# Files in folders ---------------------------------------------------------------------------------------------------------
+_FILE = "r_name || '/' || n_name || CASE n_nationkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.tiff' ELSE '' END"
+
+
+@query(f"SELECT {_FILE} AS file, CAST(length(n_name) AS BIGINT) AS length, row_number() OVER (ORDER BY {_FILE}) AS place FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 IN (0, 1, 3)")
+def input_files(spark, sf_dir):
+    """Files in a folder for each region: those of a known type, in any case, in the order of their paths."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    base = f"{shared_dir(spark)}/stratalex/inputs-{uuid.uuid4().hex}"
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.expr(_FILE).alias("file"), "n_name")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in rows.collect():  # a file for each nation
+        place = jvm.org.apache.hadoop.fs.Path(f"{base}/{r.file}")
+        out = place.getFileSystem(conf).create(place)
+        out.write(r.n_name.encode())
+        out.close()
+    found = documents.sorted_inputs(spark, base).select(F.regexp_extract("path", "inputs-[0-9a-f]+/(.*)$", 1).alias("file"), "length")
+    return windows.number_all(found, "file", "length", "place").select("file", "length", "place")
