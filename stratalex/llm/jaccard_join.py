@@ -42,6 +42,8 @@ BUCKETS, BLOCK = 1 << 24, 1 << 16
 #: Pairs of classes of different components that lists may give for each of their rows before more pairs are drawn, and
 #: the most rounds of that.
 CROSSING, ROUNDS = 8, 3
+#: Rows of a list in one run, and those of all its lists that a class meets at a time, about.
+RUN, MEET = 64, 500_000
 #: Hashes of words that a worker keeps.
 WORDS = 500_000
 _ODD = np.random.default_rng(5_080).integers(0, 1 << 64, (SHINGLE, SHINGLE), np.uint64, endpoint=False) | np.uint64(1)
@@ -194,38 +196,84 @@ def _stars(listed: DataFrame, least: int) -> DataFrame:
     return pairs.filter(fits).select("a", F.col("class").alias("b")).distinct()
 
 
-def _matches(open_: DataFrame, least: int) -> DataFrame:
-    """open_(token, class, n, p, level) -> (class, matches): how many matches each class asks for.  A prefix costs the rows
-    that its lists hold, and the pairs that may match often enough in them cost their verification."""
-    held = open_.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+def _matches(open_: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """open_(token, class, n, p, level), held(token, held) -> (class, matches, rows): how many matches each class asks for.  A
+    prefix costs the rows that its lists hold, and the pairs that may match often enough in them cost their verification."""
     rows = [F.sum(F.when(F.col("level") <= k, F.col("held") - 1).otherwise(0)).alias(f"rows{k}") for k in range(1, MATCHES + 1)]
     cost = open_.select("token", "class", "n", "level").join(held, "token").groupBy("class", "n").agg(*rows)
     needs = F.ceil(F.col("n") * least / 100)
-    costs = [F.when(F.lit(k) <= needs, F.struct((F.col(f"rows{k}") * (1 + VERIFY * F.col("n") / k)).alias("cost"), F.lit(k).alias("k"))) for k in range(1, MATCHES + 1)]
-    return cost.select("class", F.array_min(F.array_compact(F.array(*costs)))["k"].alias("matches"))
+    costs = [F.when(F.lit(k) <= needs, F.struct((F.col(f"rows{k}") * (1 + VERIFY * F.col("n") / k)).alias("cost"), F.lit(k).alias("k"), F.col(f"rows{k}").alias("rows"))) for k in range(1, MATCHES + 1)]
+    best = cost.select("class", F.array_min(F.array_compact(F.array(*costs))).alias("x"))
+    return best.select("class", F.col("x.k").alias("matches"), "x.rows")
 
 
-def _matched(open_: DataFrame, least: int) -> DataFrame:
-    """Pairs of rows (token, class, root, n, p, level) of one list that may be among the first matches of two classes that are
-    alike: the longer set (x) asks, of the shorter one (y) a shorter prefix is enough, and what lies behind a match, with the
-    matches before it, must reach the overlap."""
-    part = F.lit(100 + least)
-    asking = open_.join(materialise(_matches(open_, least), "matches"), "class").filter("level <= matches")
-    short = open_.filter((F.col("n") - F.col("p") + (MATCHES - 1)) * part >= F.col("n") * 2 * least)
-    x, y = (df.select("token", *(F.col(c).alias(c + side) for c in ("class", "root", "n", "p")), *more) for df, side, more in ((asking, "x", ["matches"]), (short, "y", ["level"])))
-    longer = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("classx") > F.col("classy")))
-    behind = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.col("matches") - 1
-    reach = behind * part >= (F.col("nx") + F.col("ny")) * least
-    return x.join(y, (x.token == y.token) & (F.col("rootx") != F.col("rooty")) & (F.col("level") <= F.col("matches")) & longer & (F.col("ny") * 100 >= F.col("nx") * least) & reach)
+def _power(x: Column) -> Column:
+    """The least power of two that is not below x."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(x.cast("double"), F.lit(1.0))))).cast("int")
 
 
 def candidates(open_: DataFrame, least: int = LEAST) -> DataFrame:
     """open_(token, class, root, n, p, level): whole prefixes over lists -> (a, b): all pairs of classes of different roots
-    that may be alike."""
-    pairs = _matched(open_, least).groupBy("classx", "classy", "nx", "ny", "matches").agg(F.count(F.lit(1)).alias("found"), F.min("px").alias("px"), F.min("py").alias("py"))
-    # All that they share lies behind the first match.
-    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    return pairs.filter((F.col("found") >= F.col("matches")) & (most * (100 + least) >= (F.col("nx") + F.col("ny")) * least)).select(F.col("classx").alias("a"), F.col("classy").alias("b"))
+    that may be alike.
+
+    The longer set (x) of a pair asks; of the shorter one (y) a shorter prefix is enough.  What lies behind a match, with the
+    matches before it, must reach the overlap.  A list is dealt into runs of about RUN rows by a hash of the class, and x meets
+    runs, not rows; who has many rows to meet meets them in parts, by the same hash.  So matches are counted where they meet, and
+    only pairs leave.
+    """
+    held = materialise(open_.groupBy("token").agg(F.count(F.lit(1)).alias("held")), "held")
+    matches = materialise(_matches(open_, held, least), "matches")
+    part = 100 + least
+    h = F.xxhash64("class").bitwiseAND(F.lit((1 << 30) - 1).cast("long")).cast("int")
+    short = open_.filter((F.col("n") - F.col("p") + (MATCHES - 1)) * part >= F.col("n") * 2 * least).join(held, "token")
+    short = short.withColumns({"h": h, "runs": _power(F.col("held") / RUN)})
+    runs = short.groupBy("token", "runs", F.col("h").bitwiseAND(F.col("runs") - 1).alias("run")).agg(F.collect_list(F.struct("class", "root", "n", "p", "level", "h")).alias("ys"))
+    asking = open_.join(matches, "class").filter("level <= matches").select("token", "class", "root", "n", "p", "matches", _power(F.col("rows") / MEET).alias("parts"))
+    met = asking.join(materialise(runs, "runs"), "token")
+    # The parts that a run has rows of: one, or several where it is wider than a part.
+    more = F.greatest(F.lit(1), F.col("parts") / F.col("runs")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), more - 1), lambda i: F.col("run").bitwiseAND(F.col("parts") - 1) + i * F.col("runs"))
+    met = met.select("class", F.explode(parts).alias("part"), "root", "n", "p", "matches", "parts", "ys")
+    met = met.repartition("class", "part").sortWithinPartitions("class", "part")
+    return met.mapInArrow(_count_matches(least), "a long, b long")
+
+
+def _count_matches(least: int):
+    def pairs(m: np.ndarray) -> pa.RecordBatch:
+        """Rows (x, y, n of x, n of y, p of x, p of y, matches asked) of whole groups -> the pairs that match often enough."""
+        m = m[:, np.lexsort((m[1], m[0]))]
+        first = np.flatnonzero(np.r_[True, (m[:2, 1:] != m[:2, :-1]).any(axis=0)]) if m.shape[1] else np.empty(0, np.int64)
+        found = np.diff(np.r_[first, m.shape[1]])
+        x, y, nx, ny, _, _, asked = m[:, first]
+        most = np.minimum(nx - np.minimum.reduceat(m[4], first), ny - np.minimum.reduceat(m[5], first)) if len(first) else nx
+        keep = (found >= asked) & (most * (100 + least) >= (nx + ny) * least)  # all that they share lies behind the first match
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["a", "b"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for b in batches:
+            c = {n: b.column(i) for i, n in enumerate(("class", "part", "root", "n", "p", "matches", "parts", "ys"))}
+            lengths = c["ys"].value_lengths().to_numpy()
+            one = lambda n: np.repeat(c[n].to_numpy().astype(np.int64), lengths)  # noqa: E731, B023
+            ys = c["ys"].flatten()
+            y, rooty, ny, py, level, h = (ys.field(k).to_numpy().astype(np.int64) for k in range(6))
+            x, nx, px, asked = one("class"), one("n"), one("p"), one("matches")
+            good = (one("root") != rooty) & (level <= asked) & ((nx > ny) | ((nx == ny) & (x > y))) & (ny * 100 >= nx * least) & ((h & (one("parts") - 1)) == one("part"))
+            good &= (np.minimum(nx - px, ny - py) + asked - 1) * (100 + least) >= (nx + ny) * least
+            rows = np.stack([x, y, nx, ny, px, py, asked])[:, good]
+            group = np.stack([x, one("part")])[:, good]
+            last = (c["class"][-1].as_py(), c["part"][-1].as_py())
+            ended = (group[0] != last[0]) | (group[1] != last[1])
+            if held and key != last:
+                yield pairs(np.concatenate([*held, rows[:, ended & (group[0] == key[0]) & (group[1] == key[1])]], axis=1))
+                ended &= (group[0] != key[0]) | (group[1] != key[1])
+                held = []
+            yield pairs(rows[:, ended])
+            held, key = [*held, rows[:, (group[0] == last[0]) & (group[1] == last[1])]], last
+        if held:
+            yield pairs(np.concatenate(held, axis=1))
+
+    return count
 
 
 def _open(listed: DataFrame, labels: DataFrame) -> DataFrame:

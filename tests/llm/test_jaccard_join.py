@@ -102,8 +102,8 @@ def test_matches_of_prefixes():
             assert min(n - px, m - py) * 180 >= (n + m) * 80
 
 
-@pytest.mark.parametrize("verify", [0, 0.02, 1])
-def test_candidates_lose_no_link(spark, monkeypatch, verify):
+@pytest.mark.parametrize("verify, run, meet", [(0, 64, 500_000), (0.02, 2, 10), (1, 1, 3), (1, 8, 40)])
+def test_candidates_lose_no_link(spark, monkeypatch, verify, run, meet):
     """Without stars and drawn pairs the candidates alone hold every link, whatever each class asks for."""
     monkeypatch.setattr(jaccard_join, "VERIFY", verify)
     rng = np.random.default_rng(4)
@@ -114,9 +114,13 @@ def test_candidates_lose_no_link(spark, monkeypatch, verify):
         spare = len(s) - jaccard_join.required(len(s))
         rows += [(int(t), c, c, len(s), p, max(1, p - spare + 1)) for p, t in enumerate(s[: spare + jaccard_join.MATCHES])]
     open_ = spark.createDataFrame(rows, "token long, class long, root long, n int, p int, level int")
-    got = {frozenset(r) for r in jaccard_join.candidates(open_).collect()}
+    monkeypatch.setattr(jaccard_join, "RUN", run)
+    monkeypatch.setattr(jaccard_join, "MEET", meet)
+    found = [frozenset(r) for r in jaccard_join.candidates(open_).collect()]
+    got = set(found)
+    assert len(got) == len(found)
     links = {frozenset((i, j)) for i, j in combinations(range(len(sets)), 2) if linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
-    asked = {r.matches for r in jaccard_join._matches(open_, 80).collect()}
+    asked = {r.matches for r in jaccard_join._matches(open_, open_.groupBy("token").count().withColumnRenamed("count", "held"), 80).collect()}
     assert links and links <= got and asked == {1} if verify == 0 else max(asked) > 1
     assert links <= got
     assert len(got) < len(sets) * (len(sets) - 1) / 2
