@@ -43,7 +43,7 @@ BUCKETS, BLOCK = 1 << 24, 1 << 16
 #: the most rounds of that.
 CROSSING, ROUNDS = 8, 3
 #: Rows of a list in one run, and those of all its lists that a class meets at a time, about.
-RUN, MEET = 64, 500_000
+RUN, MEET = 512, 500_000
 #: Hashes of words that a worker keeps.
 WORDS = 500_000
 _ODD = np.random.default_rng(5_080).integers(0, 1 << 64, (SHINGLE, SHINGLE), np.uint64, endpoint=False) | np.uint64(1)
@@ -168,19 +168,41 @@ def _prefixes(texts: DataFrame, often: np.ndarray, seed: int, least: int) -> Dat
     return texts.mapInArrow(make, "token long, class long, n int, p int, level int")
 
 
+def bits_of(s: np.ndarray) -> np.ndarray:
+    """A set as a bitmap of two to four bits a shingle, in 64-bit words, as many as a power of two."""
+    size = 64 << max(0, (2 * max(1, len(s)) - 1).bit_length() - 6)
+    out = np.zeros(size // 8, np.uint8)
+    at = (s & np.uint64(size - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view("<i8")
+
+
+def may_be_alike(least: int) -> Column:
+    """Whether two sets (na, bita, nb, bitb) can be alike by their bitmaps: every bit that differs stands for a shingle that only
+    one of them has.  The longer bitmap is folded to the shorter one's length."""
+    fold = lambda bits, size: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, size), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(F.get(bits, j))))
+    a, b = F.col("bita"), F.col("bitb")
+    a_, b_ = F.when(F.size(a) > F.size(b), fold(a, F.size(b))).otherwise(a), F.when(F.size(b) > F.size(a), fold(b, F.size(a))).otherwise(b)
+    differ = F.aggregate(F.zip_with(a_, b_, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    return both * 100 >= (F.col("na") + F.col("nb") - both) * least
+
+
 def _sets(texts: DataFrame, seed: int) -> DataFrame:
-    """(class, shingles)."""
+    """(class, shingles, bits)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for s in (shingles(t.as_py()) for t in b.column(0)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), seed * 2)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), seed * 2)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bits_of(s) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles", "bits"])
 
-    return texts.mapInArrow(make, "class long, shingles array<long>")
+    return texts.mapInArrow(make, "class long, shingles array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are alike."""
+    """The pairs (a, b) of classes whose sets are alike.  Bitmaps go first, so that whole sets meet for few others."""
+    small = lambda side: sets.select(F.col("class").alias(side), F.size("shingles").alias(f"n{side}"), F.col("bits").alias(f"bit{side}"))
+    pairs = materialise(pairs.join(small("a"), "a").join(small("b"), "b").filter(may_be_alike(least)).select("a", "b"), "pairs")
     met = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return met.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * least).select("a", "b")
@@ -230,6 +252,10 @@ def candidates(open_: DataFrame, least: int = LEAST) -> DataFrame:
     runs = short.groupBy("token", "runs", F.col("h").bitwiseAND(F.col("runs") - 1).alias("run")).agg(F.collect_list(F.struct("class", "root", "n", "p", "level", "h")).alias("ys"))
     asking = open_.join(matches, "class").filter("level <= matches").select("token", "class", "root", "n", "p", "matches", _power(F.col("rows") / MEET).alias("parts"))
     met = asking.join(materialise(runs, "runs"), "token")
+    # What cannot be among the first matches of two that are alike stays behind; the task that counts looks at the rest again.
+    behind = lambda y: F.least(F.col("n") - F.col("p"), y["n"] - y["p"]) + F.col("matches") - 1
+    near = lambda y: (y["root"] != F.col("root")) & (y["level"] <= F.col("matches")) & (y["n"] <= F.col("n")) & (behind(y) * part >= (F.col("n") + y["n"]) * least)
+    met = met.withColumn("ys", F.filter("ys", near)).filter(F.size("ys") > 0)
     # The parts that a run has rows of: one, or several where it is wider than a part.
     more = F.greatest(F.lit(1), F.col("parts") / F.col("runs")).cast("int")
     parts = F.transform(F.sequence(F.lit(0), more - 1), lambda i: F.col("run").bitwiseAND(F.col("parts") - 1) + i * F.col("runs"))
@@ -332,7 +358,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         ids = F.xxhash64("id")
         wanted = bitmap(classes.join(asked, "class").select(F.col("least").alias("id")), ids)
         some = in_bitmap(texts, wanted, ids, "met").filter("met or id is null").select("text")
-        sets = _sets(some, seed).join(asked, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
+        sets = _sets(some, seed).join(asked, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
         sets = materialise(sets, "sets")
         out = materialise(verified(pairs, sets, least), "links")
         discard(pairs, asked, sets)

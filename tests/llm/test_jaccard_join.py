@@ -144,3 +144,20 @@ def test_components_of_many_tasks(spark):
         df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
         assert sorted(map(tuple, components(df).collect())) == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bitmaps_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in [1, 2, 3, 31, 32, 33, 100, 130, 700]:
+        for change in (0, 1, n // 9, n // 5, n):
+            a = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+            b = np.r_[a[: n - change], rng.integers(0, 1 << 64, change + n // 12, np.uint64, endpoint=False)]
+            a, b = np.unique(a), np.unique(b)
+            if len(a) and len(b):
+                for x, y in ((a, b), (b, a)):
+                    rows.append((len(x), jaccard_join.bits_of(x).tolist(), len(y), jaccard_join.bits_of(y).tolist(), bool(linked(len(x), len(y), len(np.intersect1d(x, y))))))
+    df = spark.createDataFrame(rows, "na int, bita array<long>, nb int, bitb array<long>, alike boolean")
+    got = [(r.alike, r.may) for r in df.withColumn("may", jaccard_join.may_be_alike(80)).collect()]
+    assert all(may for alike, may in got if alike) and any(alike for alike, _ in got)
+    assert sum(may for alike, may in got if not alike) < sum(not alike for alike, _ in got)
