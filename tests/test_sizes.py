@@ -27,3 +27,18 @@ def same(spark, place, con, name):
 @pytest.mark.parametrize("name", ["heading_labels", "leaves_by_heading", "schedule_wordings", "stored_tariff"])
 def test_headings_of_two_volumes(spark, grown, name):
     same(spark, *grown, name)
+
+
+@pytest.fixture(scope="module")
+def long_schedule(tmp_path_factory):
+    """One brand of so many parts that its chapters number more than 99."""
+    place = tmp_path_factory.mktemp("long")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT p_partkey + 1000 * v AS p_partkey, p_name, 'Brand#1' AS p_brand, p_type, p_size FROM '/root/testdata/sf0.001/part.parquet', range(6) r(v) WHERE p_partkey < 100) TO '{place}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{place}/part.parquet'")
+    return str(place), con
+
+
+@pytest.mark.parametrize("name", ["schedule_chapters", "schedule_tariff"])
+def test_chapters_beyond_two_digits(spark, long_schedule, name):
+    same(spark, *long_schedule, name)
