@@ -39,6 +39,6 @@ def long_schedule(tmp_path_factory):
     return str(place), con
 
 
-@pytest.mark.parametrize("name", ["schedule_chapters", "schedule_tariff"])
+@pytest.mark.parametrize("name", ["schedule_chapters", "schedule_counts", "schedule_tariff"])
 def test_chapters_beyond_two_digits(spark, long_schedule, name):
     same(spark, *long_schedule, name)
