@@ -79,3 +79,27 @@ def test_orientation_of_pages_that_tell_nothing():
     block = np.full((200, 200), 230, np.uint8)
     block[50:150, 50:150] = 20
     assert im.orientation(block)[1] < im.SURE and im.prepare(block).shape == (1400, 1400)
+
+
+def test_steps_as_defined():
+    """The median, the size and the contrast of any shape by their plain definitions."""
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 1), (1, 9), (3, 3), (37, 53), (90, 20)):
+        image = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        wide = np.pad(image, 1, mode="edge")
+        assert (im.median(image) == np.median([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)).all()
+        y, x = np.meshgrid(np.clip((np.arange(70) + 0.5) * h / 70 - 0.5, 0, h - 1), np.clip((np.arange(110) + 0.5) * w / 110 - 0.5, 0, w - 1), indexing="ij")
+        assert (im.resize(image, 70, 110) == im._sample(image.astype(np.float32), y, x).round()).all() or min(h // 70, w // 110) > 0
+
+
+def test_memory_of_a_page():
+    """A page is prepared in a few times its own size: no table of neighbours or of places for each pixel."""
+    import tracemalloc
+
+    small = np.tile(np.linspace(250, 200, 300), (400, 1)).astype(np.uint8)
+    small[40:380:40, 40:200] = 30
+    tracemalloc.start()
+    ready = im.prepare(small, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ready.shape == (1400, 1050) and peak < 20 * ready.size
