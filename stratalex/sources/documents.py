@@ -19,11 +19,13 @@ from stratalex.operators.bitmaps import bitmap, may_hold
 from stratalex.operators.lines import extract_lines, split_any_lines
 from stratalex.operators.windows import number_all
 from stratalex.schemas import DOCUMENTS
-from stratalex.storage import bound_batches, materialise
+from stratalex.storage import BATCH_BYTES, bound_batches, materialise
 
 # File types.
 IMAGES = "jpg jpeg png webp tif tiff bmp heic heif".split()
 SUPPORTED = ["pdf", *IMAGES]
+#: Frames that are handed on together, unless they have BATCH_BYTES before.
+BATCH_ROWS = 10_000
 #: Letters below which a page is read again.
 RETRY_LETTERS = 20
 NO_RENDERING = "The PDF had no text layer and no pages could be rendered."
@@ -81,15 +83,26 @@ def expand_frames(files: DataFrame, frames: Callable[[str, bytes], list[bytes]])
     """files(path, content) -> (path, page, frame): a row for each frame of an image or rendered page of a PDF, as the
     given renderer yields them; pages count from 1.  A file that it cannot render has no rows."""
 
+    def table(rows: list[tuple[str, int, bytes]]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["path", "page", "frame"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Frames of many small files go on together, since each table that is handed on costs as much as some hundred rows.
+        rows, held = [], 0
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     got = list(frames(path, bytes(content)))
                 except Exception:
                     got = []
-                if got:
-                    yield pd.DataFrame({"path": path, "page": range(1, len(got) + 1), "frame": got})
+                for page, frame in enumerate(got, 1):
+                    rows.append((path, page, frame))
+                    held += len(frame)
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield table(rows)
+                        rows, held = [], 0
+        if rows:
+            yield table(rows)
 
     bound_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, page int, frame binary")

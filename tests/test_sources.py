@@ -62,3 +62,21 @@ def test_pages_are_read_again(spark):
     files = spark.createDataFrame([("a", b"few|abc|letters enough for a reading"), ("b", b"broken"), ("c", b"fails")], "path string, content binary")
     got = recognise_pages(expand_frames(files, frames), read).collect()
     assert {(r.path, r.page): (r.text, r.tries) for r in got} == {("a", 1): ("more letters than before, many of them", 2), ("a", 2): ("abc", 2), ("a", 3): ("letters enough for a reading", 1), ("c", 1): ("", 2)}
+
+
+def test_frames_of_small_files_go_together(spark):
+    """A thousand files of two frames each are one table, not one each; large frames are parted by their bytes."""
+    import pandas as pd
+
+    from stratalex.sources import documents as d
+
+    class Files:
+        sparkSession = spark
+        select = lambda self, *_: self
+        mapInPandas = lambda self, f, schema: f
+
+    run = d.expand_frames(Files(), lambda path, content: [content, content])
+    few = list(run(iter([pd.DataFrame({"path": [f"f{k}" for k in range(1000)], "content": [b"x"] * 1000})])))
+    assert len(few) == 1 and len(few[0]) == 2000 and list(few[0]["page"][:3]) == [1, 2, 1]
+    large = list(run(iter([pd.DataFrame({"path": ["a", "b"], "content": [b"x" * 3_000_000] * 2})])))
+    assert sum(map(len, large)) == 4 and all(t["frame"].map(len).sum() < d.BATCH_BYTES + 3_000_001 for t in large) and len(large) == 2
