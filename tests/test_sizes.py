@@ -42,3 +42,18 @@ def long_schedule(tmp_path_factory):
 @pytest.mark.parametrize("name", ["schedule_chapters", "schedule_counts", "schedule_tariff"])
 def test_chapters_beyond_two_digits(spark, long_schedule, name):
     same(spark, *long_schedule, name)
+
+
+def test_files_are_dealt_over_tasks(spark, monkeypatch):
+    """A table that is one task as Spark reads it is more where each row is decoded."""
+    from stratalex.plans import generated
+
+    seen = []
+
+    def decode(files, *_, real=generated.documents.decode_documents):
+        seen.append(files.rdd.getNumPartitions())
+        return real(files, *_)
+
+    monkeypatch.setattr(generated.documents, "decode_documents", decode)
+    generated.decoded_documents(spark, "/root/testdata/sf0.001")
+    assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1 and seen[0] > 1
