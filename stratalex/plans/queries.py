@@ -141,6 +141,11 @@ def _query_tokens(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), t.token_set(F.col("text")).alias("tokens"))
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    """Texts dealt over tasks before they are tokenized: a file is as many tasks as it has row groups, which may be one."""
+    return generated._dealt(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _posted(spark, sf_dir) -> DataFrame:
     return index.postings(read(spark, sf_dir, "documents"), "doc_id", t.tokenize(F.col("text")))
 
@@ -193,12 +198,13 @@ def bm25_topk(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     asked = _query_tokens(spark, sf_dir).select(F.col("q").alias("item_id"), F.explode(index.first_terms(F.col("tokens"))).alias("term"))
     # Only words that some query has are worth a shuffle; a document's length comes along as a row without a word.
-    each = docs.select("doc_id", t.tokenize(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    # Texts without words leave once the rows are stored: a filter ahead of that would tokenize every text a second time.
+    each = _texts(spark, sf_dir).select("doc_id", t.tokenize(F.col("text")).alias("tokens"))
     each = each.select("doc_id", F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
     each = each.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left").filter("asked or term is null")
     terms = materialise(each.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf")), "terms")
     total = docs.count()
-    mean = terms.filter("term is null").agg(F.avg("length")).first()[0] or 1.0
+    mean = terms.filter("term is null and length > 0").agg(F.avg("length")).first()[0] or 1.0
     return index.bm25(asked, terms.filter("term is not null"), total, mean, "item_id", "doc_id", digits=6)
 
 

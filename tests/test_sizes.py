@@ -59,6 +59,30 @@ def test_files_are_dealt_over_tasks(spark, monkeypatch):
     assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1 and seen[0] > 1
 
 
+@pytest.mark.parametrize("name, table, at_most", [("bm25_topk", "terms", 2)])
+def test_texts_are_dealt_and_tokenized_once(spark, monkeypatch, name, table, at_most):
+    """A text is tokenized once, in a task of several (the queries of bm25_topk stand in the same plan, once)."""
+    seen = {}
+
+    def store(df, to, real=own.materialise):
+        seen[to] = df
+        return real(df, to)
+
+    monkeypatch.setattr(own, "materialise", store)
+    own.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = seen[table]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and plan.count("regexp_extract_all(") == at_most
+
+
+def test_bm25_leaves_texts_without_words_out_of_the_mean(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/benchmark.parquet') TO '{tmp_path}/benchmark.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'of the 12' ELSE text END AS text FROM '/root/testdata/sf0.001/documents.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    for table in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    same(spark, str(tmp_path), con, "bm25_topk")
+
+
 def test_wares_are_dealt_over_tasks(spark):
     from stratalex.plans import generated
 
