@@ -147,7 +147,7 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 
 def _posted(spark, sf_dir) -> DataFrame:
-    return index.postings(read(spark, sf_dir, "documents"), "doc_id", t.tokenize(F.col("text")))
+    return index.postings(_texts(spark, sf_dir), "doc_id", t.tokenize(F.col("text")))
 
 
 _INDEX_SQL = f"""WITH {sql_tokens('documents', 'doc_id', 'text', 'dk')}, {sql_tokens('benchmark', 'item_id', 'text', 'qk')},

@@ -59,7 +59,7 @@ def test_files_are_dealt_over_tasks(spark, monkeypatch):
     assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1 and seen[0] > 1
 
 
-@pytest.mark.parametrize("name, table, at_most", [("bm25_topk", "terms", 2)])
+@pytest.mark.parametrize("name, table, at_most", [("bm25_topk", "terms", 2), ("search_topk", "postings", 1)])
 def test_texts_are_dealt_and_tokenized_once(spark, monkeypatch, name, table, at_most):
     """A text is tokenized once, in a task of several (the queries of bm25_topk stand in the same plan, once)."""
     seen = {}
