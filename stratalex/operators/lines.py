@@ -244,14 +244,27 @@ def table_rows(docs: DataFrame, doc: str = "source_file") -> DataFrame:
     return _flat(df, doc)
 
 
+def _marked(docs: DataFrame, doc: str) -> list[DataFrame]:
+    """Rows of the strategies that need marks in a document, in their order."""
+    found = [under_header(docs, doc), serial_block(docs, doc)]
+    return [table_rows(docs, doc), *found] if "tables" in docs.columns else found
+
+
+def documents_with_lines(docs: DataFrame, doc: str = "source_file") -> DataFrame:
+    """(doc), distinct: the documents of which extract_lines() gives a row.  Precedence, dittos and repeats leave each of them
+    one at least, so any row of any strategy tells."""
+    every = free_lines(docs, doc).select(doc)
+    for df in _marked(docs, doc):
+        every = every.unionAll(df.select(doc))
+    return every.distinct()
+
+
 def extract_lines(docs: DataFrame, doc: str = "source_file", page: int | None = None) -> DataFrame:
     """schemas.LINE_ITEMS of documents (doc, text, optionally tables).
 
     Of each document the first strategy that finds rows counts: tables, rows under a header, a serial block, free lines.
     """
-    found = [under_header(docs, doc), serial_block(docs, doc)]
-    if "tables" in docs.columns:
-        found.insert(0, table_rows(docs, doc))
+    found = _marked(docs, doc)
     every = found[0].withColumn("way", F.lit(0))
     for k, df in enumerate(found[1:], 1):
         every = every.unionByName(df.withColumn("way", F.lit(k)))

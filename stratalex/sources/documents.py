@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stratalex.functions import images
 from stratalex.functions.text import enough_text
 from stratalex.operators.bitmaps import bitmap, may_hold
-from stratalex.operators.lines import extract_lines, split_any_lines
+from stratalex.operators.lines import documents_with_lines, split_any_lines
 from stratalex.operators.windows import number_all
 from stratalex.schemas import DOCUMENTS
 from stratalex.storage import BATCH_BYTES, bound_batches, materialise
@@ -195,8 +195,7 @@ def decode_documents(files: DataFrame, decode: Decoder, recognize: Recognizer |
 
 def _with_lines(decoded: DataFrame) -> DataFrame:
     """(path) of the documents that have a product line."""
-    rows = extract_lines(decoded.select(F.col("path").alias("source_file"), "text", "tables"))
-    return materialise(rows.select(F.col("source_file").alias("path")).distinct(), "with-lines")
+    return materialise(documents_with_lines(decoded.select("path", "text", "tables"), "path"), "with-lines")
 
 
 def pasted_text(spark: SparkSession, text: str, source: str = "pasted descriptions") -> DataFrame:

@@ -1,6 +1,6 @@
 """Extraction of product lines from garden and workshop orders."""
 
-from stratalex.operators.lines import collect_descriptions, extract_lines
+from stratalex.operators.lines import collect_descriptions, documents_with_lines, extract_lines
 
 ALIGNED = """
 FERNHOLLOW NURSERY
@@ -84,3 +84,16 @@ def test_tables(spark):
         ("b", None, "Jute twine", 2.0, None, False),
         ("c", None, "Wheelbarrow", 2.0, None, False),
     ]
+
+
+def test_documents_with_lines(spark, monkeypatch):
+    """The same documents as those of the lines, without a line being placed, filled or told from its repeats."""
+    from stratalex.operators import lines
+
+    table = [["Part no", "Part description", "Qty"], ["RK-1", "Leaf rake", "4"]]
+    texts = {"a": (ALIGNED, []), "s": (WITH_SERIALS, []), "n": (NO_HEADER, []), "t": ("nothing here", [table]), "f": ("2 x Jute twine\n2 x Jute twine", []), "none": ("nothing here", []), "empty": ("", []), "null": (None, None), "heads": ("Description  Qty", [[["Description", "Quantity"]]])}
+    docs = spark.createDataFrame([(k, *v) for k, v in texts.items()], "path string, text string, tables array<array<array<string>>>")
+    want = {r.source_file for r in extract_lines(docs, "path").collect()}
+    monkeypatch.setattr(lines, "materialise", None)
+    got = [r.path for r in documents_with_lines(docs, "path").collect()]
+    assert sorted(got) == sorted(want) and want == {"a", "s", "n", "t", "f"}
