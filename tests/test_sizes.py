@@ -44,6 +44,15 @@ def test_chapters_beyond_two_digits(spark, long_schedule, name):
     same(spark, *long_schedule, name)
 
 
+@pytest.mark.parametrize("name", ["schedule_chapters", "schedule_counts", "schedule_tariff"])
+def test_schedules_without_a_name(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT p_partkey, p_name, nullif(p_brand, 'Brand#13') AS p_brand, p_type, p_size FROM '/root/testdata/sf0.001/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert con.sql("SELECT count(*) FROM part WHERE p_brand IS NULL").fetchall()[0][0] > 3
+    same(spark, str(tmp_path), con, name)
+
+
 def test_files_are_dealt_over_tasks(spark, monkeypatch):
     """A table that is one task as Spark reads it is more where each row is decoded."""
     from stratalex.plans import generated
