@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stratalex.llm.common import discard, materialise
 
 #: Edges (of 16 bytes) that a task joins at a time.
-BLOCK = 1_000_000
+FEW = 1_000_000
 
 
 def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ def _within_tasks(edges: DataFrame) -> DataFrame:
         for x in batches:
             got.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
             n += x.num_rows
-            if n >= BLOCK:
+            if n >= FEW:
                 yield _stars(*map(np.concatenate, zip(*got)))
                 got, n = [], 0
         if n:
