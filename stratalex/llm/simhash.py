@@ -32,6 +32,8 @@ RUN_ROWS = 65_536
 #: Most differing bits that the band pairs find for certain.
 MAX_BITS = 2
 FANOUT = 8
+#: Nodes that an index meets at a time.
+PIECE = 32_768
 _PAIRS = list(combinations(range(4), 2))
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -92,31 +94,58 @@ class GrayIndex:
             above = masks[k + 1][np.arange(len(mask)) // FANOUT] if k + 1 < len(masks) else np.uint64(0)
             self.levels.append((pattern, mask & ~above))
 
-    def pairs(self, bits: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i, j), i < j in Gray order, of all codes that differ in at most `bits` bits, in blocks of i."""
+    def pairs(self, bits: int, block: int = 2048, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i, j), i < j in Gray order, of all codes that differ in at most `bits` bits, in pieces.  Nodes are met
+        PIECE at a time, depth first, so memory does not grow with the number of pairs.
+
+        root: what stands for the cluster of each position, as far as the caller knows by now.  Pairs of one cluster are then
+        left out, and a node whose codes all lie in the query's cluster is not entered.
+        """
         top = len(self.levels) - 1
+        one, told = self._one_root(root), 0
         for begin in range(0, len(self.codes), block):
             mine = np.arange(begin, min(begin + block, len(self.codes)))
             n = len(self.levels[top][0])
-            q, node, acc = np.repeat(mine, n), np.tile(np.arange(n), len(mine)), np.zeros(n * len(mine), np.uint8)
-            for k in range(top, -1, -1):
+            met = [(top, np.repeat(mine, n), np.tile(np.arange(n), len(mine)), np.zeros(n * len(mine), np.uint8))]
+            while met:
+                k, q, node, acc = met.pop()
+                if len(q) > PIECE:
+                    met.append((k, q[PIECE:], node[PIECE:], acc[PIECE:]))
+                    q, node, acc = q[:PIECE], node[:PIECE], acc[:PIECE]
                 pattern, mask = self.levels[k]
-                if k < top:
-                    q, acc = np.repeat(q, FANOUT), np.repeat(acc, FANOUT)
-                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                    there = node < len(pattern)
-                    q, node, acc = q[there], node[there], acc[there]
                 later = (node + 1) * FANOUT**k - 1 > q  # the node holds a later position
+                if root is not None:
+                    later &= one[k][node] != root[q]
                 q, node, acc = q[later], node[later], acc[later]
                 acc = acc + np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node])
                 near = acc <= bits
                 q, node, acc = q[near], node[near], acc[near]
-            yield q, node
+                if k:
+                    q, acc = np.repeat(q, FANOUT), np.repeat(acc, FANOUT)
+                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                    there = node < len(self.levels[k - 1][0])
+                    met.append((k - 1, q[there], node[there], acc[there]))
+                elif len(q):
+                    yield q, node
+                    told += len(q)
+                    if told >= len(self.codes):
+                        one, told = self._one_root(root), 0
+
+    def _one_root(self, root: np.ndarray | None) -> list[np.ndarray] | None:
+        """For each node, from the leaves up, the root that all codes below it have; -1 if they differ."""
+        if root is None:
+            return None
+        out = [root.copy()]
+        for pattern, _ in self.levels[1:]:
+            at = np.arange(len(pattern)) * FANOUT
+            low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+            out.append(np.where(low == high, low, -1))
+        return out
 
     def roots(self, bits: int) -> np.ndarray:
         """For each code, as given, the place of the code that stands for its cluster."""
         root = np.arange(len(self.codes))
-        for a, b in self.pairs(bits):
+        for a, b in self.pairs(bits, root=root):
             while True:
                 ra, rb = root[a], root[b]
                 differ = ra != rb
@@ -125,7 +154,7 @@ class GrayIndex:
                 a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
                 np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
                 while (root[root] != root).any():
-                    root = root[root]
+                    root[:] = root[root]
         out = np.empty_like(root)
         out[self.order] = self.order[root]
         return out

@@ -181,3 +181,22 @@ def test_index():
         got = {tuple(sorted((int(index.codes[i]), int(index.codes[j])))) for a, b in index.pairs(bits, 64) for i, j in zip(a, b)}
         want = {tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= bits, 1)))}
         assert got == want
+
+
+def test_index_memory_of_a_dense_group():
+    """Many codes that nearly all lie within a few bits: clusters as by pairs, in memory that does not grow with the pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    codes = np.full(12_000, 0x123456789ABCDEF0, np.uint64)
+    for _ in range(8):
+        codes ^= np.uint64(1) << rng.integers(0, 32, len(codes), np.uint64)
+    codes = np.unique(codes)
+    tracemalloc.start()
+    root = simhash.GrayIndex(codes).roots(2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    few = codes[np.argsort(np.bitwise_count(codes ^ np.uint64(0x123456789ABCDEF0)), kind="stable")[:600]]
+    got, want = simhash.GrayIndex(few).roots(2), brute_components([int(c) for c in few])
+    assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist())) < 600
