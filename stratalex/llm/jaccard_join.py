@@ -44,6 +44,8 @@ BUCKETS, BLOCK = 1 << 24, 1 << 16
 CROSSING, ROUNDS = 8, 3
 #: Rows of a list in one run, and those of all its lists that a class meets at a time, about.
 RUN, MEET = 512, 500_000
+#: Lists that the pairs of a class are dealt into where they meet its bitmap.
+SLOTS = 8
 #: Hashes of words that a worker keeps.
 WORDS = 500_000
 _ODD = np.random.default_rng(5_080).integers(0, 1 << 64, (SHINGLE, SHINGLE), np.uint64, endpoint=False) | np.uint64(1)
@@ -200,9 +202,14 @@ def _sets(texts: DataFrame, seed: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are alike.  Bitmaps go first, so that whole sets meet for few others."""
+    """The pairs (a, b) of classes whose sets are alike.  Bitmaps go first, so that whole sets meet for few others; the sets of
+    classes that no such pair has do not move."""
     small = lambda side: sets.select(F.col("class").alias(side), F.size("shingles").alias(f"n{side}"), F.col("bits").alias(f"bit{side}"))
-    pairs = materialise(pairs.join(small("a"), "a").join(small("b"), "b").filter(may_be_alike(least)).select("a", "b"), "pairs")
+    asking = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).alias("slot")).agg(F.collect_list("b").alias("bs"))
+    asking = asking.join(small("a"), "a").select("a", "na", "bita", F.explode("bs").alias("b"))
+    pairs = materialise(asking.join(small("b"), "b").filter(may_be_alike(least)).select("a", "b"), "pairs")
+    ends = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class")), F.col("class"))
+    sets = in_bitmap(sets.select("class", "shingles"), materialise(ends, "ends"), F.col("class"), "met").filter("met")
     met = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return met.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * least).select("a", "b")
@@ -304,9 +311,12 @@ def _count_matches(least: int):
 
 def _open(listed: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the lists that hold several roots, with their roots."""
-    named = listed.join(labels, "class")
-    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    return materialise(named.join(materialise(mixed, "mixed"), "token", "left_semi"), "open")
+    named = materialise(listed.join(labels, "class"), "named")
+    mixed = materialise(named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "mixed")
+    some = in_bitmap(named, bitmap(mixed, F.col("token")), F.col("token"), "met").filter("met").drop("met")
+    out = materialise(some.join(mixed, "token", "left_semi"), "open")
+    discard(named, mixed)
+    return out
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -334,13 +344,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     seed = 0
     while True:
         made = materialise(_facts(docs, "id", "text", seed), "facts")
-        rows = made.filter("block is null").select("id", "class", "n")
+        rows = materialise(made.filter("block is null").select("id", "class", "n"), "rows")
         of = made.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
         classes = materialise(of, "classes")
         if classes.filter("low <> high").isEmpty():
             break
         seed += 1
     often = _often(made)
+    discard(made)
     once = _representatives(docs, rows, classes)
     entries = materialise(_prefixes(once, often, seed, least), "entries")
     shared = entries.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
@@ -358,10 +369,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         ids = F.xxhash64("id")
         wanted = bitmap(classes.join(asked, "class").select(F.col("least").alias("id")), ids)
         some = in_bitmap(texts, wanted, ids, "met").filter("met or id is null").select("text")
-        sets = _sets(some, seed).join(asked, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+        sets = in_bitmap(_sets(some, seed), bitmap(asked, F.col("class")), F.col("class"), "met").filter("met").drop("met")
         sets = materialise(sets, "sets")
-        out = materialise(verified(pairs, sets, least), "links")
-        discard(pairs, asked, sets)
+        # Few classes repeat, unless rows without an id or with the same one do; no other set moves to be told from its copies.
+        twice = materialise(sets.groupBy("class").count().filter("count > 1").select("class"), "twice")
+        marked = in_bitmap(sets, materialise(bitmap(twice, F.col("class")), "twice-bits"), F.col("class"), "twice")
+        once = marked.filter("twice").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+        once = materialise(once, "once")
+        out = materialise(verified(pairs, marked.filter("not twice").drop("twice").unionAll(once), least), "links")
+        discard(pairs, asked, sets, twice, once)
         return out
 
     labels = materialise(minhash._named(met, components(links(_stars(listed, least), "stars"))), "labels")

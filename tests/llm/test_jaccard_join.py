@@ -161,3 +161,47 @@ def test_bitmaps_lose_no_pair(spark):
     got = [(r.alike, r.may) for r in df.withColumn("may", jaccard_join.may_be_alike(80)).collect()]
     assert all(may for alike, may in got if alike) and any(alike for alike, _ in got)
     assert sum(may for alike, may in got if not alike) < sum(not alike for alike, _ in got)
+
+
+def test_near_copies_without_ids(spark):
+    """Rows that no id tells apart: their sets come more than once, and each class is still compared once."""
+    rng = random.Random(12)
+    base = " ".join(words(rng, 60))
+    texts = [base, *(edited(rng, base, 1) for _ in range(12))] * 2 + [" ".join(words(rng, 60))]
+    ids = [None] * 20 + list(range(20, len(texts)))
+    got = jaccard_join.join(frame(spark, texts, ids=ids)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(ids, texts)
+
+
+def test_many_pairs_of_one_class(spark):
+    """The bitmap of a class goes to lists of its pairs, not to each pair; the pairs found are those of whole sets."""
+    rng = random.Random(13)
+    base = words(rng, 40)
+    sets = [jaccard_join.shingles(" ".join(base[: 40 - i % 12] + words(rng, i % 12))) for i in range(60)]
+    rows = [(i, [int(x) for x in s.view(np.int64)], [int(x) for x in jaccard_join.bits_of(s)]) for i, s in enumerate(sets)]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    want = {(0, i) for i in range(1, 60) if linked(len(sets[0]), len(sets[i]), len(np.intersect1d(sets[0], sets[i])))}
+    assert {tuple(r) for r in jaccard_join.verified(pairs, spark.createDataFrame(rows, "class long, shingles array<long>, bits array<long>")).collect()} == want
+    assert 0 < len(want) < 59
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """What was shuffled for a table that is written goes at once, and the session's setting is as before."""
+    import time
+
+    from stratalex import storage
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    setting = spark.conf.get(storage._CLEAN, None)
+    before = files()
+    out = storage.materialise(spark.range(5000).selectExpr("id % 70 as k").groupBy("k").count(), "counted")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 70 and spark.conf.get(storage._CLEAN, None) == setting
