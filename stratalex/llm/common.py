@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.storage import BATCH_BYTES, discard, materialise, shared_dir  # noqa: F401
+from stratalex.storage import BATCH_BYTES, cleaning, discard, materialise, shared_dir  # noqa: F401
 from stratalex.storage import bound_batches as tune  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"stratalex_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/stratalex/{name}-{uuid.uuid4().hex}"
-    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    with cleaning(spark):
+        df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
     out = spark.table(table)
     out._stratalex_path = path
     spark.sql(f"DROP TABLE {table}")

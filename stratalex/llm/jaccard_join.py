@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.llm import minhash
-from stratalex.llm.common import bitmap, discard, in_bitmap, materialise, tune, type_of, whole
+from stratalex.llm.common import bitmap, bucketed, discard, in_bitmap, materialise, tune, type_of, whole
 from stratalex.llm.components import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -46,7 +47,9 @@ CROSSING, ROUNDS = 8, 3
 RUN, MEET = 512, 500_000
 #: Lists that the pairs of a class are dealt into where they meet its bitmap.
 SLOTS = 8
-#: Hashes of words that a worker keeps.
+#: Parts of the shingles of prefixes that are counted one after the other, so that what is shuffled for it is on disk in parts.
+SLICES = 2
+#: Hashes of words that a worker keeps, and of sets.
 WORDS = 500_000
 _ODD = np.random.default_rng(5_080).integers(0, 1 << 64, (SHINGLE, SHINGLE), np.uint64, endpoint=False) | np.uint64(1)
 
@@ -147,22 +150,26 @@ def _often(facts: DataFrame) -> np.ndarray:
 
 def _prefixes(texts: DataFrame, often: np.ndarray, seed: int, least: int) -> DataFrame:
     """texts(text) -> (token, class, n, p, level): the shingles of each longest prefix, p their place, level the least number
-    of matches whose prefix reaches them."""
+    of matches whose prefix reaches them.  A class that a task has just met is not written again."""
     seen = texts.sparkSession.sparkContext.broadcast(often)  # BUCKETS bytes
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = seen.value
+        often, met = seen.value, set()
         for b in batches:
             rows = [[np.empty(0, t)] for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
             for t in b.column(0):
                 s = shingles(t.as_py())
                 n = len(s)
-                if not n:
+                class_ = _signed(xxhash.xxh64_intdigest(s.tobytes(), seed * 2))
+                if not n or class_ in met:
                     continue
+                if len(met) >= WORDS:
+                    met.clear()
+                met.add(class_)
                 spare = n - required(n, least)
                 first = s[np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[: spare + MATCHES]]
                 p = np.arange(len(first), dtype=np.int32)
-                one = (first.view(np.int64), np.full(len(p), _signed(xxhash.xxh64_intdigest(s.tobytes(), seed * 2))), np.full(len(p), n, np.int32), p, np.maximum(1, p - spare + 1))
+                one = (first.view(np.int64), np.full(len(p), class_), np.full(len(p), n, np.int32), p, np.maximum(1, p - spare + 1))
                 for all_, x in zip(rows, one):
                     all_.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows[:4]] + [pa.array(np.concatenate(rows[4]).astype(np.int32))], names=["token", "class", "n", "p", "level"])
@@ -215,12 +222,26 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame
     return met.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * least).select("a", "b")
 
 
+def _listed(entries: DataFrame) -> DataFrame:
+    """The entries whose shingle comes more than once, once for each class; dealt by the shingle.  Only shingles move to be
+    counted: most come once.  A list may hold one class alone, where rows without an id repeat it; it joins nothing."""
+    slices = [entries.filter(F.pmod("token", F.lit(SLICES)) == k).groupBy("token").count().filter("count > 1").select("token") for k in range(SLICES)]
+    slices = [materialise(x, "shared") for x in slices]
+    shared = reduce(DataFrame.unionAll, slices)
+    listed = in_bitmap(entries, bitmap(shared, F.col("token")), F.col("token"), "met").filter("met").drop("met")
+    # The hint: else rows of few tokens might be written where they lie, a file for each bucket and task.
+    listed = bucketed(listed.join(shared.hint("merge"), "token", "left_semi").dropDuplicates(["token", "class"]), "listed", "token")
+    discard(*slices)
+    return listed
+
+
 def _stars(listed: DataFrame, least: int) -> DataFrame:
-    """Pairs of each class with the least one of its list and of about its length."""
+    """Pairs of each class with the least one of its list and of about its length.  listed is dealt by token, so no row moves."""
     band = F.floor(F.log("n") / math.log(100 / least)).cast("int").alias("band")
     near = listed.filter("level = 1").select("token", band, "class", "n")
-    leaders = materialise(near.groupBy("token", "band").agg(F.min(F.struct("class", "n")).alias("x")).select("token", "band", F.col("x.class").alias("a"), F.col("x.n").alias("na")), "leaders")
-    pairs = near.join(leaders, ["token", "band"]).filter(F.col("class") != F.col("a"))
+    leaders = near.groupBy("token", "band").agg(F.min(F.struct("class", "n")).alias("x")).select("token", F.col("band").alias("of"), F.col("x.class").alias("a"), F.col("x.n").alias("na"))
+    # Not ==, which would become a second key, by which nothing is dealt.
+    pairs = near.join(leaders.hint("merge"), "token").filter(F.col("of").between(F.col("band"), F.col("band")) & (F.col("class") != F.col("a")))
     fits = F.least("n", "na") * 100 >= F.greatest("n", "na") * least
     return pairs.filter(fits).select("a", F.col("class").alias("b")).distinct()
 
@@ -259,14 +280,16 @@ def candidates(open_: DataFrame, least: int = LEAST) -> DataFrame:
     runs = short.groupBy("token", "runs", F.col("h").bitwiseAND(F.col("runs") - 1).alias("run")).agg(F.collect_list(F.struct("class", "root", "n", "p", "level", "h")).alias("ys"))
     asking = open_.join(matches, "class").filter("level <= matches").select("token", "class", "root", "n", "p", "matches", _power(F.col("rows") / MEET).alias("parts"))
     met = asking.join(materialise(runs, "runs"), "token")
-    # What cannot be among the first matches of two that are alike stays behind; the task that counts looks at the rest again.
+    # What cannot be among the first matches of two that are alike stays behind, and of the rest what the task that counts does
+    # not read; it looks at lengths and places again.
     behind = lambda y: F.least(F.col("n") - F.col("p"), y["n"] - y["p"]) + F.col("matches") - 1
     near = lambda y: (y["root"] != F.col("root")) & (y["level"] <= F.col("matches")) & (y["n"] <= F.col("n")) & (behind(y) * part >= (F.col("n") + y["n"]) * least)
-    met = met.withColumn("ys", F.filter("ys", near)).filter(F.size("ys") > 0)
+    left = lambda y: F.struct(y["class"].alias("class"), y["n"].alias("n"), y["p"].alias("p"), y["h"].alias("h"))
+    met = met.withColumn("ys", F.transform(F.filter("ys", near), left)).filter(F.size("ys") > 0)
     # The parts that a run has rows of: one, or several where it is wider than a part.
     more = F.greatest(F.lit(1), F.col("parts") / F.col("runs")).cast("int")
     parts = F.transform(F.sequence(F.lit(0), more - 1), lambda i: F.col("run").bitwiseAND(F.col("parts") - 1) + i * F.col("runs"))
-    met = met.select("class", F.explode(parts).alias("part"), "root", "n", "p", "matches", "parts", "ys")
+    met = met.select("class", F.explode(parts).alias("part"), "n", "p", "matches", "parts", "ys")
     met = met.repartition("class", "part").sortWithinPartitions("class", "part")
     return met.mapInArrow(_count_matches(least), "a long, b long")
 
@@ -285,13 +308,13 @@ def _count_matches(least: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(("class", "part", "root", "n", "p", "matches", "parts", "ys"))}
+            c = {n: b.column(i) for i, n in enumerate(("class", "part", "n", "p", "matches", "parts", "ys"))}
             lengths = c["ys"].value_lengths().to_numpy()
             one = lambda n: np.repeat(c[n].to_numpy().astype(np.int64), lengths)  # noqa: E731, B023
             ys = c["ys"].flatten()
-            y, rooty, ny, py, level, h = (ys.field(k).to_numpy().astype(np.int64) for k in range(6))
+            y, ny, py, h = (ys.field(k).to_numpy().astype(np.int64) for k in range(4))
             x, nx, px, asked = one("class"), one("n"), one("p"), one("matches")
-            good = (one("root") != rooty) & (level <= asked) & ((nx > ny) | ((nx == ny) & (x > y))) & (ny * 100 >= nx * least) & ((h & (one("parts") - 1)) == one("part"))
+            good = ((nx > ny) | ((nx == ny) & (x > y))) & (ny * 100 >= nx * least) & ((h & (one("parts") - 1)) == one("part"))
             good &= (np.minimum(nx - px, ny - py) + asked - 1) * (100 + least) >= (nx + ny) * least
             rows = np.stack([x, y, nx, ny, px, py, asked])[:, good]
             group = np.stack([x, one("part")])[:, good]
@@ -310,12 +333,20 @@ def _count_matches(least: int):
 
 
 def _open(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the lists that hold several roots, with their roots."""
-    named = materialise(listed.join(labels, "class"), "named")
-    mixed = materialise(named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "mixed")
-    some = in_bitmap(named, bitmap(mixed, F.col("token")), F.col("token"), "met").filter("met").drop("met")
-    out = materialise(some.join(mixed, "token", "left_semi"), "open")
-    discard(named, mixed)
+    """Rows of the lists that hold several roots, with their roots; dealt by token, as listed is.  Only rows of classes that
+    are not their own root move, to be told so."""
+    joined = materialise(labels.filter("root <> class"), "joined")
+    bits = materialise(bitmap(joined, F.col("class")), "joined-bits")
+    marked = in_bitmap(listed, bits, F.col("class"), "met")
+    stay = marked.filter("not met").drop("met").withColumn("root", F.col("class"))
+    told = marked.filter("met").drop("met").join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    told = bucketed(told.repartition("token"), "told", "token")
+    ends = lambda rows, k: rows.groupBy("token").agg(F.min("root").alias(f"low{k}"), F.max("root").alias(f"high{k}"))
+    both = ends(stay, 0).join(ends(told, 1).hint("merge"), "token", "full")
+    mixed = bucketed(both.filter(F.least("low0", "low1") != F.greatest("high0", "high1")).select("token"), "mixed", "token")
+    some = lambda rows: rows.join(mixed.hint("merge"), "token", "left_semi")
+    out = bucketed(some(stay).unionByName(some(told)), "open", "token")
+    discard(joined, bits, told, mixed)
     return out
 
 
@@ -354,11 +385,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     discard(made)
     once = _representatives(docs, rows, classes)
     entries = materialise(_prefixes(once, often, seed, least), "entries")
-    shared = entries.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
-    shared = materialise(shared, "shared")
-    listed = in_bitmap(entries, bitmap(shared, F.col("token")), F.col("token"), "met").filter("met").drop("met")
-    listed = materialise(listed.join(shared, "token", "left_semi").dropDuplicates(["token", "class"]), "listed")
-    discard(entries, shared)
+    listed = _listed(entries)
+    discard(entries)
     met = materialise(listed.select("class").distinct(), "met")
     texts = _representatives(docs, rows, classes, ["id", "text"])
 

@@ -205,3 +205,46 @@ def test_shuffle_files_go_with_their_step(spark):
         time.sleep(0.2)
     assert not files() - before
     assert out.count() == 70 and spark.conf.get(storage._CLEAN, None) == setting
+
+
+def _exchanged(df, column):
+    """Shuffles of df's plan that are dealt by the column alone."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({column}#")
+
+
+def test_lists_stay_where_they_are_dealt(spark):
+    """Lists are dealt by their shingle once: stars move only their pairs, and lists that are open are dealt alike."""
+    rows = [(t, c, 40 + c % 3, c % 5, 1 + c % 2) for t in range(40) for c in range(t, t + 1 + t % 4)]
+    entries = spark.createDataFrame(rows + rows[:7], "token long, class long, n int, p int, level int")
+    listed = jaccard_join._listed(entries)
+    count = {t: sum(r[0] == t for r in rows + rows[:7]) for t in range(40)}
+    assert sorted(map(tuple, listed.collect())) == sorted(r for r in rows if count[r[0]] > 1)
+    stars = jaccard_join._stars(listed, 80)
+    assert _exchanged(stars, "token") == _exchanged(stars, "band") == 0
+    labels = spark.createDataFrame([(c, c - c % 3) for c in range(50)], "class long, root long")
+    open_ = jaccard_join._open(listed, labels)
+    roots = {t: {c - c % 3 for u, c, *_ in rows if u == t} for t in range(40)}
+    assert sorted((r["token"], r["class"], r.root, r.n, r.p, r.level) for r in open_.collect()) == sorted((t, c, c - c % 3, n, p, k) for t, c, n, p, k in rows if count[t] > 1 and len(roots[t]) > 1)
+    held = open_.groupBy("token").count()
+    assert _exchanged(held, "token") == 0 and held.count() == sum(len(r) > 1 for r in roots.values())
+
+
+def test_stars_of_lists(spark):
+    """Each class with the least of its list and band of lengths, where their lengths allow a link."""
+    rng = random.Random(21)
+    rows = sorted({(rng.randrange(12), c): (rng.randrange(5, 60), rng.randrange(3), rng.randrange(1, 3)) for c in range(120) for _ in range(3)}.items())
+    rows = [(t, c, 5 + c % 50, p, k) for (t, c), (_, p, k) in rows]
+    near = [(t, int(np.floor(np.log(n) / np.log(1.25))), c, n) for t, c, n, _, k in rows if k == 1]
+    want = set()
+    for t, band, c, n in near:
+        a, na = min((d, m) for u, of, d, m in near if (u, of) == (t, band))
+        if a != c and min(n, na) * 100 >= max(n, na) * 80:
+            want.add((a, c))
+    got = list(map(tuple, jaccard_join._stars(jaccard_join.bucketed(spark.createDataFrame(rows, "token long, class long, n int, p int, level int"), "rows", "token"), 80).collect()))
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_of_one_task_are_written_once(spark):
+    text = " ".join(words(random.Random(3), 50))
+    got = jaccard_join._prefixes(spark.createDataFrame([(text,)] * 9, "text string").coalesce(1), np.zeros(jaccard_join.BUCKETS, np.uint8), 0, 80)
+    assert got.count() == got.select("token").distinct().count() == 46 - jaccard_join.required(46) + jaccard_join.MATCHES
