@@ -48,15 +48,16 @@ def top_k(scored: DataFrame, query_col: str, id_col: str, k: int, score: str = "
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
-def fuzzy_rerank(scored: DataFrame, text: str, legal_path: str, query_col: str, id_col: str, head: int = HEAD) -> DataFrame:
+def fuzzy_rerank(scored: DataFrame, text: str, legal_path: str, query_col: str, id_col: str, head: int = HEAD, several: str | None = None) -> DataFrame:
     """The first `head` of each query with the fuzzy bonus added and placed anew, then the others, whose places stay as
     they are.  A lone candidate gets no bonus.
 
-    Only the first reach Python, however many candidates a query has.
+    Only the first reach Python, however many candidates a query has.  several: a column that tells queries with candidates
+    beside those given.
     """
     placed = scored.withColumn("place", F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), id_col)))
     first, tail = placed.filter(F.col("place") <= head), placed.filter(F.col("place") > head)
-    several = F.count(F.lit(1)).over(W.partitionBy(query_col)) > 1
-    first = first.withColumn("several", several).withColumn("fuzzy", token_set_ratio_udf(text, legal_path))
-    score = F.round(F.col("score") + F.when(F.col("several"), F.col("fuzzy") / 100 * FUZZY).otherwise(0.0), DIGITS)
-    return top_k(first.drop("place").withColumn("score", score).drop("several", "fuzzy"), query_col, id_col, head).unionByName(tail)
+    many = F.count(F.lit(1)).over(W.partitionBy(query_col)) > 1
+    first = first.withColumn("_many", many | F.col(several) if several else many).withColumn("fuzzy", token_set_ratio_udf(text, legal_path))
+    score = F.round(F.col("score") + F.when(F.col("_many"), F.col("fuzzy") / 100 * FUZZY).otherwise(0.0), DIGITS)
+    return top_k(first.drop("place").withColumn("score", score).drop("_many", "fuzzy"), query_col, id_col, head).unionByName(tail)
