@@ -103,3 +103,46 @@ def test_memory_of_a_page():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert ready.shape == (1400, 1050) and peak < 20 * ready.size
+
+
+def test_work_of_an_angle(monkeypatch):
+    """The angle is told by runs of dark pixels: what is counted for it is a fraction of the dark pixels at each angle."""
+    image = np.full((1400, 1050), 240, np.uint8)
+    for y in range(60, 1300, 140):
+        image[y : y + 56, 140:900] = 20
+    counted, count = [0], np.bincount
+
+    def counting(x, *args, **kw):
+        counted[0] += len(x)
+        return count(x, *args, **kw)
+
+    monkeypatch.setattr(im.np, "bincount", counting)
+    assert abs(im.skew(image)) < 0.05
+    assert counted[0] < 10 * (image < 100).sum()
+
+
+def test_skew_and_contrast_by_their_definitions():
+    """The sums along lines of any pixels, at each angle; the contrast blended between all four tables of a pixel."""
+    rng = np.random.default_rng(3)
+    for angle in (-8.0, -0.7, 0.0, 3.3):
+        image = np.where(rng.random((420, 600)) < 0.01, 20, page(angle)).astype(np.uint8)
+        y, x = np.nonzero(image <= im.otsu(image))
+
+        def sharpness(a):
+            rows = y * np.cos(np.radians(a)) - x * np.sin(np.radians(a))
+            return float((np.bincount((rows - rows.min()).astype(int)).astype(float) ** 2).sum())
+
+        coarse = max(np.arange(-10, 10.01, 0.5), key=sharpness)
+        assert im.skew(image) == float(max(np.arange(coarse - 0.5, coarse + 0.51, 0.1), key=sharpness))
+    image = rng.integers(0, 256, (160, 240)).astype(np.uint8)
+    maps = np.empty((8, 8, 256))
+    for i in range(8):
+        for j in range(8):
+            n = np.bincount(image[20 * i : 20 * i + 20, 30 * j : 30 * j + 30].ravel(), minlength=256).astype(float)
+            limit = im.CLIP * 600 / 256
+            maps[i, j] = np.cumsum(np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256) * 255 / 600
+    y, x = np.meshgrid(np.clip((np.arange(160) + 0.5) / 20 - 0.5, 0, 7), np.clip((np.arange(240) + 0.5) / 30 - 0.5, 0, 7), indexing="ij")
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1, fy, fx = np.minimum(y0 + 1, 7), np.minimum(x0 + 1, 7), y - y0, x - x0
+    want = (maps[y0, x0, image] * (1 - fx) + maps[y0, x1, image] * fx) * (1 - fy) + (maps[y1, x0, image] * (1 - fx) + maps[y1, x1, image] * fx) * fy
+    assert abs(im.even_out(image) - want).max() < 0.51
