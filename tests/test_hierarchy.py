@@ -77,3 +77,21 @@ def test_duty(spark):
     assert [r.x for r in df.coalesce(1).select(h.is_duty_fragment(F.col("t")).alias("x")).collect()] == [True, True, False, True, False]
     cut = df.limit(1).select(h.split_continuation(F.lit("     breeding animals      with a maximum of 96%")).alias("c")).first().c
     assert (cut.left, cut.right) == ("breeding animals", "with a maximum of 96%")
+
+
+def test_only_lengths_that_occur_are_carried(spark, monkeypatch):
+    """A stored table is not written again, and no value is carried for digits of a length that no row has."""
+    from stratalex import storage
+    from stratalex.operators import scan
+
+    digits = "1234 123410 12341020 123490 12341030 1235 1235101010 123590".split()
+    df = spark.createDataFrame([("d", k, d, d, "4", f"goods {k}", None, ["5%"]) for k, d in enumerate(digits)], "source_file string, pos long, raw_code string, digits string, check_digit string, description string, unit string, duties array<string>")
+    written, carried, scans, run = [], [], scan.running, storage.materialise
+    for module in (scan, h):
+        monkeypatch.setattr(module, "materialise", lambda t, name: written.append(name) or run(t, name))
+    monkeypatch.setattr(h, "running", lambda *a, **kw: carried.extend(kw.get("last") or {}) or scans(*a, **kw))
+    got = {r.id: r for r in h.build_tariff(run(df, "rows")).collect()}
+    assert carried == ["_h4", "_h6", "_h8"] and written == ["scan", "placed"]
+    assert [got[k + 1].legal_path for k in range(8)] == ["goods 0", "goods 0 | goods 1", "goods 0 | goods 1 | goods 2", "goods 0 | goods 3", "goods 0 | goods 4", "goods 5", "goods 5 | goods 6", "goods 5 | goods 7"]
+    assert [got[k + 1].is_leaf for k in range(8)] == [False, False, True, True, True, False, False, True]
+    assert h.build_tariff(df.limit(0)).count() == 0
